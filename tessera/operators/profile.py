@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 def value_counts(df: DataFrame, *cols: str, by=(), keep_null: bool = True) -> DataFrame:
     """A1: frequency of each value of several columns in ONE scan and one shuffle:
-    unpivot to (column, value) and group. Output (by..., column, value, n)."""
+    unpivot to (field, value) and group. Output (by..., field, value, n)."""
     by = list(by)
     long = df.select(*by, *[F.col(c).cast("string").alias(c) for c in cols]) \
-        .unpivot(by, list(cols), "column", "value")
+        .unpivot(by, list(cols), "field", "value")
     if not keep_null:
         long = long.where(F.col("value").isNotNull())
-    return long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(*by, "field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cross_counts(df: DataFrame, c1: str, c2: str) -> DataFrame:

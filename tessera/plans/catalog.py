@@ -266,3 +266,207 @@ def q_exclude_keys(spark, sf):
 @register("overlap_count", "SELECT count(DISTINCT doc_id) AS n_overlap FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def q_overlap_count(spark, sf):
     return J.overlap_count(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+# --- A1-A8 -------------------------------------------------------------------
+from tessera.operators import profile as A  # noqa: E402
+from tessera.operators import splits as K  # noqa: E402
+from tessera.operators import select as O  # noqa: E402
+from tessera.operators import bins as Q  # noqa: E402
+from tessera.operators.rank import sequential_rank  # noqa: E402
+
+
+def _vc_sql(src: str, cols, by=()) -> str:
+    b = "".join(f"{c}, " for c in by)
+    parts = [f"SELECT {b}'{c}' AS field, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {src} x GROUP BY {b}{c}"
+             for c in cols]
+    return " UNION ALL ".join(parts)
+
+
+@register("value_counts", _vc_sql(CORPUS_SQL, ["lang", "source", "quality", "toxic"]))
+def q_value_counts(spark, sf):
+    return A.value_counts(corpus(spark, sf), "lang", "source", "quality", "toxic")
+
+
+@register("cross_counts", f"""SELECT quality, toxic, count(*) AS n FROM {CORPUS_SQL} x
+WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY quality, toxic""")
+def q_cross_counts(spark, sf):
+    return A.cross_counts(corpus(spark, sf), "quality", "toxic")
+
+
+LABELLED_SQL = f"(SELECT * FROM {CORPUS_SQL} y WHERE quality IS NOT NULL)"
+
+
+def labelled(spark, sf):
+    return corpus(spark, sf).where(F.col("quality").isNotNull())
+
+
+def labelled_folds(spark, sf):
+    """K3 fold table of the labelled corpus joined back to its rows."""
+    lab = labelled(spark, sf)
+    return K.stratified_fold_table(lab, "doc_id", "quality", k=5, seed=SEED).join(lab, "doc_id")
+
+
+LABELLED_FOLDS_SQL = f"""WITH {_fold_sql(LABELLED_SQL, 'doc_id', 'quality')},
+  lf AS (SELECT f.fold, f.part, c.* FROM folds f JOIN {LABELLED_SQL} c ON f.doc_id = c.doc_id)"""
+
+
+@register("split_distribution", LABELLED_FOLDS_SQL + "\n" + _vc_sql("lf", ["quality", "toxic", "lang"], by=["fold", "part"]))
+def q_split_distribution(spark, sf):
+    return A.split_distribution(labelled_folds(spark, sf), ["quality", "toxic", "lang"])
+
+
+@register("split_sizes", LABELLED_FOLDS_SQL + """
+SELECT fold, part, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY fold) AS share FROM lf GROUP BY fold, part""")
+def q_split_sizes(spark, sf):
+    return A.split_sizes(labelled_folds(spark, sf))
+
+
+@register("class_weights", """SELECT label, count(*) AS freq,
+  sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM embeddings WHERE label IS NOT NULL GROUP BY label""")
+def q_class_weights(spark, sf):
+    return A.class_weights(table(spark, sf, "embeddings"), "label")
+
+
+@register("class_weight_vector", """SELECT list(weight ORDER BY label) AS class_weights FROM (
+  SELECT label, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM embeddings WHERE label IS NOT NULL GROUP BY label)""")
+def q_class_weight_vector(spark, sf):
+    return A.class_weight_vector(table(spark, sf, "embeddings"), "label", 10)
+
+
+@register("what_if_distribution", f"""SELECT lang, quality, count(*) AS freq,
+  count(*) * (CASE WHEN quality = 0 THEN 2.0 ELSE 1.0 END)::DOUBLE AS scaled,
+  count(*) * (CASE WHEN quality = 0 THEN 2.0 ELSE 1.0 END)::DOUBLE
+    / sum(count(*) * (CASE WHEN quality = 0 THEN 2.0 ELSE 1.0 END)::DOUBLE) OVER (PARTITION BY lang) * 100.0 AS percent
+FROM {LABELLED_SQL} x GROUP BY lang, quality""")
+def q_what_if(spark, sf):
+    return A.what_if_distribution(labelled(spark, sf), "quality", {0: 2.0}, by=["lang"])
+
+
+# --- K1-K8 -------------------------------------------------------------------
+def _rk(key, *salt, by=""):
+    part = f"PARTITION BY {by} " if by else ""
+    return f"row_number() OVER ({part}ORDER BY {S.md5_key(SEED, key, *salt)}, {key})"
+
+
+@register("holdout", f"""SELECT doc_id, CASE WHEN rk <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS part
+FROM (SELECT doc_id, {_rk('doc_id')} AS rk, count(*) OVER () AS n FROM documents)""")
+def q_holdout(spark, sf):
+    return K.holdout(table(spark, sf, "documents").select("doc_id"), "doc_id", SEED, test=0.2)
+
+
+@register("train_val_test", f"""WITH a AS (
+  SELECT doc_id, CASE WHEN rk <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS p1
+  FROM (SELECT doc_id, {_rk('doc_id')} AS rk, count(*) OVER () AS n FROM documents)),
+b AS (SELECT doc_id, p1, {_rk('doc_id', "'val'", by='p1')} AS rk, count(*) OVER (PARTITION BY p1) AS n FROM a)
+SELECT doc_id, CASE WHEN p1 = 'test' THEN 'test' WHEN rk <= ceil(0.25 * n) THEN 'val' ELSE 'train' END AS part FROM b""")
+def q_train_val_test(spark, sf):
+    return K.train_val_test(table(spark, sf, "documents").select("doc_id"), "doc_id", SEED)
+
+
+@register("assign_folds", f"""WITH r AS (SELECT vec_id, label, {_rk('vec_id', by='label')} AS rk FROM embeddings),
+cls AS (SELECT label, coalesce(sum(count(*)) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
+        FROM embeddings GROUP BY label)
+SELECT vec_id, CAST((rk - 1 + st) % 5 AS INTEGER) AS test_fold FROM r JOIN cls ON r.label IS NOT DISTINCT FROM cls.label""")
+def q_assign_folds(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    return K.assign_folds(e, "vec_id", "label", 5, SEED).select("vec_id", "test_fold")
+
+
+@register("stratified_kfold", f"WITH {_fold_sql(LABELLED_SQL, 'doc_id', 'quality')} SELECT doc_id, fold, part FROM folds")
+def q_stratified_kfold(spark, sf):
+    return K.stratified_fold_table(labelled(spark, sf), "doc_id", "quality", k=5, seed=SEED)
+
+
+@register("covering_splits", f"""WITH r AS (SELECT doc_id, {_rk('doc_id')} AS rk, count(*) OVER () AS n FROM documents),
+b AS (SELECT doc_id, n, CAST(CASE WHEN rk <= (n % 10) * (n // 10 + 1) THEN (rk - 1) // (n // 10 + 1)
+                 ELSE n % 10 + (rk - 1 - (n % 10) * (n // 10 + 1)) // (n // 10) END AS INTEGER) AS blk FROM r),
+e AS (SELECT b.*, CAST(f.fold AS INTEGER) AS fold, blk = f.fold AS inb FROM b, range(10) f(fold)),
+r2 AS (SELECT e.*, row_number() OVER (PARTITION BY fold, inb ORDER BY {S.md5_key(SEED, 'doc_id', "'cover'", 'CAST(fold AS VARCHAR)')}, doc_id) AS rk2,
+       floor(0.2 * n) - CASE WHEN fold < n % 10 THEN n // 10 + 1 ELSE n // 10 END AS extra, floor(0.15 * n) AS vs FROM e)
+SELECT doc_id, fold, CASE WHEN inb OR rk2 <= extra THEN 'test' WHEN rk2 <= extra + vs THEN 'val' ELSE 'train' END AS part FROM r2""")
+def q_covering_splits(spark, sf):
+    return K.covering_fold_table(table(spark, sf, "documents").select("doc_id"), "doc_id", k=10, seed=SEED)
+
+
+@register("sample_n", f"SELECT doc_id, lang FROM documents ORDER BY {S.md5_key(SEED, 'doc_id')}, doc_id LIMIT 100")
+def q_sample_n(spark, sf):
+    return K.sample_n(table(spark, sf, "documents").select("doc_id", "lang"), 100, "doc_id", SEED)
+
+
+@register("shuffle", f"SELECT doc_id, {_rk('doc_id')} AS shuffle_rank FROM documents")
+def q_shuffle(spark, sf):
+    return K.shuffle(table(spark, sf, "documents").select("doc_id"), "doc_id", SEED)
+
+
+@register("batches_shuffled", f"SELECT doc_id, CAST(({_rk('doc_id')} - 1) // 16 AS BIGINT) AS batch_id FROM documents")
+def q_batches_shuffled(spark, sf):
+    return K.batches(table(spark, sf, "documents").select("doc_id"), 16, "doc_id", seed=SEED)
+
+
+@register("batches_sequential", """SELECT conv_id, turn, CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) // 16 AS BIGINT) AS batch_id
+FROM conversations""")
+def q_batches_sequential(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn")
+    return K.batches(c, 16, "turn", order=["conv_id"])
+
+
+@register("length_bucketed_batches", f"""SELECT doc_id, CAST((row_number() OVER (ORDER BY n_chars // 256, {S.md5_key(SEED, 'doc_id')}, doc_id) - 1) // 16 AS BIGINT) AS batch_id
+FROM documents""")
+def q_length_batches(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return K.length_bucketed_batches(d, "n_chars", 16, "doc_id", SEED, bucket_width=256).select("doc_id", "batch_id")
+
+
+# --- O1, O2 ------------------------------------------------------------------
+@register("ranked_sources", """SELECT source, n, row_number() OVER (ORDER BY n, source) AS position
+FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)""")
+def q_ranked_sources(spark, sf):
+    c = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return sequential_rank(O.ranked(c, "n", tie="source"), ["n", "source"], rank_col="position")
+
+
+@register("best_run", """SELECT user_id, event_id, value FROM (
+  SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn
+  FROM events WHERE value IS NOT NULL) WHERE rn = 1""")
+def q_best_run(spark, sf):
+    e = table(spark, sf, "events").where(F.col("value").isNotNull()).select("user_id", "event_id", "value")
+    return O.best_run(e, "value", "event_id", by=["user_id"])
+
+
+# --- Q1, A8 ------------------------------------------------------------------
+SCORES_SQL = """(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS cogency, CAST(embedding[2] AS DOUBLE) AS effectiveness,
+  CAST(embedding[3] AS DOUBLE) AS reasonableness, CAST(embedding[4] AS DOUBLE) AS overall FROM embeddings)"""
+
+
+def scores(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(J.SCORE_COLS)])
+
+
+def _bins_sql(c: str) -> str:
+    labels = Q.SIX_LABELS
+    whens = " ".join(f"WHEN {c} <= q_{c}[{i + 2}] THEN '{lab}'" for i, lab in enumerate(labels))
+    return f"CASE WHEN {c} IS NULL OR {c} < q_{c}[1] OR {c} > q_{c}[7] THEN NULL {whens} END AS tercile_{c}"
+
+
+_PROBS_SQL = "[0.0, CAST(1 AS DOUBLE) / 6, CAST(1 AS DOUBLE) / 3, 0.5, CAST(2 AS DOUBLE) / 3, CAST(5 AS DOUBLE) / 6, 1.0]"
+BINNED_SQL = f"""(SELECT s.vec_id, {', '.join(_bins_sql(c) for c in J.SCORE_COLS)}
+FROM {SCORES_SQL} s, (SELECT {', '.join(f'quantile_cont({c}, {_PROBS_SQL}) AS q_{c}' for c in J.SCORE_COLS)} FROM {SCORES_SQL} z) q)"""
+
+
+def binned_scores(spark, sf):
+    b = Q.quantile_bins(scores(spark, sf), list(J.SCORE_COLS))
+    return b.select("vec_id", *[f"tercile_{c}" for c in J.SCORE_COLS])
+
+
+@register("quantile_bins", f"SELECT * FROM {BINNED_SQL} b")
+def q_quantile_bins(spark, sf):
+    return binned_scores(spark, sf)
+
+
+@register("agreement_count", f"""SELECT count(*) FILTER (WHERE NOT (tercile_cogency IS NOT DISTINCT FROM tercile_effectiveness
+  AND tercile_effectiveness IS NOT DISTINCT FROM tercile_reasonableness AND tercile_reasonableness IS NOT DISTINCT FROM tercile_overall)) AS n_different,
+  count(*) AS n FROM {BINNED_SQL} b""")
+def q_agreement_count(spark, sf):
+    return A.agreement_count(binned_scores(spark, sf), [f"tercile_{c}" for c in J.SCORE_COLS])
