@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions._util import guard
 from tessera.operators.rank import hash_rank
 
 SCORE_COLS = ("cogency", "effectiveness", "reasonableness", "overall")
@@ -33,13 +34,13 @@ def _attach(left, reduced, left_key, right_key, cols, on_missing, hashed=False):
     if hashed:
         cond = (F.xxhash64(left[left_key]) == r["_j_kh"]) & cond
     out = left.join(r, cond, "left")
+    vals = [F.col(c) for c in cols]
     if on_missing == "error":
-        out = out.withColumn("_j_chk", F.when(F.col("_j_hit").isNull(),
-                                              F.raise_error(F.concat(F.lit("no match for key "),
-                                                                     left[left_key].cast("string")))))
+        msg = F.concat(F.lit("no match for key "), left[left_key].cast("string"))
+        vals[0] = guard(F.col("_j_hit").isNull(), msg, vals[0]).alias(cols[0])
     elif on_missing != "null":
         raise ValueError("on_missing must be 'error' or 'null'")
-    return out.select(*[left[c] for c in left.columns], *[F.col(c) for c in cols])
+    return out.select(*[left[c] for c in left.columns], *vals)
 
 
 def attach_scores(left: DataFrame, right: DataFrame, key: str, order: str, cols=SCORE_COLS,

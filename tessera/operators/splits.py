@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions._util import guard
 from tessera.functions.keys import order_hash
 from tessera.operators.rank import hash_rank, sequential_rank
 
@@ -125,8 +126,9 @@ def sample_n(df: DataFrame, n: int, key: str, seed, strict: bool = True) -> Data
     r = hash_rank(df, key, seed, rank_col="_k_rank", size_col="_k_n")
     out = r.where(F.col("_k_rank") <= n)
     if strict:
-        out = out.withColumn("_k_chk", F.when(F.col("_k_n") < n, F.raise_error(F.lit(f"cannot sample {n} rows"))))
-    return out.drop("_k_rank", "_k_n", "_k_chk")
+        # every kept row carries the check, so an undersized input fails in the tasks
+        out = out.withColumn(key, guard(F.col("_k_n") < n, f"cannot sample {n} rows", F.col(key)))
+    return out.drop("_k_rank", "_k_n")
 
 
 def shuffle(df: DataFrame, key: str, seed, rank_col: str = "shuffle_rank") -> DataFrame:

@@ -23,11 +23,19 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, rounded=()):
+    """Register a query; ``rounded`` double columns are rounded to 6 places on both
+    engines (sums in another order differ in the last bits)."""
     def deco(fn):
-        QUERIES[name] = fn
+        run = fn
+        if rounded:
+            def run(spark, sf, _fn=fn):
+                df = _fn(spark, sf)
+                return df.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in df.columns])
+        QUERIES[name] = run
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = sql if not rounded else \
+                f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounded)}) FROM ({sql}) _t"
         return fn
     return deco
 
@@ -470,3 +478,272 @@ def q_quantile_bins(spark, sf):
   count(*) AS n FROM {BINNED_SQL} b""")
 def q_agreement_count(spark, sf):
     return A.agreement_count(binned_scores(spark, sf), [f"tercile_{c}" for c in J.SCORE_COLS])
+
+
+# --- E1-E13, T9-T12, T16 -------------------------------------------------------
+from tessera.functions.keys import order_hash  # noqa: E402
+from tessera.operators import metrics as E  # noqa: E402
+from tessera.operators import baselines as M  # noqa: E402
+from tessera.operators import encode as C  # noqa: E402
+from tessera.operators import augment as D  # noqa: E402
+
+
+def multiclass_eval(spark, sf):
+    """Gold = embeddings.label; prediction = md5-derived (the label itself for
+    6 of 16 hash digits, else the digit); logits = first 10 entries;
+    fold = K3 test fold."""
+    e = table(spark, sf, "embeddings")
+    d = F.conv(F.substring(order_hash("vec_id", SEED, "pred"), 1, 1), 16, 10).cast("int")
+    x = e.select("vec_id", F.col("label").alias("y"), F.when(d < 10, d).otherwise(F.col("label")).alias("y_hat"),
+                 F.slice("embedding", 1, 10).cast("array<double>").alias("logits"))
+    return K.assign_folds(x, "vec_id", "y", 5, SEED, fold_col="fold")
+
+
+MC_SQL = f"""WITH ev0 AS (
+  SELECT vec_id, label AS y, CAST(CASE WHEN d < 10 THEN d ELSE label END AS INTEGER) AS y_hat,
+         CAST(embedding[1:10] AS DOUBLE[]) AS logits
+  FROM (SELECT *, strpos('0123456789abcdef', substr({S.md5_key(SEED, 'vec_id', "'pred'")}, 1, 1)) - 1 AS d FROM embeddings)),
+r AS (SELECT vec_id, {_rk('vec_id', by='y')} AS rk, y FROM ev0),
+cls AS (SELECT y, coalesce(sum(count(*)) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM ev0 GROUP BY y),
+ev AS (SELECT ev0.*, CAST((r.rk - 1 + cls.st) % 5 AS INTEGER) AS fold FROM ev0 JOIN r ON ev0.vec_id = r.vec_id JOIN cls ON r.y IS NOT DISTINCT FROM cls.y),
+cm AS (SELECT fold, y, y_hat, count(*) AS n FROM ev GROUP BY fold, y, y_hat),
+pc AS (SELECT fold, cls, sum(tp) AS tp, sum(pr) AS predicted, sum(sp) AS support FROM (
+         SELECT fold, y AS cls, CASE WHEN y = y_hat THEN n ELSE 0 END AS tp, 0 AS pr, n AS sp FROM cm
+         UNION ALL SELECT fold, y_hat, 0, n, 0 FROM cm) GROUP BY fold, cls),
+pcm AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+               CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+               CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END AS f1_score FROM pc)"""
+
+
+@register("confusion", MC_SQL + " SELECT fold, y, y_hat, n FROM cm")
+def q_confusion(spark, sf):
+    return E.confusion(multiclass_eval(spark, sf), by=["fold"])
+
+
+@register("classification_report", MC_SQL + """
+SELECT fold, CAST(cls AS VARCHAR) AS label, precision, recall, f1_score, CAST(support AS BIGINT) AS support FROM pcm
+UNION ALL SELECT fold, 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM pcm GROUP BY fold
+UNION ALL SELECT fold, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                 sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pcm GROUP BY fold""",
+          rounded=("precision", "recall", "f1_score"))
+def q_classification_report(spark, sf):
+    return E.classification_report(multiclass_eval(spark, sf), by=["fold"])
+
+
+@register("accuracy", MC_SQL + " SELECT fold, avg(CASE WHEN y = y_hat THEN 1.0 ELSE 0.0 END) AS accuracy FROM ev GROUP BY fold",
+          rounded=("accuracy",))
+def q_accuracy(spark, sf):
+    return E.accuracy(multiclass_eval(spark, sf), by=["fold"])
+
+
+@register("macro_prf", MC_SQL + """ SELECT fold, avg(precision) AS macro_precision, avg(recall) AS macro_recall,
+  avg(f1_score) AS macro_f1 FROM pcm GROUP BY fold""", rounded=("macro_precision", "macro_recall", "macro_f1"))
+def q_macro_prf(spark, sf):
+    return E.macro_prf(multiclass_eval(spark, sf), by=["fold"])
+
+
+@register("balanced_accuracy", MC_SQL + " SELECT fold, avg(recall) AS balanced_accuracy FROM pcm WHERE support > 0 GROUP BY fold",
+          rounded=("balanced_accuracy",))
+def q_balanced_accuracy(spark, sf):
+    return E.balanced_accuracy(multiclass_eval(spark, sf), by=["fold"])
+
+
+@register("softmax_argmax", """SELECT vec_id, list_transform(p, lambda x: round(x, 6)) AS probs,
+  CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS argmax FROM (
+  SELECT vec_id, logits, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM (
+    SELECT vec_id, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM (
+      SELECT vec_id, CAST(embedding[1:10] AS DOUBLE[]) AS logits FROM embeddings)))""")
+def q_softmax_argmax(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("logits"))
+    return e.select("vec_id", F.transform(T.softmax("logits"), lambda x: F.round(x, 6)).alias("probs"),
+                    T.argmax("logits").alias("argmax"))
+
+
+@register("explode_probs", f"""SELECT vec_id, {', '.join(f'round(p[{i + 1}], 6) AS prediction_class{i}' for i in range(10))} FROM (
+  SELECT vec_id, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM (
+    SELECT vec_id, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM (
+      SELECT vec_id, CAST(embedding[1:10] AS DOUBLE[]) AS logits FROM embeddings)))""")
+def q_explode_probs(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", T.softmax(F.slice("embedding", 1, 10).cast("array<double>")).alias("p"))
+    out = C.explode_probs(e, "p", 10).drop("p")
+    return out.select("vec_id", *[F.round(f"prediction_class{i}", 6).alias(f"prediction_class{i}") for i in range(10)])
+
+
+@register("parse_vector", "SELECT vec_id, CAST(CAST(CAST(embedding[1:4] AS DOUBLE[]) AS VARCHAR) AS DOUBLE[]) AS scores FROM embeddings")
+def q_parse_vector(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.to_json(F.slice("embedding", 1, 4).cast("array<double>")).alias("s"))
+    return e.select("vec_id", T.parse_vector("s").alias("scores"))
+
+
+def binary_eval(spark, sf):
+    """Gold = quality; score p = 0.3 * quality + 0.7 * u (u a seeded uniform); fold = K3 test fold."""
+    lab = labelled(spark, sf).select("doc_id", "lang", F.col("quality").alias("y"))
+    u = F.conv(F.substring(order_hash("doc_id", SEED, "score"), 1, 13), 16, 10).cast("double") / float(16 ** 13)
+    x = lab.withColumn("p", F.lit(0.3) * F.col("y") + F.lit(0.7) * u)
+    return K.assign_folds(x, "doc_id", "y", 5, SEED, fold_col="fold")
+
+
+BIN_SQL = f"""WITH b0 AS (
+  SELECT doc_id, lang, quality AS y,
+         CAST(0.3 AS DOUBLE) * quality + CAST(0.7 AS DOUBLE) * (CAST(('0x' || substr({S.md5_key(SEED, 'doc_id', "'score'")}, 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) AS p
+  FROM {LABELLED_SQL} x),
+r AS (SELECT doc_id, {_rk('doc_id', by='y')} AS rk, y FROM b0),
+cls AS (SELECT y, coalesce(sum(count(*)) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM b0 GROUP BY y),
+bv AS (SELECT b0.*, CAST((r.rk - 1 + cls.st) % 5 AS INTEGER) AS fold FROM b0 JOIN r ON b0.doc_id = r.doc_id JOIN cls ON r.y IS NOT DISTINCT FROM cls.y)"""
+
+
+@register("binary_prf", BIN_SQL + """
+SELECT fold, CASE WHEN pp = 0 THEN 0.0 ELSE tp / pp END AS pos_precision, CASE WHEN ap = 0 THEN 0.0 ELSE tp / ap END AS pos_recall,
+       CASE WHEN pp + ap = 0 THEN 0.0 ELSE 2 * tp / (pp + ap) END AS pos_f1
+FROM (SELECT fold, count(*) FILTER (WHERE y = 1 AND p > 0.5) AS tp, count(*) FILTER (WHERE p > 0.5) AS pp,
+             count(*) FILTER (WHERE y = 1) AS ap FROM bv GROUP BY fold)""", rounded=("pos_precision", "pos_recall", "pos_f1"))
+def q_binary_prf(spark, sf):
+    b = binary_eval(spark, sf).withColumn("y_hat", (F.col("p") > 0.5).cast("int"))
+    return E.binary_prf(b, by=["fold"])
+
+
+THRESH_SQL = """, g AS (SELECT {by}, i, CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE) AS t FROM (SELECT DISTINCT {by} FROM bv) z, range(10, 90) r(i)),
+s AS (SELECT g.{by}, g.i, g.t, count(*) FILTER (WHERE bv.y = 1 AND bv.p > g.t) AS tp, count(*) FILTER (WHERE bv.y <> 1 AND bv.p > g.t) AS fp,
+             count(*) FILTER (WHERE bv.y = 1) AS pos
+      FROM g JOIN bv ON g.{by} = bv.{by} GROUP BY g.{by}, g.i, g.t),
+f AS (SELECT *, CASE WHEN 2 * tp + fp + (pos - tp) = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + (pos - tp)) END AS f1 FROM s),
+best AS (SELECT {by}, t, f1 FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY f1 DESC, i) AS rn FROM f) WHERE rn = 1),
+fitted AS (SELECT {by}, CASE WHEN f1 > 0 THEN t ELSE 0.0 END AS threshold, CASE WHEN f1 > 0 THEN f1 ELSE 0.0 END AS f1 FROM best)"""
+
+
+@register("best_threshold", BIN_SQL + THRESH_SQL.format(by="fold") + " SELECT fold, threshold, f1 FROM fitted",
+          rounded=("threshold", "f1"))
+def q_best_threshold(spark, sf):
+    return E.best_threshold(binary_eval(spark, sf), by=["fold"])
+
+
+@register("apply_threshold", BIN_SQL + THRESH_SQL.format(by="lang") + """
+SELECT d.doc_id, CAST(b.p > f.threshold AS INTEGER) AS y_hat FROM bv b JOIN fitted f ON b.lang = f.lang JOIN documents d ON d.doc_id = b.doc_id""")
+def q_apply_threshold(spark, sf):
+    b = binary_eval(spark, sf)
+    fitted = E.best_threshold(b, by=["lang"])
+    return E.apply_threshold(b, fitted, by=["lang"]).select("doc_id", "y_hat")
+
+
+REG_SQL = """(SELECT l_returnflag, l_extendedprice / 1000.0 AS y, l_quantity * p_retailprice / 1000.0 AS p
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@register("regression_metrics", f"""SELECT l_returnflag, avg((y - p) * (y - p)) AS mse,
+  1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)) AS r2, corr(p, y) AS pearson
+FROM (SELECT *, avg(y) OVER (PARTITION BY l_returnflag) AS m FROM {REG_SQL} x) GROUP BY l_returnflag""",
+          rounded=("mse", "r2", "pearson"))
+def q_regression_metrics(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_partkey", "l_extendedprice", "l_quantity")
+    pa = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    # prices in thousands
+    x = li.join(pa, "l_partkey").select("l_returnflag", (F.col("l_extendedprice") / 1000.0).alias("y"),
+                                        (F.col("l_quantity") * F.col("p_retailprice") / 1000.0).alias("p"))
+    by = ["l_returnflag"]
+    return E.mse(x, by=by).join(E.r2(x, by=by), by).join(E.pearson(x, by=by), by)
+
+
+@register("weighted_log_loss", MC_SQL + """,
+w AS (SELECT y, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM ev GROUP BY y),
+pr AS (SELECT fold, y, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM (
+        SELECT fold, y, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM ev))
+SELECT fold, sum(-w.weight * ln(pr.p[pr.y + 1])) / sum(w.weight) AS log_loss FROM pr JOIN w ON pr.y = w.y GROUP BY fold""",
+          rounded=("log_loss",))
+def q_weighted_log_loss(spark, sf):
+    ev = multiclass_eval(spark, sf).withColumn("probs", T.softmax("logits"))
+    ev = A.with_class_weight(ev, "y", "weight")
+    return E.weighted_log_loss(ev, "probs", "y", "weight", by=["fold"])
+
+
+@register("batch_metric_mean", MC_SQL + f""",
+bt AS (SELECT *, ({_rk('vec_id')} - 1) // 16 AS batch_id FROM ev),
+bcm AS (SELECT batch_id, y, y_hat, count(*) AS n FROM bt GROUP BY batch_id, y, y_hat),
+bpc AS (SELECT batch_id, cls, sum(tp) AS tp, sum(pr) AS predicted, sum(sp) AS support FROM (
+         SELECT batch_id, y AS cls, CASE WHEN y = y_hat THEN n ELSE 0 END AS tp, 0 AS pr, n AS sp FROM bcm
+         UNION ALL SELECT batch_id, y_hat, 0, n, 0 FROM bcm) GROUP BY batch_id, cls),
+bf AS (SELECT batch_id, avg(CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END) AS f1 FROM bpc GROUP BY batch_id),
+ba AS (SELECT batch_id, avg(CASE WHEN y = y_hat THEN 1.0 ELSE 0.0 END) AS acc FROM bt GROUP BY batch_id)
+SELECT avg(acc) AS mean_batch_accuracy, avg(f1) AS mean_batch_macro_f1, count(*) AS n_batches FROM ba JOIN bf ON ba.batch_id = bf.batch_id""",
+          rounded=("mean_batch_accuracy", "mean_batch_macro_f1"))
+def q_batch_metric_mean(spark, sf):
+    ev = K.batches(multiclass_eval(spark, sf), 16, "vec_id", seed=SEED)
+    return E.batch_metric_mean(ev)
+
+
+@register("format_metric", MC_SQL + " SELECT fold, printf('%.2f', avg(CASE WHEN y = y_hat THEN 1.0 ELSE 0.0 END)) AS accuracy FROM ev GROUP BY fold")
+def q_format_metric(spark, sf):
+    a = E.accuracy(multiclass_eval(spark, sf), by=["fold"])
+    return a.select("fold", T.format_metric("accuracy").alias("accuracy"))
+
+
+# --- M1, M2, A9-A11 ------------------------------------------------------------
+def baseline_predictions(spark, sf):
+    lf = labelled_folds(spark, sf).select("doc_id", "fold", "part", "quality")
+    train, ev = lf.where(F.col("part") == "train"), lf.where(F.col("part") != "train")
+    maj = M.majority_baseline(train, ev, "quality", by=["fold"]).withColumn("model", F.lit("majority"))
+    uni = M.uniform_baseline(train, ev, "quality", "doc_id", SEED, by=["fold"]).withColumn("model", F.lit("uniform"))
+    return maj.unionByName(uni)
+
+
+BASE_SQL = LABELLED_FOLDS_SQL + f""",
+tr AS (SELECT * FROM lf WHERE part = 'train'), te AS (SELECT * FROM lf WHERE part <> 'train'),
+maj AS (SELECT fold, first(quality ORDER BY n DESC, quality) AS y_hat FROM (SELECT fold, quality, count(*) AS n FROM tr GROUP BY fold, quality) GROUP BY fold),
+cl AS (SELECT fold, list(DISTINCT quality ORDER BY quality) AS classes FROM tr GROUP BY fold),
+preds AS (
+  SELECT te.doc_id, te.fold, te.part, te.quality, maj.y_hat, 'majority' AS model FROM te JOIN maj ON te.fold = maj.fold
+  UNION ALL
+  SELECT te.doc_id, te.fold, te.part, te.quality,
+         cl.classes[1 + CAST(('0x' || substr({S.md5_key(SEED, 'te.doc_id', "'uniform'")}, 1, 13)) AS BIGINT) % len(cl.classes)], 'uniform'
+  FROM te JOIN cl ON te.fold = cl.fold),
+pcm AS (SELECT model, fold, part, cls, CASE WHEN sum(pr) = 0 THEN 0.0 ELSE sum(tp) / sum(pr) END AS precision,
+               CASE WHEN sum(sp) = 0 THEN 0.0 ELSE sum(tp) / sum(sp) END AS recall,
+               CASE WHEN sum(sp) + sum(pr) = 0 THEN 0.0 ELSE 2 * sum(tp) / (sum(sp) + sum(pr)) END AS f1_score, sum(sp) AS support
+        FROM (SELECT model, fold, part, quality AS cls, CASE WHEN quality = y_hat THEN 1 ELSE 0 END AS tp, 0 AS pr, 1 AS sp FROM preds
+              UNION ALL SELECT model, fold, part, y_hat, 0, 1, 0 FROM preds) GROUP BY model, fold, part, cls),
+mets AS (
+  SELECT model, fold, part, metric, value FROM (
+    SELECT model, fold, part, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1_score) AS macro_f1
+    FROM pcm GROUP BY model, fold, part) UNPIVOT (value FOR metric IN (macro_precision, macro_recall, macro_f1))
+  UNION ALL SELECT model, fold, part, 'accuracy', avg(CASE WHEN quality = y_hat THEN 1.0 ELSE 0.0 END) FROM preds GROUP BY model, fold, part)"""
+
+
+def baseline_metrics(spark, sf):
+    p = baseline_predictions(spark, sf)
+    by = ["model", "fold", "part"]
+    m = E.macro_prf(p, "quality", "y_hat", by=by).join(E.accuracy(p, "quality", "y_hat", by=by), by)
+    return m.unpivot(by, ["macro_precision", "macro_recall", "macro_f1", "accuracy"], "metric", "value")
+
+
+@register("baseline_predictions", BASE_SQL + " SELECT doc_id, fold, part, model, y_hat FROM preds")
+def q_baseline_predictions(spark, sf):
+    return baseline_predictions(spark, sf).select("doc_id", "fold", "part", "model", "y_hat")
+
+
+@register("baseline_metrics", BASE_SQL + " SELECT * FROM mets", rounded=("value",))
+def q_baseline_metrics(spark, sf):
+    return baseline_metrics(spark, sf)
+
+
+@register("fold_average", BASE_SQL + " SELECT model, part, metric, avg(value) AS mean, count(*) AS n_folds FROM mets GROUP BY model, part, metric",
+          rounded=("mean",))
+def q_fold_average(spark, sf):
+    return A.fold_average(baseline_metrics(spark, sf))
+
+
+@register("report_summary", BASE_SQL + """ SELECT model, part, metric,
+  CASE WHEN min(value) = 0 THEN 0.0 ELSE exp(avg(ln(value))) END AS geo_mean, stddev_samp(value) AS stdev, count(*) AS n
+FROM mets GROUP BY model, part, metric""", rounded=("geo_mean", "stdev"))
+def q_report_summary(spark, sf):
+    return A.report_summary(baseline_metrics(spark, sf), by=["model", "part", "metric"])
+
+
+@register("class_report_summary", BASE_SQL + """ SELECT model, part, label, metric, avg(value) AS mean, stddev_samp(value) AS stdev, count(*) AS n
+FROM (SELECT model, fold, part, CAST(cls AS VARCHAR) AS label, metric, value FROM pcm
+      UNPIVOT (value FOR metric IN (precision, recall, f1_score))) GROUP BY model, part, label, metric""",
+          rounded=("mean", "stdev"))
+def q_class_report_summary(spark, sf):
+    p = baseline_predictions(spark, sf)
+    rep = E.classification_report(p, "quality", "y_hat", by=["model", "fold", "part"]) \
+        .where(~F.col("label").isin("macro avg", "weighted avg"))
+    long = rep.unpivot(["model", "fold", "part", "label"], ["precision", "recall", "f1_score"], "metric", "value")
+    return A.class_report_summary(long, by=["model", "part", "label", "metric"])
