@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.keys import with_id
 from tessera.operators import filters as FL
+from tessera.operators.filters import require
 from tessera.operators import joins as J
 from tessera.operators import sets as U
 from tessera.plans import sql_text as S
@@ -747,3 +748,89 @@ def q_class_report_summary(spark, sf):
         .where(~F.col("label").isin("macro avg", "weighted avg"))
     long = rep.unpivot(["model", "fold", "part", "label"], ["precision", "recall", "f1_score"], "metric", "value")
     return A.class_report_summary(long, by=["model", "part", "label", "metric"])
+
+
+# --- T13-T15, T8, D1, D2 -----------------------------------------------------
+@register("encode_labels", """SELECT d.doc_id, m.idx AS label_index, m.lang AS decoded FROM documents d LEFT JOIN (
+  SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)) m
+ON d.lang = m.lang""")
+def q_encode_labels(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    mapping = C.fit_label_encoder(d, "lang")
+    enc = C.encode_labels(d, mapping, "lang")
+    dec = C.decode_labels(enc.select("doc_id", "label_index"), mapping.withColumnRenamed("lang", "decoded"), "decoded")
+    return dec.select("doc_id", "label_index", "decoded")
+
+
+VOCAB_SIZE, MAX_LEN = 1000, 64
+CLEAN_DOCS_SQL = f"(SELECT doc_id, {S.clean_text('text')} AS cleaned_comment FROM documents)"
+VOCAB_SQL = f"""WITH toks AS (SELECT doc_id, list_filter(string_split(lower(cleaned_comment), ' '), lambda w: w <> '') AS t FROM {CLEAN_DOCS_SQL} c),
+words AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS p FROM toks),
+vocab AS (SELECT word, freq, CAST(row_number() OVER (ORDER BY freq DESC, word) - 1 + 4 AS INTEGER) AS id FROM (
+  SELECT word, count(*) AS freq FROM words GROUP BY word ORDER BY freq DESC, word LIMIT {VOCAB_SIZE}))"""
+
+
+def cleaned_docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.clean_text("text").alias("cleaned_comment"))
+
+
+@register("vocabulary", VOCAB_SQL + " SELECT word, freq, id FROM vocab")
+def q_vocabulary(spark, sf):
+    return C.build_vocabulary(cleaned_docs(spark, sf), "cleaned_comment", VOCAB_SIZE)
+
+
+@register("encode_sequences", VOCAB_SQL + f""",
+enc AS (SELECT w.doc_id, list(coalesce(v.id, 1) ORDER BY w.p) AS ids FROM words w LEFT JOIN vocab v ON w.word = v.word
+        WHERE w.p < {MAX_LEN - 2} GROUP BY w.doc_id),
+seq AS (SELECT d.doc_id, CAST(list_resize(list_concat([2], coalesce(enc.ids, []), [3]), {MAX_LEN}, 0) AS INTEGER[]) AS input_ids
+        FROM documents d LEFT JOIN enc ON d.doc_id = enc.doc_id)
+SELECT doc_id, input_ids, CAST(list_transform(input_ids, lambda x: CAST(x > 0 AS INTEGER)) AS INTEGER[]) AS attention_mask FROM seq""")
+def q_encode_sequences(spark, sf):
+    docs = cleaned_docs(spark, sf)
+    vocab = C.build_vocabulary(docs, "cleaned_comment", VOCAB_SIZE)
+    enc = C.encode_sequences(docs, "cleaned_comment", "doc_id", vocab, MAX_LEN)
+    return enc.select("doc_id", "input_ids", T.attention_mask("input_ids").alias("attention_mask"))
+
+
+@register("compose_text", f"""SELECT c.doc_id, printf('{C.COMPOSE_TEMPLATE}', coalesce(b.tercile_cogency, 'nan'),
+  coalesce(b.tercile_effectiveness, 'nan'), coalesce(b.tercile_reasonableness, 'nan'), coalesce(b.tercile_overall, 'nan'), c.cleaned_comment) AS "AQ"
+FROM {CLEAN_DOCS_SQL} c JOIN {BINNED_SQL} b ON c.doc_id = b.vec_id""")
+def q_compose_text(spark, sf):
+    binned = binned_scores(spark, sf).withColumnRenamed("vec_id", "doc_id")
+    bins = [f"tercile_{c}" for c in J.SCORE_COLS]
+    return C.compose_with_lookup(cleaned_docs(spark, sf), binned, "doc_id", "doc_id", bins, "cleaned_comment") \
+        .select("doc_id", "AQ")
+
+
+ID_SQL = ("concat_ws('#', CAST(doc_id AS VARCHAR), CAST(doc_id % 5 AS VARCHAR), CAST(doc_id % 7 AS VARCHAR), "
+          "CAST(doc_id % 3 AS VARCHAR), coalesce(source, 'nan'))")
+
+
+@register("augmentation_candidates", f"""WITH c AS (SELECT doc_id, quality, {S.clean_text('text')} AS cleaned_comment, {ID_SQL} AS "ID"
+  FROM {LABELLED_SQL} x WHERE text IS NOT NULL),
+q AS (SELECT * FROM c WHERE quality = 0 AND length(cleaned_comment) - length(replace(cleaned_comment, ' ', '')) + 1 >= 5),
+f AS (SELECT "ID", arg_min(cleaned_comment, doc_id) AS sent, min(doc_id) AS o FROM q GROUP BY "ID")
+SELECT sent, arg_max("ID", o) AS "ID" FROM f GROUP BY sent""")
+def q_augmentation_candidates(spark, sf):
+    c = require(corpus_with_key_parts(spark, sf), "text", "quality").withColumn("cleaned_comment", T.clean_text("text"))
+    c = with_id(c, ["UniqueID", "small_gr", "nr", "sequence", "name"])
+    return D.augmentation_candidates(c, "quality", 0, order="doc_id")
+
+
+@register("augment_training", LABELLED_FOLDS_SQL + f""",
+tr AS (SELECT fold, doc_id, CAST(doc_id AS VARCHAR) AS "UniqueID", quality, {S.clean_text('text')} AS cleaned_comment
+       FROM lf WHERE part = 'train'),
+sents AS (SELECT tr.fold, CAST(tr.doc_id AS VARCHAR) || chr(1) || c.text AS aid, c.text AS sent
+          FROM tr JOIN conversations c ON tr."UniqueID" = CAST(c.conv_id AS VARCHAR)),
+sr AS (SELECT fold, sent, row_number() OVER (PARTITION BY fold ORDER BY {S.md5_key(SEED, 'aid', "'sentence'")}, aid) AS rk FROM sents),
+dr AS (SELECT tr.*, row_number() OVER (PARTITION BY fold ORDER BY {S.md5_key(SEED, 'doc_id', "'donor'")}, doc_id) AS rk FROM tr)
+SELECT fold, doc_id, "UniqueID", quality, cleaned_comment, CAST(NULL AS VARCHAR) AS augmented_from FROM tr
+UNION ALL
+SELECT dr.fold, dr.doc_id, 'AUGMENTED', 0, sr.sent, CAST(dr.doc_id AS VARCHAR) FROM dr JOIN sr ON dr.fold = sr.fold AND dr.rk = sr.rk""")
+def q_augment_training(spark, sf):
+    lf = labelled_folds(spark, sf).where(F.col("part") == "train")
+    train = lf.select("fold", "doc_id", F.col("doc_id").cast("string").alias("UniqueID"), "quality",
+                      T.clean_text("text").alias("cleaned_comment"))
+    aug = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("ID"), F.col("text").alias("sent"))
+    return D.augment_training(train.withColumn("ID", F.col("UniqueID")), aug, "quality", 0, key="ID", seed=SEED) \
+        .drop("ID")
