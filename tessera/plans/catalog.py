@@ -834,3 +834,95 @@ def q_augment_training(spark, sf):
     aug = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("ID"), F.col("text").alias("sent"))
     return D.augment_training(train.withColumn("ID", F.col("UniqueID")), aug, "quality", 0, key="ID", seed=SEED) \
         .drop("ID")
+
+
+# --- M3-M10, H1 (rows-only: fitted numbers have no SQL oracle) ------------------
+import numpy as np  # noqa: E402
+
+from tessera.operators import models as MD  # noqa: E402
+
+FOREST_TREES = 1000  # the reference's forest size
+
+
+def score_frame(spark, sf):
+    """Embeddings as a scored corpus: four scores, the class label and a K3 fold."""
+    return K.assign_folds(scores(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id"),
+                          "vec_id", "label", 5, SEED, fold_col="fold")
+
+
+def _forest(spark, sf):
+    s = score_frame(spark, sf)
+    return MD.score_forest(s.where("fold <> 0"), s.where("fold = 0"), "label", num_trees=FOREST_TREES,
+                           seed=0, keep=["vec_id"])
+
+
+@register("score_forest")
+def q_score_forest(spark, sf):
+    return _forest(spark, sf)[1]
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    return MD.feature_importance(_forest(spark, sf)[0], spark=spark)
+
+
+@register("stacked_forest")
+def q_stacked_forest(spark, sf):
+    ev = multiclass_eval(spark, sf)
+    preds = ev.select("vec_id", F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("file"),
+                      F.col("vec_id").alias("pos"), T.softmax("logits").alias("predictions"))
+    base = table(spark, sf, "embeddings").select("vec_id", "label").join(ev.select("vec_id", "fold"), "vec_id")
+    sc = scores(spark, sf)
+    return MD.stacked_forest(base.where("fold <> 0"), base.where("fold = 0"), "label", "vec_id", sc, "vec_id",
+                             preds, 10, num_trees=FOREST_TREES, seed=0)[1]
+
+
+@register("fused_mlp")
+def q_fused_mlp(spark, sf):
+    s = score_frame(spark, sf).join(
+        table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 5, 60).alias("text_vec")), "vec_id")
+    return MD.fused_mlp(s.where("fold <> 0"), s.where("fold = 0"), "label", "text_vec", list(J.SCORE_COLS), 10,
+                        keep=["vec_id"])[1]
+
+
+def labelled_text(spark, sf):
+    lab = labelled(spark, sf).select("doc_id", "quality", T.clean_text("text").alias("cleaned_comment"))
+    return K.assign_folds(lab, "doc_id", "quality", 5, SEED, fold_col="fold")
+
+
+@register("text_classifier")
+def q_text_classifier(spark, sf):
+    d = labelled_text(spark, sf)
+    model = MD.text_classifier(d.where("fold <> 0"), "quality")
+    return MD.predict(model, d.where("fold = 0"), ["doc_id", "quality"])
+
+
+@register("text_regressor")
+def q_text_regressor(spark, sf):
+    d = labelled_text(spark, sf).withColumn("target", F.col("quality").cast("double"))
+    model = MD.text_regressor(d.where("fold <> 0"), "target")
+    return model.transform(d.where("fold = 0")).select("doc_id", "target", "prediction")
+
+
+def _linear_predictor():
+    # user predictor: a fixed random projection of 64 features to 10 logits
+    w = np.random.default_rng(7).normal(size=(64, 10))
+    return lambda x: x @ w
+
+
+@register("score_corpus")
+def q_score_corpus(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return MD.score_corpus(e, "embedding", _linear_predictor, 10, keep=["vec_id"])
+
+
+@register("out_of_fold")
+def q_out_of_fold(spark, sf):
+    d = labelled(spark, sf).select("doc_id", "quality", T.clean_text("text").alias("cleaned_comment"))
+    return MD.out_of_fold(d, "doc_id", "quality", lambda tr: MD.text_classifier(tr, "quality"), k=5, seed=SEED)
+
+
+@register("sweep")
+def q_sweep(spark, sf):
+    d = labelled_text(spark, sf)
+    return MD.sweep(d, "quality")[1]
