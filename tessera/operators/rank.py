@@ -27,11 +27,6 @@ from tessera.session import cut_lineage
 _H, _B, _RN, _C, _OFF = "_rk_h", "_rk_b", "_rk_rn", "_rk_c", "_rk_off"
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
-    conds = [left[c].eqNullSafe(right[c]) for c in cols]
-    return reduce(lambda a, b: a & b, conds)
-
-
 def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | None = None,
               digits: int = 3, rank_col: str = "rank", size_col: str | None = None,
               start_col: str | None = None) -> DataFrame:
@@ -41,6 +36,10 @@ def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | No
 
     ``key`` must be unique within a stratum. ``prefix`` is an optional leading
     order column of low cardinality (e.g. a length bucket).
+
+    One pass over the input: a single shuffle by (stratum, bucket) feeds both
+    the row numbers and the bucket sizes; the size table (one row per bucket)
+    is read off the same shuffled data, so Spark reuses the exchange.
     """
     by = list(by)
     h = order_hash(key, seed, *salt)
@@ -48,11 +47,15 @@ def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | No
     head = by + ([prefix] if prefix else [])
     grp = head + [_B]
 
-    # per-bucket counts: at most (#strata x #prefix x 16**digits) rows
-    counts = tmp.groupBy(*grp).agg(F.count(F.lit(1)).alias(_C))
+    w = Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = tmp.withColumn(_RN, F.row_number().over(w)).withColumn(_C, F.count(F.lit(1)).over(whole))
+
+    # per-bucket sizes: at most (#strata x #prefix x 16**digits) rows
+    counts = ranked.where(F.col(_RN) == 1).select(*grp, _C)
     before = Window.partitionBy(*by).orderBy(*[F.col(c) for c in head[len(by):]], F.col(_B)) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    sel = [*grp, F.coalesce(F.sum(_C).over(before), F.lit(0)).alias(_OFF)]
+    sel = [*[F.col(c).alias("_o" + c) for c in grp], F.coalesce(F.sum(_C).over(before), F.lit(0)).alias(_OFF)]
     if size_col:
         sel.append(F.sum(_C).over(Window.partitionBy(*by)).alias(size_col))
     if start_col:
@@ -62,14 +65,14 @@ def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | No
                     - F.coalesce(F.sum(_C).over(before), F.lit(0))).alias(start_col))
     offsets = counts.select(*sel)
 
-    ranked = tmp.withColumn(_RN, F.row_number().over(Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))))
-    joined = ranked.join(offsets, on=_null_safe_on(ranked, offsets, grp), how="inner")
-    keep = [ranked[c] for c in df.columns]
-    extra = [(offsets[_OFF] + ranked[_RN]).cast("long").alias(rank_col)]
+    # names are unique on both sides, so the self-derived join is unambiguous
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_o" + c)) for c in grp])
+    joined = ranked.join(offsets, on=on, how="inner")
+    extra = [(F.col(_OFF) + F.col(_RN)).cast("long").alias(rank_col)]
     for c in (size_col, start_col):
         if c:
-            extra.append(offsets[c].cast("long").alias(c))
-    return joined.select(*keep, *extra)
+            extra.append(F.col(c).cast("long").alias(c))
+    return joined.select(*[F.col(c) for c in df.columns], *extra)
 
 
 def sequential_rank(df: DataFrame, order, *, weight: str | None = None,

@@ -19,7 +19,7 @@ def union_parts(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def dedupe_first(df: DataFrame, subset, order: str) -> DataFrame:
+def dedupe_first(df: DataFrame, subset, order: str, keep=None) -> DataFrame:
     """One row per ``subset`` value, the one with the smallest ``order`` (first in file order).
 
     Skew-safe form: ``min(order)`` per group is pre-aggregated map-side (a text
@@ -27,8 +27,17 @@ def dedupe_first(df: DataFrame, subset, order: str) -> DataFrame:
     winning order keys select their rows by a semi join on the unique ``order``.
     ``order`` must be unique. String groups are hashed with xxhash64 first so
     that the hash aggregate compares long texts only on hash equality.
+
+    With ``keep`` (the columns needed downstream) the winners' values come
+    straight out of the aggregation (``min_by``), a single pass with no semi
+    join; output is ``subset + order + keep``.
     """
     subset = [subset] if isinstance(subset, str) else list(subset)
+    if keep is not None:
+        keep = [c for c in keep if c not in subset and c != order]
+        aggs = [F.min(order).alias(order)] + [F.min_by(F.col(c), F.col(order)).alias(c) for c in keep]
+        return df.groupBy(F.xxhash64(*[F.col(c) for c in subset]).alias("_u_h"), *[F.col(c) for c in subset]) \
+            .agg(*aggs).drop("_u_h")
     hashes = [F.xxhash64(*[F.col(c) for c in subset]).alias("_u_h")]
     winners = df.groupBy(*hashes, *[F.col(c) for c in subset]).agg(F.min(order).alias(order)).select(order)
     return df.join(winners, on=order, how="left_semi")

@@ -313,7 +313,7 @@ def labelled(spark, sf):
 def labelled_folds(spark, sf):
     """K3 fold table of the labelled corpus joined back to its rows."""
     lab = labelled(spark, sf)
-    return K.stratified_fold_table(lab, "doc_id", "quality", k=5, seed=SEED).join(lab, "doc_id")
+    return K.stratified_kfold(lab, "doc_id", "quality", k=5, seed=SEED)
 
 
 LABELLED_FOLDS_SQL = f"""WITH {_fold_sql(LABELLED_SQL, 'doc_id', 'quality')},
@@ -384,7 +384,7 @@ def q_assign_folds(spark, sf):
 
 @register("stratified_kfold", f"WITH {_fold_sql(LABELLED_SQL, 'doc_id', 'quality')} SELECT doc_id, fold, part FROM folds")
 def q_stratified_kfold(spark, sf):
-    return K.stratified_fold_table(labelled(spark, sf), "doc_id", "quality", k=5, seed=SEED)
+    return K.stratified_fold_table(labelled(spark, sf), "doc_id", "quality", k=5, seed=SEED).drop("quality")
 
 
 @register("covering_splits", f"""WITH r AS (SELECT doc_id, {_rk('doc_id')} AS rk, count(*) OVER () AS n FROM documents),

@@ -15,6 +15,7 @@ from tessera.operators.filters import require
 from tessera.operators.profile import class_weights
 from tessera.operators.sets import dedupe_first
 from tessera.operators.splits import stratified_fold_table
+from tessera.session import cut_lineage
 from tessera.sources.tables import table
 
 SEED = 42
@@ -37,18 +38,20 @@ def corpus_with_key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("source").alias("name"))
 
 
-def cleaned_corpus(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
-    """F1 on text and label, T6 into cleaned_comment, U3 first row per cleaned text."""
+def cleaned_corpus(spark: SparkSession, sf_dir: str, label: str = "quality", keep=None) -> DataFrame:
+    """F1 on text and label, T6 into cleaned_comment, U3 first row per cleaned text
+    (only ``keep`` columns of the winners when given: one aggregation pass)."""
     c = require(corpus(spark, sf_dir), "text", label)
     c = c.withColumn("cleaned_comment", clean_text("text"))
-    return dedupe_first(c, "cleaned_comment", "doc_id")
+    return dedupe_first(c, "cleaned_comment", "doc_id", keep=keep)
 
 
 def fold_label_profile(spark: SparkSession, sf_dir: str, label: str = "quality", k: int = 5) -> DataFrame:
     """Flagship: label distribution and class weights per fold x part of the
     cleaned, de-duplicated corpus (F1 -> T6 -> U3 -> K3 -> A3 -> A5)."""
-    base = cleaned_corpus(spark, sf_dir, label).select("doc_id", label)
-    folds = stratified_fold_table(base, "doc_id", label, k=k, seed=SEED)
-    split = folds.join(base, on="doc_id", how="inner")
+    base = cleaned_corpus(spark, sf_dir, label, keep=[label]).select("doc_id", label)
+    # the cleaning + de-duplication runs once; the ranks read this narrow table
+    base = cut_lineage(base)
+    split = stratified_fold_table(base, "doc_id", label, k=k, seed=SEED)
     w = class_weights(split, label, by=["fold", "part"])
     return w.select("fold", "part", label, F.col("freq").alias("n"), "weight")
