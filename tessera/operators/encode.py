@@ -61,7 +61,8 @@ def encode_sequences(df: DataFrame, text: str, key: str, vocab: DataFrame, max_l
     Positions beyond the cut are dropped before the shuffle; the vocabulary
     has a fixed size bound, so it is broadcast."""
     keep = max_len - 2
-    pos = df.select(key, F.posexplode(tokens(text)).alias("p", "word")).where(F.col("p") < keep)
+    # the whole text is tokenised; only the positions that survive truncation are emitted
+    pos = df.select(key, F.posexplode(F.slice(tokens(text), 1, keep)).alias("p", "word"))
     v = F.broadcast(vocab.select("word", "id"))
     ids = pos.join(v, on="word", how="left").select(key, "p", F.coalesce("id", F.lit(UNK)).alias("id"))
     seq = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("_s"))

@@ -8,6 +8,7 @@ row by row at any scale factor.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -926,3 +927,80 @@ def q_out_of_fold(spark, sf):
 def q_sweep(spark, sf):
     d = labelled_text(spark, sf)
     return MD.sweep(d, "quality")[1]
+
+
+# --- S1-S8 and streaming: round trips of derived data through shared storage --
+import uuid  # noqa: E402
+
+from pyspark.sql.types import LongType, StringType, StructField, StructType  # noqa: E402
+
+from tessera.session import checkpoint_dir  # noqa: E402
+from tessera.sources import files as IO  # noqa: E402
+from tessera.streaming import corpus_stream as ST  # noqa: E402
+
+
+def _io_dir(spark, what: str) -> str:
+    """A fresh folder for derived files under the session's shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tessera-io/{what}-{uuid.uuid4().hex}"
+
+
+SPLIT_SCHEMA = StructType([StructField("doc_id", LongType()), StructField("quality", IntegerType()),
+                           StructField("text", StringType())])
+
+
+@register("splits_tsv_round_trip", LABELLED_FOLDS_SQL + " SELECT doc_id, fold, part, quality, text FROM lf")
+def q_splits_tsv_round_trip(spark, sf):
+    """S5 (TSV) then S2/S1: whole multi-line texts survive the header-TSV round trip."""
+    out = _io_dir(spark, "splits")
+    IO.write_splits(labelled_folds(spark, sf).select("doc_id", "quality", "text", "fold", "part"), out, fmt="tsv")
+    return IO.read_splits(spark, out, SPLIT_SCHEMA, fmt="tsv-partitioned").select("doc_id", "fold", "part", "quality", "text")
+
+
+@register("predictions_round_trip", """SELECT vec_id, label AS gold, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
+  list_transform(list_transform(ex, lambda x: x / list_sum(ex)), lambda x: round(x, 6)) AS probability FROM (
+  SELECT vec_id, label, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM (
+    SELECT vec_id, label, CAST(embedding[1:10] AS DOUBLE[]) AS logits FROM embeddings))""")
+def q_predictions_round_trip(spark, sf):
+    """S6 (TSV, vector as JSON text) then S3 (T9 parse)."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("gold"),
+                                               F.slice("embedding", 1, 10).cast("array<double>").alias("l"))
+    e = e.select("vec_id", "gold", T.argmax("l").alias("pred"), T.softmax("l").alias("probability"))
+    out = _io_dir(spark, "predictions")
+    IO.write_predictions(e, out, fmt="tsv")
+    schema = StructType([StructField("vec_id", LongType()), StructField("gold", IntegerType()),
+                         StructField("pred", IntegerType()), StructField("probability", StringType())])
+    back = IO.read_predictions(spark, out, schema, vec="probability")
+    return back.select("vec_id", "gold", "pred", F.transform("probability", lambda x: F.round(x, 6)).alias("probability"))
+
+
+@register("distributions_written", LABELLED_FOLDS_SQL + "\n" + _vc_sql("lf", ["quality", "toxic", "lang"], by=["fold", "part"]))
+def q_distributions_written(spark, sf):
+    """S8 writes A3 partitioned by label column; read back with partition discovery."""
+    out = _io_dir(spark, "distributions")
+    IO.write_distributions(labelled_folds(spark, sf), ["quality", "toxic", "lang"], out)
+    return spark.read.parquet(out).select("fold", "part", "field", "value", "n")
+
+
+@register("metrics_written", BASE_SQL + " SELECT * FROM mets", rounded=("value",))
+def q_metrics_written(spark, sf):
+    """The long metrics table written as JSON lines and read back with its schema."""
+    m = baseline_metrics(spark, sf)
+    out = _io_dir(spark, "metrics")
+    IO.write_metrics(m, out, fmt="json")
+    return spark.read.schema(m.schema).json(out)
+
+
+@register("stream_clean", f"""SELECT doc_id, {S.clean_text('text')} AS cleaned_comment,
+  length({S.clean_text('text')}) - length(replace({S.clean_text('text')}, ' ', '')) + 1 AS n_words
+FROM {LABELLED_SQL} x WHERE text IS NOT NULL""")
+def q_stream_clean(spark, sf):
+    """The cleaning chain as a Structured Streaming job over the documents file
+    (availableNow trigger, Parquet sink with its checkpoint on shared storage)."""
+    docs = table(spark, sf, "documents")
+    src = ST.read_corpus_stream(spark, sf, docs.schema, glob="documents.parquet")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    cleaned = ST.clean_corpus_stream(src.join(lab, "doc_id", "inner"), label="quality")
+    out = _io_dir(spark, "stream")
+    q = ST.start_clean_sink(cleaned.select("doc_id", "cleaned_comment", "n_words"), f"{out}/data", f"{out}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/data")

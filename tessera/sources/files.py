@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tessera.functions.text import parse_vector
 from tessera.operators.profile import split_distribution
@@ -48,10 +48,15 @@ def read_corpus(spark: SparkSession, path: str, schema: StructType, with_path: b
 
 def read_splits(spark: SparkSession, root: str, schema: StructType | None = None, fmt: str = "tsv") -> DataFrame:
     """All ``splitN/{train,val,test}`` files under ``root`` with ``fold`` and ``part``
-    from the path, in one read. ``fmt='parquet'`` reads the layout S5 writes
-    (``fold=N/part=P``) with partition discovery instead."""
+    from the path, in one read. ``fmt='parquet'`` / ``'tsv-partitioned'`` read the
+    layouts S5 writes (``fold=N/part=P``) with partition discovery instead."""
     if fmt == "parquet":
         return spark.read.parquet(root)
+    if fmt == "tsv-partitioned":
+        r = spark.read.options(**TSV_OPTIONS).schema(
+            StructType(_as_strings(schema).fields + [StructField("fold", IntegerType()),
+                                                      StructField("part", StringType())])).csv(root)
+        return normalise_na(r, schema)
     df = read_corpus(spark, f"{root.rstrip('/')}/split*/*.csv", schema, with_path=True)
     fold = F.regexp_extract("file_path", r"split(\d+)/[^/]+$", 1).cast("int")
     part = F.regexp_extract("file_path", r"/(train|val|test)\.csv$", 1)

@@ -17,9 +17,14 @@ from tessera.functions.text import clean_text, word_count
 from tessera.operators.filters import require
 
 
-def read_corpus_stream(spark: SparkSession, path: str, schema: StructType, max_files: int = 64) -> DataFrame:
-    """Parquet files arriving in ``path`` as a stream (explicit schema, bounded batches)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_corpus_stream(spark: SparkSession, path: str, schema: StructType, max_files: int = 64,
+                       glob: str | None = None) -> DataFrame:
+    """Parquet files arriving in the folder ``path`` as a stream (explicit schema,
+    bounded batches); ``glob`` keeps only matching file names."""
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r.parquet(path)
 
 
 def clean_corpus_stream(stream: DataFrame, text: str = "text", label: str | None = None,
