@@ -137,11 +137,20 @@ def mse(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(d * d).alias("mse"))
 
 
+def _with_group_mean(df: DataFrame, col: str, by, out: str) -> DataFrame:
+    """Attach the per-group mean of ``col`` by aggregation + join (one row per
+    group, broadcast by AQE); never a window over a whole group."""
+    means = df.groupBy(*by).agg(F.avg(col).alias(out))
+    if by:
+        return df.join(means, on=list(by), how="inner")
+    m = means.first()[out]  # a single number
+    return df.withColumn(out, F.lit(m).cast("double"))
+
+
 def r2(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
     """1 - ss_res / ss_tot, row-wise (not the squared correlation)."""
     by = list(by)
-    mean = F.avg(y).over(Window.partitionBy(*by))
-    x = df.select(*by, F.col(y).alias("_y"), F.col(p).alias("_p"), mean.alias("_m"))
+    x = _with_group_mean(df.select(*by, F.col(y).alias("_y"), F.col(p).alias("_p")), "_y", by, "_m")
     return x.groupBy(*by).agg(
         (1 - F.sum((F.col("_y") - F.col("_p")) ** 2) / F.sum((F.col("_y") - F.col("_m")) ** 2)).alias("r2"))
 

@@ -22,6 +22,21 @@ _DEFAULTS = {
 }
 
 
+# Settings for a large cluster (100 TB class inputs): many initial shuffle
+# partitions that AQE coalesces to ~256 MB, 256 MB scan splits, skew-join
+# splitting, and Kryo. Pass as ``extra=CLUSTER_CONF``.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+}
+
+
 def get_spark(master: str | None = None, app: str = "tessera",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
