@@ -32,15 +32,28 @@ from tessera.session import cut_lineage
 SCORE_FEATURES = ("cogency", "effectiveness", "reasonableness", "overall")
 
 
+def stable_input(df: DataFrame, key) -> DataFrame:
+    """A deterministic physical layout for fitting: MLlib seeds its sampling per
+    partition and row position, so the same seed only repeats when partitions
+    hold the same rows in the same order. Hash-partition by the key into the
+    session's shuffle partition count and sort within partitions."""
+    keys = [key] if isinstance(key, str) else list(key)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
 def _with_probs(pred: DataFrame, keep, label_out: str = "y_hat") -> DataFrame:
     return pred.select(*keep, F.col("prediction").cast("int").alias(label_out),
                        vector_to_array("probability").alias("probability"))
 
 
 def score_forest(train: DataFrame, test: DataFrame, label: str, features=SCORE_FEATURES,
-                 num_trees: int = 1000, seed: int = 0, max_depth: int = 30, keep=()):
+                 num_trees: int = 1000, seed: int = 0, max_depth: int = 30, keep=(), key=None):
     """M3: random forest on numeric score columns; returns (model, predictions).
-    Depth is capped at 30 (Spark's limit); the reference grows trees fully."""
+    Depth is capped at 30 (Spark's limit); the reference grows trees fully.
+    With ``key`` (a unique column) the fit repeats exactly for a fixed seed."""
+    if key is not None:
+        train = stable_input(train, key)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, seed=seed,
                                 maxDepth=max_depth)
@@ -67,7 +80,7 @@ def stacked_forest(train: DataFrame, test: DataFrame, label: str, key: str, scor
         df = attach_predictions(df, preds, key, on_missing="error")
         return explode_probs(df, "predictions", n_classes)
     cols = list(features) + [f"prediction_class{i}" for i in range(n_classes)]
-    return score_forest(prep(train), prep(test), label, cols, num_trees, seed, max_depth, keep=[key])
+    return score_forest(prep(train), prep(test), label, cols, num_trees, seed, max_depth, keep=[key], key=key)
 
 
 def mlp_hidden_layers(width: int, n_classes: int) -> list[int]:
@@ -81,9 +94,11 @@ def mlp_hidden_layers(width: int, n_classes: int) -> list[int]:
 
 
 def fused_mlp(train: DataFrame, test: DataFrame, label: str, vector: str, numeric, n_classes: int,
-              seed: int = 42, max_iter: int = 100, keep=()):
+              seed: int = 42, max_iter: int = 100, keep=(), key=None):
     """M6: text vector + standardised numeric scores concatenated, MLP head."""
     numeric = list(numeric)
+    if key is not None:
+        train = stable_input(train, key)
     def vec(df):
         return df.withColumn("_m_text", array_to_vector(F.col(vector).cast("array<double>")))
     num = VectorAssembler(inputCols=numeric, outputCol="_m_num")
@@ -105,18 +120,22 @@ def _text_features(text: str, num_features: int):
 
 
 def text_classifier(train: DataFrame, label: str, text: str = "cleaned_comment", weighted: bool = True,
-                    num_features: int = 1 << 18, reg: float = 0.0, max_iter: int = 100):
+                    num_features: int = 1 << 18, reg: float = 0.0, max_iter: int = 100, key=None):
     """M7: tokens -> hashed term frequencies -> IDF -> logistic regression,
     with class weights (A5) as ``weightCol`` when ``weighted``."""
     data = with_class_weight(train, label, "_m_w") if weighted else train
+    if key is not None:
+        data = stable_input(data, key)
     lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=reg, maxIter=max_iter,
                             weightCol="_m_w" if weighted else None)
     return Pipeline(stages=_text_features(text, num_features) + [lr]).fit(data)
 
 
 def text_regressor(train: DataFrame, target: str, text: str = "cleaned_comment",
-                   num_features: int = 1 << 18, reg: float = 0.0, max_iter: int = 100):
+                   num_features: int = 1 << 18, reg: float = 0.0, max_iter: int = 100, key=None):
     """M8: the M7 features with a linear regression head."""
+    if key is not None:
+        train = stable_input(train, key)
     lin = LinearRegression(labelCol=target, featuresCol="features", regParam=reg, maxIter=max_iter)
     return Pipeline(stages=_text_features(text, num_features) + [lin]).fit(train)
 
@@ -178,7 +197,8 @@ def grid(spark: SparkSession, params: dict) -> DataFrame:
 
 
 def sweep(train: DataFrame, label: str, text: str = "cleaned_comment", reg_params=(0.0, 0.01, 0.1),
-          num_features=(1 << 12, 1 << 16), train_ratio: float = 0.75, seed: int = 42, parallelism: int = 2):
+          num_features=(1 << 12, 1 << 16), train_ratio: float = 0.75, seed: int = 42, parallelism: int = 2,
+          key=None):
     """H1 run: TrainValidationSplit over a ParamGridBuilder grid for M7; returns the
     fitted split model and a (params..., metric) table with the best run first."""
     stages = _text_features(text, 1 << 12)
@@ -189,7 +209,7 @@ def sweep(train: DataFrame, label: str, text: str = "cleaned_comment", reg_param
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
     tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=pg, evaluator=ev, trainRatio=train_ratio,
                                seed=seed, parallelism=parallelism)
-    model = tvs.fit(train)
+    model = tvs.fit(stable_input(train, key) if key is not None else train)
     spark = train.sparkSession
     rows = [(float(p[lr.regParam]), int(p[tf.numFeatures]), float(m)) for p, m in zip(pg, model.validationMetrics)]
     table = spark.createDataFrame(rows, "reg_param double, num_features int, f1 double")

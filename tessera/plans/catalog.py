@@ -19,6 +19,7 @@ from tessera.operators import joins as J
 from tessera.operators import sets as U
 from tessera.plans import sql_text as S
 from tessera.plans.corpus import SEED, corpus, corpus_with_key_parts, fold_label_profile
+from tessera.session import cut_lineage
 from tessera.sources.tables import table
 
 QUERIES: dict = {}
@@ -312,9 +313,12 @@ def labelled(spark, sf):
 
 
 def labelled_folds(spark, sf):
-    """K3 fold table of the labelled corpus joined back to its rows."""
+    """K3 fold table of the labelled corpus joined back to its rows. The narrow
+    assignment table is written once (lineage cut on shared storage) and every
+    later branch reads it, as a pipeline reads its written split table."""
     lab = labelled(spark, sf)
-    return K.stratified_kfold(lab, "doc_id", "quality", k=5, seed=SEED)
+    folds = cut_lineage(K.stratified_fold_table(lab, "doc_id", "quality", k=5, seed=SEED).drop("quality"))
+    return lab.join(folds, "doc_id", "inner")
 
 
 LABELLED_FOLDS_SQL = f"""WITH {_fold_sql(LABELLED_SQL, 'doc_id', 'quality')},
@@ -498,7 +502,7 @@ def multiclass_eval(spark, sf):
     d = F.conv(F.substring(order_hash("vec_id", SEED, "pred"), 1, 1), 16, 10).cast("int")
     x = e.select("vec_id", F.col("label").alias("y"), F.when(d < 10, d).otherwise(F.col("label")).alias("y_hat"),
                  F.slice("embedding", 1, 10).cast("array<double>").alias("logits"))
-    return K.assign_folds(x, "vec_id", "y", 5, SEED, fold_col="fold")
+    return cut_lineage(K.assign_folds(x, "vec_id", "y", 5, SEED, fold_col="fold"))
 
 
 MC_SQL = f"""WITH ev0 AS (
@@ -582,7 +586,7 @@ def binary_eval(spark, sf):
     lab = labelled(spark, sf).select("doc_id", "lang", F.col("quality").alias("y"))
     u = F.conv(F.substring(order_hash("doc_id", SEED, "score"), 1, 13), 16, 10).cast("double") / float(16 ** 13)
     x = lab.withColumn("p", F.lit(0.3) * F.col("y") + F.lit(0.7) * u)
-    return K.assign_folds(x, "doc_id", "y", 5, SEED, fold_col="fold")
+    return cut_lineage(K.assign_folds(x, "doc_id", "y", 5, SEED, fold_col="fold"))
 
 
 BIN_SQL = f"""WITH b0 AS (
@@ -712,7 +716,7 @@ mets AS (
 def baseline_metrics(spark, sf):
     p = baseline_predictions(spark, sf)
     by = ["model", "fold", "part"]
-    m = E.macro_prf(p, "quality", "y_hat", by=by).join(E.accuracy(p, "quality", "y_hat", by=by), by)
+    m = E.summary(p, "quality", "y_hat", by=by)
     return m.unpivot(by, ["macro_precision", "macro_recall", "macro_f1", "accuracy"], "metric", "value")
 
 
@@ -854,7 +858,7 @@ def score_frame(spark, sf):
 def _forest(spark, sf):
     s = score_frame(spark, sf)
     return MD.score_forest(s.where("fold <> 0"), s.where("fold = 0"), "label", num_trees=FOREST_TREES,
-                           seed=0, keep=["vec_id"])
+                           seed=0, keep=["vec_id"], key="vec_id")
 
 
 @register("score_forest")
@@ -883,7 +887,7 @@ def q_fused_mlp(spark, sf):
     s = score_frame(spark, sf).join(
         table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 5, 60).alias("text_vec")), "vec_id")
     return MD.fused_mlp(s.where("fold <> 0"), s.where("fold = 0"), "label", "text_vec", list(J.SCORE_COLS), 10,
-                        keep=["vec_id"])[1]
+                        keep=["vec_id"], key="vec_id")[1]
 
 
 def labelled_text(spark, sf):
@@ -894,14 +898,14 @@ def labelled_text(spark, sf):
 @register("text_classifier")
 def q_text_classifier(spark, sf):
     d = labelled_text(spark, sf)
-    model = MD.text_classifier(d.where("fold <> 0"), "quality")
+    model = MD.text_classifier(d.where("fold <> 0"), "quality", key="doc_id")
     return MD.predict(model, d.where("fold = 0"), ["doc_id", "quality"])
 
 
 @register("text_regressor")
 def q_text_regressor(spark, sf):
     d = labelled_text(spark, sf).withColumn("target", F.col("quality").cast("double"))
-    model = MD.text_regressor(d.where("fold <> 0"), "target")
+    model = MD.text_regressor(d.where("fold <> 0"), "target", key="doc_id")
     return model.transform(d.where("fold = 0")).select("doc_id", "target", "prediction")
 
 
@@ -920,13 +924,14 @@ def q_score_corpus(spark, sf):
 @register("out_of_fold")
 def q_out_of_fold(spark, sf):
     d = labelled(spark, sf).select("doc_id", "quality", T.clean_text("text").alias("cleaned_comment"))
-    return MD.out_of_fold(d, "doc_id", "quality", lambda tr: MD.text_classifier(tr, "quality"), k=5, seed=SEED)
+    return MD.out_of_fold(d, "doc_id", "quality", lambda tr: MD.text_classifier(tr, "quality", key="doc_id"),
+                          k=5, seed=SEED)
 
 
 @register("sweep")
 def q_sweep(spark, sf):
     d = labelled_text(spark, sf)
-    return MD.sweep(d, "quality")[1]
+    return MD.sweep(d, "quality", key="doc_id")[1]
 
 
 # --- S1-S8 and streaming: round trips of derived data through shared storage --
@@ -934,7 +939,7 @@ import uuid  # noqa: E402
 
 from pyspark.sql.types import LongType, StringType, StructField, StructType  # noqa: E402
 
-from tessera.session import checkpoint_dir  # noqa: E402
+from tessera.session import checkpoint_dir  # noqa: E402,F811
 from tessera.sources import files as IO  # noqa: E402
 from tessera.streaming import corpus_stream as ST  # noqa: E402
 
