@@ -107,7 +107,7 @@ SELECT doc_id,
   {S.remove_empty_lines('text')} AS no_empty_lines,
   {S.collapse_ws('text')} AS collapsed,
   {S.strip_timestamp('text')} AS no_timestamps,
-  length(text) - length(replace(text, ' ', '')) + 1 AS n_words
+  CAST(length(text) - length(replace(text, ' ', '')) + 1 AS INTEGER) AS n_words
 FROM {EXT_SQL} x""")
 def q_text_steps(spark, sf):
     x = _extended_text(spark, sf)
@@ -996,7 +996,7 @@ def q_metrics_written(spark, sf):
 
 
 @register("stream_clean", f"""SELECT doc_id, {S.clean_text('text')} AS cleaned_comment,
-  length({S.clean_text('text')}) - length(replace({S.clean_text('text')}, ' ', '')) + 1 AS n_words
+  CAST(length({S.clean_text('text')}) - length(replace({S.clean_text('text')}, ' ', '')) + 1 AS INTEGER) AS n_words
 FROM {LABELLED_SQL} x WHERE text IS NOT NULL""")
 def q_stream_clean(spark, sf):
     """The cleaning chain as a Structured Streaming job over the documents file
