@@ -39,11 +39,24 @@ def per_class(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=()) -> DataF
                     _safe_div(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1_score"))
 
 
-def classification_report(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=()) -> DataFrame:
+def _restrict_classes(pc: DataFrame, labels, by) -> DataFrame:
+    """Keep the listed classes only, adding zero rows for listed classes that never occur."""
+    want = F.array(*[F.lit(v) for v in labels])
+    groups = pc.select(*by).distinct() if by else pc.sparkSession.range(1).select()
+    grid = groups.select(*by, F.explode(want).alias("cls"))
+    kept = grid.join(pc, on=[*by, "cls"], how="left").na.fill(0, ["tp", "predicted", "support"])
+    return kept.na.fill(0.0, ["precision", "recall", "f1_score"])
+
+
+def classification_report(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=(), labels=None) -> DataFrame:
     """Per-class precision, recall, F1, support plus 'macro avg' and 'weighted avg' rows.
-    Output (by..., label, precision, recall, f1_score, support); label is a string."""
+    Output (by..., label, precision, recall, f1_score, support); label is a string.
+    ``labels`` (e.g. ``[1, 0]``) fixes the classes reported and averaged; a
+    listed class that never occurs gets zeros."""
     by = list(by)
     pc = per_class(df, y, y_hat, by)
+    if labels is not None:
+        pc = _restrict_classes(pc, labels, by)
     rows = pc.select(*by, F.col("cls").cast("string").alias("label"), "precision", "recall", "f1_score",
                      F.col("support").cast("long").alias("support"))
     macro = pc.groupBy(*by).agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),

@@ -61,12 +61,14 @@ def _explode_folds(df: DataFrame, k: int) -> DataFrame:
 
 
 def stratified_fold_table(df: DataFrame, key: str, label: str, k: int = 5, seed=42,
-                          val: float = 0.25) -> DataFrame:
+                          val: float = 0.25, stratify_val: bool = False) -> DataFrame:
     """K3 as a narrow table ``(key, label, fold, part)``: every key is 'test' in exactly one fold;
-    of the rest, ``ceil(val * n_rest)`` rows per fold are 'val' (not stratified, as in the reference)."""
+    of the rest, ``ceil(val * n_rest)`` rows per fold are 'val' -- not stratified, as in the
+    reference, unless ``stratify_val`` (then ``ceil(val * n_rest_class)`` per class)."""
     a = assign_folds(df.select(key, label), key, label, k, seed).select(key, label, "test_fold")
     e = _explode_folds(a, k).withColumn("_k_test", F.col("test_fold") == F.col("fold"))
-    r = hash_rank(e, key, seed, by=["fold", "_k_test"], salt=["val", F.col("fold")],
+    strata = ["fold", "_k_test"] + ([label] if stratify_val else [])
+    r = hash_rank(e, key, seed, by=strata, salt=["val", F.col("fold")],
                   rank_col="_k_rank", size_col="_k_n")
     part = (F.when(F.col("_k_test"), "test")
             .when(F.col("_k_rank") <= _ceil_share(val, F.col("_k_n")), "val")
@@ -74,10 +76,12 @@ def stratified_fold_table(df: DataFrame, key: str, label: str, k: int = 5, seed=
     return r.select(key, label, F.col("fold").cast("int").alias("fold"), part.alias("part"))
 
 
-def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed=42, val: float = 0.25) -> DataFrame:
+def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed=42, val: float = 0.25,
+                     stratify_val: bool = False) -> DataFrame:
     """K3: all k fold views of ``df`` with ``fold`` and ``part`` columns (k x n rows).
     Only the narrow key table is multiplied by k; wide rows are joined once."""
-    return df.join(stratified_fold_table(df, key, label, k, seed, val).drop(label), on=key, how="inner")
+    t = stratified_fold_table(df, key, label, k, seed, val, stratify_val).drop(label)
+    return df.join(t, on=key, how="inner")
 
 
 def covering_fold_table(df: DataFrame, key: str, k: int = 10, test: float = 0.2, val: float = 0.15,

@@ -99,3 +99,12 @@ def test_regression_g6(spark):
     assert round(E.pearson(df).first().pearson, 6) == 0.759257
     r = E.regression_report(df).first()
     assert abs(r.r2 - 0.5) < 1e-12 and r.mse == 0.625
+
+
+def test_classification_report_label_order(spark):
+    df = spark.createDataFrame(list(zip([0, 0, 1, 1, 1], [0, 1, 1, 1, 2])), "y int, y_hat int")
+    rep = {r.label: r for r in E.classification_report(df, labels=[1, 0, 5]).collect()}
+    assert set(rep) == {"1", "0", "5", "macro avg", "weighted avg"}
+    assert rep["5"].support == 0 and rep["5"].f1_score == 0.0
+    # macro over the listed classes only: F1 of 1, 0 and 5
+    assert round(rep["macro avg"].f1_score, 6) == round((2 / 3 + 2 / 3 + 0) / 3, 6)

@@ -89,3 +89,22 @@ def test_batches(spark):
     assert [r.batch_id for r in s][:17] == [0] * 16 + [1]
     lb = K.length_bucketed_batches(d.withColumn("len", F.col("k") * 10), "len", 8, "k", 1, bucket_width=100)
     assert lb.groupBy("batch_id").count().count() == 5
+
+
+def test_stratified_val_keeps_every_class(spark):
+    d = table(spark, SF, "embeddings").select("vec_id", "label")
+    t = K.stratified_fold_table(d, "vec_id", "label", k=5, seed=42, stratify_val=True)
+    per = t.where("part = 'val'").groupBy("fold").agg(F.countDistinct("label").alias("c")).collect()
+    assert all(r.c == 10 for r in per)
+
+
+def test_hash_rank_hot_stratum(spark):
+    # one stratum holds 90% of the rows: ranks stay exact and the window is spread over buckets
+    df = spark.range(20000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("s"))
+    r = hash_rank(df, "k", 5, by=["s"], size_col="n")
+    agg = r.groupBy("s").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("c"),
+                             F.countDistinct("rank").alias("d"), F.first("n").alias("n")).collect()
+    for a in agg:
+        assert a.lo == 1 and a.hi == a.c == a.d == a.n
+    buckets = df.select(F.substring(order_hash("k", 5), 1, 3).alias("b")).where("b IS NOT NULL").distinct().count()
+    assert buckets > 1000
