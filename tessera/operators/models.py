@@ -196,6 +196,13 @@ def grid(spark: SparkSession, params: dict) -> DataFrame:
     return df.select(*names, key.alias("run"))
 
 
+def best_params(table: DataFrame, metric: str = "f1") -> DataFrame:
+    """H1 selection: the best run by ``metric``; the first grid entry wins ties (O2 rule)."""
+    from tessera.operators.select import best_run
+    t = table.withColumn("_m_step", F.monotonically_increasing_id())
+    return best_run(t, metric, "_m_step").drop("_m_step")
+
+
 def sweep(train: DataFrame, label: str, text: str = "cleaned_comment", reg_params=(0.0, 0.01, 0.1),
           num_features=(1 << 12, 1 << 16), train_ratio: float = 0.75, seed: int = 42, parallelism: int = 2,
           key=None):

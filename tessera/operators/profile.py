@@ -41,6 +41,16 @@ def split_sizes(df: DataFrame, fold: str = "fold", part: str = "part") -> DataFr
     return c.withColumn("share", F.col("n") / tot)
 
 
+def expected_sizes(df: DataFrame, test: float = 0.2, val: float = 0.15, by=()) -> DataFrame:
+    """A4: planned part sizes of a covering split: test ``floor(test*n)``, val
+    ``floor(val*n)``, train the rest (one row per group)."""
+    n = F.count(F.lit(1))
+    g = df.groupBy(*by).agg(n.alias("n"))
+    t = F.floor(F.lit(float(test)) * F.col("n").cast("double"))
+    v = F.floor(F.lit(float(val)) * F.col("n").cast("double"))
+    return g.select(*by, "n", t.alias("test_size"), v.alias("val_size"), (F.col("n") - t - v).alias("train_size"))
+
+
 def class_weights(df: DataFrame, label: str, by=()) -> DataFrame:
     """A5: ``n / (n_classes * freq)`` per class (and per group ``by``)."""
     by = list(by)
@@ -78,7 +88,9 @@ def what_if_distribution(df: DataFrame, label: str, multipliers: dict | None = N
     for cls, factor in (multipliers or {}).items():
         m = F.when(F.col(label) == F.lit(cls), F.lit(float(factor))).otherwise(m)
     c = c.withColumn("scaled", F.col("freq") * m)
-    return c.withColumn("percent", F.col("scaled") / F.sum("scaled").over(Window.partitionBy(*by)) * 100.0)
+    c = c.withColumn("percent", F.col("scaled") / F.sum("scaled").over(Window.partitionBy(*by)) * 100.0)
+    # ascending by frequency, as printed by the reference (a small aggregated table)
+    return c.orderBy(*by, "freq", label)
 
 
 def agreement_count(df: DataFrame, cols, by=()) -> DataFrame:

@@ -136,9 +136,11 @@ def sample_n(df: DataFrame, n: int, key: str, seed, strict: bool = True) -> Data
     return out.drop("_k_rank", "_k_n")
 
 
-def shuffle(df: DataFrame, key: str, seed, rank_col: str = "shuffle_rank") -> DataFrame:
-    """K6: a full random order as an explicit rank column."""
-    return hash_rank(df, key, seed, rank_col=rank_col)
+def shuffle(df: DataFrame, key: str, seed, rank_col: str = "shuffle_rank", physical: bool = False) -> DataFrame:
+    """K6: a full random order as an explicit rank column; ``physical`` also lays
+    the rows out in that order (range partitions, sorted within)."""
+    r = hash_rank(df, key, seed, rank_col=rank_col)
+    return r.repartitionByRange(rank_col).sortWithinPartitions(rank_col) if physical else r
 
 
 def batches(df: DataFrame, size: int, key: str, seed=None, order=None, batch_col: str = "batch_id") -> DataFrame:

@@ -74,7 +74,7 @@ def _fold_sql(src: str, key: str, label: str, k: int = 5, val: float = 0.25) ->
   r2 AS (SELECT e.*, row_number() OVER (PARTITION BY fold, is_test ORDER BY {S.md5_key(SEED, key, "'val'", "CAST(fold AS VARCHAR)")}, {key}) AS rk2,
                 count(*) OVER (PARTITION BY fold, is_test) AS m FROM e),
   folds AS (SELECT {key}, {label}, fold,
-                   CASE WHEN is_test THEN 'test' WHEN rk2 <= ceil({val} * m) THEN 'val' ELSE 'train' END AS part
+                   CASE WHEN is_test THEN 'test' WHEN rk2 <= ceil(CAST({val} AS DOUBLE) * m) THEN 'val' ELSE 'train' END AS part
             FROM r2)"""
 
 
@@ -363,17 +363,17 @@ def _rk(key, *salt, by=""):
     return f"row_number() OVER ({part}ORDER BY {S.md5_key(SEED, key, *salt)}, {key})"
 
 
-@register("holdout", f"""SELECT doc_id, CASE WHEN rk <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS part
+@register("holdout", f"""SELECT doc_id, CASE WHEN rk <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS part
 FROM (SELECT doc_id, {_rk('doc_id')} AS rk, count(*) OVER () AS n FROM documents)""")
 def q_holdout(spark, sf):
     return K.holdout(table(spark, sf, "documents").select("doc_id"), "doc_id", SEED, test=0.2)
 
 
 @register("train_val_test", f"""WITH a AS (
-  SELECT doc_id, CASE WHEN rk <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS p1
+  SELECT doc_id, CASE WHEN rk <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS p1
   FROM (SELECT doc_id, {_rk('doc_id')} AS rk, count(*) OVER () AS n FROM documents)),
 b AS (SELECT doc_id, p1, {_rk('doc_id', "'val'", by='p1')} AS rk, count(*) OVER (PARTITION BY p1) AS n FROM a)
-SELECT doc_id, CASE WHEN p1 = 'test' THEN 'test' WHEN rk <= ceil(0.25 * n) THEN 'val' ELSE 'train' END AS part FROM b""")
+SELECT doc_id, CASE WHEN p1 = 'test' THEN 'test' WHEN rk <= ceil(CAST(0.25 AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS part FROM b""")
 def q_train_val_test(spark, sf):
     return K.train_val_test(table(spark, sf, "documents").select("doc_id"), "doc_id", SEED)
 
@@ -397,7 +397,7 @@ b AS (SELECT doc_id, n, CAST(CASE WHEN rk <= (n % 10) * (n // 10 + 1) THEN (rk -
                  ELSE n % 10 + (rk - 1 - (n % 10) * (n // 10 + 1)) // (n // 10) END AS INTEGER) AS blk FROM r),
 e AS (SELECT b.*, CAST(f.fold AS INTEGER) AS fold, blk = f.fold AS inb FROM b, range(10) f(fold)),
 r2 AS (SELECT e.*, row_number() OVER (PARTITION BY fold, inb ORDER BY {S.md5_key(SEED, 'doc_id', "'cover'", 'CAST(fold AS VARCHAR)')}, doc_id) AS rk2,
-       floor(0.2 * n) - CASE WHEN fold < n % 10 THEN n // 10 + 1 ELSE n // 10 END AS extra, floor(0.15 * n) AS vs FROM e)
+       floor(CAST(0.2 AS DOUBLE) * n) - CASE WHEN fold < n % 10 THEN n // 10 + 1 ELSE n // 10 END AS extra, floor(CAST(0.15 AS DOUBLE) * n) AS vs FROM e)
 SELECT doc_id, fold, CASE WHEN inb OR rk2 <= extra THEN 'test' WHEN rk2 <= extra + vs THEN 'val' ELSE 'train' END AS part FROM r2""")
 def q_covering_splits(spark, sf):
     return K.covering_fold_table(table(spark, sf, "documents").select("doc_id"), "doc_id", k=10, seed=SEED)
@@ -1009,3 +1009,10 @@ def q_stream_clean(spark, sf):
     q = ST.start_clean_sink(cleaned.select("doc_id", "cleaned_comment", "n_words"), f"{out}/data", f"{out}/_checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{out}/data")
+
+
+@register("expected_split_sizes", f"""SELECT lang, n, ts AS test_size, vs AS val_size, n - ts - vs AS train_size FROM (
+  SELECT lang, count(*) AS n, CAST(floor(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS ts,
+         CAST(floor(CAST(0.15 AS DOUBLE) * count(*)) AS BIGINT) AS vs FROM {LABELLED_SQL} x GROUP BY lang)""")
+def q_expected_split_sizes(spark, sf):
+    return A.expected_sizes(labelled(spark, sf), by=["lang"])
