@@ -120,9 +120,10 @@ def _text_features(text: str, num_features: int):
 
 
 def text_classifier(train: DataFrame, label: str, text: str = "cleaned_comment", weighted: bool = True,
-                    num_features: int = 1 << 18, reg: float = 0.0, max_iter: int = 100, key=None):
+                    num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 100, key=None):
     """M7: tokens -> hashed term frequencies -> IDF -> logistic regression,
-    with class weights (A5) as ``weightCol`` when ``weighted``."""
+    with class weights (A5) as ``weightCol`` when ``weighted``. A small L2
+    penalty keeps the fit well-posed on sparse, high-dimensional text."""
     data = with_class_weight(train, label, "_m_w") if weighted else train
     if key is not None:
         data = stable_input(data, key)
@@ -132,8 +133,8 @@ def text_classifier(train: DataFrame, label: str, text: str = "cleaned_comment",
 
 
 def text_regressor(train: DataFrame, target: str, text: str = "cleaned_comment",
-                   num_features: int = 1 << 18, reg: float = 0.0, max_iter: int = 100, key=None):
-    """M8: the M7 features with a linear regression head."""
+                   num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 100, key=None):
+    """M8: the M7 features with a (ridge) linear regression head."""
     if key is not None:
         train = stable_input(train, key)
     lin = LinearRegression(labelCol=target, featuresCol="features", regParam=reg, maxIter=max_iter)
