@@ -1016,3 +1016,37 @@ def q_stream_clean(spark, sf):
          CAST(floor(CAST(0.15 AS DOUBLE) * count(*)) AS BIGINT) AS vs FROM {LABELLED_SQL} x GROUP BY lang)""")
 def q_expected_split_sizes(spark, sf):
     return A.expected_sizes(labelled(spark, sf), by=["lang"])
+
+
+# --- workflows -------------------------------------------------
+from tessera.plans import workflows as W  # noqa: E402
+
+
+def language_sources(spark, sf):
+    """The corpus as per-language sources, like the reference's three input files."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("UniqueID"), "source",
+                                             F.col("text").alias("translation"), "lang")
+    langs = [r.lang for r in d.select("lang").where("lang IS NOT NULL").distinct().collect()]  # a few languages
+    return {lang: d.where(F.col("lang") == lang).drop("lang") for lang in sorted(langs)}
+
+
+@register("corpus_build", f"""SELECT doc_id AS "UniqueID", lang AS orig_lang, {S.clean_text('text')} AS cleaned_comment
+FROM documents WHERE lang IS NOT NULL AND doc_id IS DISTINCT FROM 1""")
+def q_corpus_build(spark, sf):
+    return W.build_corpus(language_sources(spark, sf)).select("UniqueID", "orig_lang", "cleaned_comment")
+
+
+@register("corpus_split_views", f"""WITH c AS (SELECT d.doc_id, l.quality, {S.clean_text('d.text')} AS cleaned_comment
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL AND l.quality IS NOT NULL),
+u AS (SELECT * FROM c WHERE doc_id IN (SELECT min(doc_id) FROM c GROUP BY cleaned_comment)),
+{_fold_sql('u', 'doc_id', 'quality')}
+SELECT doc_id, fold, part, quality FROM folds""")
+def q_corpus_split_views(spark, sf):
+    c = corpus(spark, sf).withColumn("cleaned_comment", T.clean_text("text"))
+    return W.split_corpus(c, "doc_id", "quality", "doc_id", k=5, seed=SEED).select("doc_id", "fold", "part", "quality")
+
+
+@register("kfold_text_report")
+def q_kfold_text_report(spark, sf):
+    d = labelled(spark, sf).select("doc_id", "quality", T.clean_text("text").alias("cleaned_comment"))
+    return W.kfold_text_evaluation(d, "doc_id", "quality", k=5, seed=SEED)[1]

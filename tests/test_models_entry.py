@@ -61,7 +61,7 @@ def test_registry_consistent():
     assert set(s) <= set(q)
     rows_only = set(q) - set(s)
     assert rows_only <= {"score_forest", "feature_importance", "stacked_forest", "fused_mlp", "text_classifier",
-                         "text_regressor", "score_corpus", "out_of_fold", "sweep"}
+                         "text_regressor", "score_corpus", "out_of_fold", "sweep", "kfold_text_report"}
 
 
 PYTHON_OK = {"format_metric", "score_corpus"}
@@ -73,3 +73,15 @@ def test_plans_stay_in_jvm(spark, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+def test_baseline_report_workflow(spark):
+    from tessera.operators.splits import stratified_kfold
+    from tessera.plans.workflows import baseline_report
+    s = _scores(spark).drop("fold")
+    views = stratified_kfold(s, "vec_id", "label", k=3, seed=42)
+    metrics, avg = baseline_report(views, "label", "vec_id", k=3, num_trees=5)
+    got = {(r.model, r.part, r.metric): r.n_folds for r in avg.collect()}
+    assert {m for m, _, _ in got} == {"forest", "majority", "uniform"}
+    assert set(got.values()) == {3}
+    assert metrics.count() == 3 * 3 * 2 * 4
