@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import order_hash
+from tessera.operators.small import join_small
 
 
 def _hash_int(key, seed, *salt):
@@ -24,7 +25,7 @@ def uniform_baseline(train: DataFrame, test: DataFrame, label: str, key: str, se
     classes = train.where(F.col(label).isNotNull()).groupBy(*by) \
         .agg(F.array_sort(F.collect_set(label)).alias("_m_classes"))
     if by:
-        j = test.join(classes, on=by, how="left")
+        j = join_small(test, classes, on=by, how="left")
     else:  # one list of classes: a bounded, tiny result
         j = test.withColumn("_m_classes", F.lit(classes.first()["_m_classes"]))
     pick = F.element_at(F.col("_m_classes"), (_hash_int(key, seed, "uniform") % F.size("_m_classes") + 1).cast("int"))
@@ -37,5 +38,5 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str, by=(), out:
     c = train.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("_m_n"))
     top = c.groupBy(*by).agg(F.max_by(F.col(label), F.struct(F.col("_m_n"), -F.col(label))).alias(out))
     if by:
-        return test.join(top, on=by, how="left")
+        return join_small(test, top, on=by, how="left")
     return test.withColumn(out, F.lit(top.first()[out]))

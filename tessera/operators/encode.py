@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions._util import guard
 from tessera.operators.joins import first_per_key
+from tessera.operators.small import join_small
 
 
 def fit_label_encoder(df: DataFrame, col: str, index_col: str = "index") -> DataFrame:
@@ -21,7 +22,7 @@ def encode_labels(df: DataFrame, mapping: DataFrame, col: str, out: str = "label
                   index_col: str = "index") -> DataFrame:
     """T13 transform: unseen labels are an error (raised inside the tasks)."""
     m = mapping.select(F.col(col).alias("_e_v"), F.col(index_col).alias(out))
-    j = df.join(m, df[col] == m["_e_v"], "left")
+    j = join_small(df, m, F.col(col) == F.col("_e_v"), "left")
     msg = F.concat(F.lit("unseen label "), F.col(col).cast("string"))
     return j.withColumn(out, guard(F.col(col).isNotNull() & F.col(out).isNull(), msg, F.col(out))).drop("_e_v")
 
@@ -30,7 +31,7 @@ def decode_labels(df: DataFrame, mapping: DataFrame, col: str, index: str = "lab
                   index_col: str = "index") -> DataFrame:
     """T13 inverse: index back to the original label."""
     m = mapping.select(F.col(index_col).alias("_e_i"), F.col(col).alias(col))
-    return df.join(m, df[index] == m["_e_i"], "left").drop("_e_i")
+    return join_small(df, m, F.col(index) == F.col("_e_i"), "left").drop("_e_i")
 
 
 # Special token ids of the word-level encoder.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from tessera.operators.small import join_small
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -149,7 +150,7 @@ def apply_threshold(df: DataFrame, fitted: DataFrame, p: str = "p", by=(), out:
     if not by:
         raise ValueError("apply_threshold needs the group columns the thresholds were fitted on")
     th = fitted.select(*by, "threshold")
-    j = df.join(th, on=by, how="left")
+    j = join_small(df, th, on=by, how="left")
     return j.withColumn(out, (F.col(p) > F.col("threshold")).cast("int")).drop("threshold")
 
 
@@ -164,7 +165,7 @@ def _with_group_mean(df: DataFrame, col: str, by, out: str) -> DataFrame:
     group, broadcast by AQE); never a window over a whole group."""
     means = df.groupBy(*by).agg(F.avg(col).alias(out))
     if by:
-        return df.join(means, on=list(by), how="inner")
+        return join_small(df, means, on=list(by), how="inner")
     m = means.first()[out]  # a single number
     return df.withColumn(out, F.lit(m).cast("double"))
 

@@ -38,8 +38,28 @@ def stable_input(df: DataFrame, key) -> DataFrame:
     hold the same rows in the same order. Hash-partition by the key into the
     session's shuffle partition count and sort within partitions."""
     keys = [key] if isinstance(key, str) else list(key)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(max(n, 1), *keys).sortWithinPartitions(*keys)
+
+
+def _mem_mb(text: str) -> int:
+    t = text.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if t[-1] == "b":
+        t = t[:-1]
+    return int(float(t[:-1]) * units[t[-1]]) if t[-1] in units else int(t)  # bare numbers are MiB
+
+
+def tree_memory_mb(spark: SparkSession, cap: int = 256) -> int:
+    """Per-task budget for tree node statistics: a quarter of the heap per
+    concurrent task (executor memory / cores on a cluster, driver memory /
+    local threads in local mode), at most MLlib's default of 256 MB."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    mem = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return max(16, min(cap, _mem_mb(mem) // (4 * max(cores, 1))))
 
 
 def _with_probs(pred: DataFrame, keep, label_out: str = "y_hat") -> DataFrame:
@@ -56,7 +76,7 @@ def score_forest(train: DataFrame, test: DataFrame, label: str, features=SCORE_F
         train = stable_input(train, key)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, seed=seed,
-                                maxDepth=max_depth)
+                                maxDepth=max_depth, maxMemoryInMB=tree_memory_mb(train.sparkSession))
     model = Pipeline(stages=[asm, rf]).fit(train)
     pred = model.transform(test)
     return model, _with_probs(pred, list(keep) + [label])

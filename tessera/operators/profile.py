@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tessera.operators.small import join_small
 
 
 def value_counts(df: DataFrame, *cols: str, by=(), keep_null: bool = True) -> DataFrame:
@@ -63,7 +64,7 @@ def with_class_weight(df: DataFrame, label: str, weight_col: str = "weight", by=
     """A5 applied: attach each row's class weight (for ``weightCol`` in pyspark.ml).
     The weight table has one row per class, so AQE broadcasts it."""
     w = class_weights(df, label, by).select(*by, label, F.col("weight").alias(weight_col))
-    return df.join(w, on=[*by, label], how="left")
+    return join_small(df, w, on=[*by, label], how="left")
 
 
 def class_weight_vector(df: DataFrame, label: str, n_classes: int, by=()) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions._util import as_col
 from tessera.functions.keys import order_hash
+from tessera.operators.small import join_small
 from tessera.session import cut_lineage
 
 _H, _B, _RN, _C, _OFF = "_rk_h", "_rk_b", "_rk_rn", "_rk_c", "_rk_off"
@@ -107,3 +108,74 @@ def sequential_rank(df: DataFrame, order, *, weight: str | None = None,
     if start_col:
         out = out.withColumn(start_col, pos - F.col("_sq_w") + 1)
     return out.drop("_sq_w", "_sq_pid", "_sq_mid", "_sq_cum", "_sq_off")
+
+
+def hash_cut(df: DataFrame, key: str, seed, cuts: dict, *, by=(), salt=(), digits: int = 3) -> DataFrame:
+    """Mark the first ``k`` rows of every stratum in seeded hash order, without ranking.
+
+    ``cuts`` maps an output column name to ``k``: a function of the stratum
+    size Column (it may also use the ``by`` columns). The new boolean column is
+    true exactly where :func:`hash_rank` would give ``rank <= k``.
+
+    Only narrow data moves: bucket counts (map-side combined), then a window
+    over the one bucket per stratum and cut that holds position ``k`` (about
+    n / 16**digits rows) gives the cutoff ``(hash, key)``; the wide rows are
+    compared with a table of one row per stratum. No shuffle of the input rows.
+    """
+    by = list(by)
+    h = order_hash(key, seed, *salt)
+    tmp = df.withColumn(_H, h).withColumn(_B, F.substring(F.col(_H), 1, digits))
+    grp = by + [_B]
+    counts = tmp.groupBy(*grp).agg(F.count(F.lit(1)).alias(_C))
+    before = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    c = counts.select(*grp, _C, F.coalesce(F.sum(_C).over(before), F.lit(0)).alias(_OFF),
+                      F.sum(_C).over(Window.partitionBy(*by)).alias("_ct_n"))
+    n = F.col("_ct_n")
+    # the bucket holding position k, and k's position inside it (tiny: strata x cuts rows)
+    targets = None
+    for name, k_of in cuts.items():
+        k = k_of(n)
+        t = c.where((k > F.col(_OFF)) & (k <= F.col(_OFF) + F.col(_C))) \
+            .select(*grp, (k - F.col(_OFF)).cast("long").alias("_ct_r"), F.lit(name).alias("_ct_cut"))
+        targets = t if targets is None else targets.unionByName(t)
+    target_buckets = targets.select(*[F.col(g).alias("_ctb" + g) for g in grp]).distinct()
+    on_b = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col("_ctb" + g)) for g in grp])
+    inb = tmp.select(*grp, _H, key).join(target_buckets, on=on_b, how="left_semi")
+    inb = inb.withColumn(_RN, F.row_number().over(Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))))
+    tg = targets.select(*[F.col(g).alias("_ctt" + g) for g in grp], "_ct_r", "_ct_cut")
+    on_t = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col("_ctt" + g)) for g in grp]) \
+        & (F.col(_RN) == F.col("_ct_r"))
+    cutoffs = inb.join(tg, on=on_t, how="inner").select(*by, "_ct_cut", F.col(_H).alias("_ct_h"),
+                                                         F.col(key).alias("_ct_k"))
+    # one row per stratum: its size and, per cut, the cutoff (hash, key)
+    per = c.select(*by, "_ct_n").distinct()
+    if by:
+        for name in cuts:
+            cut = cutoffs.where(F.col("_ct_cut") == name).select(
+                *[F.col(b).alias("_ctc" + b) for b in by], F.col("_ct_h").alias("_ch_" + name),
+                F.col("_ct_k").alias("_ck_" + name))
+            on_c = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col("_ctc" + b)) for b in by])
+            per = per.join(cut, on=on_c, how="left").drop(*["_ctc" + b for b in by])
+        on_p = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col("_ctp" + b)) for b in by])
+        per = per.select(*[F.col(b).alias("_ctp" + b) for b in by], *[c_ for c_ in per.columns if c_ not in by])
+        # one row per stratum: broadcast behind a size check, so the input rows never shuffle
+        out = join_small(tmp, per, on=on_p, how="left").drop(*["_ctp" + b for b in by])
+    else:
+        # a single stratum: its size and cutoffs are a handful of scalars
+        row = per.first()
+        size = row["_ct_n"] if row else 0
+        out = tmp.withColumn("_ct_n", F.lit(size).cast("long"))
+        cut_rows = {r["_ct_cut"]: (r["_ct_h"], r["_ct_k"]) for r in cutoffs.collect()}
+        for name in cuts:
+            hv, kv = cut_rows.get(name, (None, None))
+            out = out.withColumn("_ch_" + name, F.lit(hv).cast("string")) \
+                .withColumn("_ck_" + name, F.lit(kv).cast(df.schema[key].dataType))
+    n = F.col("_ct_n")
+    for name, k_of in cuts.items():
+        k = k_of(n)
+        ch, ck = F.col("_ch_" + name), F.col("_ck_" + name)
+        inside = (F.col(_H) < ch) | ((F.col(_H) == ch) & (F.col(key) <= ck))
+        out = out.withColumn(name, F.when(k >= n, F.lit(True)).when(k <= 0, F.lit(False))
+                             .otherwise(F.coalesce(inside, F.lit(False))))
+    extra = [c_ for c_ in out.columns if c_.startswith("_ch_") or c_.startswith("_ck_")]
+    return out.drop(_H, _B, "_ct_n", *extra)

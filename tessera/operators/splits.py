@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions._util import guard
 from tessera.functions.keys import order_hash
-from tessera.operators.rank import hash_rank, sequential_rank
+from tessera.operators.rank import hash_cut, hash_rank, sequential_rank
 
 
 def _ceil_share(share: float, n: Column) -> Column:
@@ -27,21 +27,21 @@ def _floor_share(share: float, n: Column) -> Column:
 
 
 def holdout(df: DataFrame, key: str, seed, test: float = 0.2, by=(), part_col: str = "part") -> DataFrame:
-    """K1: exact-size random split; ``ceil(test * n)`` rows (per stratum) are 'test'."""
-    r = hash_rank(df, key, seed, by=by, rank_col="_k_rank", size_col="_k_n")
-    part = F.when(F.col("_k_rank") <= _ceil_share(test, F.col("_k_n")), "test").otherwise("train")
-    return r.withColumn(part_col, part).drop("_k_rank", "_k_n")
+    """K1: exact-size random split; the first ``ceil(test * n)`` rows (per stratum) in
+    seeded hash order are 'test'. A cut, not a rank: the input rows are not shuffled."""
+    c = hash_cut(df, key, seed, {"_k_t": lambda n: _ceil_share(test, n)}, by=by)
+    return c.withColumn(part_col, F.when(F.col("_k_t"), "test").otherwise("train")).drop("_k_t")
 
 
 def train_val_test(df: DataFrame, key: str, seed, test: float = 0.2, val: float = 0.25,
                    part_col: str = "part") -> DataFrame:
     """K2: K1, then ``ceil(val * n_rest)`` of the remaining rows become 'val' (60/20/20 by default)."""
     a = holdout(df, key, seed, test=test, part_col="_k_p1")
-    r = hash_rank(a, key, seed, by=["_k_p1"], salt=["val"], rank_col="_k_rank", size_col="_k_n")
+    c = hash_cut(a, key, seed, {"_k_v": lambda n: _ceil_share(val, n)}, by=["_k_p1"], salt=["val"])
     part = (F.when(F.col("_k_p1") == "test", "test")
-            .when(F.col("_k_rank") <= _ceil_share(val, F.col("_k_n")), "val")
+            .when(F.col("_k_v"), "val")
             .otherwise("train"))
-    return r.withColumn(part_col, part).drop("_k_p1", "_k_rank", "_k_n")
+    return c.withColumn(part_col, part).drop("_k_p1", "_k_v")
 
 
 def assign_folds(df: DataFrame, key: str, label: str, k: int, seed, fold_col: str = "test_fold") -> DataFrame:
@@ -68,10 +68,9 @@ def stratified_fold_table(df: DataFrame, key: str, label: str, k: int = 5, seed=
     a = assign_folds(df.select(key, label), key, label, k, seed).select(key, label, "test_fold")
     e = _explode_folds(a, k).withColumn("_k_test", F.col("test_fold") == F.col("fold"))
     strata = ["fold", "_k_test"] + ([label] if stratify_val else [])
-    r = hash_rank(e, key, seed, by=strata, salt=["val", F.col("fold")],
-                  rank_col="_k_rank", size_col="_k_n")
+    r = hash_cut(e, key, seed, {"_k_v": lambda n: _ceil_share(val, n)}, by=strata, salt=["val", F.col("fold")])
     part = (F.when(F.col("_k_test"), "test")
-            .when(F.col("_k_rank") <= _ceil_share(val, F.col("_k_n")), "val")
+            .when(F.col("_k_v"), "val")
             .otherwise("train"))
     return r.select(key, label, F.col("fold").cast("int").alias("fold"), part.alias("part"))
 
@@ -95,13 +94,14 @@ def covering_fold_table(df: DataFrame, key: str, k: int = 10, test: float = 0.2,
     block = F.when(rk <= edge, F.floor((rk - 1) / (q + 1))).otherwise(rem + F.floor((rk - 1 - edge) / q))
     a = r.select(key, n.alias("_k_n"), block.cast("int").alias("_k_block"))
     e = _explode_folds(a, k).withColumn("_k_in", F.col("_k_block") == F.col("fold"))
-    e = hash_rank(e, key, seed, by=["fold", "_k_in"], salt=["cover", F.col("fold")], rank_col="_k_r2")
-    n = F.col("_k_n")
-    block_size = F.when(F.col("fold") < n % k, F.floor(n / k) + 1).otherwise(F.floor(n / k))
-    extra = _floor_share(test, n) - block_size
-    val_size = _floor_share(val, n)
-    part = (F.when(F.col("_k_in") | (F.col("_k_r2") <= extra), "test")
-            .when(F.col("_k_r2") <= extra + val_size, "val")
+    total = F.col("_k_n")  # constant, carried as a stratum column so the cuts can use it
+    block_size = F.when(F.col("fold") < total % k, F.floor(total / k) + 1).otherwise(F.floor(total / k))
+    extra = _floor_share(test, total) - block_size
+    val_size = _floor_share(val, total)
+    e = hash_cut(e, key, seed, {"_k_t2": lambda _: extra, "_k_v2": lambda _: extra + val_size},
+                 by=["fold", "_k_in", "_k_n"], salt=["cover", F.col("fold")])
+    part = (F.when(F.col("_k_in") | F.col("_k_t2"), "test")
+            .when(F.col("_k_v2"), "val")
             .otherwise("train"))
     return e.select(key, F.col("fold").cast("int").alias("fold"), part.alias("part"))
 
@@ -118,7 +118,7 @@ def sample_n(df: DataFrame, n: int, key: str, seed, strict: bool = True) -> Data
     """K5: exactly ``n`` rows without replacement; ``n`` above the row count is an error.
 
     Small ``n`` plans as TakeOrderedAndProject (per-partition top-n, no full
-    sort); large ``n`` uses the distributed rank.
+    sort); large ``n`` uses a hash cut (no shuffle of the input rows).
     """
     if n <= SMALL_SAMPLE:
         h = order_hash(key, seed)
@@ -128,12 +128,13 @@ def sample_n(df: DataFrame, n: int, key: str, seed, strict: bool = True) -> Data
             if have < n:
                 raise ValueError(f"cannot sample {n} rows from {have}")
         return out
-    r = hash_rank(df, key, seed, rank_col="_k_rank", size_col="_k_n")
-    out = r.where(F.col("_k_rank") <= n)
+    c = hash_cut(df, key, seed, {"_k_in": lambda size: F.lit(n).cast("long")})
+    out = c.where(F.col("_k_in")).drop("_k_in")
     if strict:
-        # every kept row carries the check, so an undersized input fails in the tasks
-        out = out.withColumn(key, guard(F.col("_k_n") < n, f"cannot sample {n} rows", F.col(key)))
-    return out.drop("_k_rank", "_k_n")
+        have = df.count()  # cheap: a count reads no columns
+        if have < n:
+            raise ValueError(f"cannot sample {n} rows from {have}")
+    return out
 
 
 def shuffle(df: DataFrame, key: str, seed, rank_col: str = "shuffle_rank", physical: bool = False) -> DataFrame:

@@ -108,3 +108,27 @@ def test_hash_rank_hot_stratum(spark):
         assert a.lo == 1 and a.hi == a.c == a.d == a.n
     buckets = df.select(F.substring(order_hash("k", 5), 1, 3).alias("b")).where("b IS NOT NULL").distinct().count()
     assert buckets > 1000
+
+
+def test_sample_n_paths_agree(spark, monkeypatch):
+    d = table(spark, SF, "documents").select("doc_id", "lang")
+    small = sorted(r.doc_id for r in K.sample_n(d, 37, "doc_id", 9).collect())
+    monkeypatch.setattr(K, "SMALL_SAMPLE", 5)  # force the hash-cut path
+    large = sorted(r.doc_id for r in K.sample_n(d, 37, "doc_id", 9).collect())
+    assert small == large and len(large) == 37
+
+
+def _final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_holdout_moves_no_input_rows(spark):
+    d = table(spark, SF, "documents")
+    # the cutoffs are computed from narrow columns in their own jobs; the split
+    # itself is the scan joined with a broadcast table of one row per stratum
+    for by in ([], ["lang"]):
+        plan = _final_plan(K.holdout(d, "doc_id", 1, by=by))
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    # a rank, by contrast, shuffles whole rows
+    assert "Exchange hashpartitioning" in _final_plan(hash_rank(d, "doc_id", 1))
