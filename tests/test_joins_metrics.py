@@ -108,3 +108,17 @@ def test_classification_report_label_order(spark):
     assert rep["5"].support == 0 and rep["5"].f1_score == 0.0
     # macro over the listed classes only: F1 of 1, 0 and 5
     assert round(rep["macro avg"].f1_score, 6) == round((2 / 3 + 2 / 3 + 0) / 3, 6)
+
+
+def test_join_small_checks_size(spark):
+    from tessera.operators.small import join_small
+    big = spark.range(1000).withColumn("g", F.col("id") % 7)
+    small = spark.range(7).withColumnRenamed("id", "g").withColumn("w", F.col("g") * 2)
+    under = join_small(big, small, on="g", how="left")
+    over = join_small(big, small, on="g", how="left", max_rows=3)
+    def hinted(df):
+        return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(under)
+    # beyond the bound: no hint; the planner decides from the materialised table's real size
+    assert not hinted(over)
+    assert sorted(tuple(r) for r in under.collect()) == sorted(tuple(r) for r in over.collect())
