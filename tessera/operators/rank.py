@@ -38,9 +38,10 @@ def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | No
     ``key`` must be unique within a stratum. ``prefix`` is an optional leading
     order column of low cardinality (e.g. a length bucket).
 
-    One pass over the input: a single shuffle by (stratum, bucket) feeds both
-    the row numbers and the bucket sizes; the size table (one row per bucket)
-    is read off the same shuffled data, so Spark reuses the exchange.
+    Data movement: one shuffle of the rows by (stratum, bucket) for the row
+    numbers, plus a bucket-count aggregation that is combined map-side (one
+    row per bucket per task crosses the network). Callers whose input is
+    expensive to recompute cut its lineage first.
     """
     by = list(by)
     h = order_hash(key, seed, *salt)
@@ -48,12 +49,10 @@ def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | No
     head = by + ([prefix] if prefix else [])
     grp = head + [_B]
 
-    w = Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = tmp.withColumn(_RN, F.row_number().over(w)).withColumn(_C, F.count(F.lit(1)).over(whole))
+    ranked = tmp.withColumn(_RN, F.row_number().over(Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))))
 
     # per-bucket sizes: at most (#strata x #prefix x 16**digits) rows
-    counts = ranked.where(F.col(_RN) == 1).select(*grp, _C)
+    counts = tmp.groupBy(*grp).agg(F.count(F.lit(1)).alias(_C))
     before = Window.partitionBy(*by).orderBy(*[F.col(c) for c in head[len(by):]], F.col(_B)) \
         .rowsBetween(Window.unboundedPreceding, -1)
     sel = [*[F.col(c).alias("_o" + c) for c in grp], F.coalesce(F.sum(_C).over(before), F.lit(0)).alias(_OFF)]
