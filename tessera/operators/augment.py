@@ -34,7 +34,9 @@ def augment_training(train: DataFrame, aug: DataFrame, label: str, value, key: s
     The new rows copy a donor training row drawn without replacement (seeded,
     per group ``by``), take the sentence as text, ``value`` as label and
     ``marker`` as ``marker_col``; ``augmented_from`` keeps the donor's key.
-    Fewer training rows than sentences in a group is an error.
+    Fewer training rows than sentences in a group is an error. ``train`` is
+    read several times (sentences, donors, the union): pass a materialised
+    table when it is expensive to recompute.
     """
     by = list(by)
     a = aug.select(F.col(key).alias("_a_key"), F.col(sent).alias("_a_sent"))

@@ -836,6 +836,7 @@ def q_augment_training(spark, sf):
     lf = labelled_folds(spark, sf).where(F.col("part") == "train")
     train = lf.select("fold", "doc_id", F.col("doc_id").cast("string").alias("UniqueID"), "quality",
                       T.clean_text("text").alias("cleaned_comment"))
+    train = cut_lineage(train)  # read four times below: clean it once
     aug = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("ID"), F.col("text").alias("sent"))
     return D.augment_training(train.withColumn("ID", F.col("UniqueID")), aug, "quality", 0, key="ID", seed=SEED) \
         .drop("ID")
