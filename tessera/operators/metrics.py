@@ -184,13 +184,15 @@ def pearson(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
 
 
 def regression_report(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
-    """E9-E11 in one pass: ss_tot from sums of squares instead of a mean window."""
-    yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
-    n, sy, syy = F.count(yy), F.sum(yy), F.sum(yy * yy)
-    ss_res = F.sum((yy - pp) * (yy - pp))
-    ss_tot = syy - sy * sy / n
-    return df.groupBy(*by).agg((ss_res / n).alias("mse"), (1 - ss_res / ss_tot).alias("r2"),
-                               F.corr(pp, yy).alias("pearson"), n.alias("n"))
+    """E9-E11 in one aggregation: MSE, row-wise R2 (ss_tot around the group mean,
+    which is joined from a one-row-per-group table) and Pearson correlation."""
+    by = list(by)
+    x = _with_group_mean(df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")),
+                         "_y", by, "_m")
+    res = (F.col("_y") - F.col("_p")) * (F.col("_y") - F.col("_p"))
+    tot = (F.col("_y") - F.col("_m")) * (F.col("_y") - F.col("_m"))
+    return x.groupBy(*by).agg(F.avg(res).alias("mse"), (1 - F.sum(res) / F.sum(tot)).alias("r2"),
+                              F.corr("_p", "_y").alias("pearson"))
 
 
 def weighted_log_loss(df: DataFrame, probs: str, y: str = "y", weight: str = "weight", by=()) -> DataFrame:

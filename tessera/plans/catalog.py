@@ -645,8 +645,7 @@ def q_regression_metrics(spark, sf):
     # prices in thousands
     x = li.join(pa, "l_partkey").select("l_returnflag", (F.col("l_extendedprice") / 1000.0).alias("y"),
                                         (F.col("l_quantity") * F.col("p_retailprice") / 1000.0).alias("p"))
-    by = ["l_returnflag"]
-    return E.mse(x, by=by).join(E.r2(x, by=by), by).join(E.pearson(x, by=by), by)
+    return E.regression_report(x, by=["l_returnflag"])
 
 
 @register("weighted_log_loss", MC_SQL + """,
