@@ -15,6 +15,7 @@ offsets from a count table with one row per partition.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +29,21 @@ from tessera.session import cut_lineage
 _H, _B, _RN, _C, _OFF = "_rk_h", "_rk_b", "_rk_rn", "_rk_c", "_rk_off"
 
 
+def auto_digits(df: DataFrame, bucket_bytes: int = 256 << 20, lo: int = 3, hi: int = 6) -> int:
+    """Hex digits of the hash bucket so that one bucket of a single stratum holds
+    about ``bucket_bytes``: read from the optimizer's size estimate (file sizes,
+    no job runs). 3 digits (4096 buckets) up to ~1 TB, 5 digits at 100 TB."""
+    try:
+        est = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(est) if isinstance(est, int) else int(est.toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable: keep the default
+        return lo
+    buckets = max(size // bucket_bytes, 1)
+    return max(lo, min(hi, math.ceil(math.log(buckets, 16)) if buckets > 1 else lo))
+
+
 def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | None = None,
-              digits: int = 3, rank_col: str = "rank", size_col: str | None = None,
+              digits: int | None = None, rank_col: str = "rank", size_col: str | None = None,
               start_col: str | None = None) -> DataFrame:
     """Attach the exact 1-based rank of each row ordered by ``(prefix, md5(seed[:salt]:key), key)``
     within the strata ``by``. ``size_col`` (optional) receives the stratum size,
@@ -44,6 +58,7 @@ def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | No
     expensive to recompute cut its lineage first.
     """
     by = list(by)
+    digits = digits or auto_digits(df)
     h = order_hash(key, seed, *salt)
     tmp = df.withColumn(_H, h).withColumn(_B, F.substring(F.col(_H), 1, digits))
     head = by + ([prefix] if prefix else [])
@@ -109,7 +124,7 @@ def sequential_rank(df: DataFrame, order, *, weight: str | None = None,
     return out.drop("_sq_w", "_sq_pid", "_sq_mid", "_sq_cum", "_sq_off")
 
 
-def hash_cut(df: DataFrame, key: str, seed, cuts: dict, *, by=(), salt=(), digits: int = 3) -> DataFrame:
+def hash_cut(df: DataFrame, key: str, seed, cuts: dict, *, by=(), salt=(), digits: int | None = None) -> DataFrame:
     """Mark the first ``k`` rows of every stratum in seeded hash order, without ranking.
 
     ``cuts`` maps an output column name to ``k``: a function of the stratum
@@ -122,6 +137,7 @@ def hash_cut(df: DataFrame, key: str, seed, cuts: dict, *, by=(), salt=(), digit
     compared with a table of one row per stratum. No shuffle of the input rows.
     """
     by = list(by)
+    digits = digits or auto_digits(df)
     h = order_hash(key, seed, *salt)
     tmp = df.withColumn(_H, h).withColumn(_B, F.substring(F.col(_H), 1, digits))
     grp = by + [_B]
