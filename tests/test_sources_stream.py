@@ -91,3 +91,24 @@ def test_stream_cleaning(spark, scratch):
     q3 = ST.start_clean_sink(cleaned, f"{scratch}/out", f"{scratch}/ckpt")
     q3.awaitTermination(120)
     assert spark.read.parquet(f"{scratch}/out").count() == 1
+
+
+def test_stateless_operators_accept_streams(spark, scratch):
+    from tessera.functions import text as T
+    from tessera.functions.keys import with_id
+    from tessera.operators import filters as FL
+    src = f"{scratch}/vec"
+    spark.createDataFrame([(1, "a", "[1.0, 3.0]", [3, 0], True), (2, None, "[2.0, 0.5]", [0, 0], False)],
+                          "id long, text string, v string, ids array<int>, flag boolean").write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    out = FL.exclude_flagged(stream, F.col("flag") & F.lit(False))
+    out = with_id(FL.model_view(out.withColumn("label", F.col("id")), "text", "label")
+                  .withColumn("v", F.lit("[1.0, 3.0]")), ["text", "label"])
+    out = out.select("ID", T.clean_text("text").alias("c"), T.word_count("text").alias("w"),
+                     T.softmax(T.parse_vector("v")).alias("p"), T.argmax(T.parse_vector("v")).alias("a"),
+                     T.attention_mask(F.array(F.lit(3), F.lit(0))).alias("m"))
+    q = out.writeStream.format("memory").queryName("tessera_stateless").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = {r.ID: r for r in spark.sql("SELECT * FROM tessera_stateless").collect()}
+    assert set(rows) == {"a#1", "nan#2"}
+    assert rows["a#1"].a == 1 and rows["a#1"].m == [1, 0] and abs(sum(rows["a#1"].p) - 1) < 1e-12
