@@ -29,14 +29,29 @@ from tessera.session import cut_lineage
 _H, _B, _RN, _C, _OFF = "_rk_h", "_rk_b", "_rk_rn", "_rk_c", "_rk_off"
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the files the plan reads (file-relation leaves of the optimized
+    plan). Catalyst's estimates after joins and explodes are not usable (they
+    can exceed 10**18), the file sizes are."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            total += int(leaf.relation().sizeInBytes())
+    return total
+
+
 def auto_digits(df: DataFrame, bucket_bytes: int = 256 << 20, lo: int = 3, hi: int = 6) -> int:
     """Hex digits of the hash bucket so that one bucket of a single stratum holds
-    about ``bucket_bytes``: read from the optimizer's size estimate (file sizes,
-    no job runs). 3 digits (4096 buckets) up to ~1 TB, 5 digits at 100 TB."""
+    about ``bucket_bytes`` of input: 3 digits (4096 buckets) up to ~1 TB, 5 at
+    100 TB. ``spark.tessera.rank.digits`` in the session overrides it."""
+    fixed = df.sparkSession.conf.get("spark.tessera.rank.digits", None)
+    if fixed:
+        return int(fixed)
     try:
-        est = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(est) if isinstance(est, int) else int(est.toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable: keep the default
+        size = _input_bytes(df)
+    except Exception:  # noqa: BLE001 - no plan information: keep the default
         return lo
     buckets = max(size // bucket_bytes, 1)
     return max(lo, min(hi, math.ceil(math.log(buckets, 16)) if buckets > 1 else lo))
