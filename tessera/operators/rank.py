@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions._util import as_col
+from tessera.functions._util import as_col, guard
 from tessera.functions.keys import order_hash
 from tessera.operators.small import join_small
 from tessera.session import cut_lineage
@@ -79,7 +79,12 @@ def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | No
     head = by + ([prefix] if prefix else [])
     grp = head + [_B]
 
-    ranked = tmp.withColumn(_RN, F.row_number().over(Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))))
+    w = Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))
+    # equal keys hash equally, so a duplicate sits next to its twin in this window:
+    # the uniqueness check is free and raises inside the task
+    dup = F.lag(F.col(key)).over(w).eqNullSafe(F.col(key))
+    ranked = tmp.withColumn(_RN, guard(dup, F.concat(F.lit("duplicate key in rank: "), F.col(key).cast("string")),
+                                       F.row_number().over(w)))
 
     # per-bucket sizes: at most (#strata x #prefix x 16**digits) rows
     counts = tmp.groupBy(*grp).agg(F.count(F.lit(1)).alias(_C))

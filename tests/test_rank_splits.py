@@ -132,3 +132,18 @@ def test_holdout_moves_no_input_rows(spark):
         assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
     # a rank, by contrast, shuffles whole rows
     assert "Exchange hashpartitioning" in _final_plan(hash_rank(d, "doc_id", 1))
+
+
+def test_hash_rank_rejects_duplicate_keys(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "k long, s string")
+    with pytest.raises(Exception, match="duplicate key"):
+        hash_rank(df, "k", 3, by=["s"]).collect()
+    assert hash_rank(df.distinct(), "k", 3, by=["s"]).count() == 2
+
+
+def test_approx_quantile_bins_close_to_exact(spark):
+    from tessera.operators.bins import approx_quantiles, exact_quantiles
+    df = spark.range(5000).select((F.col("id") * 0.37 % 101).alias("v"))
+    ex, ap = exact_quantiles(df, ["v"])["v"], approx_quantiles(df, ["v"])["v"]
+    assert all(abs(a - b) <= 0.5 for a, b in zip(ex, ap))
