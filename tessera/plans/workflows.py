@@ -5,7 +5,7 @@ A: build the corpus from per-language sources, clean, de-duplicate, split into
 B: score baselines (forest, uniform, majority) on every fold's val and test
    parts and average over folds.
 C: k-fold text classification with out-of-fold predictions, per-fold reports
-   and a summary over folds.
+   and a summary over folds; and the summary of a directory of run reports.
 
 Each is one lazy plan per materialised table; only model fits loop (over k).
 """
@@ -20,11 +20,11 @@ from tessera.operators import metrics as E
 from tessera.operators import models as MD
 from tessera.operators.baselines import majority_baseline, uniform_baseline
 from tessera.operators.filters import drop_sentinels, require
-from tessera.operators.profile import fold_average, report_summary
+from tessera.operators.profile import class_report_summary, fold_average, report_summary
 from tessera.operators.sets import dedupe_first, union_tagged
 from tessera.operators.splits import stratified_fold_table
 from tessera.session import cut_lineage
-from tessera.sources.files import write_distributions, write_splits
+from tessera.sources.files import read_reports, write_distributions, write_splits
 
 
 # --- A ------------------------------------------------------------------------
@@ -86,3 +86,14 @@ def kfold_text_evaluation(df: DataFrame, key: str, label: str, text: str = "clea
     per_fold = E.summary(oof, label, "y_hat", by=["fold"]) \
         .unpivot(["fold"], ["macro_precision", "macro_recall", "macro_f1", "accuracy"], "metric", "value")
     return oof, reports, report_summary(per_fold)
+
+
+# --- report directories ---------------------------------------------------------
+def summarize_reports(spark, root: str) -> tuple[DataFrame, DataFrame]:
+    """S4 over a directory of runs, then A10 per split x overall metric
+    (geometric mean, sample stdev over runs) and A11 per split x class x metric."""
+    r = read_reports(spark, root)
+    overall = report_summary(r.where(F.col("label") == "all"), by=["split", "metric"])
+    per_class = class_report_summary(r.where((F.col("label") != "all") & (F.col("metric") != "support")),
+                                     by=["split", "label", "metric"])
+    return overall, per_class

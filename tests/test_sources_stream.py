@@ -112,3 +112,19 @@ def test_stateless_operators_accept_streams(spark, scratch):
     rows = {r.ID: r for r in spark.sql("SELECT * FROM tessera_stateless").collect()}
     assert set(rows) == {"a#1", "nan#2"}
     assert rows["a#1"].a == 1 and rows["a#1"].m == [1, 0] and abs(sum(rows["a#1"].p) - 1) < 1e-12
+
+
+def test_summarize_reports_workflow(spark, scratch):
+    from tessera.plans.workflows import summarize_reports
+    for run, acc in (("r1", "0.50"), ("r2", "0.80")):
+        rep = ("              precision    recall  f1-score   support\n\n"
+               f"           0       0.50      0.25      0.33         4\n"
+               f"    accuracy                           {acc}        12\n"
+               "   macro avg       0.60      0.56      0.55        12\n")
+        _write(f"{scratch}/{run}/{run}_test_results.txt", rep)
+    overall, per_class = summarize_reports(spark, scratch)
+    got = {(r.split, r.metric): r for r in overall.collect()}
+    assert abs(got[("test", "accuracy")].geo_mean - (0.5 * 0.8) ** 0.5) < 1e-12
+    assert got[("test", "accuracy")].n == 2
+    pc = {(r.label, r.metric): r for r in per_class.collect()}
+    assert pc[("0", "precision")].mean == 0.5 and pc[("0", "precision")].stdev == 0.0
