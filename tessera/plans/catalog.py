@@ -1050,3 +1050,37 @@ def q_corpus_split_views(spark, sf):
 def q_kfold_text_report(spark, sf):
     d = labelled(spark, sf).select("doc_id", "quality", T.clean_text("text").alias("cleaned_comment"))
     return W.kfold_text_evaluation(d, "doc_id", "quality", k=5, seed=SEED)[1]
+
+
+def _report_rows_sql() -> str:
+    metrics = ("precision", "recall", "f1_score")
+    names = {"precision": "precision", "recall": "recall", "f1_score": "f1"}
+    cls = " UNION ALL ".join(
+        f"SELECT fold, CAST(cls AS VARCHAR) AS label, '{names[m]}' AS metric, {m} AS value FROM pcm" for m in metrics)
+    cls += " UNION ALL SELECT fold, CAST(cls AS VARCHAR), 'support', CAST(support AS DOUBLE) FROM pcm"
+    avg = []
+    for kind, agg in (("macro", "avg({m})"), ("weighted", "sum({m} * support) / sum(support)")):
+        for m in metrics:
+            avg.append(f"SELECT fold, 'all', '{kind}_{names[m]}', {agg.format(m=m)} FROM pcm GROUP BY fold")
+        avg.append(f"SELECT fold, 'all', '{kind}_support', CAST(sum(support) AS DOUBLE) FROM pcm GROUP BY fold")
+    acc = "SELECT fold, 'all', 'accuracy', avg(CASE WHEN y = y_hat THEN 1.0 ELSE 0.0 END) FROM ev GROUP BY fold"
+    return " UNION ALL ".join([cls, *avg, acc])
+
+
+@register("reports_round_trip", MC_SQL + f""",
+rows AS ({_report_rows_sql()})
+SELECT 'fold' || CAST(fold AS VARCHAR) AS run, 'test' AS split, label, metric, round(value, 6) AS value FROM rows""")
+def q_reports_round_trip(spark, sf):
+    """E2 reports per fold written as text reports (one run per fold), then S4."""
+    ev = multiclass_eval(spark, sf)
+    rep = E.classification_report(ev, by=["fold"])
+    acc = ev.groupBy("fold").agg(F.lit("accuracy").alias("label"),
+                                 F.avg((F.col("y") == F.col("y_hat")).cast("double")).alias("precision"),
+                                 F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1_score"),
+                                 F.count(F.lit(1)).alias("support"))
+    rep = rep.unionByName(acc).withColumn("run", F.concat(F.lit("fold"), F.col("fold").cast("string"))) \
+        .withColumn("split", F.lit("test"))
+    out = _io_dir(spark, "reports")
+    IO.write_reports(rep, out)
+    back = IO.read_reports(spark, out)
+    return back.select("run", "split", "label", "metric", F.round("value", 6).alias("value"))

@@ -80,9 +80,12 @@ def read_reports(spark: SparkSession, root: str) -> DataFrame:
     (the reference keeps only the first number of the average lines)."""
     lines = spark.read.text(f"{root.rstrip('/')}/*/*_results.txt") \
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-    run = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
-    fname = F.regexp_extract("path", r"/([^/]+)$", 1)
-    split = F.regexp_extract(fname, r"_(dev|test)_results\.txt$", 1)
+    # a report is a file <run>/<run>_<split>_results.txt, or a folder of that
+    # name holding the part files a Spark text write produces
+    seg = r"/([^/]+)/([^/]+_(dev|test)_results\.txt)(/[^/]+)?$"
+    run = F.regexp_extract("path", seg, 1)
+    fname = F.regexp_extract("path", seg, 2)
+    split = F.regexp_extract("path", seg, 3)
     t = lines.select(run.alias("run"), split.alias("split"), fname.alias("fname"),
                      F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("tok"))
     t = t.where((F.col("fname") == F.concat(F.col("run"), F.lit("_"), F.col("split"), F.lit("_results.txt")))
@@ -102,6 +105,23 @@ def read_reports(spark: SparkSession, root: str) -> DataFrame:
     return out.select("run", "split", "m.label", "m.metric", F.col("m.v").cast("double").alias("value"))
 
 
+def write_reports(report: DataFrame, root: str, run: str = "run", split: str = "split") -> None:
+    """Text reports in the layout S4 reads: one ``<run>/<run>_<split>_results.txt``
+    per (run, split) of an E2 report table (label, precision, recall,
+    f1_score, support). The driver loops over the (few) runs only."""
+    keys = [(r[run], r[split]) for r in report.select(run, split).distinct().collect()]
+    num = lambda c: F.format_string("%.10f", F.col(c))
+    line = (F.when(F.col("label") == "accuracy",
+                   F.concat_ws(" ", F.lit("accuracy"), num("precision"), F.col("support").cast("string")))
+            .otherwise(F.concat_ws(" ", F.col("label"), num("precision"), num("recall"), num("f1_score"),
+                                   F.col("support").cast("string"))))
+    header = "precision recall f1-score support"
+    for r, sp in keys:
+        body = report.where((F.col(run) == r) & (F.col(split) == sp)).select(line.alias("value"))
+        head = report.sparkSession.createDataFrame([(header,)], "value string")
+        head.unionByName(body).coalesce(1).write.mode("errorifexists").text(f"{root.rstrip('/')}/{r}/{r}_{sp}_results.txt")
+
+
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """One table partitioned by fold and part (``fold=N/part=P``);
     ``fmt='tsv'`` writes header TSV files in the same layout."""
