@@ -175,7 +175,8 @@ def hash_cut(df: DataFrame, key: str, seed, cuts: dict, *, by=(), salt=(), digit
         targets = t if targets is None else targets.unionByName(t)
     target_buckets = targets.select(*[F.col(g).alias("_ctb" + g) for g in grp]).distinct()
     on_b = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col("_ctb" + g)) for g in grp])
-    inb = tmp.select(*grp, _H, key).join(target_buckets, on=on_b, how="left_semi")
+    # strata x cuts rows: broadcast behind the size check, so no row is shuffled to find them
+    inb = join_small(tmp.select(*grp, _H, key), target_buckets, on=on_b, how="left_semi")
     inb = inb.withColumn(_RN, F.row_number().over(Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))))
     tg = targets.select(*[F.col(g).alias("_ctt" + g) for g in grp], "_ct_r", "_ct_cut")
     on_t = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col("_ctt" + g)) for g in grp]) \
