@@ -30,3 +30,15 @@ def test_exact_quantiles_match_numpy(spark, values):
     got = exact_quantiles(df, ["x"], probs)["x"]
     want = np.quantile(np.array(values, dtype=float), probs, method="linear")
     assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+PIECES = ["a", "é", "Z", "1", "42", ":", "[", "]", " ", "  ", "\n", "\n\n", "\t", "\x0b", "\x1c", "\x85", "\xa0",
+          " ", " ", "http://", "https:", "//", "\\", "\\\\", "x.y", "?q=1&r", "â€", "™", "\"", "œ", "#", "~"]
+
+
+@SETTINGS
+@given(parts=st.lists(st.lists(st.sampled_from(PIECES), max_size=25), min_size=1, max_size=40))
+def test_clean_text_minimal_form_equals_steps(spark, parts):
+    from tessera.functions.text import clean_text, clean_text_steps
+    df = spark.createDataFrame([("".join(p),) for p in parts], "t string")
+    assert df.where(clean_text("t") != clean_text_steps("t")).count() == 0
