@@ -33,7 +33,10 @@ def exact_quantiles(df: DataFrame, cols, probs=SIX_PROBS) -> dict:
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]) \
         .unpivot([], cols, "column", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    sizes = {r["column"]: r["n"] for r in vc.groupBy("column").agg(F.sum("cnt").alias("n")).collect()}
+    # the ranking materialises the distinct (column, value, count) rows once; the
+    # sizes and the target rows are then read from that table, not from the input
+    r = sequential_rank(vc, ["column", "value"], weight="cnt", rank_col="_q_end", start_col="_q_start")
+    sizes = {row["column"]: row["n"] for row in r.groupBy("column").agg(F.sum("cnt").alias("n")).collect()}
     missing = [c for c in cols if not sizes.get(c)]
     if missing:
         raise ValueError(f"no values to bin in {missing}")
@@ -48,7 +51,6 @@ def exact_quantiles(df: DataFrame, cols, probs=SIX_PROBS) -> dict:
             for t in {math.floor(pos), math.ceil(pos)}:
                 targets.setdefault(c, set()).add(start + t + 1)
         start += n
-    r = sequential_rank(vc, ["column", "value"], weight="cnt", rank_col="_q_end", start_col="_q_start")
     want = F.array(*[F.lit(t) for c in cols for t in sorted(targets[c])])
     hits = r.where(F.exists(want, lambda t: (t >= F.col("_q_start")) & (t <= F.col("_q_end")))) \
         .select("column", "value", "_q_start", "_q_end").collect()
