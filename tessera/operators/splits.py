@@ -145,11 +145,16 @@ def shuffle(df: DataFrame, key: str, seed, rank_col: str = "shuffle_rank", physi
 
 
 def batches(df: DataFrame, size: int, key: str, seed=None, order=None, batch_col: str = "batch_id") -> DataFrame:
-    """K7: fixed-size batches; shuffled by ``seed`` or sequential by ``order`` (+ key)."""
+    """K7: fixed-size batches; shuffled by ``seed`` or sequential by ``order`` (+ key).
+    ``(order, key)`` must be unique (a total order)."""
     if seed is not None:
         r = hash_rank(df, key, seed, rank_col="_k_rank")
     else:
-        r = sequential_rank(df, list(order or []) + [key], rank_col="_k_rank")
+        # rank the narrow (order, key) projection only; the wide rows meet their
+        # rank in one join instead of being sorted and materialised themselves
+        order = list(order or [])
+        ranks = sequential_rank(df.select(key, *order), order + [key], rank_col="_k_rank")
+        r = df.join(ranks, on=order + [key], how="inner")  # (order, key) is unique: a total order
     return r.withColumn(batch_col, F.floor((F.col("_k_rank") - 1) / size).cast("long")).drop("_k_rank")
 
 
