@@ -75,9 +75,8 @@ class Prefix:
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk of documents."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True):
         self.data, self.offsets = data, offsets
-        self.prefix = Prefix(data, BYTE_VALUE_LOWER if lower else BYTE_VALUE)
         self.space = IS_SPACE[data]
         gap = np.ones(len(data) + 2, bool)
         gap[1:-1] = self.space
@@ -92,7 +91,9 @@ class Words:
         #: words of document i are first_word[i] : first_word[i + 1]
         self.first_word = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first_word))
-        self.hash = self.prefix.spans(self.start, self.end)
+        if hashed:
+            self.prefix = Prefix(data, BYTE_VALUE_LOWER if lower else BYTE_VALUE)
+            self.hash = self.prefix.spans(self.start, self.end)
 
     def chains(self, n: int) -> np.ndarray:
         """Hash of the ``n`` words from each word on; only meaningful where the

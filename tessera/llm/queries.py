@@ -1,11 +1,15 @@
-"""Driver bindings of the training-data operators: ``QUERIES`` and their ``SQL``."""
+"""Driver bindings of the training-data operators: ``QUERIES`` and their ``SQL``.
+
+Each query applies one operator with its production parameters to its whole
+table. SQL is given where it can express the result; the others are tested
+against brute force in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import jaccard
+from tessera.llm import ann, chat, jaccard, langid, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +22,76 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "class_id", "component_id"))
 
 
-QUERIES = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
-}
+def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and host verdict of every document."""
+    return (quality.quality(_table(spark, sf_dir, "documents"))
+            .select("doc_id", *quality.COUNTS, "base_failed", "kept"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window, slot and position of every document in the mix of its source."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    out = mixing.mix_sources(docs)
+    return out.selectExpr("doc_id", "source", "_m_block AS block", "_m_release AS release", "_m_deadline AS deadline",
+                          "_m_slot AS slot", "_m_position AS position")
+
+
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered from each participant's side, turn by turn."""
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every query vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard, op2_host_quality, op3_mix_sources, op5_chat_perspectives, op7_language_spans, op9_nearest_vectors)}
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c >= 2),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+counts AS (
+  SELECT d.doc_id, d.source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM judged GROUP BY source),
+moments AS (SELECT sum(f) / sum(n) AS prior, avg(f / n) AS m, coalesce(var_samp(f / n), 0) AS v, avg(1 / n) AS sampling FROM hosts),
+prior AS (SELECT prior, CASE WHEN v - m * (1 - m) * sampling <= 0 THEN 1000.0
+                             ELSE least(1000.0, greatest(1.0, m * (1 - m) / (v - m * (1 - m) * sampling) - 1)) END AS strength FROM moments),
+verdict AS (SELECT source, (f + prior * strength) / (n + strength) > 0.5 AS rejected FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
+"""
+
+OP5_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
+                  regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1|>', 'g') AS body FROM conversations),
+c AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (SELECT t.conv_id, perspective, turn, speaker, body, speaker = perspective AS own,
+             '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+                                    ELSE 'user name=' || speaker END || chr(10) AS head
+      FROM t JOIN c ON t.conv_id IS NOT DISTINCT FROM c.conv_id),
+s AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS rendered FROM r),
+o AS (SELECT *, row_number() OVER w AS seq, CAST(length(rendered) AS BIGINT) AS n_chars,
+             CAST(sum(length(rendered)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(rendered) AS start
+      FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body))
+SELECT conv_id, perspective, turn, seq, speaker, rendered, start, n_chars,
+       CASE WHEN own THEN start + length(head) END AS mask_start, CASE WHEN own THEN start + n_chars - 1 END AS mask_end
+FROM o
+"""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
