@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, chat, jaccard, langid, mixing, quality
+from tessera.llm import ann, backoff, chat, html_text, jaccard, langid, mixing, pieces, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,18 +41,34 @@ def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best segmentation (as a digest of its ids), the four best scores and the round trip of every document."""
+    return pieces.encode_pieces(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("ids", "ids_sha256")
+
+
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every query vector."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document by the counts of all others."""
+    return backoff.backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_host_quality, op3_mix_sources, op5_chat_perspectives, op7_language_spans, op9_nearest_vectors)}
+    op1_ngram_jaccard, op2_host_quality, op3_mix_sources, op5_chat_perspectives, op6_page_text, op7_language_spans,
+    op8_sentencepiece, op9_nearest_vectors, op10_backoff_scores)}
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -94,4 +110,24 @@ SELECT conv_id, perspective, turn, seq, speaker, rendered, start, n_chars,
 FROM o
 """
 
-SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i >= 2 THEN w[i - 1] END AS b, CASE WHEN i >= 3 THEN w[i - 2] END AS a
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+n AS (SELECT count(*) AS n FROM t), d AS (SELECT doc_id, count(*) AS own FROM t GROUP BY doc_id),
+u AS (SELECT *, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS c1,
+             CASE WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) END AS c2,
+             CASE WHEN a IS NOT NULL THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) END AS c3 FROM t),
+-- the counts of a word's context are those of the word before it
+v AS (SELECT *, lag(c1) OVER p AS h1, lag(c2) OVER p AS h2 FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3 / h2)
+                          WHEN c2 > 0 THEN ln(c2 / h1) + CASE WHEN i >= 3 THEN ln(0.4) ELSE 0 END
+                          ELSE ln(greatest(c1, 0.5) / greatest(n - own, 1)) + CASE WHEN i = 1 THEN 0 WHEN i = 2 THEN ln(0.4) ELSE 2 * ln(0.4) END END AS l
+      FROM v JOIN d USING (doc_id), n),
+r AS (SELECT doc_id, count(*) AS k, CAST(sum(l) AS DOUBLE) AS l FROM s GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_words, round(coalesce(l, 0.0), 4) AS log_score, round(l / k, 4) AS mean_log
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+"""
+
+SQL: dict[str, str] = {"op10_backoff_scores": OP10_SQL, "op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
