@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, backoff, chat, html_text, jaccard, langid, mixing, pieces, quality
+from tessera.llm import ann, backoff, chat, html_text, jaccard, langid, mixing, pieces, quality, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "_m_slot AS slot", "_m_position AS position")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return suffix.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation rendered from each participant's side, turn by turn."""
     return chat.perspectives(_table(spark, sf_dir, "conversations"))
@@ -67,7 +72,7 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_host_quality, op3_mix_sources, op5_chat_perspectives, op6_page_text, op7_language_spans,
+    op1_ngram_jaccard, op2_host_quality, op3_mix_sources, op4_suffix_dedup, op5_chat_perspectives, op6_page_text, op7_language_spans,
     op8_sentencepiece, op9_nearest_vectors, op10_backoff_scores)}
 
 OP2_SQL = r"""
