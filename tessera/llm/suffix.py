@@ -204,9 +204,10 @@ def runs(key: np.ndarray, at: np.ndarray):
 def _shard(batches):
     """Rows (kind 0: key, s1, s2 of repeated windows; kind 1: a sorted run of digests
     of a spread hash, for the ranges of the merge)."""
-    table = pa.Table.from_batches(list(batches)) if batches else None
-    if table is None or not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     low, key, s1, s2 = (table.column(c).to_numpy() for c in ("low", "key", "s1", "s2"))
     repeated, spread = table.column("repeated").to_numpy(), table.column("spread").to_numpy()
     shard = Shard(table.column("bytes").to_pylist(), s2 - s1 + 1)
