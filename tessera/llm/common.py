@@ -71,6 +71,11 @@ class Prefix:
         raw = (self.sums[end] - self.sums[start]) * self.inv[start]
         return mix(raw + (end - start).astype(np.uint64) * _K2)
 
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of all spans of ``width`` bytes."""
+        raw = (self.sums[width:] - self.sums[:-width]) * self.inv[: len(self.sums) - width]
+        return mix(raw + np.full(1, width, np.uint64) * _K2)
+
 
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk of documents."""
@@ -150,23 +155,29 @@ def unblob(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
 
 
+#: Edges in a partition between the steps of a component search.
+COMPONENT_EDGES = 100_000
+
+
 def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) for the end points of ``edges`` (a, b): component is the
     smallest node reachable. Alternating large-star and small-star steps; every
     step is a map-side combined minimum and one join, and ``cut`` ends its lineage."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = cut(e)
+    # few edges need few tasks
+    parts = edges.count() // COMPONENT_EDGES + 1
+    e = cut(e.coalesce(parts))
     state = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # large star: larger neighbours of u move to the smallest of its neighbourhood
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: u and its smaller neighbours move to the smallest of them
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = (e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
              .unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        e = cut(e)
+        e = cut(e.coalesce(parts))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -36,8 +36,14 @@ LINK_NUM, LINK_DEN = 80, 100
 COST_SAMPLE = 4096
 #: Shingles met in so many documents of the sample are frequent.
 FREQUENT = 12
+#: One segment more for every so many that a band needs: room to leave costly ones out.
+SLACK = 10
 #: One in so many segments is a reserve, indexed with one-deletion neighbours.
 RESERVE = 16
+#: Words of 64 cells in a set's parity sketch.
+PARITY = 8
+PARITY_NAMES = [f"p{k}" for k in range(PARITY)]
+SET_SCHEMA = "doc long, n long, " + ", ".join(f"{p} long" for p in PARITY_NAMES) + ", tokens binary"
 #: Entries gathered before they are packed, and entries wanted in a partition.
 FLUSH, PER_PARTITION = 1_000_000, 2_000_000
 
@@ -68,15 +74,20 @@ def shingle_sets(text: pa.Array, n: int):
                 yield np.zeros(0, np.uint64)
 
 
+def set_name(s: np.ndarray) -> int:
+    """A 64-bit name of the set, as a signed number."""
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64))
+
+
 def _fingerprints(batches, n):
     for batch in batches:
         size, f1, f2 = [], [], []
         for s in shingle_sets(batch.column(1), n):
             size.append(len(s))
-            f1.append(mix(s).sum(dtype=np.uint64))
+            f1.append(set_name(s))
             f2.append(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)),
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()),
              pa.array(np.array(f2, np.uint64).view(np.int64))], names=["doc_id", "n_shingles", "f1", "f2"])
 
 
@@ -88,19 +99,32 @@ def _tokens(batches, n):
 
 
 def _sets(batches, n):
+    """Sets by name; a text that is not the named one (of an id with several texts) is left out."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1), n))
+        rows = [(k, s) for k, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n)) if set_name(s) == k]
+        parity = np.stack([parity_bits(s) for _, s in rows]) if rows else np.zeros((0, PARITY), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["doc_id", "n", "tokens"])
-
-
-def allocation(cost: np.ndarray, size: np.ndarray, spare: np.ndarray, need: int) -> np.ndarray:
-    """Values 0, 1 or 2 per segment that add up to ``need`` or more: cheap non-empty
-    segments first, then deletions in reserve segments, then whatever is left."""
-    value = np.zeros(len(size), np.int8)
-    order = np.lexsort((-size, cost, size == 0))
-    cheap = order[(size[order] > 0) & (cost[order] == 0)][:need]
+            [pa.array([k for k, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()),
+             *[pa.array(parity[:, k]) for k in range(PARITY)], pa.array([s.tobytes() for _, s in rows], pa.binary())],
+            names=["doc", "n", *PARITY_NAMES, "tokens"])
+
+
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY cells, whether an odd number of tokens falls into it: two
+    sets differ in at least as many tokens as cells."""
+    odd = np.bincount((mix(s ^ np.uint64(0x5555)) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def allocation(rare: np.ndarray, cost: np.ndarray, spare: np.ndarray, need: int) -> np.ndarray:
+    """Values 0, 1 or 2 per segment that add up to ``need`` or more. ``rare`` counts
+    the tokens of a segment that are not frequent, ``cost`` is how often the rarest
+    token of the others was met. Segments with rare tokens come first, the fullest
+    ahead; then deletions in ``spare`` segments, which keep a rare token whichever
+    token is deleted; then whatever is left, the cheapest first."""
+    value = np.zeros(len(rare), np.int8)
+    order = np.lexsort((cost, -rare))
+    cheap = order[rare[order] > 0][:need]
     value[cheap] = 1
     missing = need - len(cheap)
     if missing > 0:
@@ -119,27 +143,29 @@ def entries(s: np.ndarray, low: np.ndarray, frequent: np.ndarray, weight: np.nda
     token = mix(s)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(token, out=total[1:])
-    at = np.searchsorted(frequent, s)
-    known = (at < len(frequent)) & (frequent[np.minimum(at, max(len(frequent) - 1, 0))] == s) if len(frequent) else np.zeros(n, bool)
-    met = np.where(known, weight[np.minimum(at, max(len(frequent) - 1, 0))] if len(frequent) else 0, 0)
-    any_known = bool(known.any())
+    met = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        met = np.where(frequent[at] == s, weight[at], 0)
+    uncommon = np.zeros(n + 1, np.int64)
+    np.cumsum(met == 0, out=uncommon[1:])
     first, last = np.searchsorted(low, n, side="right") - 1, np.searchsorted(low, partner, side="right") - 1
     out, probes = [], []
     for k in range(first, last + 1):
         top = int(low[k + 1]) - 1
         m = 2 * top // 9 + 1
+        m += m // SLACK
         need = (n + min(top, partner)) // 9 + 1
         seg = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         edge = np.searchsorted(seg, np.arange(m + 1, dtype=np.uint64))
-        size = np.diff(edge)
         sums = total[edge[1:]] - total[edge[:-1]]
-        cost = np.zeros(m, np.int64)
-        if any_known:
-            full = size > 0
-            cost[full] = np.minimum.reduceat(met, edge[:-1][full])
-        spare = size >= 2
+        rare = np.diff(uncommon[edge])
+        full = np.diff(edge) > 0
+        cost = np.full(m, 1 << 40)
+        cost[full] = np.minimum.reduceat(met, edge[:-1][full])
+        spare = rare >= 2
         spare[-(-m // RESERVE):] = False
-        value = allocation(cost, size, spare, need)
+        value = allocation(rare, cost, spare, need)
         salt = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k << 40)
         out.append(mix(sums + salt))
         probes.append(value > 0)
@@ -164,16 +190,18 @@ def _pack(sig, doc, parts):
 
 
 def _index(batches, n, parts, limit, frequent, weight):
+    """Packed entries of every set, once per task for equal sets."""
     low = bands(limit * 2 + 2)
-    sigs, docs, held = [], [], 0
+    sigs, docs, held, seen = [], [], 0, set()
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for doc, s in zip(ids, shingle_sets(batch.column(1), n)):
-            if not len(s):
+        for s in shingle_sets(batch.column(0), n):
+            name = set_name(s)
+            if not len(s) or name in seen:
                 continue
+            seen.add(name)
             sig, probe = entries(s, low, frequent, weight)
             sigs.append((sig | np.uint64(1)) ^ np.where(probe, np.uint64(0), np.uint64(1)))
-            docs.append(np.full(len(sig), doc, np.int64))
+            docs.append(np.full(len(sig), name, np.int64))
             held += len(sig)
             if held >= FLUSH:
                 yield _pack(np.concatenate(sigs), np.concatenate(docs), parts)
@@ -207,7 +235,7 @@ def groups(sig: np.ndarray, doc: np.ndarray):
     if not len(run):
         return run, doc, probe
     edge = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    member = mix(doc.astype(np.uint64) * np.uint64(2) + probe.astype(np.uint64))
+    member = mix(doc.view(np.uint64) * np.uint64(2) + probe.astype(np.uint64))
     name = mix(np.add.reduceat(member, edge))
     _, pick = np.unique(name, return_index=True)
     chosen = np.zeros(len(edge), bool)
@@ -246,11 +274,22 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
 
 
+def _near(hubs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a hub and a member of its group in another component that sizes
+    and parity sketches do not rule out; the condition is part of the join, so that
+    no other pair leaves it."""
+    left = hubs.select(F.col("grp").alias("hg"), F.col("doc").alias("h"), F.col("comp").alias("hc"), F.col("n").alias("hn"),
+                       *[F.col(p).alias(f"h{p}") for p in PARITY_NAMES])
+    differ = sum((F.bit_count(F.col(f"h{p}").bitwiseXOR(F.col(p))) for p in PARITY_NAMES), F.lit(0))
+    near = ((F.col("hg") == F.col("grp")) & (F.col("hc") != F.col("comp"))
+            & (LINK_DEN * F.least("hn", "n") >= LINK_NUM * F.greatest("hn", "n")) & (9 * differ <= F.col("hn") + F.col("n")))
+    return left.join(members, near).select(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b")).distinct()
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    near = (LINK_DEN * F.least("na", "nb") >= LINK_NUM * F.greatest("na", "nb"))
-    both = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "ta", "tb")
+    """The pairs that link, by their whole sets."""
+    both = (pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a")
+            .join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb"))
     return both.mapInArrow(_verify, "a long, b long")
 
 
@@ -267,36 +306,43 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = cut_lineage(src.mapInArrow(partial(_fingerprints, n=shingle), "doc_id long, n_shingles long, f1 long, f2 long"))
     classes = (feats.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2")
                .agg(F.min("doc_id").alias("class_id")))
-    reps = cut_lineage(classes.select(F.col("class_id").alias("doc_id"), "n_shingles"))
-    n_reps, tokens, limit = reps.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0)),
-                                     F.coalesce(F.max("n_shingles"), F.lit(1))).first()
-    # the distinct sets; ids decide which rows are read, AQE how they are joined
-    distinct = src.join(reps.select("doc_id").distinct(), "doc_id", "left_semi")
-    frequent, weight = _frequent(src, reps, shingle, n_reps)
+    classes = cut_lineage(classes)
+    n_reps, tokens, limit = classes.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0)),
+                                        F.coalesce(F.max("n_shingles"), F.lit(1))).first()
+    frequent, weight = _frequent(src, shingle, n_reps)
     parts = shuffle_partitions(spark, tokens * 3 // 5, PER_PARTITION)
     index = partial(_index, n=shingle, parts=parts, limit=int(limit), frequent=frequent, weight=weight)
-    packed = distinct.mapInArrow(index, "part int, sig binary, doc binary").repartitionById(parts, "part")
+    packed = (src.where("doc_id is not null").select("text").mapInArrow(index, "part int, sig binary, doc binary")
+              .repartitionById(parts, "part"))
     members = cut_lineage(packed.mapInArrow(_collide, "grp long, doc long, probe boolean").dropDuplicates(["grp", "doc"]))
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = cut_lineage(src.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, n=shingle), "doc_id long, n long, tokens binary"))
+    # only sets with a candidate are read again, each from one of its documents
+    wanted = (members.select(F.col("doc").alias("f1")).distinct().join(classes, "f1")
+              .groupBy("f1").agg(F.min("class_id").alias("doc_id")))
+    sets = cut_lineage(src.join(wanted, "doc_id").select("f1", "text")
+                       .mapInArrow(partial(_sets, n=shingle), SET_SCHEMA))
     found = _connect(members, sets)
     result = (feats.join(classes, ["n_shingles", "f1", "f2"], "left")
-              .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
-    # an id with several texts unites their classes
-    same_id = result.where("class_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+              .select("doc_id", "n_shingles", "f1", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
+    # component: the smallest id among the classes of a component of sets
+    root = F.coalesce("component", "f1")
+    named = classes.join(found.withColumnRenamed("node", "f1"), "f1", "left").select("class_id", root.alias("root"))
     twice = result.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi")
+    smallest = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    named = named.join(smallest, "root").select("class_id", "component_id")
     if not twice.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(same_id), cut_lineage)
-    named = found.select(F.col("node").alias("class_id"), "component")
+        # an id with several texts unites their components
+        same = (result.where("class_id is not null").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+                .unionAll(named.select(F.col("class_id").alias("a"), F.col("component_id").alias("b"))))
+        named = components(same, cut_lineage).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     return (result.join(named, "class_id", "left")
-            .select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")))
+            .select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id")))
 
 
-def _frequent(src: DataFrame, reps: DataFrame, shingle: int, n_reps: int):
-    """Shingles met often in a sample of COST_SAMPLE sets, sorted, with how often.
-    At most the sample's shingles / FREQUENT values come to the driver."""
-    sample = reps.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(COST_SAMPLE)
-    tokens = src.join(sample, "doc_id", "left_semi").mapInArrow(partial(_tokens, n=shingle), "h long")
+def _frequent(src: DataFrame, shingle: int, n: int):
+    """Shingles met often among about COST_SAMPLE texts (by id hash), sorted, with how
+    often. At most the sample's shingles / FREQUENT values come to the driver."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit("cost")), F.lit(1 << 30)) / F.lit(1 << 30)
+    tokens = src.where(place * n < COST_SAMPLE).select("doc_id", "text").mapInArrow(partial(_tokens, n=shingle), "h long")
     rows = tokens.groupBy("h").count().where(F.col("count") >= FREQUENT).toArrow()
     h = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
@@ -304,31 +350,28 @@ def _frequent(src: DataFrame, reps: DataFrame, shingle: int, n_reps: int):
 
 
 def _connect(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Components over the verified links. In round t every open group compares its
-    next 2**t probing members (the hubs) with its members of other components."""
-    hubs = F.row_number().over(_by_group().orderBy("doc"))
-    ranked = cut_lineage(members.where("probe").select("grp", "doc", hubs.alias("k")))
-    spark = members.sparkSession
-    found = spark.createDataFrame([], "node long, component long")
+    """(node, component) over the verified links. A round lets every open group compare
+    its next probing members (the hubs: 1, 64, 4096, ...) with its members of other
+    components; groups that lie in one component, or have no hub left, are closed."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("grp", "probe").orderBy("doc")
+    members = cut_lineage(members.withColumn("k", F.when(F.col("probe"), F.row_number().over(order))).select("grp", "doc", "k")
+                          .withColumn("comp", F.col("doc")))
+    found = members.sparkSession.createDataFrame([], "node long, component long")
+    small = sets.drop("tokens")
     done, step = 0, 1
     while True:
-        label = lambda df: (df.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-                            .withColumn("comp", F.coalesce("component", "doc")).drop("component"))
-        inside = label(members)
-        mixed = inside.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-        now = label(ranked.where((F.col("k") > done) & (F.col("k") <= done + step)).join(mixed, "grp", "left_semi"))
-        pairs = (now.select("grp", F.col("doc").alias("h"), F.col("comp").alias("hc"))
-                 .join(inside.select("grp", "doc", "comp"), "grp").where("hc <> comp")
-                 .select(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b")).distinct())
+        sketched = members.join(small, "doc")
+        pairs = _near(sketched.where((F.col("k") > done) & (F.col("k") <= done + step)), sketched)
         edges = cut_lineage(_links(pairs, sets))
-        if not edges.isEmpty():
-            old = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = components(old.unionAll(edges), cut_lineage)
-        done, step = done + step, step * 2
-        if ranked.where(F.col("k") > done).join(mixed, "grp", "left_semi").isEmpty():
+        old = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(old.unionAll(edges), cut_lineage)
+        done, step = done + step, step * 64
+        labelled = (members.select("grp", "doc", "k").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+                    .select("grp", "doc", "k", F.coalesce("component", "doc").alias("comp")))
+        is_open = (labelled.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("k").alias("last"))
+                   .where((F.col("lo") != F.col("hi")) & (F.col("last") > done)).select("grp"))
+        members = cut_lineage(labelled.join(is_open, "grp", "left_semi"))
+        if members.isEmpty():
             return found
-
-
-def _by_group():
-    from pyspark.sql import Window
-    return Window.partitionBy("grp")
