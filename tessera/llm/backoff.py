@@ -26,13 +26,16 @@ from tessera.llm.common import CHAIN, Words, blob, chunks, mix, unblob
 
 ORDER, ALPHA, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a block, and in the share of an n-gram partition.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 6 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 6 << 20
+#: Bits of an n-gram's name beyond the logarithm of the number of n-grams: two of
+#: them share a name with a chance of 2**-NAME_BITS.
+NAME_BITS = 26
 
 
 class Grams:
     """The n-grams of a block of documents: name and document of each, by order."""
 
-    def __init__(self, text: pa.Array):
+    def __init__(self, text: pa.Array, bits: int = 64):
         hashes, docs, first = [], [], 0
         for a, b, data, offsets in chunks(text):
             w = Words(data, offsets, lower=True)
@@ -46,7 +49,7 @@ class Grams:
             size = max(0, len(self.word) - n + 1)
             chain = chain[:size] * CHAIN + self.word[n - 1 : n - 1 + size]
             at = np.flatnonzero(self.doc[:size] == self.doc[n - 1 : n - 1 + size])
-            self.names.append(mix(chain[at] + np.uint64(n)))
+            self.names.append(mix(chain[at] + np.uint64(n)) >> np.uint64(64 - bits))
             self.at.append(at)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
@@ -56,27 +59,27 @@ class Grams:
         return every[edge], np.diff(np.r_[edge, len(every)])
 
 
-def _cuts(names: np.ndarray, parts: int) -> np.ndarray:
+def _cuts(names: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Where the sorted names are cut into ``parts`` ranges of hash values."""
-    step = (1 << 64) // parts
+    step = (1 << bits) // parts
     edge = np.array([k * step for k in range(1, parts)], np.uint64)
     return np.r_[0, np.searchsorted(names, edge), len(names)]
 
 
 def _blocks(batches):
     """(block, text) of each block in the partition."""
-    table = pa.Table.from_batches(batches) if batches else None
-    if table is None or not table.num_rows:
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     block = table.column("block").to_numpy()
     for k in np.unique(block):
         yield int(k), table.filter(pa.array(block == k)).column("text").combine_chunks()
 
 
-def _request(batches, parts):
+def _request(batches, parts, bits):
     for block, text in _blocks(list(batches)):
-        names, counts = Grams(text).distinct()
-        cut = _cuts(names, parts)
+        names, counts = Grams(text, bits).distinct()
+        cut = _cuts(names, parts, bits)
         rows = [(p, a, b) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
         yield pa.RecordBatch.from_arrays(
             [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
@@ -109,9 +112,9 @@ def _answer(batches):
         names=["part", "block", "totals"])
 
 
-def score_block(text: pa.Array, totals, words: int) -> tuple[np.ndarray, np.ndarray]:
+def score_block(text: pa.Array, totals, words: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, log score) of each document; ``totals`` answers the block's distinct names."""
-    grams = Grams(text)
+    grams = Grams(text, bits)
     docs = len(text)
     own = np.bincount(grams.doc, minlength=docs)
     names, counts = grams.distinct()
@@ -140,12 +143,12 @@ def score_block(text: pa.Array, totals, words: int) -> tuple[np.ndarray, np.ndar
     return own, np.bincount(grams.doc, weights=log, minlength=docs)
 
 
-def _score(key, docs: pa.Table, answers: pa.Table, words: int) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, words: int, bits: int) -> pa.Table:
     text = docs.column("text").combine_chunks()
     order = np.argsort(answers.column("part").to_numpy()) if answers.num_rows else []
     rows = answers.column("totals").to_pylist()
     totals = np.concatenate([unblob(rows[k], np.uint64) for k in order]) if len(order) else np.zeros(0, np.uint64)
-    own, log = score_block(text, totals, words)
+    own, log = score_block(text, totals, words, bits)
     mean = np.where(own > 0, log / np.maximum(own, 1), np.nan)
     return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(own, pa.int64()), "log_score": pa.array(np.round(log, 4)),
                      "mean_log": pa.array(np.round(mean, 4), mask=own == 0)})
@@ -164,11 +167,12 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total, words = src.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(n_words), F.lit(0))).first()
     blocks, parts = max(1, -(-total // block_bytes)), max(1, -(-total // part_bytes))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(int(blocks), "block")
-    asked = dealt.select("doc_id", "text", "block").mapInArrow(partial(_request, parts=int(parts)), "part int, block long, names binary, counts binary")
+    bits = min(64, max(1, int(3 * words)).bit_length() + NAME_BITS)
+    asked = dealt.select("doc_id", "text", "block").mapInArrow(partial(_request, parts=int(parts), bits=bits), "part int, block long, names binary, counts binary")
     answers = asked.repartitionById(int(parts), "part").mapInArrow(_answer, "part int, block long, totals binary")
     return (dealt.groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(partial(_scored, words=int(words)), "doc_id long, n_words long, log_score double, mean_log double"))
+            .applyInArrow(partial(_scored, words=int(words), bits=bits), "doc_id long, n_words long, log_score double, mean_log double"))
 
 
-def _scored(key, docs: pa.Table, answers: pa.Table, words: int) -> pa.Table:
-    return _score(key, docs, answers, words)
+def _scored(key, docs: pa.Table, answers: pa.Table, words: int, bits: int) -> pa.Table:
+    return _score(docs, answers, words, bits)
