@@ -34,7 +34,7 @@ from tessera.session import cut_lineage
 #: Bytes of a repeated string, and of the substrings that file a window.
 SPAN, ANCHOR = 200, 40
 #: Bytes of contexts in a shard, and contexts of one hash that a shard takes.
-SHARD_BYTES, SHARD_CONTEXTS = 3 << 20, 2048
+SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 1024
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,7 +59,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
     prefix = Prefix(data)
     at = np.arange(len(data) - ANCHOR + 1)
     width = SPAN - ANCHOR + 1
-    anchors = prefix.spans(at, at + ANCHOR)
+    anchors = prefix.every(ANCHOR)
     low = sliding_min(anchors, width)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(low)]
     inside = at[: len(low)] + SPAN <= offsets[doc + 1]
@@ -99,46 +99,62 @@ def eight_bytes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, left: np.ndarray):
+def first_bytes(text: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+    """The next ``width`` bytes from each place as a number, each byte plus one (0: past the end)."""
+    out = np.zeros(len(text), np.uint64)
+    padded = np.r_[text, np.zeros(width, np.uint8)]
+    for k in range(width):
+        out = out * np.uint64(257) + np.where(left > k, padded[k : k + len(text)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    return out
+
+
+def _order(key: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, their places); equal keys by place. Packed into one number if they fit."""
+    if int(key.max()) < 1 << (64 - bits):
+        both = np.sort((key.astype(np.uint64) << np.uint64(bits)) | at.astype(np.uint64))
+        return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int32)
+    order = np.lexsort((at, key))
+    return key[order], at[order]
+
+
+def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes in order (Larsson-Sadakane refinement); equal ones in order of place.
 
-    ``left[i]`` bytes follow place i in its own string. Returns the array and the
-    eight-byte keys it starts from."""
+    ``left[i]`` bytes follow place i in its own string."""
     n = len(text)
-    keys = eight_bytes(text, left)
-    short = np.minimum(left, 8)
-    # only a byte 0 looks like the end of a string
-    sa = np.argsort(keys, kind="stable") if n and text.min() > 0 else np.lexsort((short, keys))
-    head = np.r_[True, (keys[sa[1:]] != keys[sa[:-1]]) | (short[sa[1:]] != short[sa[:-1]])][:n]
-    group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = group
-    h, longest = 8, int(left.max()) if n else 0
-    at = np.flatnonzero(~(head & np.r_[head[1:], True]))
-    while h < longest and len(at):
+    bits = max(1, n.bit_length())
+    left = left.astype(np.int32)
+    h = 4
+    key, sa = _order(first_bytes(text, left, h), np.arange(n, dtype=np.int32), bits)
+    head = np.r_[True, key[1:] != key[:-1]][:n]
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
+    at = np.flatnonzero(~(head & np.r_[head[1:], True])).astype(np.int32)
+    while True:
+        # groups of one, and equal suffixes that have ended, are finished
         i = sa[at]
-        after = np.where(left[i] > h, rank[np.minimum(i + h, n - 1)] + 1, 0)
-        key = rank[i] * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        i, key = i[order], key[order]
+        go = left[i] >= h
+        at, i = at[go], i[go]
+        if not len(at):
+            return sa
+        after = np.where(left[i] > h, rank[np.minimum(i + h, n - 1)].astype(np.int64) + 1, 0)
+        key, i = _order((rank[i].astype(np.int64) << bits) | after, i, bits)
         sa[at] = i
         head = np.r_[True, key[1:] != key[:-1]]
         rank[i] = np.maximum.accumulate(np.where(head, at, 0))
-        # groups of one are finished
         at = at[~(head & np.r_[head[1:], True])]
         h *= 2
-    return sa, keys
 
 
-def common_prefixes(lanes: np.ndarray, other: np.ndarray, keys: np.ndarray, left: np.ndarray, limit: int = SPAN) -> np.ndarray:
-    """Bytes (up to ``limit``) that each place has in common with ``other``, the place
-    before it in suffix order (or -1).
+def common_prefixes(first: np.ndarray, size: np.ndarray, other: np.ndarray, text: np.ndarray, left: np.ndarray, limit: int = SPAN) -> np.ndarray:
+    """Bytes (up to ``limit``) that places have in common with ``other``, the place
+    before them in suffix order (or -1): of each string the ``size`` places from ``first``.
 
     Kasai's rule: the next place of a string has at most one byte less in common.
-    ``lanes`` are the bounds of the strings; all strings advance together."""
-    size = np.diff(lanes)
+    All strings advance together."""
+    keys = eight_bytes(text, left)
     order = np.argsort(-size, kind="stable")
-    start, size = lanes[:-1][order], size[order]
+    start, size = first[order], size[order]
     out = np.zeros(len(left), np.int64)
     have = np.zeros(len(start), np.int64)
     for t in range(int(size[0]) if len(size) else 0):
@@ -172,10 +188,11 @@ class Shard:
         self.text = np.frombuffer(b"".join(bodies), np.uint8)
         end = np.cumsum(size)
         left = np.repeat(end, size) - np.arange(len(self.text))
-        sa, keys = suffix_array(self.text, left)
+        sa = suffix_array(self.text, left)
         before = np.full(len(sa), -1)
         before[sa[1:]] = sa[:-1]
-        lcp = common_prefixes(np.r_[0, end], before, keys, left)
+        # places that are no windows have fewer than SPAN bytes left
+        lcp = common_prefixes(end - size, n_windows, before, self.text, left)
         classes = np.empty(len(sa), np.int64)
         classes[sa] = np.cumsum(lcp[sa] < SPAN) - 1
         first = np.r_[0, np.cumsum(n_windows)]
@@ -334,8 +351,8 @@ def repeats(keyed: DataFrame) -> DataFrame:
     named = filed.groupBy("low", "body").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
     hashes = (named.groupBy("low").agg(F.sum("n").alias("total"), F.count("*").alias("bodies"), F.min("n").alias("least"), F.max("twice").alias("own"))
               .withColumn("several", (F.col("bodies") > 1) | F.col("own")).where("total > 1 or several").drop("own"))
-    bodies = cut_lineage(named.join(hashes, "low").select("low", "body", "n", "bodies", "least", "several"))
-    occurring = filed.join(bodies, ["low", "body"])
+    bodies = cut_lineage(named.join(hashes, "low").select("low", "body", "n", "twice", "bodies", "least", "several"))
+    occurring = filed.drop("twice").join(bodies, ["low", "body"])
     occurring = cut_lineage(occurring.select("low", "body", "key", "s1", "s2", "n", "bodies", "least", "several"))
     whole = occurring.where("n > 1").select("key", "s1", "s2")
     # several windows that may be equal under a hash, and a body met once: compare them
