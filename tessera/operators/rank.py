@@ -1,11 +1,13 @@
 """Deterministic, exact, distributed ranks.
 
 ``hash_rank`` orders rows by ``md5(seed:key)`` (a seeded shuffle) inside
-optional strata. It never sorts a stratum in one task: every stratum is
-cut into ``16**digits`` sub-buckets by the leading hex digits of the hash,
-a tiny per-bucket count table gives each bucket its offset, and
-``row_number`` runs per (stratum, bucket). A stratum holding a third of
-all rows is therefore spread over thousands of window partitions.
+optional strata. Only the narrow ``(strata, key)`` projection is ranked: it is
+materialised once, cut into ``16**digits`` buckets per stratum by the leading hex
+digits of the hash, one table of bucket counts gives each bucket its offset
+(in two levels, so that no window runs over all buckets), and ``row_number``
+runs per (stratum, bucket). Strata and buckets are non-null keys, so the window
+and the join with the offsets share one exchange; wide rows meet their rank in
+one join.
 
 ``sequential_rank`` orders rows by arbitrary columns (values, lengths):
 a range-partitioned sort (the partitioner samples the full sort key, so a
@@ -16,9 +18,8 @@ offsets from a count table with one row per partition.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions._util import as_col, guard
@@ -26,88 +27,85 @@ from tessera.functions.keys import order_hash
 from tessera.operators.small import join_small
 from tessera.session import cut_lineage
 
-_H, _B, _RN, _C, _OFF = "_rk_h", "_rk_b", "_rk_rn", "_rk_c", "_rk_off"
-
-
-def _input_bytes(df: DataFrame) -> int:
-    """Bytes of the files the plan reads (file-relation leaves of the optimized
-    plan). Catalyst's estimates after joins and explodes are not usable (they
-    can exceed 10**18), the file sizes are."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRelation":
-            total += int(leaf.relation().sizeInBytes())
-    return total
-
-
-def auto_digits(df: DataFrame, bucket_bytes: int = 256 << 20, lo: int = 3, hi: int = 6) -> int:
-    """Hex digits of the hash bucket so that one bucket of a single stratum holds
-    about ``bucket_bytes`` of input: 3 digits (4096 buckets) up to ~1 TB, 5 at
-    100 TB. ``spark.tessera.rank.digits`` in the session overrides it."""
-    fixed = df.sparkSession.conf.get("spark.tessera.rank.digits", None)
-    if fixed:
-        return int(fixed)
-    try:
-        size = _input_bytes(df)
-    except Exception:  # noqa: BLE001 - no plan information: keep the default
-        return lo
-    buckets = max(size // bucket_bytes, 1)
-    return max(lo, min(hi, math.ceil(math.log(buckets, 16)) if buckets > 1 else lo))
-
-
-def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), prefix: str | None = None,
-              digits: int | None = None, rank_col: str = "rank", size_col: str | None = None,
-              start_col: str | None = None) -> DataFrame:
-    """Attach the exact 1-based rank of each row ordered by ``(prefix, md5(seed[:salt]:key), key)``
+_H, _B, _S, _RN, _C, _OFF, _ID = "_rk_h", "_rk_b", "_rk_s", "_rk_rn", "_rk_c", "_rk_off", "_rk_id"
+
+#: Rows wanted in a hash bucket of a single stratum.
+BUCKET_ROWS = 50_000
+
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits of a bucket so that ``rows`` rows of one stratum make buckets of about
+    BUCKET_ROWS. The result of a rank or cut does not depend on it."""
+    return max(1, math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16)))
+
+
+def _struct(cols):
+    # a struct is never null and equal structs have equal fields, nulls included
+    return F.struct(*[F.col(c) for c in cols]) if cols else F.struct(F.lit(0).alias("all"))
+
+
+class _Buckets:
+    """The narrow ``(strata, key, hash)`` projection of a frame and its bucket counts,
+    each materialised once."""
+
+    def __init__(self, df: DataFrame, key: str, seed, by, salt, digits: int | None):
+        self.key, self.by = key, list(by)
+        rows = cut_lineage(df.select(*self.by, key).withColumn(_H, order_hash(key, seed, *salt)))
+        self.digits = digits or bucket_digits(rows.count())
+        self.rows = rows.withColumn(_S, _struct(self.by)).withColumn(_B, F.substring(_H, 1, self.digits))
+        self.counts = cut_lineage(self.rows.groupBy(_S, _B).agg(F.count(F.lit(1)).alias(_C)))
+
+    def sizes(self) -> DataFrame:
+        """(stratum, _rk_n): one row per stratum."""
+        return self.counts.groupBy(_S).agg(F.sum(_C).alias("_rk_n"))
+
+    def offsets(self) -> DataFrame:
+        """(stratum, bucket, count, rows before it in its stratum)."""
+        half = max(1, self.digits // 2)
+        c = self.counts.withColumn("_rk_g", F.substring(_B, 1, half))
+        inside = Window.partitionBy(_S, "_rk_g").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(_S).orderBy("_rk_g").rowsBetween(Window.unboundedPreceding, -1)
+        groups = (c.groupBy(_S, "_rk_g").agg(F.sum(_C).alias("_rk_gc"))
+                  .select(F.col(_S).alias("_rk_s2"), F.col("_rk_g").alias("_rk_g2"), F.coalesce(F.sum("_rk_gc").over(before), F.lit(0)).alias("_rk_go")))
+        own = c.withColumn("_rk_io", F.coalesce(F.sum(_C).over(inside), F.lit(0)))
+        return (own.join(groups, (F.col(_S) == F.col("_rk_s2")) & (F.col("_rk_g") == F.col("_rk_g2")))
+                .select(_S, _B, _C, (F.col("_rk_go") + F.col("_rk_io")).alias(_OFF)))
+
+
+def hash_rank(df: DataFrame, key: str, seed, *, by=(), salt=(), digits: int | None = None, rank_col: str = "rank",
+              size_col: str | None = None, start_col: str | None = None) -> DataFrame:
+    """Attach the exact 1-based rank of each row ordered by ``(md5(seed[:salt]:key), key)``
     within the strata ``by``. ``size_col`` (optional) receives the stratum size,
     ``start_col`` the number of rows in all strata ordered before this one.
 
-    ``key`` must be unique within a stratum. ``prefix`` is an optional leading
-    order column of low cardinality (e.g. a length bucket).
+    ``key`` must be unique within a stratum; a repeated key raises inside the task.
 
-    Data movement: one shuffle of the rows by (stratum, bucket) for the row
-    numbers, plus a bucket-count aggregation that is combined map-side (one
-    row per bucket per task crosses the network). Callers whose input is
-    expensive to recompute cut its lineage first.
+    Data movement: the narrow projection once by (stratum, bucket), bucket counts
+    (map-side combined), and one join that brings ranks to wide rows. The input
+    is read twice: for the projection and for the rows.
     """
     by = list(by)
-    digits = digits or auto_digits(df)
-    h = order_hash(key, seed, *salt)
-    tmp = df.withColumn(_H, h).withColumn(_B, F.substring(F.col(_H), 1, digits))
-    head = by + ([prefix] if prefix else [])
-    grp = head + [_B]
-
-    w = Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))
-    # equal keys hash equally, so a duplicate sits next to its twin in this window:
-    # the uniqueness check is free and raises inside the task
-    dup = F.lag(F.col(key)).over(w).eqNullSafe(F.col(key))
-    ranked = tmp.withColumn(_RN, guard(dup, F.concat(F.lit("duplicate key in rank: "), F.col(key).cast("string")),
-                                       F.row_number().over(w)))
-
-    # per-bucket sizes: at most (#strata x #prefix x 16**digits) rows
-    counts = tmp.groupBy(*grp).agg(F.count(F.lit(1)).alias(_C))
-    before = Window.partitionBy(*by).orderBy(*[F.col(c) for c in head[len(by):]], F.col(_B)) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    sel = [*[F.col(c).alias("_o" + c) for c in grp], F.coalesce(F.sum(_C).over(before), F.lit(0)).alias(_OFF)]
-    if size_col:
-        sel.append(F.sum(_C).over(Window.partitionBy(*by)).alias(size_col))
-    if start_col:
-        # rows before this bucket over all strata minus rows before it in its own stratum
-        glob = Window.orderBy(*[F.col(c) for c in grp]).rowsBetween(Window.unboundedPreceding, -1)
-        sel.append((F.coalesce(F.sum(_C).over(glob), F.lit(0))
-                    - F.coalesce(F.sum(_C).over(before), F.lit(0))).alias(start_col))
-    offsets = counts.select(*sel)
-
-    # names are unique on both sides, so the self-derived join is unambiguous
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_o" + c)) for c in grp])
-    joined = ranked.join(offsets, on=on, how="inner")
-    extra = [(F.col(_OFF) + F.col(_RN)).cast("long").alias(rank_col)]
-    for c in (size_col, start_col):
-        if c:
-            extra.append(F.col(c).cast("long").alias(c))
-    return joined.select(*[F.col(c) for c in df.columns], *extra)
+    b = _Buckets(df, key, seed, by, salt, digits)
+    w = Window.partitionBy(_S, _B).orderBy(F.col(_H), F.col(key))
+    # equal keys hash equally, so a duplicate sits next to its twin in this window
+    dup = F.lag(F.col(key)).over(w).eqNullSafe(F.col(key)) & (F.row_number().over(w) > 1)
+    ranked = b.rows.withColumn(_RN, guard(dup, F.concat(F.lit("duplicate key in rank: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))),
+                                          F.row_number().over(w)))
+    off = b.offsets().select(F.col(_S).alias("_rk_os"), F.col(_B).alias("_rk_ob"), _OFF)
+    out = ranked.join(off, (F.col(_S) == F.col("_rk_os")) & (F.col(_B) == F.col("_rk_ob")))
+    cols = [(F.col(_OFF) + F.col(_RN)).cast("long").alias(rank_col)]
+    if size_col or start_col:
+        # one row per stratum
+        before = Window.orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
+        per = b.sizes().select(F.col(_S).alias("_rk_ps"), F.col("_rk_n").cast("long").alias(size_col or "_rk_size"),
+                               F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).cast("long").alias(start_col or "_rk_start"))
+        out = join_small(out, per, F.col(_S) == F.col("_rk_ps"), "inner")
+        cols += [F.col(c) for c in (size_col, start_col) if c]
+    narrow = by + [key]
+    if set(df.columns) == set(narrow):
+        return out.select(*[F.col(c) for c in df.columns], *cols)
+    ranks = out.select(_struct(narrow).alias("_rk_rid"), *cols)
+    return df.withColumn(_ID, _struct(narrow)).join(ranks, F.col(_ID) == F.col("_rk_rid")).drop(_ID, "_rk_rid")
 
 
 def sequential_rank(df: DataFrame, order, *, weight: str | None = None,
@@ -149,69 +147,42 @@ def hash_cut(df: DataFrame, key: str, seed, cuts: dict, *, by=(), salt=(), digit
 
     ``cuts`` maps an output column name to ``k``: a function of the stratum
     size Column (it may also use the ``by`` columns). The new boolean column is
-    true exactly where :func:`hash_rank` would give ``rank <= k``.
+    true exactly where :func:`hash_rank` would give ``rank <= k``. A cut that would
+    fall between rows of one key raises.
 
-    Only narrow data moves: bucket counts (map-side combined), then a window
-    over the one bucket per stratum and cut that holds position ``k`` (about
-    n / 16**digits rows) gives the cutoff ``(hash, key)``; the wide rows are
-    compared with a table of one row per stratum. No shuffle of the input rows.
+    Only narrow data moves: one materialised projection and one table of bucket
+    counts give sizes, offsets and the bucket that holds position ``k``; a window
+    over those buckets gives the cutoff ``(hash, key)``, and the rows are compared
+    with a table of one row per stratum. The input is read twice and not shuffled.
     """
     by = list(by)
-    digits = digits or auto_digits(df)
-    h = order_hash(key, seed, *salt)
-    tmp = df.withColumn(_H, h).withColumn(_B, F.substring(F.col(_H), 1, digits))
-    grp = by + [_B]
-    counts = tmp.groupBy(*grp).agg(F.count(F.lit(1)).alias(_C))
-    before = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    c = counts.select(*grp, _C, F.coalesce(F.sum(_C).over(before), F.lit(0)).alias(_OFF),
-                      F.sum(_C).over(Window.partitionBy(*by)).alias("_ct_n"))
-    n = F.col("_ct_n")
-    # the bucket holding position k, and k's position inside it (tiny: strata x cuts rows)
+    b = _Buckets(df, key, seed, by, salt, digits)
+    sizes = cut_lineage(b.sizes())
+    c = b.offsets().join(sizes.withColumnRenamed(_S, "_ct_s"), F.col(_S) == F.col("_ct_s"))
+    c = c.select(_S, _B, _C, _OFF, "_rk_n", *[F.col(f"{_S}.`{x}`").alias(x) for x in by])
     targets = None
     for name, k_of in cuts.items():
-        k = k_of(n)
+        k = k_of(F.col("_rk_n"))
         t = c.where((k > F.col(_OFF)) & (k <= F.col(_OFF) + F.col(_C))) \
-            .select(*grp, (k - F.col(_OFF)).cast("long").alias("_ct_r"), F.lit(name).alias("_ct_cut"))
+            .select(F.col(_S).alias("_ct_s"), F.col(_B).alias("_ct_b"), (k - F.col(_OFF)).cast("long").alias("_ct_r"), F.lit(name).alias("_ct_cut"))
         targets = t if targets is None else targets.unionByName(t)
-    target_buckets = targets.select(*[F.col(g).alias("_ctb" + g) for g in grp]).distinct()
-    on_b = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col("_ctb" + g)) for g in grp])
-    # strata x cuts rows: broadcast behind the size check, so no row is shuffled to find them
-    inb = join_small(tmp.select(*grp, _H, key), target_buckets, on=on_b, how="left_semi")
-    inb = inb.withColumn(_RN, F.row_number().over(Window.partitionBy(*grp).orderBy(F.col(_H), F.col(key))))
-    tg = targets.select(*[F.col(g).alias("_ctt" + g) for g in grp], "_ct_r", "_ct_cut")
-    on_t = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col("_ctt" + g)) for g in grp]) \
-        & (F.col(_RN) == F.col("_ct_r"))
-    cutoffs = inb.join(tg, on=on_t, how="inner").select(*by, "_ct_cut", F.col(_H).alias("_ct_h"),
-                                                         F.col(key).alias("_ct_k"))
-    # one row per stratum: its size and, per cut, the cutoff (hash, key)
-    per = c.select(*by, "_ct_n").distinct()
-    if by:
-        for name in cuts:
-            cut = cutoffs.where(F.col("_ct_cut") == name).select(
-                *[F.col(b).alias("_ctc" + b) for b in by], F.col("_ct_h").alias("_ch_" + name),
-                F.col("_ct_k").alias("_ck_" + name))
-            on_c = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col("_ctc" + b)) for b in by])
-            per = per.join(cut, on=on_c, how="left").drop(*["_ctc" + b for b in by])
-        on_p = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col("_ctp" + b)) for b in by])
-        per = per.select(*[F.col(b).alias("_ctp" + b) for b in by], *[c_ for c_ in per.columns if c_ not in by])
-        # one row per stratum: broadcast behind a size check, so the input rows never shuffle
-        out = join_small(tmp, per, on=on_p, how="left").drop(*["_ctp" + b for b in by])
-    else:
-        # a single stratum: its size and cutoffs are a handful of scalars
-        row = per.first()
-        size = row["_ct_n"] if row else 0
-        out = tmp.withColumn("_ct_n", F.lit(size).cast("long"))
-        cut_rows = {r["_ct_cut"]: (r["_ct_h"], r["_ct_k"]) for r in cutoffs.collect()}
-        for name in cuts:
-            hv, kv = cut_rows.get(name, (None, None))
-            out = out.withColumn("_ch_" + name, F.lit(hv).cast("string")) \
-                .withColumn("_ck_" + name, F.lit(kv).cast(df.schema[key].dataType))
-    n = F.col("_ct_n")
+    targets = cut_lineage(targets)  # strata x cuts rows
+    same = (F.col(_S) == F.col("_ct_s")) & (F.col(_B) == F.col("_ct_b"))
+    inb = join_small(b.rows.select(_S, _B, _H, key), targets.select("_ct_s", "_ct_b").distinct(), same, "left_semi")
+    w = Window.partitionBy(_S, _B).orderBy(F.col(_H), F.col(key))
+    split = F.lead(F.struct(_H, key)).over(w) == F.struct(_H, key)
+    inb = inb.withColumn(_RN, F.row_number().over(w)).withColumn("_ct_split", F.coalesce(split, F.lit(False)))
+    hit = inb.join(targets, same & (F.col(_RN) == F.col("_ct_r")))
+    safe = guard(F.col("_ct_split"), F.concat(F.lit("duplicate key at a cut: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.col(_H))
+    cutoffs = hit.select(F.col(_S).alias("_ct_s"), "_ct_cut", F.struct(safe.alias("h"), F.col(key).alias("k")).alias("_ct_at"))
+    # one row per stratum: its size and a cutoff per cut
+    per = sizes.join(cutoffs.groupBy("_ct_s").pivot("_ct_cut", list(cuts)).agg(F.first("_ct_at")), F.col(_S) == F.col("_ct_s"), "left")
+    per = per.select(F.col(_S).alias("_ct_ps"), F.col("_rk_n"), *[F.col(f"`{name}`").alias("_ct_c_" + name) for name in cuts])
+    rows = df.withColumn(_H, order_hash(key, seed, *salt)).withColumn(_S, _struct(by))
+    out = join_small(rows, per, F.col(_S) == F.col("_ct_ps"), "left")
+    n = F.col("_rk_n")
     for name, k_of in cuts.items():
-        k = k_of(n)
-        ch, ck = F.col("_ch_" + name), F.col("_ck_" + name)
-        inside = (F.col(_H) < ch) | ((F.col(_H) == ch) & (F.col(key) <= ck))
-        out = out.withColumn(name, F.when(k >= n, F.lit(True)).when(k <= 0, F.lit(False))
-                             .otherwise(F.coalesce(inside, F.lit(False))))
-    extra = [c_ for c_ in out.columns if c_.startswith("_ch_") or c_.startswith("_ck_")]
-    return out.drop(_H, _B, "_ct_n", *extra)
+        k, at = k_of(n), F.col("_ct_c_" + name)
+        inside = F.struct(F.col(_H).alias("h"), F.col(key).alias("k")) <= at
+        out = out.withColumn(name, F.when(k >= n, F.lit(True)).when(k <= 0, F.lit(False)).otherwise(F.coalesce(inside, F.lit(False))))
+    return out.drop(_H, _S, "_ct_ps", "_rk_n", *["_ct_c_" + name for name in cuts])

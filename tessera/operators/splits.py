@@ -86,7 +86,8 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed=42, v
 def covering_fold_table(df: DataFrame, key: str, k: int = 10, test: float = 0.2, val: float = 0.15,
                         seed=42) -> DataFrame:
     """K4 as ``(key, fold, part)``: k shuffled blocks, block f is in fold f's test part,
-    topped up to ``floor(test*n)`` rows by random other rows; ``floor(val*n)`` rows are 'val'."""
+    topped up to ``floor(test*n)`` rows by random other rows; ``floor(val*n)`` rows are 'val'.
+    Blocks larger than ``floor(test*n)`` are an error."""
     r = hash_rank(df.select(key), key, seed, rank_col="_k_rank", size_col="_k_n")
     n, rk = F.col("_k_n"), F.col("_k_rank")
     q, rem = F.floor(n / k), n % k
@@ -103,6 +104,7 @@ def covering_fold_table(df: DataFrame, key: str, k: int = 10, test: float = 0.2,
     part = (F.when(F.col("_k_in") | F.col("_k_t2"), "test")
             .when(F.col("_k_v2"), "val")
             .otherwise("train"))
+    part = guard(extra < 0, "a block is larger than the test part: use more folds or a larger test share", part)
     return e.select(key, F.col("fold").cast("int").alias("fold"), part.alias("part"))
 
 
@@ -111,30 +113,15 @@ def covering_splits(df: DataFrame, key: str, k: int = 10, test: float = 0.2, val
     return df.join(covering_fold_table(df, key, k, test, val, seed), on=key, how="inner")
 
 
-SMALL_SAMPLE = 100_000
-
-
 def sample_n(df: DataFrame, n: int, key: str, seed, strict: bool = True) -> DataFrame:
-    """K5: exactly ``n`` rows without replacement; ``n`` above the row count is an error.
-
-    Small ``n`` plans as TakeOrderedAndProject (per-partition top-n, no full
-    sort); large ``n`` uses a hash cut (no shuffle of the input rows).
-    """
-    if n <= SMALL_SAMPLE:
-        h = order_hash(key, seed)
-        out = df.withColumn("_k_h", h).orderBy("_k_h", key).limit(n).drop("_k_h")
-        if strict:
-            have = df.limit(n + 1).count() if n < SMALL_SAMPLE else df.count()
-            if have < n:
-                raise ValueError(f"cannot sample {n} rows from {have}")
-        return out
-    c = hash_cut(df, key, seed, {"_k_in": lambda size: F.lit(n).cast("long")})
-    out = c.where(F.col("_k_in")).drop("_k_in")
+    """K5: exactly ``n`` rows without replacement; ``n`` above the row count is an error
+    (unless not ``strict``). A hash cut at every size: the rows are not shuffled."""
     if strict:
         have = df.count()  # cheap: a count reads no columns
         if have < n:
             raise ValueError(f"cannot sample {n} rows from {have}")
-    return out
+    c = hash_cut(df, key, seed, {"_k_in": lambda size: F.lit(n).cast("long")})
+    return c.where(F.col("_k_in")).drop("_k_in")
 
 
 def shuffle(df: DataFrame, key: str, seed, rank_col: str = "shuffle_rank", physical: bool = False) -> DataFrame:
@@ -151,16 +138,22 @@ def batches(df: DataFrame, size: int, key: str, seed=None, order=None, batch_col
         r = hash_rank(df, key, seed, rank_col="_k_rank")
     else:
         # rank the narrow (order, key) projection only; the wide rows meet their
-        # rank in one join instead of being sorted and materialised themselves
-        order = list(order or [])
-        ranks = sequential_rank(df.select(key, *order), order + [key], rank_col="_k_rank")
-        r = df.join(ranks, on=order + [key], how="inner")  # (order, key) is unique: a total order
+        # rank in one null-safe join instead of being sorted and materialised themselves
+        r = _ranked_by(df, key, list(order or []))
     return r.withColumn(batch_col, F.floor((F.col("_k_rank") - 1) / size).cast("long")).drop("_k_rank")
 
 
-def length_bucketed_batches(df: DataFrame, length_col: str, size: int, key: str, seed,
-                            bucket_width: int = 64, batch_col: str = "batch_id") -> DataFrame:
-    """K8: batches of similar length: order by (length bucket, seeded hash), then cut."""
-    b = df.withColumn("_k_lb", F.floor(F.col(length_col) / bucket_width).cast("long"))
-    r = hash_rank(b, key, seed, prefix="_k_lb", rank_col="_k_rank")
-    return r.withColumn(batch_col, F.floor((F.col("_k_rank") - 1) / size).cast("long")).drop("_k_rank", "_k_lb")
+def _ranked_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``df`` with ``_k_rank`` by (order, key); a null is a value like any other."""
+    cols = list(dict.fromkeys([*order, key]))
+    ranks = sequential_rank(df.select(*cols), cols, rank_col="_k_rank")
+    ident = F.struct(*[F.col(c) for c in cols])  # never null, and equal where all fields are
+    ranks = ranks.select(ident.alias("_k_rid"), "_k_rank")
+    return df.withColumn("_k_id", ident).join(ranks, F.col("_k_id") == F.col("_k_rid")).drop("_k_id", "_k_rid")
+
+
+def length_bucketed_batches(df: DataFrame, length_col: str, size: int, key: str, seed, batch_col: str = "batch_id") -> DataFrame:
+    """K8: batches of equal length as far as possible: order by (length, seeded hash, key), then cut."""
+    b = df.withColumn("_k_h", order_hash(key, seed))
+    r = _ranked_by(b, key, [length_col, "_k_h"])
+    return r.withColumn(batch_col, F.floor((F.col("_k_rank") - 1) / size).cast("long")).drop("_k_rank", "_k_h")

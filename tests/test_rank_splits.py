@@ -87,7 +87,7 @@ def test_batches(spark):
     assert sorted(r["count"] for r in b.groupBy("batch_id").count().collect()) == [3, 16, 16]
     s = K.batches(d, 16, "k", order=[]).orderBy("k").collect()
     assert [r.batch_id for r in s][:17] == [0] * 16 + [1]
-    lb = K.length_bucketed_batches(d.withColumn("len", F.col("k") * 10), "len", 8, "k", 1, bucket_width=100)
+    lb = K.length_bucketed_batches(d.withColumn("len", F.col("k") * 10), "len", 8, "k", 1)
     assert lb.groupBy("batch_id").count().count() == 5
 
 
@@ -110,12 +110,11 @@ def test_hash_rank_hot_stratum(spark):
     assert buckets > 1000
 
 
-def test_sample_n_paths_agree(spark, monkeypatch):
+def test_sample_n_is_a_rank_prefix(spark):
     d = table(spark, SF, "documents").select("doc_id", "lang")
-    small = sorted(r.doc_id for r in K.sample_n(d, 37, "doc_id", 9).collect())
-    monkeypatch.setattr(K, "SMALL_SAMPLE", 5)  # force the hash-cut path
-    large = sorted(r.doc_id for r in K.sample_n(d, 37, "doc_id", 9).collect())
-    assert small == large and len(large) == 37
+    got = sorted(r.doc_id for r in K.sample_n(d, 37, "doc_id", 9).collect())
+    want = sorted(r.doc_id for r in hash_rank(d, "doc_id", 9).where("rank <= 37").collect())
+    assert got == want and len(got) == 37
 
 
 def _final_plan(df):
