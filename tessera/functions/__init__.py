@@ -3,4 +3,4 @@ from tessera.functions.text import (  # noqa: F401
     format_metric, parse_vector, remove_empty_lines, remove_links, softmax,
     strip_timestamp, word_count,
 )
-from tessera.functions.keys import composite_key, hash_fraction, order_hash, with_id  # noqa: F401
+from tessera.functions.keys import composite_key, order_hash, with_id  # noqa: F401

@@ -26,9 +26,3 @@ def order_hash(key, seed, *salt) -> Column:
     # salts: plain values are literals, Columns (e.g. the fold) are evaluated per row
     pieces = [F.lit(str(seed))] + [F.lit(str(s)) if isinstance(s, (str, int, float)) else s.cast("string") for s in salt]
     return F.md5(F.concat_ws(":", *pieces, as_col(key).cast("string")))
-
-
-def hash_fraction(key, seed, *salt) -> Column:
-    """A uniform double in [0, 1) derived from :func:`order_hash` (first 13 hex digits)."""
-    h = order_hash(key, seed, *salt)
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13)

@@ -39,9 +39,12 @@ def augment_training(train: DataFrame, aug: DataFrame, label: str, value, key: s
     table when it is expensive to recompute.
     """
     by = list(by)
-    a = aug.select(F.col(key).alias("_a_key"), F.col(sent).alias("_a_sent"))
+    # a sentence that occurs n times for an ID is appended n times
+    a = aug.groupBy(F.col(key).alias("_a_key"), F.col(sent).alias("_a_sent")).agg(F.count(F.lit(1)).cast("int").alias("_a_times"))
     sents = train.select(*by, row_key, key).join(a, F.col(key) == F.col("_a_key"), "inner") \
-        .select(*by, F.concat_ws("\u0001", F.col(row_key).cast("string"), F.col("_a_sent")).alias("_a_id"),
+        .withColumn("_a_k", F.explode(F.sequence(F.lit(1), F.col("_a_times")))) \
+        .select(*by, F.concat_ws("\u0001", F.col(row_key).cast("string"), F.col("_a_sent"),
+                                 F.when(F.col("_a_k") > 1, F.col("_a_k").cast("string"))).alias("_a_id"),
                 F.col("_a_sent"))
     sents = hash_rank(sents, "_a_id", seed, by=by, salt=["sentence"], rank_col="_a_rank", size_col="_a_m")
     donors = hash_rank(train, row_key, seed, by=by, salt=["donor"], rank_col="_a_rank", size_col="_a_n")

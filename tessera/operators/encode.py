@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions._util import guard
-from tessera.operators.joins import first_per_key
+from tessera.operators.joins import attach_scores
 from tessera.operators.small import join_small
+from tessera.session import cut_lineage
 
 
 def fit_label_encoder(df: DataFrame, col: str, index_col: str = "index") -> DataFrame:
@@ -59,19 +60,22 @@ def build_vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
 def encode_sequences(df: DataFrame, text: str, key: str, vocab: DataFrame, max_len: int,
                      out: str = "input_ids") -> DataFrame:
     """[CLS] + ids of the first ``max_len - 2`` words + [SEP], post-padded with 0.
-    Positions beyond the cut are dropped before the shuffle; the vocabulary
-    has a fixed size bound, so it is broadcast."""
+
+    The input is materialised once with a row number, so cleaning and tokenising
+    run once and repeated or null ``key`` values do not matter. Positions beyond the
+    cut are dropped before the shuffle; the vocabulary is broadcast behind a check
+    of its size."""
     keep = max_len - 2
-    # the whole text is tokenised; only the positions that survive truncation are emitted
-    pos = df.select(key, F.posexplode(F.slice(tokens(text), 1, keep)).alias("p", "word"))
-    v = F.broadcast(vocab.select("word", "id"))
-    ids = pos.join(v, on="word", how="left").select(key, "p", F.coalesce("id", F.lit(UNK)).alias("id"))
-    seq = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("_s"))
-    seq = seq.select(key, F.transform("_s", lambda s: s["id"]).alias("_ids"))
-    j = df.join(seq, on=key, how="left")
+    rows = cut_lineage(df.withColumn("_e_row", F.monotonically_increasing_id()))
+    pos = rows.select("_e_row", F.posexplode(F.slice(tokens(text), 1, keep)).alias("p", "word"))
+    v = vocab.select(F.col("word").alias("_e_word"), "id")
+    ids = join_small(pos, v, F.col("word") == F.col("_e_word"), "left").select("_e_row", "p", F.coalesce("id", F.lit(UNK)).alias("id"))
+    seq = ids.groupBy("_e_row").agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("_s"))
+    seq = seq.select("_e_row", F.transform("_s", lambda s: s["id"]).alias("_ids"))
+    j = rows.join(seq, on="_e_row", how="left")
     body = F.concat(F.array(F.lit(CLS)), F.coalesce(F.col("_ids"), F.array().cast("array<int>")), F.array(F.lit(SEP)))
     padded = F.concat(body, F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(body)))
-    return j.withColumn(out, padded).drop("_ids")
+    return j.withColumn(out, padded).drop("_ids", "_e_row")
 
 
 def explode_probs(df: DataFrame, vec: str, n: int, prefix: str = "prediction_class") -> DataFrame:
@@ -92,8 +96,8 @@ def compose_text(df: DataFrame, bins, text: str, out: str = "AQ") -> DataFrame:
 
 
 def compose_with_lookup(df: DataFrame, binned: DataFrame, key: str, order: str, bins, text: str,
-                        out: str = "AQ") -> DataFrame:
-    """T8 as in the reference: J1 lookup of the binned scores by ID, then compose."""
-    b = first_per_key(binned, key, order, bins)
-    j = df.join(b, on=key, how="inner")
+                        out: str = "AQ", on_missing: str = "error") -> DataFrame:
+    """T8 as in the reference: J1 lookup of the binned scores by ID, then compose. A row
+    without scores is an error, or prints ``nan`` labels with ``on_missing='null'``."""
+    j = attach_scores(df, binned, key, order, list(bins), on_missing=on_missing)
     return compose_text(j, bins, text, out)

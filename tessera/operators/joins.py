@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 from tessera.functions._util import guard
 from tessera.operators.rank import hash_rank
@@ -20,20 +19,15 @@ SCORE_COLS = ("cogency", "effectiveness", "reasonableness", "overall")
 
 def first_per_key(right: DataFrame, key: str, order, cols) -> DataFrame:
     """One row per key: the values of the row with the smallest ``order`` (first match).
-    ``order`` is a column or a list of columns compared left to right; give a
-    total order (the reference's "first" is file order)."""
+    ``order`` is a column or a list of columns compared left to right (the reference's
+    "first" is file order). Where rows tie on ``order`` the one with the smallest
+    ``cols`` is taken, so that the values come from one row and do not depend on
+    the partitioning."""
     cols = list(cols)
     order = [order] if isinstance(order, str) else list(order)
-    prim = (NumericType, BooleanType, DateType, TimestampType)
-    fields = {f.name: f.dataType for f in right.schema.fields}
-    if len(order) == 1 and all(isinstance(fields[c], prim) for c in [*cols, *order]):
-        # fixed-width buffers: a hash aggregate (no sort of the right side); the
-        # order is unique per key, so every column comes from the same row
-        aggs = [F.min_by(F.col(c), F.col(order[0])).alias(c) for c in cols]
-        return right.groupBy(key).agg(*aggs)
-    o = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
-    s = F.min_by(F.struct(*[F.col(c) for c in cols]), o).alias("_j_v")
-    return right.groupBy(key).agg(s).select(key, *[F.col(f"_j_v.{c}").alias(c) for c in cols])
+    o = [F.col(c) for c in order]
+    s = F.min(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(o)], *[F.col(c).alias(f"v{k}") for k, c in enumerate(cols)])).alias("_j_v")
+    return right.groupBy(key).agg(s).select(key, *[F.col(f"_j_v.v{k}").alias(c) for k, c in enumerate(cols)])
 
 
 def _attach(left, reduced, left_key, right_key, cols, on_missing, hashed=False):

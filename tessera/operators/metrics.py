@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from tessera.operators.small import join_small
+from tessera.operators.small import join_small, null_safe_on
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -49,11 +49,12 @@ def _restrict_classes(pc: DataFrame, labels, by) -> DataFrame:
     return kept.na.fill(0.0, ["precision", "recall", "f1_score"])
 
 
-def classification_report(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=(), labels=None) -> DataFrame:
+def classification_report(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=(), labels=None, with_accuracy: bool = False) -> DataFrame:
     """Per-class precision, recall, F1, support plus 'macro avg' and 'weighted avg' rows.
     Output (by..., label, precision, recall, f1_score, support); label is a string.
     ``labels`` (e.g. ``[1, 0]``) fixes the classes reported and averaged; a
-    listed class that never occurs gets zeros."""
+    listed class that never occurs gets zeros. ``with_accuracy`` adds the
+    'accuracy' row (its value in all three columns)."""
     by = list(by)
     pc = per_class(df, y, y_hat, by)
     if labels is not None:
@@ -70,12 +71,18 @@ def classification_report(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=
         _safe_div(F.sum(F.col("recall") * F.col("support")), tot).alias("recall"),
         _safe_div(F.sum(F.col("f1_score") * F.col("support")), tot).alias("f1_score"),
         tot.cast("long").alias("support"))
-    return rows.unionByName(macro).unionByName(weighted)
+    out = rows.unionByName(macro).unionByName(weighted)
+    if with_accuracy:
+        share = _safe_div(F.sum("tp"), tot)
+        out = out.unionByName(pc.groupBy(*by).agg(F.lit("accuracy").alias("label"), share.alias("precision"), share.alias("recall"),
+                                                  share.alias("f1_score"), tot.cast("long").alias("support")))
+    return out
 
 
 def accuracy(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=()) -> DataFrame:
-    """Share of correct predictions."""
-    return df.groupBy(*by).agg(F.avg((F.col(y) == F.col(y_hat)).cast("double")).alias("accuracy"))
+    """Share of correct predictions; a null prediction or label is wrong, as in
+    :func:`summary`."""
+    return df.groupBy(*by).agg(F.avg(F.coalesce(F.col(y) == F.col(y_hat), F.lit(False)).cast("double")).alias("accuracy"))
 
 
 def macro_prf(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=()) -> DataFrame:
@@ -110,6 +117,11 @@ def balanced_accuracy(df: DataFrame, y: str = "y", y_hat: str = "y_hat", by=())
     return pc.where(F.col("support") > 0).groupBy(*by).agg(F.avg("recall").alias("balanced_accuracy"))
 
 
+def _above(p: str, t: Column) -> Column:
+    # a null or NaN score is above nothing (Spark orders NaN above all numbers)
+    return F.coalesce(~F.isnan(F.col(p).cast("double")) & (F.col(p) > t), F.lit(False))
+
+
 # The threshold grid i * 0.01 for i = 10..89.
 THRESHOLD_STEPS = range(10, 90)
 
@@ -121,16 +133,19 @@ def best_threshold(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFram
     Histogram form: every row is counted once under j = number of grid
     thresholds strictly below p (81 values); true/false positives at
     threshold m are suffix sums over j > m, computed on <= 81 rows per group.
+    A null or NaN score is above no threshold.
     """
     by = list(by)
     grid = F.array(*[F.lit(i * 0.01) for i in THRESHOLD_STEPS])
-    j = F.size(F.filter(grid, lambda t: t < F.col(p)))
+    j = F.size(F.filter(grid, lambda t: _above(p, t)))
     h = df.groupBy(*by, j.alias("j")).agg(F.count_if(F.col(y) == 1).alias("pos"),
                                          F.count_if(F.col(y) != 1).alias("neg"))
     n = len(THRESHOLD_STEPS)
     # dense j = 0..n per group, so that every threshold has a row
-    dense = h.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("j"))
-    full = dense.join(h, on=[*by, "j"], how="left").na.fill(0, ["pos", "neg"])
+    zero = F.lit(0).cast("long")
+    dense = h.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("j"), zero.alias("pos"), zero.alias("neg"))
+    # a union and a sum instead of a join: a null group is a group
+    full = dense.unionByName(h).groupBy(*by, "j").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     w = Window.partitionBy(*by).orderBy(F.col("j").desc()).rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy(*by)
     s = full.select(*by, "j", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
@@ -149,9 +164,9 @@ def apply_threshold(df: DataFrame, fitted: DataFrame, p: str = "p", by=(), out:
     by = list(by)
     if not by:
         raise ValueError("apply_threshold needs the group columns the thresholds were fitted on")
-    th = fitted.select(*by, "threshold")
-    j = join_small(df, th, on=by, how="left")
-    return j.withColumn(out, (F.col(p) > F.col("threshold")).cast("int")).drop("threshold")
+    th = fitted.select(*[F.col(b).alias("_t_" + b) for b in by], F.col("threshold").alias("_t"))
+    j = join_small(df, th, on=null_safe_on(by, ["_t_" + b for b in by]), how="left")
+    return j.withColumn(out, _above(p, F.col("_t")).cast("int")).drop("_t", *["_t_" + b for b in by])
 
 
 def mse(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
@@ -160,22 +175,16 @@ def mse(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(d * d).alias("mse"))
 
 
-def _with_group_mean(df: DataFrame, col: str, by, out: str) -> DataFrame:
-    """Attach the per-group mean of ``col`` by aggregation + join (one row per
-    group, broadcast by AQE); never a window over a whole group."""
-    means = df.groupBy(*by).agg(F.avg(col).alias(out))
-    if by:
-        return join_small(df, means, on=list(by), how="inner")
-    m = means.first()[out]  # a single number
-    return df.withColumn(out, F.lit(m).cast("double"))
+def _r2(y: Column, p: Column) -> Column:
+    # ss_tot = var_pop * count over the rows that have both values: one aggregation
+    y, p = y.cast("double"), p.cast("double")
+    both = F.when(y.isNotNull() & p.isNotNull(), y)
+    return 1 - F.sum((y - p) * (y - p)) / (F.var_pop(both) * F.count(both))
 
 
 def r2(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
     """1 - ss_res / ss_tot, row-wise (not the squared correlation)."""
-    by = list(by)
-    x = _with_group_mean(df.select(*by, F.col(y).alias("_y"), F.col(p).alias("_p")), "_y", by, "_m")
-    return x.groupBy(*by).agg(
-        (1 - F.sum((F.col("_y") - F.col("_p")) ** 2) / F.sum((F.col("_y") - F.col("_m")) ** 2)).alias("r2"))
+    return df.groupBy(*by).agg(_r2(F.col(y), F.col(p)).alias("r2"))
 
 
 def pearson(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
@@ -184,28 +193,51 @@ def pearson(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
 
 
 def regression_report(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
-    """E9-E11 in one aggregation: MSE, row-wise R2 (ss_tot around the group mean,
-    which is joined from a one-row-per-group table) and Pearson correlation."""
-    by = list(by)
-    x = _with_group_mean(df.select(*by, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")),
-                         "_y", by, "_m")
-    res = (F.col("_y") - F.col("_p")) * (F.col("_y") - F.col("_p"))
-    tot = (F.col("_y") - F.col("_m")) * (F.col("_y") - F.col("_m"))
-    return x.groupBy(*by).agg(F.avg(res).alias("mse"), (1 - F.sum(res) / F.sum(tot)).alias("r2"),
-                              F.corr("_p", "_y").alias("pearson"))
+    """E9-E11 in one aggregation: MSE, row-wise R2 and Pearson correlation."""
+    d = F.col(y) - F.col(p)
+    return df.groupBy(*by).agg(F.avg(d * d).alias("mse"), _r2(F.col(y), F.col(p)).alias("r2"),
+                               F.corr(F.col(p).cast("double"), F.col(y).cast("double")).alias("pearson"))
+
+
+# Fixed value: the smallest probability a log loss takes (the logarithm of a
+# smaller one would leave the double range of a softmax).
+MIN_PROBABILITY = 2.2250738585072014e-308
 
 
 def weighted_log_loss(df: DataFrame, probs: str, y: str = "y", weight: str = "weight", by=()) -> DataFrame:
-    """Class-weighted cross-entropy normalised by the sum of weights."""
-    py = F.element_at(F.col(probs), F.col(y).cast("int") + 1)
+    """Class-weighted cross-entropy normalised by the sum of weights. A probability
+    of 0 counts as the smallest normal double, so a wrong certainty costs about 708."""
+    py = F.greatest(F.element_at(F.col(probs), F.col(y).cast("int") + 1), F.lit(MIN_PROBABILITY))
     return df.groupBy(*by).agg((F.sum(-F.col(weight) * F.ln(py)) / F.sum(weight)).alias("log_loss"))
 
 
 def batch_metric_mean(df: DataFrame, batch: str = "batch_id", y: str = "y", y_hat: str = "y_hat", by=()) -> DataFrame:
-    """Per-batch accuracy and macro F1, averaged over batches (divides by batches)."""
+    """Per-batch accuracy and macro F1, averaged over batches (divides by batches);
+    both come from one per-class table."""
     by = list(by)
-    acc = accuracy(df, y, y_hat, by=[*by, batch])
-    f1 = macro_prf(df, y, y_hat, by=[*by, batch]).select(*by, batch, "macro_f1")
-    return acc.join(f1, on=[*by, batch]).groupBy(*by).agg(
+    return summary(df, y, y_hat, by=[*by, batch]).groupBy(*by).agg(
         F.avg("accuracy").alias("mean_batch_accuracy"), F.avg("macro_f1").alias("mean_batch_macro_f1"),
         F.count(F.lit(1)).alias("n_batches"))
+
+
+def batch_regression_mean(df: DataFrame, batch: str = "batch_id", y: str = "y", p: str = "p", by=()) -> DataFrame:
+    """E13, regression: per-batch R2 and Pearson correlation, averaged over batches (a
+    batch without a defined value leaves that average)."""
+    by = list(by)
+    per = regression_report(df, y, p, by=[*by, batch])
+    return per.groupBy(*by).agg(F.avg("r2").alias("mean_batch_r2"), F.avg("pearson").alias("mean_batch_pearson"),
+                                F.count(F.lit(1)).alias("n_batches"))
+
+
+def evaluate(df: DataFrame, y: str = "y", y_hat: str | None = None, p: str | None = None, threshold: float = 0.5,
+             by=(), positive=1) -> DataFrame:
+    """Accuracy, balanced accuracy, macro and positive-class precision, recall and F1 in
+    one confusion aggregation. With ``p`` (a score) the prediction is ``p > threshold``."""
+    by = list(by)
+    x = df if p is None else df.withColumn("_e_hat", F.when(_above(p, F.lit(float(threshold))), F.lit(positive)).otherwise(F.lit(0)))
+    pc = per_class(x, y, y_hat if p is None else "_e_hat", by)
+    of_positive = lambda c: F.coalesce(F.max(F.when(F.col("cls") == F.lit(positive), F.col(c))), F.lit(0.0))
+    return pc.groupBy(*by).agg(
+        (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
+        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1_score").alias("macro_f1"),
+        of_positive("precision").alias("pos_precision"), of_positive("recall").alias("pos_recall"), of_positive("f1_score").alias("pos_f1"))

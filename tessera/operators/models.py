@@ -32,34 +32,21 @@ from tessera.session import cut_lineage
 SCORE_FEATURES = ("cogency", "effectiveness", "reasonableness", "overall")
 
 
-def stable_input(df: DataFrame, key) -> DataFrame:
-    """A deterministic physical layout for fitting: MLlib seeds its sampling per
-    partition and row position, so the same seed only repeats when partitions
-    hold the same rows in the same order. Hash-partition by the key into the
-    session's shuffle partition count and sort within partitions."""
-    keys = [key] if isinstance(key, str) else list(key)
-    spark = df.sparkSession
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(max(n, 1), *keys).sortWithinPartitions(*keys)
-
+#: Partitions of a training set whose fit samples by partition. Part of the fit's
+#: definition: the same number repeats the same model on any cluster. Raise it with the
+#: training set (about 100 MB a partition).
+FIT_PARTITIONS = 8
+#: Memory for tree node statistics in a task (MB); it bounds how many nodes are split in a pass.
+TREE_MEMORY_MB = 64
 
-def _mem_mb(text: str) -> int:
-    t = text.strip().lower()
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    if t[-1] == "b":
-        t = t[:-1]
-    return int(float(t[:-1]) * units[t[-1]]) if t[-1] in units else int(t)  # bare numbers are MiB
 
-
-def tree_memory_mb(spark: SparkSession, cap: int = 256) -> int:
-    """Per-task budget for tree node statistics: a quarter of the heap per
-    concurrent task (executor memory / cores on a cluster, driver memory /
-    local threads in local mode), at most MLlib's default of 256 MB."""
-    conf = spark.sparkContext.getConf()
-    local = spark.sparkContext.master.startswith("local")
-    mem = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
-    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    return max(16, min(cap, _mem_mb(mem) // (4 * max(cores, 1))))
+def stable_input(df: DataFrame, key, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """A deterministic physical layout for fits that sample: MLlib seeds its sampling per
+    partition and row position, so the same seed only repeats when partitions
+    hold the same rows in the same order. Hash-partition by the key into
+    ``partitions`` and sort within partitions."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 
 def _with_probs(pred: DataFrame, keep, label_out: str = "y_hat") -> DataFrame:
@@ -76,7 +63,7 @@ def score_forest(train: DataFrame, test: DataFrame, label: str, features=SCORE_F
         train = stable_input(train, key)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, seed=seed,
-                                maxDepth=max_depth, maxMemoryInMB=tree_memory_mb(train.sparkSession))
+                                maxDepth=max_depth, maxMemoryInMB=TREE_MEMORY_MB)
     model = Pipeline(stages=[asm, rf]).fit(train)
     pred = model.transform(test)
     return model, _with_probs(pred, list(keep) + [label])
@@ -117,6 +104,7 @@ def fused_mlp(train: DataFrame, test: DataFrame, label: str, vector: str, numeri
               seed: int = 42, max_iter: int = 100, keep=(), key=None):
     """M6: text vector + standardised numeric scores concatenated, MLP head."""
     numeric = list(numeric)
+    width = train.select(F.size(vector)).first()[0] + len(numeric)
     if key is not None:
         train = stable_input(train, key)
     def vec(df):
@@ -124,7 +112,6 @@ def fused_mlp(train: DataFrame, test: DataFrame, label: str, vector: str, numeri
     num = VectorAssembler(inputCols=numeric, outputCol="_m_num")
     scale = StandardScaler(inputCol="_m_num", outputCol="_m_scaled", withMean=True, withStd=True)
     both = VectorAssembler(inputCols=["_m_text", "_m_scaled"], outputCol="features")
-    width = train.select(F.size(vector)).first()[0] + len(numeric)
     layers = [width] + mlp_hidden_layers(width, n_classes) + [n_classes]
     mlp = MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", layers=layers, seed=seed,
                                          maxIter=max_iter)
@@ -143,10 +130,10 @@ def text_classifier(train: DataFrame, label: str, text: str = "cleaned_comment",
                     num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 100, key=None):
     """M7: tokens -> hashed term frequencies -> IDF -> logistic regression,
     with class weights (A5) as ``weightCol`` when ``weighted``. A small L2
-    penalty keeps the fit well-posed on sparse, high-dimensional text."""
+    penalty keeps the fit well-posed on sparse, high-dimensional text. Neither IDF
+    nor the regression samples, so rows need no fixed layout; pass a materialised
+    table, both read it."""
     data = with_class_weight(train, label, "_m_w") if weighted else train
-    if key is not None:
-        data = stable_input(data, key)
     lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=reg, maxIter=max_iter,
                             weightCol="_m_w" if weighted else None)
     return Pipeline(stages=_text_features(text, num_features) + [lr]).fit(data)
@@ -155,8 +142,6 @@ def text_classifier(train: DataFrame, label: str, text: str = "cleaned_comment",
 def text_regressor(train: DataFrame, target: str, text: str = "cleaned_comment",
                    num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 100, key=None):
     """M8: the M7 features with a (ridge) linear regression head."""
-    if key is not None:
-        train = stable_input(train, key)
     lin = LinearRegression(labelCol=target, featuresCol="features", regParam=reg, maxIter=max_iter)
     return Pipeline(stages=_text_features(text, num_features) + [lin]).fit(train)
 
@@ -224,13 +209,13 @@ def best_params(table: DataFrame, metric: str = "f1") -> DataFrame:
     return best_run(t, metric, "_m_step").drop("_m_step")
 
 
-def sweep(train: DataFrame, label: str, text: str = "cleaned_comment", reg_params=(0.0, 0.01, 0.1),
-          num_features=(1 << 12, 1 << 16), train_ratio: float = 0.75, seed: int = 42, parallelism: int = 2,
+def sweep(train: DataFrame, label: str, text: str = "cleaned_comment", reg_params=(0.0, 0.001, 0.01, 0.1, 1.0),
+          num_features=(1 << 12, 1 << 16, 1 << 18), train_ratio: float = 0.75, seed: int = 42, parallelism: int = 4,
           key=None):
     """H1 run: TrainValidationSplit over a ParamGridBuilder grid for M7; returns the
     fitted split model and a (params..., metric) table with the best run first."""
     stages = _text_features(text, 1 << 12)
-    lr = LogisticRegression(labelCol=label, featuresCol="features", maxIter=50)
+    lr = LogisticRegression(labelCol=label, featuresCol="features", maxIter=100)
     pipe = Pipeline(stages=stages + [lr])
     tf = stages[1]
     pg = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(tf.numFeatures, list(num_features)).build()
@@ -240,5 +225,6 @@ def sweep(train: DataFrame, label: str, text: str = "cleaned_comment", reg_param
     model = tvs.fit(stable_input(train, key) if key is not None else train)
     spark = train.sparkSession
     rows = [(float(p[lr.regParam]), int(p[tf.numFeatures]), float(m)) for p, m in zip(pg, model.validationMetrics)]
+    rows = sorted(rows, key=lambda r: -r[2])  # stable: the first grid entry wins ties
     table = spark.createDataFrame(rows, "reg_param double, num_features int, f1 double")
     return model, table

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions._util import guard
+
 
 def union_tagged(sources: dict, tag_col: str = "orig_lang") -> DataFrame:
     """Stack sources by column name, tagging each with its name; missing columns are null."""
@@ -25,7 +27,8 @@ def dedupe_first(df: DataFrame, subset, order: str, keep=None) -> DataFrame:
     Skew-safe form: ``min(order)`` per group is pre-aggregated map-side (a text
     repeated a million times ships one partial row per map task), then the
     winning order keys select their rows by a semi join on the unique ``order``.
-    ``order`` must be unique. String groups are hashed with xxhash64 first so
+    ``order`` must be unique: where the smallest value of a group occurs twice, or
+    two groups share a winner, the row is an error. String groups are hashed with xxhash64 first so
     that the hash aggregate compares long texts only on hash equality.
 
     With ``keep`` (the columns needed downstream) the winners' values come
@@ -35,9 +38,14 @@ def dedupe_first(df: DataFrame, subset, order: str, keep=None) -> DataFrame:
     subset = [subset] if isinstance(subset, str) else list(subset)
     if keep is not None:
         keep = [c for c in keep if c not in subset and c != order]
-        aggs = [F.min(order).alias(order)] + [F.min_by(F.col(c), F.col(order)).alias(c) for c in keep]
+        # min over one struct: all values come from the same row, whatever ties
+        pick = F.min(F.struct(F.col(order), *[F.col(c) for c in keep])).alias("_u_v")
         return df.groupBy(F.xxhash64(*[F.col(c) for c in subset]).alias("_u_h"), *[F.col(c) for c in subset]) \
-            .agg(*aggs).drop("_u_h")
+            .agg(pick).select(*subset, F.col(f"_u_v.`{order}`").alias(order), *[F.col(f"_u_v.`{c}`").alias(c) for c in keep])
     hashes = [F.xxhash64(*[F.col(c) for c in subset]).alias("_u_h")]
-    winners = df.groupBy(*hashes, *[F.col(c) for c in subset]).agg(F.min(order).alias(order)).select(order)
-    return df.join(winners, on=order, how="left_semi")
+    winners = df.groupBy(*hashes, *[F.col(c) for c in subset]).agg(F.min(order).alias("_u_o"))
+    # the winner must be one row: rows that share its order value are counted
+    first = df.join(winners.select("_u_o").distinct(), F.col(order) == F.col("_u_o"), "left_semi")
+    seen = first.groupBy(order).agg(F.count(F.lit(1)).alias("_u_n"))
+    checked = seen.select(guard(F.col("_u_n") > 1, F.concat(F.lit("order value occurs twice: "), F.col(order).cast("string")), F.col(order)).alias("_u_o"))
+    return df.join(checked, F.col(order) == F.col("_u_o"), "left_semi")

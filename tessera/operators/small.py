@@ -1,8 +1,8 @@
 """Joins against tables whose size is bounded by construction (one row per
 class, stratum, fold or group).
 
-The small side is materialised once on shared storage, its row count is
-checked, and it is broadcast only below ``max_rows``; beyond that the join is
+The small side is materialised once on shared storage, its rows and
+bytes are counted, and it is broadcast only below both bounds; beyond that the join is
 a plain shuffle join. Without this, the planner sees no statistics for an
 aggregate and plans a sort-merge join that shuffles the wide side.
 """
@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 500_000
+#: Bytes of a checked table, as rows times the width of its plan's row.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     small = cut_lineage(small)
-    rows = small.count()  # reads the materialised table, not the source
-    side = F.broadcast(small) if rows <= max_rows else small
+    # read from the materialised table, not the source
+    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))), F.lit(0))).first()
+    side = F.broadcast(small) if rows <= max_rows and size <= MAX_BROADCAST_BYTES else small
     return big.join(side, on=on, how=how)
 
 
