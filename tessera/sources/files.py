@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, IntegralType, StringType, StructField, StructType
 
+from tessera.functions._util import guard
 from tessera.functions.text import parse_vector
 from tessera.operators.profile import split_distribution
+from tessera.session import cut_lineage
 
 # pandas' default missing-value tokens, which the reference's
 # TSV reads turn into NaN.
@@ -20,29 +22,47 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 TSV_OPTIONS = {"sep": "\t", "header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
+#: Every TSV sink doubles quotes, as the reader expects.
+TSV_WRITE = {"sep": "\t", "header": "true", "quote": '"', "escape": '"'}
 
 
 def _as_strings(schema: StructType) -> StructType:
     return StructType([StructField(f.name, StringType(), True) for f in schema.fields])
 
 
+def _typed(c, kind):
+    """Text as ``kind``; whole numbers may be written with a fraction of zero (``3.0``),
+    as pandas does for integer columns with missing values."""
+    if not isinstance(kind, IntegralType):
+        return c.cast(kind)
+    number = c.cast("double")
+    whole = guard(number != F.floor(number), F.concat(F.lit("not a whole number: "), c), number.cast(kind))
+    return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).cast(kind)).otherwise(whole)
+
+
 def normalise_na(df: DataFrame, schema: StructType) -> DataFrame:
     """NA tokens to null, then cast to the declared types (a bad value is an error, as in pandas)."""
     out = []
     for f in schema.fields:
         c = F.col(f.name)
         c = F.when(c.isin(*NA_TOKENS), F.lit(None)).otherwise(c)
-        out.append(c.cast(f.dataType).alias(f.name))
+        out.append(_typed(c, f.dataType).alias(f.name))
     return df.select(*out, *[c for c in df.columns if c not in schema.names])
 
 
-def read_corpus(spark: SparkSession, path: str, schema: StructType, with_path: bool = False) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, schema: StructType, with_path: bool = False,
+                with_order: bool = False) -> DataFrame:
     """Header TSV (embedded newlines, tabs and doubled quotes allowed) with an
     explicit schema. Multi-line TSV cannot be split, so convert it to Parquet
-    once and work on Parquet."""
+    once and work on Parquet.
+
+    ``with_order`` adds ``file_path`` and ``position`` (rising within a file): together
+    the file order that U3 and J1 take "first" from."""
     r = spark.read.options(**TSV_OPTIONS).schema(_as_strings(schema)).csv(path)
-    if with_path:
+    if with_path or with_order:
         r = r.select("*", F.col("_metadata.file_path").alias("file_path"))
+    if with_order:
+        r = r.withColumn("position", F.monotonically_increasing_id())
     return normalise_na(r, schema)
 
 
@@ -64,12 +84,10 @@ def read_splits(spark: SparkSession, root: str, schema: StructType | None = None
 
 
 def read_predictions(spark: SparkSession, path: str, schema: StructType, vec: str = "predictions") -> DataFrame:
-    """S3: every prediction file in a directory; ``file`` (name) and ``pos``
+    """S3: every prediction file in a directory; ``file`` (whole path) and ``pos``
     (increasing in file order within a file) feed the last-wins rule of J3."""
-    df = read_corpus(spark, path, schema, with_path=True)
-    return df.withColumn(vec, parse_vector(vec)) \
-        .withColumn("file", F.regexp_extract("file_path", r"([^/]+)$", 1)) \
-        .withColumn("pos", F.monotonically_increasing_id()).drop("file_path")
+    df = read_corpus(spark, path, schema, with_order=True)
+    return df.withColumn(vec, parse_vector(vec)).withColumnRenamed("file_path", "file").withColumnRenamed("position", "pos")
 
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
@@ -108,7 +126,9 @@ def read_reports(spark: SparkSession, root: str) -> DataFrame:
 def write_reports(report: DataFrame, root: str, run: str = "run", split: str = "split") -> None:
     """Text reports in the layout S4 reads: one ``<run>/<run>_<split>_results.txt``
     per (run, split) of an E2 report table (label, precision, recall,
-    f1_score, support). The driver loops over the (few) runs only."""
+    f1_score, support). The report is materialised once; the driver loops over the
+    (few) runs only."""
+    report = cut_lineage(report)
     keys = [(r[run], r[split]) for r in report.select(run, split).distinct().collect()]
     num = lambda c: F.format_string("%.10f", F.col(c))
     line = (F.when(F.col("label") == "accuracy",
@@ -129,7 +149,7 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "tsv":
-        w.options(sep="\t", header="true", quote='"', escape='"').csv(path)
+        w.options(**TSV_WRITE).csv(path)
     else:
         raise ValueError(fmt)
 
@@ -141,7 +161,7 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", vec: str =
     if fmt == "parquet":
         df.write.mode(mode).parquet(path)
     elif fmt == "tsv":
-        df.withColumn(vec, F.to_json(vec)).write.mode(mode).options(sep="\t", header="true").csv(path)
+        df.withColumn(vec, F.to_json(vec)).write.mode(mode).options(**TSV_WRITE).csv(path)
     else:
         raise ValueError(fmt)
 
@@ -154,12 +174,12 @@ def wide_metrics(df: DataFrame, index: str = "label", metric: str = "metric", va
 
 
 def write_metrics(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
-    """Metrics tables as JSON lines, TSV or Parquet (a small result: one file)."""
-    w = df.coalesce(1).write.mode(mode)
+    """Metrics tables as JSON lines, TSV or Parquet, in as many files as the table has partitions."""
+    w = df.write.mode(mode)
     if fmt == "json":
         w.json(path)
     elif fmt == "tsv":
-        w.options(sep="\t", header="true").csv(path)
+        w.options(**TSV_WRITE).csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
