@@ -425,11 +425,11 @@ def q_batches_sequential(spark, sf):
     return K.batches(c, 16, "turn", order=["conv_id"])
 
 
-@register("length_bucketed_batches", f"""SELECT doc_id, CAST((row_number() OVER (ORDER BY n_chars // 256, {S.md5_key(SEED, 'doc_id')}, doc_id) - 1) // 16 AS BIGINT) AS batch_id
+@register("length_bucketed_batches", f"""SELECT doc_id, CAST((row_number() OVER (ORDER BY n_chars, {S.md5_key(SEED, 'doc_id')}, doc_id) - 1) // 16 AS BIGINT) AS batch_id
 FROM documents""")
 def q_length_batches(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return K.length_bucketed_batches(d, "n_chars", 16, "doc_id", SEED, bucket_width=256).select("doc_id", "batch_id")
+    return K.length_bucketed_batches(d, "n_chars", 16, "doc_id", SEED).select("doc_id", "batch_id")
 
 
 # --- O1, O2 ------------------------------------------------------------------
@@ -486,6 +486,15 @@ def q_agreement_count(spark, sf):
     return A.agreement_count(binned_scores(spark, sf), [f"tercile_{c}" for c in J.SCORE_COLS])
 
 
+# --- ten logits from all 64 entries of a vector: entry k counts for class k % 10 ---
+LOGITS_SQL = "[" + ", ".join(" + ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(i, 64, 10)) for i in range(10)) + "]"
+
+
+def logits(c: str = "embedding"):
+    one = lambda i: sum((F.col(c)[k].cast("double") for k in range(i + 10, 64, 10)), F.col(c)[i].cast("double"))
+    return F.array(*[one(i) for i in range(10)])
+
+
 # --- E1-E13, T9-T12, T16 -------------------------------------------------------
 from tessera.functions.keys import order_hash  # noqa: E402
 from tessera.operators import metrics as E  # noqa: E402
@@ -496,18 +505,18 @@ from tessera.operators import augment as D  # noqa: E402
 
 def multiclass_eval(spark, sf):
     """Gold = embeddings.label; prediction = md5-derived (the label itself for
-    6 of 16 hash digits, else the digit); logits = first 10 entries;
+    6 of 16 hash digits, else the digit); logits = sums over all 64 entries;
     fold = K3 test fold."""
     e = table(spark, sf, "embeddings")
     d = F.conv(F.substring(order_hash("vec_id", SEED, "pred"), 1, 1), 16, 10).cast("int")
     x = e.select("vec_id", F.col("label").alias("y"), F.when(d < 10, d).otherwise(F.col("label")).alias("y_hat"),
-                 F.slice("embedding", 1, 10).cast("array<double>").alias("logits"))
+                 logits().alias("logits"))
     return cut_lineage(K.assign_folds(x, "vec_id", "y", 5, SEED, fold_col="fold"))
 
 
 MC_SQL = f"""WITH ev0 AS (
   SELECT vec_id, label AS y, CAST(CASE WHEN d < 10 THEN d ELSE label END AS INTEGER) AS y_hat,
-         CAST(embedding[1:10] AS DOUBLE[]) AS logits
+         {LOGITS_SQL} AS logits
   FROM (SELECT *, strpos('0123456789abcdef', substr({S.md5_key(SEED, 'vec_id', "'pred'")}, 1, 1)) - 1 AS d FROM embeddings)),
 r AS (SELECT vec_id, {_rk('vec_id', by='y')} AS rk, y FROM ev0),
 cls AS (SELECT y, coalesce(sum(count(*)) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM ev0 GROUP BY y),
@@ -554,13 +563,13 @@ def q_balanced_accuracy(spark, sf):
     return E.balanced_accuracy(multiclass_eval(spark, sf), by=["fold"])
 
 
-@register("softmax_argmax", """SELECT vec_id, list_transform(p, lambda x: round(x, 6)) AS probs,
+@register("softmax_argmax", f"""SELECT vec_id, list_transform(p, lambda x: round(x, 6)) AS probs,
   CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS argmax FROM (
   SELECT vec_id, logits, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM (
     SELECT vec_id, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM (
-      SELECT vec_id, CAST(embedding[1:10] AS DOUBLE[]) AS logits FROM embeddings)))""")
+      SELECT vec_id, {LOGITS_SQL} AS logits FROM embeddings)))""")
 def q_softmax_argmax(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("logits"))
+    e = table(spark, sf, "embeddings").select("vec_id", logits().alias("logits"))
     return e.select("vec_id", F.transform(T.softmax("logits"), lambda x: F.round(x, 6)).alias("probs"),
                     T.argmax("logits").alias("argmax"))
 
@@ -568,16 +577,16 @@ def q_softmax_argmax(spark, sf):
 @register("explode_probs", f"""SELECT vec_id, {', '.join(f'round(p[{i + 1}], 6) AS prediction_class{i}' for i in range(10))} FROM (
   SELECT vec_id, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM (
     SELECT vec_id, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM (
-      SELECT vec_id, CAST(embedding[1:10] AS DOUBLE[]) AS logits FROM embeddings)))""")
+      SELECT vec_id, {LOGITS_SQL} AS logits FROM embeddings)))""")
 def q_explode_probs(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", T.softmax(F.slice("embedding", 1, 10).cast("array<double>")).alias("p"))
+    e = table(spark, sf, "embeddings").select("vec_id", T.softmax(logits()).alias("p"))
     out = C.explode_probs(e, "p", 10).drop("p")
     return out.select("vec_id", *[F.round(f"prediction_class{i}", 6).alias(f"prediction_class{i}") for i in range(10)])
 
 
-@register("parse_vector", "SELECT vec_id, CAST(CAST(CAST(embedding[1:4] AS DOUBLE[]) AS VARCHAR) AS DOUBLE[]) AS scores FROM embeddings")
+@register("parse_vector", "SELECT vec_id, CAST(CAST(CAST(embedding AS DOUBLE[]) AS VARCHAR) AS DOUBLE[]) AS scores FROM embeddings")
 def q_parse_vector(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.to_json(F.slice("embedding", 1, 4).cast("array<double>")).alias("s"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.to_json(F.col("embedding").cast("array<double>")).alias("s"))
     return e.select("vec_id", T.parse_vector("s").alias("scores"))
 
 
@@ -652,7 +661,7 @@ def q_regression_metrics(spark, sf):
 w AS (SELECT y, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM ev GROUP BY y),
 pr AS (SELECT fold, y, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM (
         SELECT fold, y, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM ev))
-SELECT fold, sum(-w.weight * ln(pr.p[pr.y + 1])) / sum(w.weight) AS log_loss FROM pr JOIN w ON pr.y = w.y GROUP BY fold""",
+SELECT fold, sum(-w.weight * ln(greatest(pr.p[pr.y + 1], 2.2250738585072014e-308))) / sum(w.weight) AS log_loss FROM pr JOIN w ON pr.y = w.y GROUP BY fold""",
           rounded=("log_loss",))
 def q_weighted_log_loss(spark, sf):
     ev = multiclass_eval(spark, sf).withColumn("probs", T.softmax("logits"))
@@ -766,7 +775,7 @@ def q_encode_labels(spark, sf):
     return dec.select("doc_id", "label_index", "decoded")
 
 
-VOCAB_SIZE, MAX_LEN = 1000, 64
+VOCAB_SIZE, MAX_LEN = 30_000, 256
 CLEAN_DOCS_SQL = f"(SELECT doc_id, {S.clean_text('text')} AS cleaned_comment FROM documents)"
 VOCAB_SQL = f"""WITH toks AS (SELECT doc_id, list_filter(string_split(lower(cleaned_comment), ' '), lambda w: w <> '') AS t FROM {CLEAN_DOCS_SQL} c),
 words AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS p FROM toks),
@@ -798,11 +807,11 @@ def q_encode_sequences(spark, sf):
 
 @register("compose_text", f"""SELECT c.doc_id, printf('{C.COMPOSE_TEMPLATE}', coalesce(b.tercile_cogency, 'nan'),
   coalesce(b.tercile_effectiveness, 'nan'), coalesce(b.tercile_reasonableness, 'nan'), coalesce(b.tercile_overall, 'nan'), c.cleaned_comment) AS "AQ"
-FROM {CLEAN_DOCS_SQL} c JOIN {BINNED_SQL} b ON c.doc_id = b.vec_id""")
+FROM {CLEAN_DOCS_SQL} c LEFT JOIN {BINNED_SQL} b ON c.doc_id = b.vec_id""")
 def q_compose_text(spark, sf):
-    binned = binned_scores(spark, sf).withColumnRenamed("vec_id", "doc_id")
+    binned = binned_scores(spark, sf).withColumn("doc_id", F.col("vec_id"))
     bins = [f"tercile_{c}" for c in J.SCORE_COLS]
-    return C.compose_with_lookup(cleaned_docs(spark, sf), binned, "doc_id", "doc_id", bins, "cleaned_comment") \
+    return C.compose_with_lookup(cleaned_docs(spark, sf), binned, "doc_id", "vec_id", bins, "cleaned_comment", on_missing="null") \
         .select("doc_id", "AQ")
 
 
@@ -824,8 +833,9 @@ def q_augmentation_candidates(spark, sf):
 @register("augment_training", LABELLED_FOLDS_SQL + f""",
 tr AS (SELECT fold, doc_id, CAST(doc_id AS VARCHAR) AS "UniqueID", quality, {S.clean_text('text')} AS cleaned_comment
        FROM lf WHERE part = 'train'),
-sents AS (SELECT tr.fold, CAST(tr.doc_id AS VARCHAR) || chr(1) || c.text AS aid, c.text AS sent
-          FROM tr JOIN conversations c ON tr."UniqueID" = CAST(c.conv_id AS VARCHAR)),
+twice AS (SELECT conv_id, text, 1 AS k FROM conversations UNION ALL SELECT conv_id, text, 2 FROM conversations WHERE role = 'system'),
+sents AS (SELECT tr.fold, CAST(tr.doc_id AS VARCHAR) || chr(1) || c.text || CASE WHEN c.k > 1 THEN chr(1) || '2' ELSE '' END AS aid, c.text AS sent
+          FROM tr JOIN twice c ON tr."UniqueID" = CAST(c.conv_id AS VARCHAR)),
 sr AS (SELECT fold, sent, row_number() OVER (PARTITION BY fold ORDER BY {S.md5_key(SEED, 'aid', "'sentence'")}, aid) AS rk FROM sents),
 dr AS (SELECT tr.*, row_number() OVER (PARTITION BY fold ORDER BY {S.md5_key(SEED, 'doc_id', "'donor'")}, doc_id) AS rk FROM tr)
 SELECT fold, doc_id, "UniqueID", quality, cleaned_comment, CAST(NULL AS VARCHAR) AS augmented_from FROM tr
@@ -836,7 +846,9 @@ def q_augment_training(spark, sf):
     train = lf.select("fold", "doc_id", F.col("doc_id").cast("string").alias("UniqueID"), "quality",
                       T.clean_text("text").alias("cleaned_comment"))
     train = cut_lineage(train)  # read four times below: clean it once
-    aug = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("ID"), F.col("text").alias("sent"))
+    # system turns occur twice: a sentence repeated for an ID is appended as often
+    said = table(spark, sf, "conversations")
+    aug = said.unionByName(said.where("role = 'system'")).select(F.col("conv_id").cast("string").alias("ID"), F.col("text").alias("sent"))
     return D.augment_training(train.withColumn("ID", F.col("UniqueID")), aug, "quality", 0, key="ID", seed=SEED) \
         .drop("ID")
 
@@ -851,14 +863,21 @@ FOREST_TREES = 1000  # the reference's forest size
 
 def score_frame(spark, sf):
     """Embeddings as a scored corpus: four scores, the class label and a K3 fold."""
-    return K.assign_folds(scores(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id"),
-                          "vec_id", "label", 5, SEED, fold_col="fold")
+    return cut_lineage(K.assign_folds(scores(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id"),
+                                      "vec_id", "label", 5, SEED, fold_col="fold"))
+
+
+_FORESTS: dict = {}
 
 
 def _forest(spark, sf):
-    s = score_frame(spark, sf)
-    return MD.score_forest(s.where("fold <> 0"), s.where("fold = 0"), "label", num_trees=FOREST_TREES,
-                           seed=0, keep=["vec_id"], key="vec_id")
+    """The forest of a table, fitted once per application: M3 and M5 read the same model."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _FORESTS:
+        s = score_frame(spark, sf)
+        _FORESTS[at] = MD.score_forest(s.where("fold <> 0"), s.where("fold = 0"), "label", num_trees=FOREST_TREES,
+                                       seed=0, keep=["vec_id"], key="vec_id")
+    return _FORESTS[at]
 
 
 @register("score_forest")
@@ -884,15 +903,15 @@ def q_stacked_forest(spark, sf):
 
 @register("fused_mlp")
 def q_fused_mlp(spark, sf):
-    s = score_frame(spark, sf).join(
-        table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 5, 60).alias("text_vec")), "vec_id")
+    s = cut_lineage(score_frame(spark, sf).join(
+        table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 5, 60).alias("text_vec")), "vec_id"))
     return MD.fused_mlp(s.where("fold <> 0"), s.where("fold = 0"), "label", "text_vec", list(J.SCORE_COLS), 10,
                         keep=["vec_id"], key="vec_id")[1]
 
 
 def labelled_text(spark, sf):
     lab = labelled(spark, sf).select("doc_id", "quality", T.clean_text("text").alias("cleaned_comment"))
-    return K.assign_folds(lab, "doc_id", "quality", 5, SEED, fold_col="fold")
+    return cut_lineage(K.assign_folds(lab, "doc_id", "quality", 5, SEED, fold_col="fold"))
 
 
 @register("text_classifier")
@@ -961,21 +980,21 @@ def q_splits_tsv_round_trip(spark, sf):
     return IO.read_splits(spark, out, SPLIT_SCHEMA, fmt="tsv-partitioned").select("doc_id", "fold", "part", "quality", "text")
 
 
-@register("predictions_round_trip", """SELECT vec_id, label AS gold, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
+@register("predictions_round_trip", f"""SELECT doc_id, text, label AS gold, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
   list_transform(list_transform(ex, lambda x: x / list_sum(ex)), lambda x: round(x, 6)) AS probability FROM (
-  SELECT vec_id, label, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM (
-    SELECT vec_id, label, CAST(embedding[1:10] AS DOUBLE[]) AS logits FROM embeddings))""")
+  SELECT doc_id, text, label, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM (
+    SELECT doc_id, text, label, {LOGITS_SQL} AS logits FROM documents JOIN embeddings ON doc_id = vec_id))""")
 def q_predictions_round_trip(spark, sf):
-    """S6 (TSV, vector as JSON text) then S3 (T9 parse)."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("gold"),
-                                               F.slice("embedding", 1, 10).cast("array<double>").alias("l"))
-    e = e.select("vec_id", "gold", T.argmax("l").alias("pred"), T.softmax("l").alias("probability"))
+    """S6 (TSV with the whole text, vector as JSON text) then S3 (T9 parse)."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("gold"), logits().alias("l"))
+    e = table(spark, sf, "documents").select("doc_id", "text").join(e, "doc_id")
+    e = e.select("doc_id", "text", "gold", T.argmax("l").alias("pred"), T.softmax("l").alias("probability"))
     out = _io_dir(spark, "predictions")
     IO.write_predictions(e, out, fmt="tsv")
-    schema = StructType([StructField("vec_id", LongType()), StructField("gold", IntegerType()),
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("gold", IntegerType()),
                          StructField("pred", IntegerType()), StructField("probability", StringType())])
     back = IO.read_predictions(spark, out, schema, vec="probability")
-    return back.select("vec_id", "gold", "pred", F.transform("probability", lambda x: F.round(x, 6)).alias("probability"))
+    return back.select("doc_id", "text", "gold", "pred", F.transform("probability", lambda x: F.round(x, 6)).alias("probability"))
 
 
 @register("distributions_written", LABELLED_FOLDS_SQL + "\n" + _vc_sql("lf", ["quality", "toxic", "lang"], by=["fold", "part"]))
@@ -1084,3 +1103,118 @@ def q_reports_round_trip(spark, sf):
     IO.write_reports(rep, out)
     back = IO.read_reports(spark, out)
     return back.select("run", "split", "label", "metric", F.round("value", 6).alias("value"))
+
+
+# --- evaluation in one pass, null groups, NaN and zero probabilities -------------
+@register("evaluate", BIN_SQL + """,
+e AS (SELECT lang, y, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS h FROM bv),
+k AS (SELECT lang, cls, sum(tp) AS tp, sum(pr) AS pr, sum(sp) AS sp FROM (
+        SELECT lang, y AS cls, CASE WHEN y = h THEN 1 ELSE 0 END AS tp, 0 AS pr, 1 AS sp FROM e
+        UNION ALL SELECT lang, h, 0, 1, 0 FROM e) GROUP BY lang, cls),
+m AS (SELECT *, CASE WHEN pr = 0 THEN 0.0 ELSE tp / pr END AS p, CASE WHEN sp = 0 THEN 0.0 ELSE tp / sp END AS r,
+             CASE WHEN pr + sp = 0 THEN 0.0 ELSE 2 * tp / (pr + sp) END AS f FROM k)
+SELECT lang, sum(tp) / sum(sp) AS accuracy, avg(r) FILTER (sp > 0) AS balanced_accuracy, avg(p) AS macro_precision, avg(r) AS macro_recall,
+       avg(f) AS macro_f1, coalesce(max(p) FILTER (cls = 1), 0) AS pos_precision, coalesce(max(r) FILTER (cls = 1), 0) AS pos_recall,
+       coalesce(max(f) FILTER (cls = 1), 0) AS pos_f1 FROM m GROUP BY lang""",
+          rounded=("accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1", "pos_precision", "pos_recall", "pos_f1"))
+def q_evaluate(spark, sf):
+    return E.evaluate(binary_eval(spark, sf), p="p", by=["lang"])
+
+
+@register("classification_report_accuracy", MC_SQL + """
+SELECT fold, avg(CASE WHEN y = y_hat THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS support FROM ev GROUP BY fold""", rounded=("accuracy",))
+def q_classification_report_accuracy(spark, sf):
+    rep = E.classification_report(multiclass_eval(spark, sf), by=["fold"], with_accuracy=True)
+    return rep.where("label = 'accuracy'").select("fold", F.col("precision").alias("accuracy"), "support")
+
+
+NULL_REG_SQL = f"(SELECT nullif(l_returnflag, 'A') AS g, y, p FROM {REG_SQL} x)"
+
+
+def null_group_regression(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.expr("nullif(l_returnflag, 'A')").alias("g"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"),
+                                             (F.col("l_extendedprice") / 1000.0).alias("y"), "l_quantity")
+    pa = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return li.join(pa, "p_partkey").withColumn("p", F.col("l_quantity") * F.col("p_retailprice") / 1000.0)
+
+
+@register("regression_null_group", f"""SELECT g, avg((y - p) * (y - p)) AS mse, 1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)) AS r2, corr(p, y) AS pearson
+FROM (SELECT *, avg(y) OVER (PARTITION BY g) AS m FROM {NULL_REG_SQL} z) GROUP BY g""", rounded=("mse", "r2", "pearson"))
+def q_regression_null_group(spark, sf):
+    return E.regression_report(null_group_regression(spark, sf), by=["g"])
+
+
+@register("batch_regression_mean", """WITH x AS (SELECT l_orderkey % 97 AS batch_id, l_extendedprice / 1000.0 AS y, l_quantity * p_retailprice / 1000.0 AS p
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+b AS (SELECT batch_id, 1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)) AS r2, corr(p, y) AS c
+      FROM (SELECT *, avg(y) OVER (PARTITION BY batch_id) AS m FROM x) GROUP BY batch_id)
+SELECT avg(r2) AS mean_batch_r2, avg(c) AS mean_batch_pearson, count(*) AS n_batches FROM b""", rounded=("mean_batch_r2", "mean_batch_pearson"))
+def q_batch_regression_mean(spark, sf):
+    x = null_group_regression(spark, sf).withColumn("batch_id", F.col("l_orderkey") % 97)
+    return E.batch_regression_mean(x)
+
+
+@register("threshold_null_group", BIN_SQL + """,
+n AS (SELECT doc_id, nullif(lang, 'en') AS g, y, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE p END AS p FROM bv),
+t AS (SELECT g, i, i * CAST(0.01 AS DOUBLE) AS t, count(*) FILTER (p > i * CAST(0.01 AS DOUBLE) AND y = 1) AS tp,
+             count(*) FILTER (p > i * CAST(0.01 AS DOUBLE)) AS pp, count(*) FILTER (y = 1) AS ap
+      FROM n, range(10, 90) r(i) GROUP BY g, i),
+f AS (SELECT *, CASE WHEN pp + ap = 0 THEN 0.0 ELSE 2 * tp / (pp + ap) END AS f1 FROM t),
+b AS (SELECT g, first(CASE WHEN f1 > 0 THEN t ELSE 0.0 END ORDER BY f1 DESC, i) AS threshold FROM f GROUP BY g)
+SELECT doc_id, CAST(coalesce(p > threshold, false) AS INTEGER) AS y_hat FROM n JOIN b ON n.g IS NOT DISTINCT FROM b.g""")
+def q_threshold_null_group(spark, sf):
+    """E7 and E8 with a null group, and scores that are NaN (no threshold is below them)."""
+    b = binary_eval(spark, sf).withColumn("g", F.expr("nullif(lang, 'en')"))
+    b = b.withColumn("p", F.when(F.col("doc_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("p")))
+    return E.apply_threshold(b, E.best_threshold(b, by=["g"]), by=["g"]).select("doc_id", "y_hat")
+
+
+@register("batches_null_order", """SELECT doc_id, CAST((row_number() OVER (ORDER BY nullif(lang, 'en') NULLS FIRST, doc_id) - 1) // 16 AS BIGINT) AS batch_id
+FROM documents""")
+def q_batches_null_order(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.expr("nullif(lang, 'en')").alias("g"))
+    return K.batches(d, 16, "doc_id", order=["g"]).select("doc_id", "batch_id")
+
+
+@register("best_run_nan", """SELECT user_id, event_id, value FROM (
+  SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn
+  FROM events WHERE value IS NOT NULL AND event_id % 3 <> 0) WHERE rn = 1""")
+def q_best_run_nan(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return O.best_run(e, "value", "event_id", by=["user_id"])
+
+
+@register("log_loss_certain", """SELECT l_returnflag, sum(-ln(greatest(p, 2.2250738585072014e-308))) / count(*) AS log_loss
+FROM (SELECT l_returnflag, CASE WHEN l_linenumber = 1 THEN 0.0 ELSE 1.0 END AS p FROM lineitem) GROUP BY l_returnflag""", rounded=("log_loss",))
+def q_log_loss_certain(spark, sf):
+    """E12 where the gold class has probability 0 or 1."""
+    x = table(spark, sf, "lineitem").select("l_returnflag", F.lit(0).alias("y"), F.lit(1.0).alias("weight"),
+                                            F.when(F.col("l_linenumber") == 1, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("probs"))
+    return E.weighted_log_loss(x, "probs", by=["l_returnflag"])
+
+
+@register("stacked_features", f"""SELECT ev.vec_id, s.cogency, s.effectiveness, s.reasonableness, s.overall,
+  {', '.join(f'round(p[{i + 1}], 6) AS prediction_class{i}' for i in range(10))}
+FROM (SELECT vec_id, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM (
+  SELECT vec_id, list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM (SELECT vec_id, {LOGITS_SQL} AS logits FROM embeddings))) ev
+JOIN {SCORES_SQL} s ON ev.vec_id = s.vec_id""")
+def q_stacked_features(spark, sf):
+    """The joined features of the stacked forest (J1 scores, J3 vectors, T10 columns)."""
+    e = table(spark, sf, "embeddings")
+    preds = e.select("vec_id", F.lit("f").alias("file"), F.col("vec_id").alias("pos"), T.softmax(logits()).alias("predictions"))
+    x = J.attach_scores(e.select("vec_id"), scores(spark, sf), "vec_id", "vec_id", J.SCORE_COLS)
+    x = C.explode_probs(J.attach_predictions(x, preds, "vec_id", on_missing="error"), "predictions", 10)
+    return x.select("vec_id", *J.SCORE_COLS, *[F.round(f"prediction_class{i}", 6).alias(f"prediction_class{i}") for i in range(10)])
+
+
+@register("report_directory", MC_SQL + f""",
+rows AS ({_report_rows_sql()})
+SELECT 'test' AS split, metric, count(*) AS n_runs, avg(value) AS mean FROM rows WHERE label = 'all' GROUP BY metric""", rounded=("mean",))
+def q_report_directory(spark, sf):
+    """Text reports of five runs, read back and averaged per metric."""
+    rep = E.classification_report(multiclass_eval(spark, sf), by=["fold"], with_accuracy=True)
+    rep = rep.withColumn("run", F.concat(F.lit("fold"), F.col("fold").cast("string"))).withColumn("split", F.lit("test"))
+    out = _io_dir(spark, "report-directory")
+    IO.write_reports(rep, out)
+    back = IO.read_reports(spark, out).where("label = 'all'")
+    return back.groupBy("split", "metric").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("value").alias("mean"))

@@ -59,14 +59,12 @@ def test_entry_runs(spark):
 def test_registry_consistent():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    rows_only = set(q) - set(s)
+    from tessera.plans.catalog import QUERIES
+    rows_only = set(QUERIES) - set(s)
     assert rows_only <= {"score_forest", "feature_importance", "stacked_forest", "fused_mlp", "text_classifier",
                          "text_regressor", "score_corpus", "out_of_fold", "sweep", "kfold_text_report"}
 
 
-PYTHON_OK = {"format_metric", "score_corpus"}
-
-
 @pytest.mark.parametrize("name", ["fold_label_profile", "clean_text", "dedupe_first", "attach_scores", "quantile_bins",
                                   "stratified_kfold", "classification_report", "encode_sequences", "augment_training"])
 def test_plans_stay_in_jvm(spark, name):
