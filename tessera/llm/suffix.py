@@ -35,6 +35,8 @@ from tessera.session import cut_lineage
 SPAN, ANCHOR = 200, 40
 #: Bytes of contexts in a shard, and contexts of one hash that a shard takes.
 SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 1024
+#: Places of a string that Kasai's rule passes through at a stretch.
+PIECE = 192
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,10 +153,15 @@ def common_prefixes(first: np.ndarray, size: np.ndarray, other: np.ndarray, text
     before them in suffix order (or -1): of each string the ``size`` places from ``first``.
 
     Kasai's rule: the next place of a string has at most one byte less in common.
-    All strings advance together."""
+    All strings advance together; long ones in pieces of PIECE places, each of which
+    starts anew, so that one long string does not advance alone."""
     keys = eight_bytes(text, left)
+    pieces = -(-size // PIECE)
+    own = np.repeat(np.arange(len(size)), pieces)
+    skip = (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+    start, size = first[own] + skip, np.minimum(size[own] - skip, PIECE)
     order = np.argsort(-size, kind="stable")
-    start, size = first[order], size[order]
+    start, size = start[order], size[order]
     out = np.zeros(len(left), np.int64)
     have = np.zeros(len(start), np.int64)
     for t in range(int(size[0]) if len(size) else 0):
