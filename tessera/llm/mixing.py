@@ -1,6 +1,6 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-Rows of a source are put in hash order and cut into blocks. With ``a`` of
+Rows of a source are put in the order of their id's MD5 and cut into blocks. With ``a`` of
 every ``D`` slots due to a source, its block j (from 0) is released at slot
 ``floor(j * D / a)`` and due before slot ``ceil((j + 1) * D / a)``. In each
 slot the released block with the earliest deadline goes next, so that every
@@ -72,16 +72,19 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, id_col: str = "doc
     table stays empty. More sources than ``slots`` raise an error: weights could
     not be met with so few slots."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("-"))
-    rows = docs.withColumn("_m_src", key).withColumn("_m_hash", F.xxhash64(F.col(f"`{id_col}`")))
+    order = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    rows = docs.withColumn("_m_src", key).withColumn("_m_hash", order)
     counts = docs.select(key.alias("src")).groupBy("src").agg(F.count("*").alias("n"))
     n, sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if sources > slots:
         raise ValueError(f"{sources} sources need more than {slots} slots a period")
     buckets = max(1, -(-n // BUCKET_ROWS))
-    rows = rows.withColumn("_m_bucket", F.pmod("_m_hash", F.lit(buckets)))
+    # ranges of hash values: the order does not depend on their number
+    bucket = lambda h: F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("long")
+    rows = rows.withColumn("_m_bucket", bucket(F.col("_m_hash")))
     inside = Window.partitionBy("_m_src", "_m_bucket").orderBy("_m_hash", F.col(f"`{id_col}`"))
     rows = rows.withColumn("_m_rank", F.row_number().over(inside) - 1)
-    narrow = docs.select(key.alias("_m_src"), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(buckets)).alias("_m_bucket"))
+    narrow = docs.select(key.alias("_m_src"), bucket(order).alias("_m_bucket"))
     before = Window.partitionBy("_m_src").orderBy("_m_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (narrow.groupBy("_m_src", "_m_bucket").agg(F.count("*").alias("c"))
                .select("_m_src", "_m_bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_m_offset")))
