@@ -52,17 +52,6 @@ class Grams:
             self.names.append(mix(chain[at] + np.uint64(n)) >> np.uint64(64 - bits))
             self.at.append(at)
 
-    def coded(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Distinct names, their counts, and the place of every n-gram's name among them, by order."""
-        every = np.concatenate(self.names)
-        order = np.argsort(every)
-        every = every[order]
-        new = np.r_[True, every[1:] != every[:-1]][: len(every)]
-        edge = np.flatnonzero(new)
-        code = np.empty(len(every), np.int32)
-        code[order] = np.cumsum(new, dtype=np.int32) - 1
-        return every[edge], np.diff(np.r_[edge, len(every)]), np.split(code, np.cumsum([len(x) for x in self.names])[:-1])
-
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct names, and how often each occurs in the block."""
         every = np.sort(np.concatenate(self.names))
@@ -128,9 +117,15 @@ def score_block(text: pa.Array, totals, words: int, bits: int) -> tuple[np.ndarr
     grams = Grams(text, bits)
     docs = len(text)
     own = np.bincount(grams.doc, minlength=docs)
-    _, counts, codes = grams.coded()
+    names, counts = grams.distinct()
     other = []
-    for code, at in zip(codes, grams.at):
+    for n, at in enumerate(grams.at):
+        # needles in order meet the sorted names one after the other; one order at a time
+        name, grams.names[n] = grams.names[n], None
+        order = np.argsort(name)
+        code = np.empty(len(name), np.int32)
+        code[order] = np.searchsorted(names, name[order])
+        del name, order
         left = totals[code].astype(np.int64)
         # occurrences in the document itself: one, unless the block has more of them
         many = np.flatnonzero(counts[code] > 1)
