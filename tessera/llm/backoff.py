@@ -26,10 +26,10 @@ from tessera.llm.common import CHAIN, Words, blob, chunks, mix, unblob
 
 ORDER, ALPHA, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a block, and in the share of an n-gram partition.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 6 << 20
+BLOCK_BYTES, PART_BYTES = 5 << 20, 6 << 20
 #: Bits of an n-gram's name beyond the logarithm of the number of n-grams: two of
 #: them share a name with a chance of 2**-NAME_BITS.
-NAME_BITS = 24
+NAME_BITS = 22
 
 
 class Grams:
@@ -41,20 +41,22 @@ class Grams:
             w = Words(data, offsets, lower=True)
             hashes.append(w.hash)
             docs.append(w.doc + a)
-        self.word = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.doc = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+        word = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.doc = np.concatenate(docs).astype(np.int32) if docs else np.zeros(0, np.int32)
+        del hashes, docs
         self.names, self.at = [], []
-        chain = np.zeros(len(self.word), np.uint64)
+        chain = np.zeros(len(word), np.uint64)
         for n in range(1, ORDER + 1):
-            size = max(0, len(self.word) - n + 1)
-            chain = chain[:size] * CHAIN + self.word[n - 1 : n - 1 + size]
-            at = np.flatnonzero(self.doc[:size] == self.doc[n - 1 : n - 1 + size])
+            size = max(0, len(word) - n + 1)
+            chain = chain[:size] * CHAIN + word[n - 1 : n - 1 + size]
+            at = np.flatnonzero(self.doc[:size] == self.doc[n - 1 : n - 1 + size]).astype(np.int32)
             self.names.append(mix(chain[at] + np.uint64(n)) >> np.uint64(64 - bits))
             self.at.append(at)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct names, and how often each occurs in the block."""
-        every = np.sort(np.concatenate(self.names))
+        every = np.concatenate(self.names)
+        every.sort()
         edge = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
         return every[edge], np.diff(np.r_[edge, len(every)])
 
