@@ -8,7 +8,9 @@ reaches the collision threshold is verified on the original vectors. With a
 window of the radius itself on either side, a vector within the radius lies in
 a window with probability 0.68, so that of 32 windows it is in 16 or more with
 probability 0.99. The search ends when the k-th verified distance is no larger
-than the radius.
+than the radius. Windows are wider by the rounding of projected values, so that
+exact copies collide at any radius; a block that yields fewer than k vectors at
+its full radius is verified as a whole.
 
 Vectors and queries meet in blocks of bounded size; the first radius of a
 query comes from its k-th distance in a bounded sample of vectors, which is an
@@ -52,6 +54,9 @@ class Block:
         p = x @ self.axes
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.value = np.take_along_axis(p, self.order.T, axis=0).T.copy()
+        # bound of the rounding of a projected value, by the norm of its vector
+        self.rounding = 2 * x.shape[1] * np.finfo(np.float64).eps * np.sqrt((self.axes * self.axes).sum(axis=0))
+        self.norm = float(np.sqrt((x * x).sum(axis=1).max()))
 
     def search(self, qid: int, q: np.ndarray, bound: float, k: int):
         """(distance, id) of the ``k`` nearest found within ``bound``."""
@@ -61,17 +66,21 @@ class Block:
         best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
         lo = np.array([np.searchsorted(v, c) for v, c in zip(self.value, centre)])
         hi = lo.copy()
-        limit = bound if np.isfinite(bound) else float(np.sqrt((self.x * self.x).sum(1).max()) + np.sqrt(q @ q))
+        reach = self.norm + float(np.sqrt(q @ q))
+        slack = self.rounding * reach
+        limit = bound if np.isfinite(bound) else reach
         radius = limit / GROWTH**STEPS
         while True:
             full = radius >= limit * (1 - 1e-12)
             for j in range(PROJECTIONS):
-                a = np.searchsorted(self.value[j], centre[j] - radius, side="left")
-                b = np.searchsorted(self.value[j], centre[j] + radius, side="right")
+                a = np.searchsorted(self.value[j], centre[j] - radius - slack[j], side="left")
+                b = np.searchsorted(self.value[j], centre[j] + radius + slack[j], side="right")
                 count[self.order[j, a : lo[j]]] += 1
                 count[self.order[j, hi[j] : b]] += 1
                 lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
             new = np.flatnonzero((count >= THRESHOLD) & ~seen)
+            if full and len(best_d) + len(new) < k:
+                new = np.flatnonzero(~seen)
             if len(new):
                 seen[new] = True
                 d = np.r_[best_d, distances(self.x[new], q)]
