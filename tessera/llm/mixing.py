@@ -9,19 +9,32 @@ its weight while all sources have rows left. The windows repeat every D
 slots, so only one period is scheduled (a fold over D slots in one
 expression); every block then finds its slot by arithmetic, in parallel.
 
+Such a period needs shares in whole slots. More sources than it has slots
+are dealt exactly instead: one task, which knows only
+the sources' rational weights and row counts, deals the blocks of the whole mix
+earliest deadline first, and the rows join them by block.
+
 All rows are placed exactly once: a source that ends early leaves its later
 slots empty and the others keep their order.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period before rounding: weights are met to about 1 / SLOTS.
+#: Slots of a period before rounding, where no weights are given: square roots are met to about 1 / SLOTS.
 SLOTS = 1000
 #: Rows of a block, and rows wanted in a ranking bucket.
 BLOCK_ROWS, BUCKET_ROWS = 16, 2048
+#: Blocks of a batch that leaves the exact deal.
+DEAL_ROWS = 65536
 
 
 def shares(counts: DataFrame, weights: dict | None, slots: int) -> DataFrame:
@@ -62,21 +75,79 @@ def schedule(share: DataFrame) -> DataFrame:
                         (F.row_number().over(w) - 1).cast("long").alias("j"), F.col("slot").cast("long").alias("slot"))
 
 
+def _rational(weight) -> Fraction:
+    """A weight as its shortest decimal says, or as given if it is exact; none below 0."""
+    return max(Fraction(0), Fraction(str(float(weight))) if isinstance(weight, float) else Fraction(weight))
+
+
+def exact_schedule(blocks: list[int], weights: list[Fraction], start: int = 0):
+    """(source, block, release, deadline, slot) of all blocks by slot: earliest deadline
+    first over released blocks, from slot ``start`` on. Block j of a source of
+    share w is released at floor(j / w) and due before ceil((j + 1) / w)."""
+    scale = math.lcm(*(w.denominator for w in weights))
+    a = [int(w * scale) for w in weights]
+    d, slot = sum(a), 0
+    later = [(0, i, 0) for i, n in enumerate(blocks) if n]
+    ready: list[tuple[int, int, int, int]] = []
+    while later or ready:
+        if not ready:
+            slot = max(slot, later[0][0])
+        while later and later[0][0] <= slot:
+            release, i, j = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(j + 1) * d // a[i]), i, j, release))
+        deadline, i, j, release = heapq.heappop(ready)
+        yield i, j, start + release, start + deadline, start + slot
+        if j + 1 < blocks[i]:
+            heapq.heappush(later, ((j + 1) * d // a[i], i, j + 1))
+        slot += 1
+
+
+def _deal(batches, weights, block_rows):
+    rows = sorted((s, n) for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    if weights is None:
+        w = [_rational(math.sqrt(n)) for _, n in rows]
+    else:
+        w = [weights.get(s, Fraction(0)) for s, _ in rows]
+    last, out = -1, []
+    # sources of weight 0 come after all others, in equal shares
+    for part, share in (([k for k, x in enumerate(w) if x > 0], w), ([k for k, x in enumerate(w) if not x], [Fraction(1)] * len(w))):
+        for i, *block in exact_schedule([-(-rows[k][1] // block_rows) for k in part], [share[k] for k in part], last + 1):
+            out.append((rows[part[i]][0], *block))
+            last = block[-1]
+            if len(out) == DEAL_ROWS:
+                yield _dealt(out)
+                out = []
+    if out:
+        yield _dealt(out)
+
+
+def _dealt(rows):
+    types = [pa.string()] + [pa.int64()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                      names=["_m_src", "_m_block", "_m_release", "_m_deadline", "_m_slot"])
+
+
 def mix_sources(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source",
-                slots: int = SLOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                slots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with columns ``_m_block`` (number in its source), ``_m_release``,
     ``_m_deadline``, ``_m_slot`` and ``_m_position``; sorting by position gives the mix.
 
+    ``weights`` gives target weights by source name (None for the null source), which
+    are met exactly; a source without one, or of weight 0, comes after all others.
+    Without ``weights`` a source weighs the square root of its rows: in whole
+    slots of a period of SLOTS, exactly with more sources than that. ``slots`` asks
+    for a period of so many slots with weights rounded to it; more sources than
+    these raise an error.
+
     A null source is a source of its own; rows with a null or repeated id are
     placed like any other (among rows of the same id the order is open); an empty
-    table stays empty. More sources than ``slots`` raise an error: weights could
-    not be met with so few slots."""
+    table stays empty."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("-"))
     order = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
     rows = docs.withColumn("_m_src", key).withColumn("_m_hash", order)
     counts = docs.select(key.alias("src")).groupBy("src").agg(F.count("*").alias("n"))
     n, sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    if sources > slots:
+    if slots is not None and sources > slots:
         raise ValueError(f"{sources} sources need more than {slots} slots a period")
     buckets = max(1, -(-n // BUCKET_ROWS))
     # ranges of hash values: the order does not depend on their number
@@ -89,18 +160,25 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, id_col: str = "doc
     offsets = (narrow.groupBy("_m_src", "_m_bucket").agg(F.count("*").alias("c"))
                .select("_m_src", "_m_bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_m_offset")))
     ranked = rows.join(offsets, ["_m_src", "_m_bucket"]).withColumn("_m_rank", F.col("_m_rank") + F.col("_m_offset"))
-    # one period: at most slots + sources rows
-    period = schedule(shares(counts, weights, slots))
-    share = period.select(F.col("src").alias("_m_src"), F.col("a").alias("_m_a"), F.col("d").alias("_m_d")).distinct()
-    place = period.select(F.col("src").alias("_m_src"), F.col("j").alias("_m_j"), F.col("slot").alias("_m_in"))
     block = F.floor(F.col("_m_rank") / block_rows)
-    a, d = F.col("_m_a"), F.col("_m_d")
-    out = (ranked.withColumn("_m_block", block).join(F.broadcast(share), "_m_src")
-           .withColumn("_m_j", F.col("_m_block") % a).join(F.broadcast(place), ["_m_src", "_m_j"])
-           .withColumn("_m_slot", F.expr("_m_block div _m_a") * d + F.col("_m_in"))
-           .withColumn("_m_release", F.expr("(_m_block * _m_d) div _m_a"))
-           .withColumn("_m_deadline", F.expr("((_m_block + 1) * _m_d + _m_a - 1) div _m_a"))
-           .withColumn("_m_position", F.col("_m_slot") * block_rows + F.col("_m_rank") % block_rows))
+    ranked = ranked.withColumn("_m_block", block)
+    if slots is None and sources > SLOTS:
+        given = None if weights is None else {_key(k): _rational(v) for k, v in weights.items()}
+        blocks = counts.coalesce(1).mapInArrow(partial(_deal, weights=given, block_rows=block_rows),
+                                               "_m_src string, _m_block long, _m_release long, _m_deadline long, _m_slot long")
+        out = ranked.join(blocks, ["_m_src", "_m_block"])
+    else:
+        # one period: at most slots + sources rows
+        period = schedule(shares(counts, weights, slots or SLOTS))
+        share = period.select(F.col("src").alias("_m_src"), F.col("a").alias("_m_a"), F.col("d").alias("_m_d")).distinct()
+        place = period.select(F.col("src").alias("_m_src"), F.col("j").alias("_m_j"), F.col("slot").alias("_m_in"))
+        a, d = F.col("_m_a"), F.col("_m_d")
+        out = (ranked.join(F.broadcast(share), "_m_src")
+               .withColumn("_m_j", F.col("_m_block") % a).join(F.broadcast(place), ["_m_src", "_m_j"])
+               .withColumn("_m_slot", F.expr("_m_block div _m_a") * d + F.col("_m_in"))
+               .withColumn("_m_release", F.expr("(_m_block * _m_d) div _m_a"))
+               .withColumn("_m_deadline", F.expr("((_m_block + 1) * _m_d + _m_a - 1) div _m_a")))
+    out = out.withColumn("_m_position", F.col("_m_slot") * block_rows + F.col("_m_rank") % block_rows)
     return out.select(*[f"`{c}`" for c in docs.columns], "_m_block", "_m_release", "_m_deadline", "_m_slot", "_m_position")
 
 

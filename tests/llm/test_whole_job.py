@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+from fractions import Fraction
+
 import numpy as np
 
-from tessera.llm import ann
+from tessera.llm import ann, mixing
 from tests.llm.test_order import brute_nearest
 
 
@@ -26,3 +28,15 @@ def test_block_with_few_collisions_is_verified_whole():
     q = np.full(64, 1e-6)
     d, i = ann.Block(np.arange(1000), x).search(-1, q, float(ann.distances(x, q).max()), 1000)
     assert sorted(i.tolist()) == list(range(1000)) and (np.diff(d) >= 0).all()
+
+
+def test_mix_of_more_sources_than_a_period_has_slots(spark):
+    df = spark.range(12000).selectExpr("id AS doc_id", "concat('h', id % 5000) AS source")
+    out = mixing.mix_sources(df, block_rows=1).toPandas()
+    assert len(out) == 12000 and out["_m_position"].is_unique and out["doc_id"].is_unique
+    assert ((out["_m_release"] <= out["_m_slot"]) & (out["_m_slot"] < out["_m_deadline"])).all()
+    weight = out.groupby("source").size() ** 0.5
+    weight /= weight.sum()
+    w = out["source"].map(weight)
+    assert (out["_m_block"] - w * out["_m_slot"]).abs().max() < 1 + 1e-9
+    assert (out["_m_block"] + 1 - w * (out["_m_slot"] + 1)).abs().max() < 1 + 1e-9
