@@ -9,8 +9,8 @@ its weight while all sources have rows left. The windows repeat every D
 slots, so only one period is scheduled (a fold over D slots in one
 expression); every block then finds its slot by arithmetic, in parallel.
 
-Such a period needs shares in whole slots. More sources than it has slots
-are dealt exactly instead: one task, which knows only
+Such a period needs shares in whole slots. More sources than it has slots, and
+weights that are given, are dealt exactly instead: one task, which knows only
 the sources' rational weights and row counts, deals the blocks of the whole mix
 earliest deadline first, and the rows join them by block.
 
@@ -162,7 +162,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, id_col: str = "doc
     ranked = rows.join(offsets, ["_m_src", "_m_bucket"]).withColumn("_m_rank", F.col("_m_rank") + F.col("_m_offset"))
     block = F.floor(F.col("_m_rank") / block_rows)
     ranked = ranked.withColumn("_m_block", block)
-    if slots is None and sources > SLOTS:
+    if slots is None and (weights is not None or sources > SLOTS):
         given = None if weights is None else {_key(k): _rational(v) for k, v in weights.items()}
         blocks = counts.coalesce(1).mapInArrow(partial(_deal, weights=given, block_rows=block_rows),
                                                "_m_src string, _m_block long, _m_release long, _m_deadline long, _m_slot long")

@@ -40,3 +40,17 @@ def test_mix_of_more_sources_than_a_period_has_slots(spark):
     w = out["source"].map(weight)
     assert (out["_m_block"] - w * out["_m_slot"]).abs().max() < 1 + 1e-9
     assert (out["_m_block"] + 1 - w * (out["_m_slot"] + 1)).abs().max() < 1 + 1e-9
+
+
+def test_mix_meets_given_weights_over_a_long_mix(spark):
+    weights = {"a": Fraction(1, 3), "b": Fraction(1, 7), "c": 0.0003, "d": Fraction(1) - Fraction(1, 3) - Fraction(1, 7) - Fraction(3, 10000)}
+    df = spark.range(44000).selectExpr("id AS doc_id", "element_at(array('a', 'b', 'c', 'd'), cast(id % 4 + 1 AS int)) AS source")
+    df = df.unionAll(spark.range(44000, 44050).selectExpr("id", "'unweighted'"))
+    out = mixing.mix_sources(df, weights, block_rows=1).toPandas().sort_values("_m_position")
+    assert len(out) == 44050 and out["_m_position"].is_unique
+    assert (out["source"].iloc[-50:] == "unweighted").all()
+    head = out[out["_m_slot"] < 20000]
+    assert len(head) == 20000
+    t = np.arange(1, 20001)
+    for name, w in weights.items():
+        assert np.abs((head["source"] == name).cumsum().to_numpy() - float(w) * t).max() < 1
