@@ -27,15 +27,12 @@ from tessera.llm.common import CHAIN, Words, blob, chunks, mix, unblob
 ORDER, ALPHA, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a block, and in the share of an n-gram partition.
 BLOCK_BYTES, PART_BYTES = 5 << 20, 6 << 20
-#: Bits of an n-gram's name beyond the logarithm of the number of n-grams: two of
-#: them share a name with a chance of 2**-NAME_BITS.
-NAME_BITS = 22
 
 
 class Grams:
-    """The n-grams of a block of documents: name and document of each, by order."""
+    """The n-grams of a block of documents: 64-bit name and document of each, by order."""
 
-    def __init__(self, text: pa.Array, bits: int = 64):
+    def __init__(self, text: pa.Array):
         hashes, docs, first = [], [], 0
         for a, b, data, offsets in chunks(text):
             w = Words(data, offsets, lower=True)
@@ -50,7 +47,7 @@ class Grams:
             size = max(0, len(word) - n + 1)
             chain = chain[:size] * CHAIN + word[n - 1 : n - 1 + size]
             at = np.flatnonzero(self.doc[:size] == self.doc[n - 1 : n - 1 + size]).astype(np.int32)
-            self.names.append(mix(chain[at] + np.uint64(n)) >> np.uint64(64 - bits))
+            self.names.append(mix(chain[at] + np.uint64(n)))
             self.at.append(at)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +58,19 @@ class Grams:
         return every[edge], np.diff(np.r_[edge, len(every)])
 
 
-def _cuts(names: np.ndarray, parts: int, bits: int) -> np.ndarray:
+def _pack(x: np.ndarray) -> bytes:
+    """``blob`` with its uneven planes entropy-coded, after its length."""
+    raw = blob(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(b: bytes, dtype) -> np.ndarray:
+    return unblob(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), dtype)
+
+
+def _cuts(names: np.ndarray, parts: int) -> np.ndarray:
     """Where the sorted names are cut into ``parts`` ranges of hash values."""
-    step = (1 << bits) // parts
+    step = (1 << 64) // parts
     edge = np.array([k * step for k in range(1, parts)], np.uint64)
     return np.r_[0, np.searchsorted(names, edge), len(names)]
 
@@ -78,15 +85,15 @@ def _blocks(batches):
         yield int(k), table.filter(pa.array(block == k)).column("text").combine_chunks()
 
 
-def _request(batches, parts, bits):
+def _request(batches, parts):
     for block, text in _blocks(list(batches)):
-        names, counts = Grams(text, bits).distinct()
-        cut = _cuts(names, parts, bits)
+        names, counts = Grams(text).distinct()
+        cut = _cuts(names, parts)
         rows = [(p, a, b) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
         yield pa.RecordBatch.from_arrays(
             [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
-             pa.array([blob(np.diff(names[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
-             pa.array([blob(counts[a:b].astype(np.uint32)) for _, a, b in rows], pa.binary())], names=["part", "block", "names", "counts"])
+             pa.array([_pack(np.diff(names[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
+             pa.array([_pack(counts[a:b].astype(np.uint32)) for _, a, b in rows], pa.binary())], names=["part", "block", "names", "counts"])
 
 
 def _answer(batches):
@@ -95,8 +102,8 @@ def _answer(batches):
     for batch in batches:
         part += batch.column(0).to_pylist()
         block += batch.column(1).to_pylist()
-        names += [np.cumsum(unblob(x, np.uint64)) for x in batch.column(2).to_pylist()]
-        counts += [unblob(x, np.uint32) for x in batch.column(3).to_pylist()]
+        names += [np.cumsum(_unpack(x, np.uint64)) for x in batch.column(2).to_pylist()]
+        counts += [_unpack(x, np.uint32) for x in batch.column(3).to_pylist()]
     if not part:
         return
     size = [len(x) for x in names]
@@ -110,13 +117,13 @@ def _answer(batches):
     answer[order] = np.repeat(total, np.diff(np.r_[edge, len(name)]))
     stop = np.cumsum(size).tolist()
     yield pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array([blob(answer[b - n : b]) for n, b in zip(size, stop)], pa.binary())],
+        [pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array([_pack(answer[b - n : b]) for n, b in zip(size, stop)], pa.binary())],
         names=["part", "block", "totals"])
 
 
-def score_block(text: pa.Array, totals, words: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def score_block(text: pa.Array, totals, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, log score) of each document; ``totals`` answers the block's distinct names."""
-    grams = Grams(text, bits)
+    grams = Grams(text)
     docs = len(text)
     own = np.bincount(grams.doc, minlength=docs)
     names, counts = grams.distinct()
@@ -143,19 +150,21 @@ def score_block(text: pa.Array, totals, words: int, bits: int) -> tuple[np.ndarr
     log[place == 1] -= np.log(ALPHA)
     for n in (2, 3):
         at, seen = grams.at[n - 1], other[n - 1]
-        hit = seen > 0
+        hit = np.flatnonzero(seen > 0)
+        context = other[n - 2][np.searchsorted(grams.at[n - 2], at[hit])]
+        # an n-gram met more often than its context is not itself but shares a name
+        hit, context = hit[context >= seen[hit]], context[context >= seen[hit]]
         end = at[hit] + n - 1
-        context = np.searchsorted(grams.at[n - 2], at[hit])
-        log[end] = np.log(seen[hit] / other[n - 2][context]) + np.where((n == 2) & (place[end] >= 2), np.log(ALPHA), 0.0)
+        log[end] = np.log(seen[hit] / context) + np.where((n == 2) & (place[end] >= 2), np.log(ALPHA), 0.0)
     return own, np.bincount(grams.doc, weights=log, minlength=docs)
 
 
-def _score(docs: pa.Table, answers: pa.Table, words: int, bits: int) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, words: int) -> pa.Table:
     text = docs.column("text").combine_chunks()
     order = np.argsort(answers.column("part").to_numpy()) if answers.num_rows else []
     rows = answers.column("totals").to_pylist()
-    totals = np.concatenate([unblob(rows[k], np.uint64) for k in order]) if len(order) else np.zeros(0, np.uint64)
-    own, log = score_block(text, totals, words, bits)
+    totals = np.concatenate([_unpack(rows[k], np.uint64) for k in order]) if len(order) else np.zeros(0, np.uint64)
+    own, log = score_block(text, totals, words)
     mean = np.where(own > 0, log / np.maximum(own, 1), np.nan)
     return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(own, pa.int64()), "log_score": pa.array(np.round(log, 4)),
                      "mean_log": pa.array(np.round(mean, 4), mask=own == 0)})
@@ -174,12 +183,11 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total, words = src.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(n_words), F.lit(0))).first()
     blocks, parts = max(1, -(-total // block_bytes)), max(1, -(-total // part_bytes))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(int(blocks), "block")
-    bits = min(64, max(1, int(3 * words)).bit_length() + NAME_BITS)
-    asked = dealt.select("doc_id", "text", "block").mapInArrow(partial(_request, parts=int(parts), bits=bits), "part int, block long, names binary, counts binary")
+    asked = dealt.select("doc_id", "text", "block").mapInArrow(partial(_request, parts=int(parts)), "part int, block long, names binary, counts binary")
     answers = asked.repartitionById(int(parts), "part").mapInArrow(_answer, "part int, block long, totals binary")
     return (dealt.groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(partial(_scored, words=int(words), bits=bits), "doc_id long, n_words long, log_score double, mean_log double"))
+            .applyInArrow(partial(_scored, words=int(words)), "doc_id long, n_words long, log_score double, mean_log double"))
 
 
-def _scored(key, docs: pa.Table, answers: pa.Table, words: int, bits: int) -> pa.Table:
-    return _score(docs, answers, words, bits)
+def _scored(key, docs: pa.Table, answers: pa.Table, words: int) -> pa.Table:
+    return _score(docs, answers, words)

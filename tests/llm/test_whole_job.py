@@ -3,8 +3,9 @@
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 
-from tessera.llm import ann, mixing
+from tessera.llm import ann, backoff, mixing
 from tests.llm.test_order import brute_nearest
 
 
@@ -54,3 +55,26 @@ def test_mix_meets_given_weights_over_a_long_mix(spark):
     t = np.arange(1, 20001)
     for name, w in weights.items():
         assert np.abs((head["source"] == name).cumsum().to_numpy() - float(w) * t).max() < 1
+
+
+def test_backoff_tells_words_apart_whose_names_begin_alike(spark):
+    words = [f"w{k}" for k in range(60000)]
+    name = backoff.Grams(pa.array(words)).names[0]
+    head = name >> np.uint64(39)
+    order = np.argsort(head, kind="stable")
+    at = np.flatnonzero(head[order][1:] == head[order][:-1])[0]
+    pair = [words[k] for k in order[at : at + 2]]
+    assert pair[0] != pair[1]
+    out = backoff.backoff_scores(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect()
+    # neither word occurs in the other document
+    assert [r["log_score"] for r in out] == [-0.6931, -0.6931]
+
+
+def test_backoff_stays_finite_where_names_clash():
+    text = pa.array(["a b c", "d e f"])
+    names, counts = backoff.Grams(text).distinct()
+    # the trigram a b c is counted as if another one had its name
+    totals = counts + 5 * (names == backoff.Grams(text).names[2][0])
+    _, clash = backoff.score_block(text, totals.astype(np.uint64), 6)
+    _, clear = backoff.score_block(text, counts.astype(np.uint64), 6)
+    assert np.isfinite(clash).all() and (clash == clear).all()
