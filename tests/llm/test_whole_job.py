@@ -5,7 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import ann, backoff, mixing
+from tessera.llm import ann, backoff, html_text, mixing
 from tests.llm.test_order import brute_nearest
 
 
@@ -78,3 +78,17 @@ def test_backoff_stays_finite_where_names_clash():
     _, clash = backoff.score_block(text, totals.astype(np.uint64), 6)
     _, clear = backoff.score_block(text, counts.astype(np.uint64), 6)
     assert np.isfinite(clash).all() and (clash == clear).all()
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<html><body><div>Top line</div><p>{}</p><p>{}</p><div>Bottom line</div></body></html>"
+    story = "A long story that is told in many words and fills the page " * 5
+    rows = [(k, f"http://h/a?print={k}", page.format(story, "the end")) for k in range(3)]
+    rows += [(3, "http://h/b", page.format("Something else altogether", "fin")), (4, "http://n/1", page.format(story, "read 1 time")),
+             (5, "http://n/2", page.format(story, "read 2 times")), (6, "http://n/3", page.format("Other", "things"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    text = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    story = story.strip()
+    assert [text[k] for k in range(3)] == [f"{story}\n\nthe end"] * 3
+    assert text[3] == "Something else altogether\n\nfin" and text[5] == f"{story}\n\nread 2 times"
+    assert story in text[4]
