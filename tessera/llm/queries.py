@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, backoff, chat, html_text, infill, jaccard, langid, mixing, pieces, quality, suffix
+from tessera.llm import ann, backoff, chat, divergence, html_text, infill, jaccard, langid, mixing, pieces, quality, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.backoff_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the sources of a language, and the terms that mark each source."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, cuts, digest of the transformed text and of the text rebuilt from it, of every document."""
     made = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
@@ -81,7 +86,8 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_host_quality, op3_mix_sources, op4_suffix_dedup, op5_chat_perspectives, op6_page_text, op7_language_spans,
-    op8_sentencepiece, op9_nearest_vectors, op10_backoff_scores, op12_fill_in_middle)}
+    op8_sentencepiece, op9_nearest_vectors, op10_backoff_scores,
+    op11_source_divergence, op12_fill_in_middle)}
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -165,6 +171,29 @@ SELECT doc_id, source, CAST(b AS BIGINT) AS block, CAST((b * x.d) // x.a AS BIGI
 FROM placed x JOIN period p ON x.src = p.src AND p.j = x.b % x.a
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT lang, k, unnest(t) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+occurrences AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(t) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT g.lang, g.source, kept.term, coalesce(o.n, 0) AS n FROM g JOIN kept ON g.lang = kept.lang
+           LEFT JOIN occurrences o ON o.lang = g.lang AND o.source = g.source AND o.term = kept.term),
+shares AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM counts JOIN v USING (lang)),
+whole AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+          FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term) JOIN v USING (lang)),
+apart AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+above AS (SELECT lang, source, term AS item, p - q AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM above)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER w AS INTEGER) AS rank
+FROM ranked WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, encode(item) ASC)
+QUALIFY part = 'pair' OR row_number() OVER w <= 50
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
                   sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -182,4 +211,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM s
 """
 
-SQL: dict[str, str] = {"op12_fill_in_middle": OP12_SQL, "op3_mix_sources": OP3_SQL, "op10_backoff_scores": OP10_SQL, "op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
+SQL: dict[str, str] = {"op11_source_divergence": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op3_mix_sources": OP3_SQL, "op10_backoff_scores": OP10_SQL, "op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
