@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, backoff, chat, divergence, html_text, infill, jaccard, langid, mixing, pieces, quality, suffix
+from tessera.llm import ann, backoff, chat, divergence, html_text, infill, jaccard, langid, mixing, passages, pieces, quality, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +84,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that a document with a smaller id has."""
+    made = passages.without_passages(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_host_quality, op3_mix_sources, op4_suffix_dedup, op5_chat_perspectives, op6_page_text, op7_language_spans,
     op8_sentencepiece, op9_nearest_vectors, op10_backoff_scores,
-    op11_source_divergence, op12_fill_in_middle)}
+    op11_source_divergence, op12_fill_in_middle, op13_passage_dedup)}
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -211,4 +217,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM s
 """
 
-SQL: dict[str, str] = {"op11_source_divergence": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op3_mix_sources": OP3_SQL, "op10_backoff_scores": OP10_SQL, "op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
+# a window's words stand in its key, joined by a space: no word holds one
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+o AS (SELECT k, coalesce(doc_id, 9223372036854775807) AS id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS g
+      FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+hit AS (SELECT k, i FROM (SELECT k, i, id, min(id) OVER (PARTITION BY g) AS least FROM o) WHERE least < id),
+gone AS (SELECT k, list(DISTINCT p) AS p FROM (SELECT k, unnest(range(i, i + 50)) AS p FROM hit) GROUP BY k),
+word AS (SELECT k, p, w[p] AS word FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+left_over AS (SELECT k, string_agg(word, ' ' ORDER BY p) AS kept FROM word
+              WHERE NOT EXISTS (SELECT 1 FROM (SELECT k AS gk, unnest(p) AS gp FROM gone) WHERE gk = word.k AND gp = word.p) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (k) LEFT JOIN left_over USING (k)
+"""
+
+SQL: dict[str, str] = {"op13_passage_dedup": OP13_SQL, "op11_source_divergence": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op3_mix_sources": OP3_SQL, "op10_backoff_scores": OP10_SQL, "op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
