@@ -39,6 +39,8 @@ DEPTH, CELL_BYTES = 2, 16
 HOT = 4096
 #: Sketch entries that a task holds before it adds them up, and text of a task of the exact pass.
 HELD, TASK_BYTES = 1 << 21, 16 << 20
+#: Bytes of text hashed at once.
+CHUNK = 1 << 18
 #: A row without an id counts as the largest.
 NO_ID = (1 << 63) - 1
 
@@ -128,7 +130,7 @@ def _sketch(width: int, window: int, anchor: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         sketch = CountMin(width)
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
+            for _, _, data, offsets in chunks(batch.column(0), CHUNK):
                 sketch.add(_once_per_document(Runs(data, offsets, window, anchor))[1])
                 if sketch.size >= HELD:
                     yield sketch.take()
@@ -141,7 +143,7 @@ def _lookups(width: int, window: int, anchor: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in chunks(batch.column(1)):
+            for a, _, data, offsets in chunks(batch.column(1), CHUNK):
                 doc, low = _once_per_document(Runs(data, offsets, window, anchor))
                 yield pa.RecordBatch.from_arrays([pa.array(key[a + doc])] + [pa.array(cells(low, row, width)) for row in range(DEPTH)],
                                                  names=["key"] + [f"c{row}" for row in range(DEPTH)])
@@ -187,7 +189,7 @@ def _placed(width: int, window: int, anchor: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, key = _filled(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in chunks(batch.column(2)):
+            for a, b, data, offsets in chunks(batch.column(2), CHUNK):
                 runs = Runs(data, offsets, window, anchor)
                 at = np.flatnonzero(_estimates(runs, batch.column(3).slice(a, b - a), width) > 1)
                 row = a + runs.doc[at]
@@ -200,17 +202,19 @@ def _placed(width: int, window: int, anchor: int):
 
 
 _OWNED = "low long, body long, id long, names binary"
+_WINDOWS = "low long, body long, id long, name long, at int"
 
 
 def _owned(width: int, window: int, anchor: int, hot: bool, limit: int):
     """Suspect runs with the hashes of their windows: of equal runs in a task the one of the
-    smallest id. ``hot``: those under anchors in more than ``limit`` documents, or the others."""
+    smallest id. ``hot``: those under anchors in more than ``limit`` documents, a row for
+    each window; else the others, a row for each run."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], tuple[int, bytes]] = {}
         for batch in batches:
             ids = _filled(batch.column(0))
-            for a, b, data, offsets in chunks(batch.column(2)):
+            for a, b, data, offsets in chunks(batch.column(2), CHUNK):
                 runs = Runs(data, offsets, window, anchor)
                 n = _estimates(runs, batch.column(3).slice(a, b - a), width)
                 at = np.flatnonzero(n > limit if hot else (n > 1) & (n <= limit))
@@ -222,15 +226,27 @@ def _owned(width: int, window: int, anchor: int, hot: bool, limit: int):
                     elif own < known[0]:
                         kept[low, body] = own, known[1]
         rows = list(kept.items())
-        for k in range(0, len(rows), 1 << 14):
-            part = rows[k : k + (1 << 14)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0][0] for x in part], pa.int64()), pa.array([x[0][1] for x in part], pa.int64()),
-                 pa.array([x[1][0] for x in part], pa.int64()), pa.array([x[1][1] for x in part], pa.binary())], names=["low", "body", "id", "names"])
+        for k in range(0, len(rows), 1 << 12):
+            part = rows[k : k + (1 << 12)]
+            cols = [np.array(x, np.int64) for x in zip(*[(low, body, own) for (low, body), (own, _) in part])]
+            names = [x[1][1] for x in part]
+            if hot:
+                of, at = _spread(names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[of]) for c in cols], pa.array(np.frombuffer(b"".join(names), np.int64)), pa.array(at)],
+                                                 names=["low", "body", "id", "name", "at"])
+            else:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(names, pa.binary())], names=["low", "body", "id", "names"])
 
     return run
 
 
+def _spread(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place in it) of all windows of runs whose hashes are ``names``."""
+    size = np.array([len(x) // 8 for x in names], np.int64)
+    run = np.repeat(np.arange(len(names)), size)
+    return run, (np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+
+
 _SETTLED = "low long, body long, owner long, marks array<int>"
 
 
@@ -247,10 +263,8 @@ def _settle(batches) -> Iterator[pa.RecordBatch]:
     pick = order[first]
     low, body, owner = low[pick], body[pick], owner[pick]
     names = table.column("names").combine_chunks().take(pa.array(pick)).to_pylist()
-    size = np.array([len(x) // 8 for x in names], np.int64)
-    run = np.repeat(np.arange(len(pick)), size)
+    run, at = _spread(names)
     name = np.frombuffer(b"".join(names), np.uint64)
-    at = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
     order = np.lexsort((owner[run], low[run], name))
     name, of = name[order], run[order]
     new = np.r_[True, (name[1:] != name[:-1]) | (low[of][1:] != low[of][:-1])]
@@ -260,29 +274,16 @@ def _settle(batches) -> Iterator[pa.RecordBatch]:
     marks = np.bincount(run[hit], minlength=len(pick))
     yield pa.RecordBatch.from_arrays(
         [pa.array(low), pa.array(body), pa.array(owner),
-         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(marks)].astype(np.int32)), pa.array(at[hit].astype(np.int32)))],
+         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(marks)].astype(np.int32)), pa.array(at[hit]))],
         names=["low", "body", "owner", "marks"])
 
 
-def _windows(batches) -> Iterator[pa.RecordBatch]:
-    """One row for each window of the runs: (low, body, id, name, at)."""
-    for batch in batches:
-        names = batch.column(3).to_pylist()
-        size = np.array([len(x) // 8 for x in names], np.int64)
-        run = np.repeat(np.arange(len(names)), size)
-        cols = [batch.column(k).to_numpy()[run] for k in range(3)]
-        at = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.frombuffer(b"".join(names), np.int64)), pa.array(at.astype(np.int32))],
-                                         names=["low", "body", "id", "name", "at"])
-
-
-def _settle_hot(owned: DataFrame) -> DataFrame:
+def _settle_hot(windows: DataFrame) -> DataFrame:
     """As ``_settle``, by map-side combined minima: no task gets all runs of an anchor."""
-    windows = owned.mapInArrow(_windows, "low long, body long, id long, name long, at int")
     least = windows.groupBy("low", "name").agg(F.min("id").alias("least"))
     held = windows.join(least, ["low", "name"]).where("id > least")
     marks = held.groupBy("low", "body", "id").agg(F.collect_set("at").alias("marks"))
-    owners = owned.groupBy("low", "body").agg(F.min("id").alias("id"))
+    owners = windows.groupBy("low", "body").agg(F.min("id").alias("id"))
     return owners.join(marks, ["low", "body", "id"], "left").select("low", "body", F.col("id").alias("owner"), F.coalesce("marks", F.array().cast("array<int>")).alias("marks"))
 
 
@@ -297,8 +298,8 @@ def repeated(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: i
     some_hot = F.exists("hits", lambda x: x["n"] > hot)
     owned = joined.mapInArrow(_owned(width, window, anchor, False, hot), _OWNED)
     settled = owned.repartition(shuffle_partitions(spark, size, TASK_BYTES), "low").mapInArrow(_settle, _SETTLED)
-    owned_hot = joined.where(some_hot).mapInArrow(_owned(width, window, anchor, True, hot), _OWNED)
-    settled = settled.unionAll(_settle_hot(owned_hot))
+    windows = joined.where(some_hot).mapInArrow(_owned(width, window, anchor, True, hot), _WINDOWS)
+    settled = settled.unionAll(_settle_hot(windows))
     placed = joined.mapInArrow(_placed(width, window, anchor), _PLACED)
     # a run of its owner: the marked windows; of any other: all of them
     whole = F.array(F.struct(F.col("place").alias("a"), (F.col("place") + F.col("n") - 1).alias("b")))
