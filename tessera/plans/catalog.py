@@ -856,6 +856,7 @@ def q_augment_training(spark, sf):
 # --- M3-M10, H1 (rows-only: fitted numbers have no SQL oracle) ------------------
 import numpy as np  # noqa: E402
 
+from tessera.operators import crossfit as CF  # noqa: E402
 from tessera.operators import models as MD  # noqa: E402
 
 FOREST_TREES = 1000  # the reference's forest size
@@ -934,17 +935,25 @@ def _linear_predictor():
     return lambda x: x @ w
 
 
-@register("score_corpus")
+def _linear_logits_sql() -> str:
+    """The fixed predictor's logits in SQL: a product with each column of its weights."""
+    columns = _linear_predictor()(np.eye(64)).T
+    return "[" + ", ".join(f"list_dot_product(CAST(embedding AS DOUBLE[]), {[float(x) for x in w]})" for w in columns) + "]"
+
+
+@register("score_corpus", f"""SELECT vec_id, list_transform(ex, lambda x: round(x / list_sum(ex), 6)) AS probability,
+  CAST(list_position(ex, list_max(ex)) - 1 AS INTEGER) AS y_hat
+FROM (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS ex FROM (SELECT vec_id, {_linear_logits_sql()} AS z FROM embeddings))""")
 def q_score_corpus(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return MD.score_corpus(e, "embedding", _linear_predictor, 10, keep=["vec_id"])
+    scored = MD.score_corpus(e, "embedding", _linear_predictor, 10, keep=["vec_id"])
+    return scored.select("vec_id", F.transform("probability", lambda x: F.round(x, 6)).alias("probability"), "y_hat")
 
 
 @register("out_of_fold")
 def q_out_of_fold(spark, sf):
     d = labelled(spark, sf).select("doc_id", "quality", T.clean_text("text").alias("cleaned_comment"))
-    return MD.out_of_fold(d, "doc_id", "quality", lambda tr: MD.text_classifier(tr, "quality", key="doc_id"),
-                          k=5, seed=SEED)
+    return CF.text_out_of_fold(d, "doc_id", "quality", k=5, seed=SEED)
 
 
 @register("sweep")
@@ -1218,3 +1227,6 @@ def q_report_directory(spark, sf):
     IO.write_reports(rep, out)
     back = IO.read_reports(spark, out).where("label = 'all'")
     return back.groupBy("split", "metric").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("value").alias("mean"))
+
+
+from tessera.plans import fold_queries  # noqa: E402,F401  (registers the queries over folds)

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_text
+from tessera.operators import crossfit as X
 from tessera.operators import metrics as E
 from tessera.operators import models as MD
 from tessera.operators.baselines import majority_baseline, uniform_baseline
 from tessera.operators.filters import drop_sentinels, require
 from tessera.operators.profile import class_report_summary, fold_average, report_summary
-from tessera.operators.sets import dedupe_first, union_tagged
+from tessera.operators.sets import dedupe_first, union_parts, union_tagged
 from tessera.operators.splits import stratified_fold_table
 from tessera.session import cut_lineage
 from tessera.sources.files import read_reports, write_distributions, write_splits
@@ -54,22 +55,27 @@ def write_corpus_splits(views: DataFrame, out: str, labels, fmt: str = "parquet"
 def baseline_report(views: DataFrame, label: str, key: str, features=MD.SCORE_FEATURES, k: int = 5,
                     num_trees: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Per fold: one forest fit on train, applied to val and test (the reference
-    fits twice); uniform and majority baselines for all folds in one plan.
+    fits twice), the folds side by side; uniform and majority baselines for all folds in one plan.
     Returns (metrics per model x fold x part, averages over folds)."""
     train = views.where(F.col("part") == "train")
     evals = views.where(F.col("part") != "train")
     preds = [majority_baseline(train, evals, label, by=["fold"]).withColumn("model", F.lit("majority")),
-             uniform_baseline(train, evals, label, key, seed, by=["fold"]).withColumn("model", F.lit("uniform"))]
-    for f in range(k):
-        _, p = MD.score_forest(train.where(F.col("fold") == f), evals.where(F.col("fold") == f), label,
-                               features, num_trees=num_trees, seed=seed, keep=[key, "fold", "part"], key=key)
-        preds.append(p.drop("probability").withColumn("model", F.lit("forest")))
+             uniform_baseline(train, evals, label, key, seed, by=["fold"]).withColumn("model", F.lit("uniform")),
+             X.forests_over_folds(views, label, key, features, k, num_trees, seed).withColumn("model", F.lit("forest"))]
+    return _averaged(preds, key, label)
+
+
+def stacked_report(views: DataFrame, label: str, key: str, features, k: int = 5, num_trees: int = 1000,
+                   seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Per fold: the forest on scores and class probabilities (``features``, as J1, J3 and T10
+    attach them); metrics and their averages as in ``baseline_report``."""
+    return _averaged([X.forests_over_folds(views, label, key, features, k, num_trees, seed).withColumn("model", F.lit("stacked"))], key, label)
+
+
+def _averaged(preds: list[DataFrame], key: str, label: str) -> tuple[DataFrame, DataFrame]:
     cols = [key, "fold", "part", label, "y_hat", "model"]
-    allp = preds[0].select(*cols)
-    for p in preds[1:]:
-        allp = allp.unionByName(p.select(*cols))
     by = ["model", "fold", "part"]
-    m = E.summary(allp, label, "y_hat", by=by) \
+    m = E.summary(union_parts(*[p.select(*cols) for p in preds]), label, "y_hat", by=by) \
         .unpivot(by, ["macro_precision", "macro_recall", "macro_f1", "accuracy"], "metric", "value")
     return m, fold_average(m)
 
@@ -79,9 +85,7 @@ def kfold_text_evaluation(df: DataFrame, key: str, label: str, text: str = "clea
                           seed=42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M10 with the M7 text classifier; E2 report per fold; A10 summary of the
     per-fold accuracy and macro scores. Returns (predictions, reports, summary)."""
-    oof = MD.out_of_fold(df.select(key, label, text), key, label,
-                         lambda tr: MD.text_classifier(tr, label, text, key=key), k=k, seed=seed)
-    oof = cut_lineage(oof)
+    oof = cut_lineage(X.text_out_of_fold(df, key, label, text, k, seed))
     reports = E.classification_report(oof, label, "y_hat", by=["fold"])
     per_fold = E.summary(oof, label, "y_hat", by=["fold"]) \
         .unpivot(["fold"], ["macro_precision", "macro_recall", "macro_f1", "accuracy"], "metric", "value")

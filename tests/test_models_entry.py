@@ -62,7 +62,8 @@ def test_registry_consistent():
     from tessera.plans.catalog import QUERIES
     rows_only = set(QUERIES) - set(s)
     assert rows_only <= {"score_forest", "feature_importance", "stacked_forest", "fused_mlp", "text_classifier",
-                         "text_regressor", "score_corpus", "out_of_fold", "sweep", "kfold_text_report"}
+                         "text_regressor", "out_of_fold", "sweep", "kfold_text_report", "sweep_moderation", "sweep_quality",
+                         "baseline_workflow", "stacked_workflow"}
 
 
 @pytest.mark.parametrize("name", ["fold_label_profile", "clean_text", "dedupe_first", "attach_scores", "quantile_bins",
