@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions._util import guard
 from tessera.functions.text import word_count
+from tessera.operators.joins import on_rank
 from tessera.operators.rank import hash_rank
 
 
@@ -32,7 +33,7 @@ def augment_training(train: DataFrame, aug: DataFrame, label: str, value, key: s
     """Append one new row per augmented sentence of each training row's ID.
 
     The new rows copy a donor training row drawn without replacement (seeded,
-    per group ``by``), take the sentence as text, ``value`` as label and
+    per group ``by``; a null group is one like any other), take the sentence as text, ``value`` as label and
     ``marker`` as ``marker_col``; ``augmented_from`` keeps the donor's key.
     Fewer training rows than sentences in a group is an error. ``train`` is
     read several times (sentences, donors, the union): pass a materialised
@@ -48,7 +49,7 @@ def augment_training(train: DataFrame, aug: DataFrame, label: str, value, key: s
                 F.col("_a_sent"))
     sents = hash_rank(sents, "_a_id", seed, by=by, salt=["sentence"], rank_col="_a_rank", size_col="_a_m")
     donors = hash_rank(train, row_key, seed, by=by, salt=["donor"], rank_col="_a_rank", size_col="_a_n")
-    pair = donors.join(sents.select(*by, "_a_rank", "_a_sent", "_a_m"), on=[*by, "_a_rank"], how="inner")
+    pair = on_rank(donors, sents.select(*by, "_a_rank", "_a_sent", "_a_m"), by, "_a_rank")
     donor = guard(F.col("_a_n") < F.col("_a_m"), "more augmented sentences than training rows",
                   F.col(row_key).cast("string"))
     new = pair.select(*[c for c in train.columns if c not in (text, label, marker_col)],

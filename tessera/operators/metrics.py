@@ -206,9 +206,12 @@ MIN_PROBABILITY = 2.2250738585072014e-308
 
 def weighted_log_loss(df: DataFrame, probs: str, y: str = "y", weight: str = "weight", by=()) -> DataFrame:
     """Class-weighted cross-entropy normalised by the sum of weights. A probability
-    of 0 counts as the smallest normal double, so a wrong certainty costs about 708."""
-    py = F.greatest(F.element_at(F.col(probs), F.col(y).cast("int") + 1), F.lit(MIN_PROBABILITY))
-    return df.groupBy(*by).agg((F.sum(-F.col(weight) * F.ln(py)) / F.sum(weight)).alias("log_loss"))
+    of 0 counts as the smallest normal double, so a wrong certainty costs about 708. A row
+    without a label, a probability of it or a weight is in neither sum; a group of
+    such rows has a null loss."""
+    p = F.element_at(F.col(probs), F.col(y).cast("int") + 1)
+    cost = F.when(p.isNotNull(), -F.col(weight) * F.ln(F.greatest(p, F.lit(MIN_PROBABILITY))))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(cost), F.sum(F.when(cost.isNotNull(), F.col(weight)))).alias("log_loss"))
 
 
 def batch_metric_mean(df: DataFrame, batch: str = "batch_id", y: str = "y", y_hat: str = "y_hat", by=()) -> DataFrame:

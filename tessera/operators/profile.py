@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tessera.operators.small import join_small
+from tessera.operators.small import join_small, null_safe_on
 
 
 def value_counts(df: DataFrame, *cols: str, by=(), keep_null: bool = True) -> DataFrame:
@@ -61,10 +61,13 @@ def class_weights(df: DataFrame, label: str, by=()) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, weight_col: str = "weight", by=()) -> DataFrame:
-    """A5 applied: attach each row's class weight (for ``weightCol`` in pyspark.ml).
-    The weight table has one row per class, so AQE broadcasts it."""
-    w = class_weights(df, label, by).select(*by, label, F.col("weight").alias(weight_col))
-    return join_small(df, w, on=[*by, label], how="left")
+    """A5 applied: attach each row's class weight (for ``weightCol`` in pyspark.ml). A null
+    group is a group like any other; a null label has no class, hence a null weight.
+    The weight table has one row per group and class."""
+    on = [*by, label]
+    names = [f"_a_k{k}" for k in range(len(on))]
+    w = class_weights(df, label, by).select(*[F.col(c).alias(n) for c, n in zip(on, names)], F.col("weight").alias(weight_col))
+    return join_small(df, w, on=null_safe_on(on, names), how="left").drop(*names)
 
 
 def class_weight_vector(df: DataFrame, label: str, n_classes: int, by=()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions._util import guard
@@ -21,31 +21,42 @@ def union_parts(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def dedupe_first(df: DataFrame, subset, order: str, keep=None) -> DataFrame:
-    """One row per ``subset`` value, the one with the smallest ``order`` (first in file order).
+def dedupe_first(df: DataFrame, subset, order, keep=None) -> DataFrame:
+    """One row per ``subset`` value, the one with the smallest ``order`` (a column or a
+    list of columns: first in file order).
+
+    A null order comes after all others, and nulls of ``subset`` are a value like any other.
+    ``order`` must tell the rows of a group apart: where its smallest value occurs twice in
+    a group, the row is an error.
 
     Skew-safe form: ``min(order)`` per group is pre-aggregated map-side (a text
     repeated a million times ships one partial row per map task), then the
-    winning order keys select their rows by a semi join on the unique ``order``.
-    ``order`` must be unique: where the smallest value of a group occurs twice, or
-    two groups share a winner, the row is an error. String groups are hashed with xxhash64 first so
+    winners (one per group, by its xxhash64) select their rows in one join, whose
+    partitioning also serves the check for ties. Groups are hashed with xxhash64 first so
     that the hash aggregate compares long texts only on hash equality.
 
     With ``keep`` (the columns needed downstream) the winners' values come
-    straight out of the aggregation (``min_by``), a single pass with no semi
-    join; output is ``subset + order + keep``.
+    straight out of the aggregation, a single pass with no join; output is
+    ``subset + order + keep``.
     """
     subset = [subset] if isinstance(subset, str) else list(subset)
+    order = [order] if isinstance(order, str) else list(order)
+    # nulls last, in a struct that is never null itself
+    position = F.struct(*[c for k, o in enumerate(order) for c in (F.col(o).isNull().alias(f"n{k}"), F.col(o).alias(f"o{k}"))])
+    group = F.xxhash64(*[F.col(c) for c in subset])
     if keep is not None:
-        keep = [c for c in keep if c not in subset and c != order]
+        keep = [c for c in keep if c not in subset and c not in order]
         # min over one struct: all values come from the same row, whatever ties
-        pick = F.min(F.struct(F.col(order), *[F.col(c) for c in keep])).alias("_u_v")
-        return df.groupBy(F.xxhash64(*[F.col(c) for c in subset]).alias("_u_h"), *[F.col(c) for c in subset]) \
-            .agg(pick).select(*subset, F.col(f"_u_v.`{order}`").alias(order), *[F.col(f"_u_v.`{c}`").alias(c) for c in keep])
-    hashes = [F.xxhash64(*[F.col(c) for c in subset]).alias("_u_h")]
-    winners = df.groupBy(*hashes, *[F.col(c) for c in subset]).agg(F.min(order).alias("_u_o"))
-    # the winner must be one row: rows that share its order value are counted
-    first = df.join(winners.select("_u_o").distinct(), F.col(order) == F.col("_u_o"), "left_semi")
-    seen = first.groupBy(order).agg(F.count(F.lit(1)).alias("_u_n"))
-    checked = seen.select(guard(F.col("_u_n") > 1, F.concat(F.lit("order value occurs twice: "), F.col(order).cast("string")), F.col(order)).alias("_u_o"))
-    return df.join(checked, F.col(order) == F.col("_u_o"), "left_semi")
+        pick = F.min(F.struct(position.alias("at"), *[F.col(c).alias(f"v{k}") for k, c in enumerate(keep)])).alias("_u_v")
+        return df.groupBy(group.alias("_u_h"), *[F.col(c) for c in subset]).agg(pick).select(
+            *subset, *[F.col(f"_u_v.at.o{k}").alias(o) for k, o in enumerate(order)], *[F.col(f"_u_v.v{k}").alias(c) for k, c in enumerate(keep)])
+    # one order column: its minimum fits a hash aggregate, and is null only if all of the group are
+    place = F.col(order[0]) if len(order) == 1 else position
+    winners = df.groupBy(group.alias("_u_h"), *[F.col(c) for c in subset]).agg(F.min(place).alias("_u_o")).select("_u_h", "_u_o")
+    rows = df.withColumn("_u_g", group).withColumn("_u_p", place)
+    first = rows.join(winners, (F.col("_u_g") == F.col("_u_h")) & F.col("_u_p").eqNullSafe(F.col("_u_o")), "left_semi")
+    tied = F.count(F.lit(1)).over(Window.partitionBy("_u_g", "_u_p")) > 1
+    message = F.concat(F.lit("order value occurs twice: "), F.concat_ws(", ", *[F.coalesce(F.col(o).cast("string"), F.lit("null")) for o in order]))
+    checked = first.withColumn("_u_g", guard(tied, message, F.col("_u_g")))
+    # a filter that keeps the checked column: nothing prunes it
+    return checked.where(F.col("_u_g").isNotNull()).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -79,8 +79,15 @@ def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed=42, v
                      stratify_val: bool = False) -> DataFrame:
     """K3: all k fold views of ``df`` with ``fold`` and ``part`` columns (k x n rows).
     Only the narrow key table is multiplied by k; wide rows are joined once."""
-    t = stratified_fold_table(df, key, label, k, seed, val, stratify_val).drop(label)
-    return df.join(t, on=key, how="inner")
+    return with_fold_table(df, stratified_fold_table(df, key, label, k, seed, val, stratify_val).drop(label), key)
+
+
+def with_fold_table(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``df`` joined to a fold table (key, fold, part); a null key is a key like any other."""
+    # a struct is never null, and equal where its fields are
+    t = table.select(F.struct(F.col(key).alias("k")).alias("_k_tid"), "fold", "part")
+    return (df.withColumn("_k_id", F.struct(F.col(key).alias("k"))).join(t, F.col("_k_id") == F.col("_k_tid"))
+            .select(key, *[F.col(f"`{c}`") for c in df.columns if c != key], "fold", "part"))
 
 
 def covering_fold_table(df: DataFrame, key: str, k: int = 10, test: float = 0.2, val: float = 0.15,
@@ -110,7 +117,7 @@ def covering_fold_table(df: DataFrame, key: str, k: int = 10, test: float = 0.2,
 
 def covering_splits(df: DataFrame, key: str, k: int = 10, test: float = 0.2, val: float = 0.15, seed=42) -> DataFrame:
     """K4: all k views of ``df``; every key is in some test part at least once."""
-    return df.join(covering_fold_table(df, key, k, test, val, seed), on=key, how="inner")
+    return with_fold_table(df, covering_fold_table(df, key, k, test, val, seed), key)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed, strict: bool = True) -> DataFrame:

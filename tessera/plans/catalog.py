@@ -1229,4 +1229,4 @@ def q_report_directory(spark, sf):
     return back.groupBy("split", "metric").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("value").alias("mean"))
 
 
-from tessera.plans import fold_queries  # noqa: E402,F401  (registers the queries over folds)
+from tessera.plans import edge_queries, fold_queries  # noqa: E402,F401  (register their queries)
