@@ -92,3 +92,95 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert [text[k] for k in range(3)] == [f"{story}\n\nthe end"] * 3
     assert text[3] == "Something else altogether\n\nfin" and text[5] == f"{story}\n\nread 2 times"
     assert story in text[4]
+
+
+def main_lines(page):
+    return [t for m, t in html_text.lines(page) if m == html_text.ARTICLE]
+
+
+def test_marks_of_wrappers_do_not_empty_a_page():
+    body = "<p>First part</p><p>Second part</p>"
+    want = ["First part", "Second part"]
+    for page in (f'<div class="page no-sidebar"><article>{body}</article></div>', f'<main class="with-sidebar">{body}</main>',
+                 f'<article class="post search-result">{body}</article>', f'<div class="content-sidebar-wrap"><article>{body}</article></div>',
+                 f'<div class="social"><div><article>{body}</article></div></div>', f'<div id="promo"><p>Buy</p><main>{body}</main></div>'):
+        assert main_lines(page) == want, page
+    only = '<div class="sidebar"><p>All there is</p></div>'
+    assert [(m, t) for m, t in html_text.lines(only)] == [(html_text.PLAIN, "All there is")]
+    assert main_lines('<aside><article><p>Teaser</p></article></aside>') == []
+
+
+def test_marked_pieces_of_an_article_go_and_its_title_stays():
+    page = ('<article><div class="entry-header"><h1 class="page-header">Title</h1></div><p>One <span class="share">Tweet <span>now</span></span>two</p>'
+            '<p class="ad">Buy this<p>Three <math><mi>x</mi></math><h2 class="related">More</h2><p>Four</p><ol class="commentlist"><li>Me first</li></ol>'
+            '<div id="comments"><article class="comment"><p>Reader</p></article></div><li class="menu-item">Home</li><p>Five</p></article>')
+    assert main_lines(page) == ["Title", "One two", "Three x", "Four", "Five"]
+
+
+def test_pages_with_a_long_menu_and_a_short_body_lose_the_menu(spark):
+    menu = "".join(f"<p>Menu entry number {k}</p>" for k in range(30))
+    rows = [(k, f"http://h/{k}", f"<html><body>{menu}<p>Own line of page {k}</p></body></html>") for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()} == {k: f"Own line of page {k}" for k in range(4)}
+
+
+def test_alignment_in_bounded_space(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = (rng.integers(0, 6, rng.integers(0, 50)).tolist() for _ in range(2))
+        whole = html_text.lcs(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "LCS_CELLS", 20)
+            split = html_text.lcs(a, b)
+        at = 0
+        for k in split:  # a common subsequence, as long as the whole one
+            at = b.index(a[k], at) + 1
+        assert len(split) == len(whole) and split == sorted(set(split))
+    rows = rng.integers(0, 40_000, 60_000).tolist()
+    assert len(html_text.lcs(rows, rows[1:] + [1])) == 59_999
+
+
+def plain_text_of(pages):
+    """The query's rule without Spark: markup, else neighbours by path, else menus."""
+    read = {p: html_text.lines(h) for p, _, h in pages}
+    place = {p: html_text._place(u) for p, u, _ in pages}
+    out = {}
+    contents = {}
+    for p, lines in read.items():
+        contents.setdefault((place[p][0], tuple((t, m == html_text.PLAIN) for m, t in lines)), []).append(p)
+    order = sorted(contents, key=lambda c: (c[0], min(place[p][1] for p in contents[c])))
+    for n, c in enumerate(order):
+        host, own = c
+        main = [t for m, t in read[contents[c][0]] if m == html_text.ARTICLE]
+        if not main:
+            mine, gone = [t for t, _ in own], set()
+            for other in (order[n - 1:n] if n else []) + order[n + 1:n + 2]:
+                if other[0] != host:
+                    continue
+                theirs = [t for t, _ in other[1]]
+                keep = html_text.lcs(mine, theirs)
+                chars = [sum(len(t) for t, plain in x if plain) for x in (own, other[1])]
+                near = max(chars) and sum(len(mine[k]) for k in keep if own[k][1]) >= html_text.NEAR * max(chars)
+                pages_with = lambda t: sum(1 for d in order if d[0] == host and t in [x for x, _ in d[1]])
+                gone |= {k for k in keep if not near or (len(mine[k]) if own[k][1] else 0) < html_text.SHORT and pages_with(mine[k]) >= html_text.TEMPLATE_PAGES}
+            main = [t for k, (t, plain) in enumerate(own) if plain and k not in gone]
+        for p in contents[c]:
+            out[p] = "\n\n".join(main)
+    return out
+
+
+def test_query_equals_a_plain_version(spark):
+    rng = np.random.default_rng(8)
+    shared = [f"<div>{' '.join(['shared', 'line'] * int(n))} {k}</div>" for k, n in enumerate(rng.integers(1, 30, 12))]
+    rows = []
+    for k in range(80):
+        parts = [shared[j] for j in sorted(rng.integers(0, 12, rng.integers(0, 9)))] + [f"<p>own {k} {j}</p>" for j in range(rng.integers(0, 3))]
+        kind = rng.integers(0, 8)
+        parts = parts + ["<nav><a>Menu</a></nav>"] if kind == 0 else ["<article>", *parts, "</article>"] if kind == 1 else parts
+        rows.append((k, [f"http://h{k % 3}/p/{k // 3:02d}", None, "::bad::["][0 if k % 11 else 1 + k % 2], None if k == 17 else "".join(parts)))
+    # distinct paths: ties of paths would be settled by a hash
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    want = plain_text_of(rows)
+    named = [k for k, u, _ in rows if u and u.startswith("http")]
+    assert [got[k] for k in named] == [want[k] for k in named] and len(got) == 80
