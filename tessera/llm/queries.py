@@ -58,8 +58,9 @@ def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best segmentation (as a digest of its ids), the four best scores and the round trip of every document."""
-    return pieces.encode_pieces(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("ids", "ids_sha256")
+    """The four best segmentations (as digests of their ids), their scores and the round trip of every document."""
+    made = pieces.encode_pieces(_table(spark, sf_dir, "documents"), digest=True)
+    return made.withColumnsRenamed({"ids": "ids_sha256", "nbest_ids": "nbest_sha256"})
 
 
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

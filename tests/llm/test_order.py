@@ -120,7 +120,8 @@ def brute_pipeline(rows):
                 gone[i:i + 200] = True
         text = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")
         if text:
-            ids, scores = enc.encode(text, pieces.NBEST)
+            found = enc.encode(text, pieces.NBEST)
+            ids, scores = found[0][0], [x for _, x in found]
             out[d] = (hashlib.sha256(ids).hexdigest(), scores)
     return out
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -133,14 +134,34 @@ def test_nbest_lists_every_segmentation_in_order(vocabulary, unit):
     assert [s for s, _ in found] == every[:20] and len({ids for _, ids in found}) == len(found)
     enc = pieces.Encoder(vocabulary)
     enc.learn([unit])
+    assert tuple(np.frombuffer(enc.ids[0], np.int32).tolist()) == found[0][1]
     assert enc.score[0] == every[0] and (len(every) == 1 or enc.loss[0] == every[0] - every[1])
 
 
-def test_nbest_of_a_text(vocabulary):
-    text = " a bc\nthe tea"
-    per_unit = [[s for s, _ in segmentations(vocabulary, u)] for u in pieces._UNITS.findall(" " + text)]
-    every = sorted((sum(x) for x in itertools.product(*per_unit)), reverse=True)
-    assert pieces.Encoder(vocabulary).encode(text, 4)[1] == every[:4]
+@pytest.mark.parametrize("text", [" a bc\nthe tea", "the", "é☃ x\n\n y", "", "ab ab ab ab", "  two  spaces "])
+def test_nbest_of_a_text_lists_ids_of_every_rank(vocabulary, text):
+    units = pieces._UNITS.findall(" " + text) if text else []
+    every = {}
+    for choice in itertools.product(*[segmentations(vocabulary, u) for u in units]):
+        every.setdefault(sum(s for s, _ in choice), set()).add(tuple(i for _, ids in choice for i in ids))
+    best = sorted((s for s, found in every.items() for _ in found), reverse=True)
+    for n in (1, 2, 4, 9):
+        got = [(tuple(np.frombuffer(ids, np.int32).tolist()), score) for ids, score in pieces.Encoder(vocabulary).encode(text, n)]
+        assert [score for _, score in got] == best[:n]
+        assert all(ids in every[score] for ids, score in got) and len({ids for ids, _ in got}) == len(got)
+        assert all(vocabulary.decode(ids) == text for ids, _ in got if ids)
+
+
+def test_lanes_and_the_search_agree(vocabulary, monkeypatch):
+    rng = random.Random(6)
+    units = list(dict.fromkeys(rng.choice(["", " ", "   "]) + "".join(rng.choice("aeiotnsrh.,é漢☃😀AT") for _ in range(rng.randrange(1, 40))) for _ in range(1500)))
+    units += ["\n", " " * 31, "a" * 32, "a" * 33]
+    lanes, alone = pieces.Encoder(vocabulary), pieces.Encoder(vocabulary)
+    lanes.learn(units)
+    monkeypatch.setattr(pieces, "LANE", 0)
+    alone.learn(units)
+    assert lanes.ids == alone.ids and (lanes.score == alone.score).all() and (lanes.loss == alone.loss).all()
+    assert lanes.same.all() and alone.same.all() and (lanes.size == alone.size).all()
 
 
 def test_pieces_round_trip(docs, spark):
