@@ -1,11 +1,14 @@
 """Stupid-backoff scores, computed relationally.
 
-Documents are dealt into blocks by id hash. A block asks for the corpus counts
-of its distinct n-grams (n = 1 to 3), the requests are partitioned by the
-n-gram's hash, each partition adds up its counts and answers every request,
-and the answers are joined back to the block's exploded n-grams and summed per
-document. Hot n-grams are counted in their block first, so that one is asked
-for once a block, however often it occurs.
+Documents are dealt into blocks. A block asks for the corpus counts of its distinct
+n-grams, the requests are partitioned by the n-gram's hash, each partition adds
+up its counts and answers every request, and the answers are joined back to the
+block's exploded n-grams and summed per document. Hot n-grams are counted in their
+block first, so that one is asked for once a block, however often it occurs.
+
+Words and pairs are asked for first. Three words that another document has too
+are two pairs that it has: only triples whose pairs both occur in other documents
+are asked for, in a second round, and no count that matters is missed.
 
 A document is scored by the other documents: its own occurrences are taken
 off the corpus counts. With ``c`` so reduced, a word w after u v scores
@@ -26,7 +29,7 @@ from tessera.llm.common import CHAIN, Words, blob, chunks, mix, unblob
 
 ORDER, ALPHA, UNSEEN = 3, 0.4, 0.5
 #: Bytes of text in a block, and in the share of an n-gram partition.
-BLOCK_BYTES, PART_BYTES = 5 << 20, 6 << 20
+BLOCK_BYTES, PART_BYTES = 10 << 20, 10 << 20
 
 
 class Grams:
@@ -50,12 +53,42 @@ class Grams:
             self.names.append(mix(chain[at] + np.uint64(n)))
             self.at.append(at)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct names, and how often each occurs in the block."""
-        every = np.concatenate(self.names)
-        every.sort()
-        edge = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
-        return every[edge], np.diff(np.r_[edge, len(every)])
+    def likely(self, pairs: np.ndarray) -> np.ndarray:
+        """Triples (as places in their order) whose pairs have positive counts ``pairs``."""
+        left = pairs[np.searchsorted(self.at[1], self.at[2])]
+        right = pairs[np.searchsorted(self.at[1], self.at[2] + 1)]
+        return np.flatnonzero((left > 0) & (right > 0))
+
+
+def distinct(*names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct names, and how often each occurs in the block."""
+    every = np.concatenate(names)
+    every.sort()
+    edge = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    return every[edge], np.diff(np.r_[edge, len(every)])
+
+
+def others(name: np.ndarray, doc: np.ndarray, docs: int, names: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Occurrences of each n-gram in the other documents; ``totals`` are the corpus counts of the
+    block's distinct ``names``, ``counts`` its own."""
+    # needles in order meet the sorted names one after the other
+    order = np.argsort(name)
+    code = np.empty(len(name), np.int32)
+    code[order] = np.searchsorted(names, name[order])
+    del order
+    left = totals[code].astype(np.int64)
+    # occurrences in the document itself: one, unless the block has more of them
+    many = np.flatnonzero(counts[code] > 1)
+    _, back, times = np.unique(code[many].astype(np.int64) * docs + doc[many], return_inverse=True, return_counts=True)
+    inside = np.ones(len(code), np.int64)
+    inside[many] = times[back]
+    return left - inside
+
+
+def words_and_pairs(grams: Grams, docs: int, totals: np.ndarray) -> list[np.ndarray]:
+    """Counts in other documents of the words and the pairs of a block."""
+    names, counts = distinct(*grams.names[:2])
+    return [others(grams.names[n], grams.doc[grams.at[n]], docs, names, counts, totals) for n in range(2)]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -85,15 +118,35 @@ def _blocks(batches):
         yield int(k), table.filter(pa.array(block == k)).column("text").combine_chunks()
 
 
+_ASKED = "part int, block long, names binary, counts binary"
+
+
+def _asked(block: int, names: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    cut = _cuts(names, parts)
+    rows = [(p, a, b) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+    return pa.table({"part": pa.array([p for p, _, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()),
+                     "names": pa.array([_pack(np.diff(names[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
+                     "counts": pa.array([_pack(counts[a:b].astype(np.uint32)) for _, a, b in rows], pa.binary())})
+
+
 def _request(batches, parts):
+    """Asks for the words and pairs of each block."""
     for block, text in _blocks(list(batches)):
-        names, counts = Grams(text).distinct()
-        cut = _cuts(names, parts)
-        rows = [(p, a, b) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
-             pa.array([_pack(np.diff(names[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
-             pa.array([_pack(counts[a:b].astype(np.uint32)) for _, a, b in rows], pa.binary())], names=["part", "block", "names", "counts"])
+        yield from _asked(block, *distinct(*Grams(text).names[:2]), parts).to_batches()
+
+
+def _request_triples(key, docs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
+    """Asks for the triples of a block that other documents may have."""
+    grams = Grams(docs.column("text").combine_chunks())
+    pairs = words_and_pairs(grams, docs.num_rows, _totals(answers))[1]
+    return _asked(key[0].as_py(), *distinct(grams.names[2][grams.likely(pairs)]), parts)
+
+
+def _totals(answers: pa.Table) -> np.ndarray:
+    """Answers in the order of the names."""
+    order = np.argsort(answers.column("part").to_numpy()) if answers.num_rows else []
+    rows = answers.column("totals").to_pylist()
+    return np.concatenate([_unpack(rows[k], np.uint64) for k in order]) if len(order) else np.zeros(0, np.uint64)
 
 
 def _answer(batches):
@@ -121,27 +174,18 @@ def _answer(batches):
         names=["part", "block", "totals"])
 
 
-def score_block(text: pa.Array, totals, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, log score) of each document; ``totals`` answers the block's distinct names."""
+def score_block(text: pa.Array, totals: np.ndarray, triples: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, log score) of each document; ``totals`` answers the block's distinct words and
+    pairs, ``triples`` its likely triples."""
     grams = Grams(text)
     docs = len(text)
     own = np.bincount(grams.doc, minlength=docs)
-    names, counts = grams.distinct()
-    other = []
-    for n, at in enumerate(grams.at):
-        # needles in order meet the sorted names one after the other; one order at a time
-        name, grams.names[n] = grams.names[n], None
-        order = np.argsort(name)
-        code = np.empty(len(name), np.int32)
-        code[order] = np.searchsorted(names, name[order])
-        del name, order
-        left = totals[code].astype(np.int64)
-        # occurrences in the document itself: one, unless the block has more of them
-        many = np.flatnonzero(counts[code] > 1)
-        _, back, times = np.unique(code[many].astype(np.int64) * docs + grams.doc[at[many]], return_inverse=True, return_counts=True)
-        inside = np.ones(len(code), np.int64)
-        inside[many] = times[back]
-        other.append(left - inside)
+    other = words_and_pairs(grams, docs, totals)
+    likely = grams.likely(other[1])
+    name, doc = grams.names[2][likely], grams.doc[grams.at[2][likely]]
+    other.append(np.zeros(len(grams.at[2]), np.int64))
+    other[2][likely] = others(name, doc, docs, *distinct(name), triples)
+    grams.names.clear()
     n_other = np.maximum(words - own, 1)
     log = np.log(ALPHA**2 * np.maximum(other[0], UNSEEN) / n_other[grams.doc])
     first = np.searchsorted(grams.doc, grams.doc)
@@ -159,14 +203,13 @@ def score_block(text: pa.Array, totals, words: int) -> tuple[np.ndarray, np.ndar
     return own, np.bincount(grams.doc, weights=log, minlength=docs)
 
 
-def _score(docs: pa.Table, answers: pa.Table, words: int) -> pa.Table:
-    text = docs.column("text").combine_chunks()
-    order = np.argsort(answers.column("part").to_numpy()) if answers.num_rows else []
-    rows = answers.column("totals").to_pylist()
-    totals = np.concatenate([_unpack(rows[k], np.uint64) for k in order]) if len(order) else np.zeros(0, np.uint64)
-    own, log = score_block(text, totals, words)
+def _scored(key, docs: pa.Table, answers: pa.Table, words: int) -> pa.Table:
+    of = answers.column("n").to_numpy()
+    totals, triples = (_totals(answers.filter(pa.array(of == n))) for n in (2, 3))
+    own, log = score_block(docs.column("text").combine_chunks(), totals, triples, words)
+    log = log.astype(np.float64)
     mean = np.where(own > 0, log / np.maximum(own, 1), np.nan)
-    return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(own, pa.int64()), "log_score": pa.array(np.round(log, 4)),
+    return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(own, pa.int64()), "log_score": pa.array(np.round(log, 4), pa.float64()),
                      "mean_log": pa.array(np.round(mean, 4), mask=own == 0)})
 
 
@@ -176,18 +219,22 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are lower-cased (A-Z) runs of non-space. A null or empty text has no words
     and scores 0; rows with a null or repeated id, and repeated rows, are documents
-    of their own (each counts for the others); an empty table gives none."""
+    of their own (each counts for the others); an empty table gives none. Rows are dealt
+    to blocks by their place in ``docs``, so that copies spread: ``docs`` is to be a table,
+    or another frame that gives the same partitions when it is computed again."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     size = F.octet_length("text")
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     total, words = src.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(n_words), F.lit(0))).first()
-    blocks, parts = max(1, -(-total // block_bytes)), max(1, -(-total // part_bytes))
-    dealt = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(int(blocks), "block")
-    asked = dealt.select("doc_id", "text", "block").mapInArrow(partial(_request, parts=int(parts)), "part int, block long, names binary, counts binary")
-    answers = asked.repartitionById(int(parts), "part").mapInArrow(_answer, "part int, block long, totals binary")
-    return (dealt.groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(partial(_scored, words=int(words)), "doc_id long, n_words long, log_score double, mean_log double"))
+    blocks, parts = max(1, -(-total // block_bytes)), int(max(1, -(-total // part_bytes)))
+    dealt = src.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).repartition(int(blocks), "block")
 
+    def answered(asked: DataFrame) -> DataFrame:
+        answers = asked.repartitionById(parts, "part").mapInArrow(_answer, "part int, block long, totals binary")
+        return answers.repartition(int(blocks), "block")
 
-def _scored(key, docs: pa.Table, answers: pa.Table, words: int) -> pa.Table:
-    return _score(docs, answers, words)
+    first = answered(dealt.select("doc_id", "text", "block").mapInArrow(partial(_request, parts=parts), _ASKED))
+    asked = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(partial(_request_triples, parts=parts), _ASKED)
+    both = first.withColumn("n", F.lit(2)).unionAll(answered(asked).withColumn("n", F.lit(3)))
+    return (dealt.groupBy("block").cogroup(both.groupBy("block"))
+            .applyInArrow(partial(_scored, words=int(words)), "doc_id long, n_words long, log_score double, mean_log double"))

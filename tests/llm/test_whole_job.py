@@ -72,14 +72,33 @@ def test_backoff_tells_words_apart_whose_names_begin_alike(spark):
 
 def test_backoff_stays_finite_where_names_clash():
     text = pa.array(["a b c", "d e f"])
-    names, counts = backoff.Grams(text).distinct()
-    # the trigram a b c is counted as if another one had its name
-    totals = counts + 5 * (names == backoff.Grams(text).names[2][0])
-    _, clash = backoff.score_block(text, totals.astype(np.uint64), 6)
-    _, clear = backoff.score_block(text, counts.astype(np.uint64), 6)
+    grams = backoff.Grams(text)
+    names, counts = backoff.distinct(*grams.names[:2])
+    none = np.zeros(0, np.uint64)
+    # the pair b c is counted as if another one had its name
+    totals = counts + 5 * (names == grams.names[1][1])
+    _, clash = backoff.score_block(text, totals.astype(np.uint64), none, 6)
+    _, clear = backoff.score_block(text, counts.astype(np.uint64), none, 6)
     assert np.isfinite(clash).all() and (clash == clear).all()
 
 
+def test_backoff_asks_only_for_likely_triples(spark):
+    rows = [(1, "a b c d"), (2, "x b c y"), (3, "q r s"), (4, "a b z c d"), (4, "a b z c d"), (None, "a b z c d"), (None, None), (None, None)]
+    grams = backoff.Grams(pa.array([t for _, t in rows]))
+    names, counts = backoff.distinct(*grams.names[:2])
+    pairs = backoff.words_and_pairs(grams, len(rows), counts.astype(np.uint64))[1]
+    likely = grams.likely(pairs)
+    # b c d and a b c of the first document, and all triples of the three copies
+    assert len(likely) == 2 + 3 * 3 and grams.doc[grams.at[2][likely]].tolist() == [0, 0, 3, 3, 3, 4, 4, 4, 5, 5, 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1, 40, 1 << 20):
+        out = backoff.backoff_scores(df, block_bytes=size, part_bytes=size).collect()
+        assert len(out) == len(rows)
+        got = sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in out)
+        assert size == 1 or got == last
+        last = got
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     page = "<html><body><div>Top line</div><p>{}</p><p>{}</p><div>Bottom line</div></body></html>"
     story = "A long story that is told in many words and fills the page " * 5
