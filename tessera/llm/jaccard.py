@@ -91,6 +91,31 @@ def _fingerprints(batches, n):
              pa.array(np.array(f2, np.uint64).view(np.int64))], names=["doc_id", "n_shingles", "f1", "f2"])
 
 
+def _text_names(batches, n):
+    for batch in batches:
+        text = batch.column(0)
+        named = [pa.Table.from_batches(_fingerprints([pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text], names=["doc_id", "text"])], n))]
+        table = pa.concat_tables(named)
+        yield pa.RecordBatch.from_arrays([text, *[table.column(c).combine_chunks() for c in ("n_shingles", "f1", "f2")]], names=["text", "n_shingles", "f1", "f2"])
+
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``docs`` with one row for each id and shingle set: the one with the smallest text, and of
+    equal texts the smallest in its other columns. Rows without an id or without words stay."""
+    named = docs.where(f"`{id_col}` is not null")
+    repeated = cut_lineage(named.groupBy(id_col).count().where("count > 1").select(id_col))
+    rows = named.join(repeated, id_col, "left_semi").select(*docs.columns)
+    texts = rows.where(f"`{text_col}` is not null").select(F.col(f"`{text_col}`").alias("text")).distinct()
+    texts = texts.mapInArrow(partial(_text_names, n=shingle), "text string, n_shingles long, f1 long, f2 long")
+    with_set = rows.join(texts.withColumnRenamed("text", "_j_text"), F.col(f"`{text_col}`") == F.col("_j_text"), "left").drop("_j_text")
+    worded = F.coalesce(F.col("n_shingles"), F.lit(0)) > 0
+    row = F.struct(F.col(f"`{text_col}`").alias("t"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("r"))
+    first = with_set.where(worded).groupBy(id_col, "n_shingles", "f1", "f2").agg(F.min(row).alias("_j_first"))
+    first = first.select(*[F.col(f"_j_first.r.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    single = docs.join(repeated, id_col, "left_anti").select(*docs.columns)
+    return single.unionByName(with_set.where(~worded).select(*docs.columns)).unionByName(first)
+
+
 def _tokens(batches, n):
     for batch in batches:
         sets = list(shingle_sets(batch.column(1), n))

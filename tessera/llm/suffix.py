@@ -291,11 +291,16 @@ def _merge(key, table):
 
 
 def _cut(batches):
-    """Slices the wanted contexts out of their texts."""
+    """Slices the wanted contexts out of their texts; copies of a row come to one task, and
+    only the first is cut."""
+    seen: set[int] = set()
     for batch in batches:
         text, wanted = batch.column(1), batch.column(2).to_pylist()
         rows = []
         for key, body, want in zip(batch.column(0).to_pylist(), text, wanted):
+            if key in seen:
+                continue
+            seen.add(key)
             raw = memoryview(body.as_buffer()) if body.is_valid else b""
             rows += [(w["low"], w["salt"], key, w["s1"], w["s2"], w["repeated"], w["spread"], bytes(raw[w["s1"] : w["s2"] + SPAN])) for w in want]
         cols = list(zip(*rows)) if rows else [[]] * 8
@@ -378,7 +383,8 @@ def repeats(keyed: DataFrame) -> DataFrame:
     inside = out.where("digests is null").select("key", "s1", "s2")
     across = (out.where("digests is not null").groupBy("key", "s1").applyInArrow(_merge, "key long, s1 int, s2 int"))
     found = whole.unionAll(inside).unionAll(across)
-    return found.groupBy("key").agg(F.collect_list(F.struct("s1", "s2")).alias("found"))
+    # each copy of a row has found the same
+    return found.groupBy("key").agg(F.collect_set(F.struct("s1", "s2")).alias("found"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

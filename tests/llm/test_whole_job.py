@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tessera.llm import ann, backoff, html_text, mixing
+import corpus_pipeline
+from tessera.llm import ann, backoff, html_text, mixing, suffix
 from tests.llm.test_order import brute_nearest
 
 
@@ -203,3 +206,38 @@ def test_query_equals_a_plain_version(spark):
     want = plain_text_of(rows)
     named = [k for k, u, _ in rows if u and u.startswith("http")]
     assert [got[k] for k in named] == [want[k] for k in named] and len(got) == 80
+
+
+def test_copies_of_a_row_are_cut_once(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(70))
+    body = " ".join(f"w{k}" for k in range(200)) + " " + passage
+    table = [(1, body)] * 10_000 + [(2, "other start " + passage + " other end"), (3, "alone " * 3)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(8)
+    found = suffix.repeats(suffix._keyed(df, "doc_id", "text").select("key", "text"))
+    # what a row has found does not grow with its copies
+    assert found.agg(F.max(F.size("found"))).first()[0] < 200
+    out = suffix.suffix_dedup(df).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["count"]) for r in out} == {
+        1: (len(body), 1, 10_000), 2: (len(passage) + 1, 1, 1), 3: (0, 0, 1)}
+
+
+def test_rows_of_an_id_go_only_for_rows_with_their_words(spark):
+    a, b = "one two three four five six", "quite other words stand in this text"
+    rows = [(1, a, "en", "s", 1), (1, a.upper(), "en", "s", 1), (1, b, "en", "s", 2), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, a, "en", "s", 1),
+            (3, "a b", "en", "t", 1), (3, "a b", "en", "s", 1), (None, a, "en", "s", 1), (None, a, "en", "s", 1)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        out = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=str)
+        assert out == sorted([rows[1], rows[2], rows[3], rows[4], rows[7], rows[8], rows[9]], key=str)
+
+
+def test_the_last_stage_knows_the_order_of_the_mix(spark, scratch):
+    rows = [(k, f"text {k}", "en", "abc"[k % 3], 6) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixed_sources(spark, df, "")
+    mixed.write.parquet(f"{scratch}/mix")
+    want = [r["doc_id"] for r in mixing.mix_sources(df).orderBy("_m_position").collect()]
+    out = corpus_pipeline.encoded(spark, spark.read.parquet(f"{scratch}/mix"), "").orderBy("mix_file", "mix_row").collect()
+    assert [r["doc_id"] for r in out] == want
+    assert corpus_pipeline.encoded(spark, df, "").where("mix_row is null and n_pieces > 0").count() == 300
