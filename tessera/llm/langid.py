@@ -28,23 +28,87 @@ BUCKETS, SMOOTH, SWITCH, ALIEN, SCRIPT_SHARE = 1 << 16, 0.5, 12.0, 50.0, 0.01
 #: Bytes whose words go through the Viterbi pass together.
 LANES_BYTES = 8 << 20
 
-#: Script class of a UTF-8 lead byte (0 none, 1 Latin, 2 Greek, 3 Cyrillic,
-#: 4 Armenian and Hebrew, 5 Arabic, 6 Indic and Thai, 7 Georgian and Ethiopic, 8 Kana,
-#: 9 Han, 10 Hangul, 11 other planes).
-SCRIPTS = 12
-SCRIPT = np.zeros(256, np.int8)
-SCRIPT[65:91] = SCRIPT[97:123] = 1
-SCRIPT[0xC3:0xCA] = 1
-SCRIPT[0xCD:0xD0] = 2
-SCRIPT[0xD0:0xD4] = 3
-SCRIPT[0xD4:0xD8] = 4
-SCRIPT[0xD8:0xDC] = 5
-SCRIPT[0xE0] = 6
-SCRIPT[0xE1] = 7
-SCRIPT[0xE3] = 8
-SCRIPT[0xE4:0xEA] = 9
-SCRIPT[0xEA:0xEE] = 10
-SCRIPT[0xF0:0xF5] = 11
+#: Code point ranges (hexadecimal, both ends included) of scripts.
+SCRIPT_RANGES = """
+Latin 41-5A 61-7A AA-AA BA-BA C0-D6 D8-F6 F8-2AF 1D00-1D25 1D2C-1DBF 1E00-1EFF 2071-2071 207F-207F 2C60-2C7F A720-A7FF AB30-AB6F FB00-FB06 FF21-FF3A FF41-FF5A
+Greek 370-3FF 1D26-1D2B 1F00-1FFF
+Cyrillic 400-52F 1C80-1C8F 2DE0-2DFF A640-A69F
+Armenian 530-58F FB13-FB17
+Hebrew 590-5FF FB1D-FB4F
+Arabic 600-6FF 750-77F 870-8FF FB50-FDFF FE70-FEFE
+Syriac 700-74F 860-86F
+Thaana 780-7BF
+Nko 7C0-7FF
+Devanagari 900-97F A8E0-A8FF
+Bengali 980-9FF
+Gurmukhi A00-A7F
+Gujarati A80-AFF
+Oriya B00-B7F
+Tamil B80-BFF
+Telugu C00-C7F
+Kannada C80-CFF
+Malayalam D00-D7F
+Sinhala D80-DFF
+Thai E00-E7F
+Lao E80-EFF
+Tibetan F00-FFF
+Myanmar 1000-109F A9E0-A9FF AA60-AA7F
+Georgian 10A0-10FF 1C90-1CBF 2D00-2D2F
+Ethiopic 1200-139F 2D80-2DDF AB00-AB2F
+Cherokee 13A0-13FF AB70-ABBF
+Canadian 1400-167F 18B0-18FF
+Khmer 1780-17FF 19E0-19FF
+Mongolian 1800-18AF
+Yi A000-A4CF
+Lisu A4D0-A4FF
+Kana 3041-30FF 31F0-31FF FF66-FF9F 1B000-1B16F
+Bopomofo 3100-312F 31A0-31BF
+Han 2E80-2FDF 3005-3007 3021-3029 3400-4DBF 4E00-9FFF F900-FAFF 20000-3FFFF
+Hangul 1100-11FF 3130-318F A960-A97F AC00-D7FF FFA0-FFDC
+Other 800-85F 1680-177F 1900-19DF 1A00-1C7F 1CC0-1CFF A500-A63F A6A0-A71F A800-A8DF A900-A95F A980-A9DF AA00-AA5F AA80-AAFF ABC0-ABFF 10000-1AFFF 1E000-1EFFF
+"""
+SCRIPT_NAMES = [None, *(line.split()[0] for line in SCRIPT_RANGES.split("\n") if line)]
+SCRIPTS = len(SCRIPT_NAMES)
+
+
+def _ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, script) of the ranges, in order."""
+    rows = [(int(x.split("-")[0], 16), int(x.split("-")[1], 16), k)
+            for k, line in enumerate((line for line in SCRIPT_RANGES.split("\n") if line), 1) for x in line.split()[1:]]
+    table = np.array(sorted(r for r in rows), np.int64)
+    return table[:, 0], table[:, 1], table[:, 2]
+
+
+_FIRST, _LAST, _SCRIPT = _ranges()
+#: Script of the ASCII bytes.
+_ASCII = np.zeros(256, np.int8)
+_ASCII[65:91] = _ASCII[97:123] = 1
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the lead byte, code point) of the multibyte characters of UTF-8 text."""
+    at = np.flatnonzero(data >= 0xC0)
+    padded = np.r_[data, np.zeros(3, np.uint8)].astype(np.int64)
+    lead = padded[at]
+    more = 1 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    point = lead & (0x3F >> more)
+    for k in range(1, 4):
+        point = np.where(more >= k, (point << 6) | (padded[at + k] & 0x3F), point)
+    return at, point
+
+
+def script_of(point: np.ndarray) -> np.ndarray:
+    """Script of each code point; 0 for those that belong to none."""
+    k = np.maximum(np.searchsorted(_FIRST, point, side="right") - 1, 0)
+    return np.where((point >= _FIRST[k]) & (point <= _LAST[k]), _SCRIPT[k], 0).astype(np.int8)
+
+
+def scripts(data: np.ndarray) -> np.ndarray:
+    """Script of the character that begins at each byte; 0 at the others."""
+    out = _ASCII[data]
+    at, point = code_points(data)
+    out[at] = script_of(point)
+    return out
 
 
 class Features:
@@ -67,7 +131,7 @@ class Features:
         self.first = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=self.first[1:])
         self.lengths = lengths
-        script = SCRIPT[data[at]]
+        script = scripts(data)[at]
         self.script = np.maximum.reduceat(script, self.first[:-1]) if len(lengths) else np.zeros(0, np.int8)
 
 
@@ -176,7 +240,7 @@ def _predict(batches, model, text_at):
         column = batch.column(text_at)
         for a, b, data, offsets in chunks(column, LANES_BYTES):
             docs = b - a
-            lettered = count_between((SCRIPT[data] == 1) & (data < 128), offsets) > 0
+            lettered = count_between(_ASCII[data] > 0, offsets) > 0
             foreign = np.flatnonzero(~lettered & (count_between(data >= 128, offsets) > 0))
             for k in foreign.tolist():
                 lettered[k] = any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"))

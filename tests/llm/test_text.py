@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import backoff, chat, html_text, langid, pieces, quality, queries
@@ -103,6 +104,64 @@ def test_spans_of_mixed_text(spark):
     assert [r["lang"] for r in spans] == ["en", "de"] and abs(spans[0]["end_word"] - 60) <= 4
 
 
+def test_scripts_by_code_point():
+    words = {"Việt": "Latin", "ꓡꓲꓢ": "Lisu", "ไทย": "Thai", "हिन्दी": "Devanagari", "ქართული": "Georgian", "አማርኛ": "Ethiopic", "ខ្មែរ": "Khmer", "ᏣᎳᎩ": "Cherokee",
+             "한국": "Hangul", "漢字": "Han", "かな": "Kana", "ελληνικά": "Greek", "русский": "Cyrillic", "हिन्दी".upper(): "Devanagari", "עברית": "Hebrew", "հայերեն": "Armenian",
+             "𠀀": "Han", "abc": "Latin", "123": None, "“—”": None, "😀": None, "x": "Latin"}
+    text = " ".join(words).encode()
+    f = langid.Features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert [langid.SCRIPT_NAMES[k] for k in f.script.tolist()] == list(words.values())
+    rng = random.Random(1)
+    points = [rng.choice([rng.randrange(128), rng.randrange(0x800), rng.randrange(0xD800), rng.randrange(0xE000, 0x10000), rng.randrange(0x10000, 0x110000)]) for _ in range(5000)]
+    data = "".join(map(chr, points)).encode()
+    assert langid.code_points(np.frombuffer(data, np.uint8))[1].tolist() == [p for p in points if p >= 128]
+    assert (langid._FIRST[1:] > langid._LAST[:-1]).all()
+
+
+def plain_language(model, text):
+    """The prediction of one text without arrays: word scores, then every path's best predecessor."""
+    words = text.split() if text else []
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    best, back = None, []
+    weights = []
+    for w in (text or "").encode().split():
+        low = b" " + w.translate(bytes(langid.LOWER.tolist())) + b" "
+        codes = np.array([(low[k] << 16) | (low[k + 1] << 8) | low[k + 2] for k in range(len(w))], np.uint64)
+        script = max([0, *langid.script_of(np.array([ord(c) for c in w.decode()])).tolist()])
+        score = model.log[(langid.mix(codes + np.uint64(1)) >> np.uint64(48)).astype(np.int64)].sum(axis=0) * (script > 0) + model.alien[script]
+        weights.append((len(w) * (script > 0), len(w)))
+        if best is None:
+            best, back = score.astype(float), [list(range(len(score)))]
+        else:
+            came = [max(range(len(score)), key=lambda x: best[x] - langid.SWITCH * (x != y)) for y in range(len(score))]
+            best = np.array([best[x] - langid.SWITCH * (x != y) for y, x in enumerate(came)]) + score
+            back.append(came)
+    assert len(words) == len(weights)
+    path = [int(best.argmax())]
+    for came in back[:0:-1]:
+        path.append(came[path[-1]])
+    path.reverse()
+    share = np.zeros(len(best))
+    for x, (lettered, plain) in zip(path, weights):
+        share[x] += lettered if any(a for a, _ in weights) else plain
+    return model.names[int(share.argmax())], share.max() / share.sum()
+
+
+def test_prediction_equals_a_plain_version(spark):
+    docs = spark.read.parquet(DOCS)
+    model = langid.fit(docs.where("crc32(cast(doc_id as string)) % 4 <> 2").select("doc_id", "text", "lang"))
+    some = docs.where("n_chars < 900").orderBy("doc_id").limit(60)
+    rows = [(r["doc_id"], r["text"]) for r in some.collect()]
+    by = {r["lang"]: r["text"] for r in docs.where("n_chars between 300 and 900").collect()}
+    rows += [(90000, by["en"] + " " + by["de"] + " Việt漢 ไทย " + by["fr"]), (90001, "漢字 かな"), (90002, "12 34"), (90003, "ꓡꓲ")]
+    got = langid._predict([pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])], model, 1)
+    for batch in got:
+        for (_, text), lang, score in zip(rows, batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist()):
+            want = plain_language(model, text)
+            assert lang == want[0] and abs(score - want[1]) < 1e-9
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     for _ in range(40):
