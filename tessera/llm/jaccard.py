@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Words, blob, chunks, components, mix, shuffle_partitions, unblob
+from tessera.operators.small import join_small
 from tessera.session import cut_lineage
 
 #: Links need ``LINK_NUM / LINK_DEN`` = 0.8 or more of the union in common.
@@ -102,9 +103,11 @@ def _text_names(batches, n):
 def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row for each id and shingle set: the one with the smallest text, and of
     equal texts the smallest in its other columns. Rows without an id or without words stay."""
-    named = docs.where(f"`{id_col}` is not null")
-    repeated = cut_lineage(named.groupBy(id_col).count().where("count > 1").select(id_col))
-    rows = named.join(repeated, id_col, "left_semi").select(*docs.columns)
+    repeated = (docs.select(F.col(f"`{id_col}`").alias("_j_id")).where("_j_id is not null").groupBy("_j_id").agg(F.count("*").alias("_j_n"))
+                .where("_j_n > 1").select("_j_id"))
+    # few ids repeat, as a rule: a table of checked size
+    marked = join_small(docs, repeated, F.col(f"`{id_col}`") == F.col("_j_id"), "left")
+    rows = marked.where("_j_id is not null").select(*docs.columns)
     texts = rows.where(f"`{text_col}` is not null").select(F.col(f"`{text_col}`").alias("text")).distinct()
     texts = texts.mapInArrow(partial(_text_names, n=shingle), "text string, n_shingles long, f1 long, f2 long")
     with_set = rows.join(texts.withColumnRenamed("text", "_j_text"), F.col(f"`{text_col}`") == F.col("_j_text"), "left").drop("_j_text")
@@ -112,7 +115,7 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.struct(F.col(f"`{text_col}`").alias("t"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("r"))
     first = with_set.where(worded).groupBy(id_col, "n_shingles", "f1", "f2").agg(F.min(row).alias("_j_first"))
     first = first.select(*[F.col(f"_j_first.r.c{k}").alias(c) for k, c in enumerate(docs.columns)])
-    single = docs.join(repeated, id_col, "left_anti").select(*docs.columns)
+    single = marked.where("_j_id is null").select(*docs.columns)
     return single.unionByName(with_set.where(~worded).select(*docs.columns)).unionByName(first)
 
 
