@@ -100,23 +100,29 @@ def _text_names(batches, n):
         yield pa.RecordBatch.from_arrays([text, *[table.column(c).combine_chunks() for c in ("n_shingles", "f1", "f2")]], names=["text", "n_shingles", "f1", "f2"])
 
 
-def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``docs`` with one row for each id and shingle set: the one with the smallest text, and of
-    equal texts the smallest in its other columns. Rows without an id or without words stay."""
+def survivors(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``docs`` without the ids of ``gone`` and with one row for each id and shingle set: the one
+    with the smallest text, and of equal texts the smallest in its other columns. Rows
+    without an id or without words stay.
+
+    Ids that occur once, nearly all, are only taken out; rows of the others are told apart."""
+    columns = docs.columns
+    gone = gone.select(F.col(id_col).alias("_j_gone"))
+    kept = F.col(f"`{id_col}`") == F.col("_j_gone")
     repeated = (docs.select(F.col(f"`{id_col}`").alias("_j_id")).where("_j_id is not null").groupBy("_j_id").agg(F.count("*").alias("_j_n"))
                 .where("_j_n > 1").select("_j_id"))
     # few ids repeat, as a rule: a table of checked size
     marked = join_small(docs, repeated, F.col(f"`{id_col}`") == F.col("_j_id"), "left")
-    rows = marked.where("_j_id is not null").select(*docs.columns)
+    single = marked.where("_j_id is null").select(*columns).join(gone, kept, "left_anti")
+    rows = cut_lineage(marked.where("_j_id is not null").select(*columns).join(gone, kept, "left_anti"))
     texts = rows.where(f"`{text_col}` is not null").select(F.col(f"`{text_col}`").alias("text")).distinct()
     texts = texts.mapInArrow(partial(_text_names, n=shingle), "text string, n_shingles long, f1 long, f2 long")
     with_set = rows.join(texts.withColumnRenamed("text", "_j_text"), F.col(f"`{text_col}`") == F.col("_j_text"), "left").drop("_j_text")
     worded = F.coalesce(F.col("n_shingles"), F.lit(0)) > 0
-    row = F.struct(F.col(f"`{text_col}`").alias("t"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("r"))
+    row = F.struct(F.col(f"`{text_col}`").alias("t"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]).alias("r"))
     first = with_set.where(worded).groupBy(id_col, "n_shingles", "f1", "f2").agg(F.min(row).alias("_j_first"))
-    first = first.select(*[F.col(f"_j_first.r.c{k}").alias(c) for k, c in enumerate(docs.columns)])
-    single = marked.where("_j_id is null").select(*docs.columns)
-    return single.unionByName(with_set.where(~worded).select(*docs.columns)).unionByName(first)
+    first = first.select(*[F.col(f"_j_first.r.c{k}").alias(c) for k, c in enumerate(columns)])
+    return single.unionByName(with_set.where(~worded).select(*columns)).unionByName(first)
 
 
 def _tokens(batches, n):
