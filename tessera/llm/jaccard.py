@@ -115,6 +115,8 @@ def survivors(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col
     marked = join_small(docs, repeated, F.col(f"`{id_col}`") == F.col("_j_id"), "left")
     single = marked.where("_j_id is null").select(*columns).join(gone, kept, "left_anti")
     rows = cut_lineage(marked.where("_j_id is not null").select(*columns).join(gone, kept, "left_anti"))
+    if rows.isEmpty():
+        return single
     texts = rows.where(f"`{text_col}` is not null").select(F.col(f"`{text_col}`").alias("text")).distinct()
     texts = texts.mapInArrow(partial(_text_names, n=shingle), "text string, n_shingles long, f1 long, f2 long")
     with_set = rows.join(texts.withColumnRenamed("text", "_j_text"), F.col(f"`{text_col}`") == F.col("_j_text"), "left").drop("_j_text")
