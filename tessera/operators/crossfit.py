@@ -30,7 +30,7 @@ from tessera.functions._util import guard
 from tessera.operators.metrics import evaluate
 from tessera.operators.models import SCORE_FEATURES, TREE_MEMORY_MB, stable_input
 from tessera.operators.select import best_run
-from tessera.operators.small import join_small
+from tessera.operators.small import join_small, null_safe_on
 from tessera.operators.splits import assign_folds
 from tessera.session import cut_lineage
 
@@ -109,9 +109,14 @@ class FoldFeatures(NamedTuple):
 
 def with_fold(df: DataFrame, key: str, label: str, k: int, seed) -> DataFrame:
     """``df`` with its K3 fold; a row whose label is null can be neither trained on nor
-    judged and is an error."""
+    judged and is an error, and so is a repeated key.
+
+    Folds are ranked on the narrow (key, label) projection; the wide rows meet them in one
+    join, against a broadcast table where its checked size allows."""
     checked = df.withColumn(label, guard(F.col(label).isNull(), F.concat(F.lit("no label for key "), F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.col(label)))
-    return assign_folds(checked, key, label, k, seed, fold_col=FOLD)
+    folds = assign_folds(checked.select(key, label), key, label, k, seed, fold_col=FOLD)
+    folds = folds.select(F.col(key).alias("_w_key"), FOLD)
+    return join_small(checked, folds, null_safe_on([key], ["_w_key"]), "inner").drop("_w_key")
 
 
 def fold_features(folded: DataFrame, key: str, label: str, text: str, k: int, num_features: int = 1 << 18,
