@@ -13,6 +13,7 @@ from tessera.operators import metrics as E
 from tessera.operators import profile as A
 from tessera.operators import sets as U
 from tessera.operators import splits as K
+from tessera.operators.small import join_small
 from tessera.plans.catalog import CORPUS_SQL, MC_SQL, _io_dir, corpus, cut_lineage, labelled, multiclass_eval, register, table
 from tessera.plans.corpus import SEED
 from tessera.sources import ingest as N
@@ -59,8 +60,10 @@ NULL_ORDER_SQL = """(SELECT d.doc_id, d.source, d.text, nullif(d.doc_id, f.m) AS
 
 def null_order(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "text")
-    first = d.groupBy(F.col("text").alias("t")).agg(F.min("doc_id").alias("m"))
-    return d.join(first, F.col("text").eqNullSafe(F.col("t"))).select("doc_id", "source", "text", F.nullif("doc_id", "m").alias("o"))
+    # the first row of every text, by its hash: ids only
+    first = d.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("m")).select("m")
+    marked = join_small(d, first, F.col("doc_id") == F.col("m"), "left")
+    return marked.select("doc_id", "source", "text", F.when(F.col("m").isNull(), F.col("doc_id")).alias("o"))
 
 
 @register("dedupe_null_order", f"""SELECT doc_id, source, o FROM (
