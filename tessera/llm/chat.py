@@ -34,7 +34,7 @@ def perspectives(conv: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"<\|(im_start|im_end)\|>", "< |$1|>")
     turns = conv.select(
         "conv_id", "turn", role.alias("speaker"), body.alias("body"),
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("ckey"),
+        F.coalesce(F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.lit("-")).alias("ckey"),
         F.coalesce(F.floor(F.col("turn") / RUN_TURNS), F.lit(-(1 << 60))).alias("run"))
     cast = turns.where("speaker <> 'system'").select("ckey", F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 SLOTS = 1000
 #: Rows of a block, and rows wanted in a ranking bucket.
 BLOCK_ROWS, BUCKET_ROWS = 16, 2048
+#: Columns of the result.
+PLACED = ("_m_block", "_m_release", "_m_deadline", "_m_slot", "_m_position")
 #: Blocks of a batch that leaves the exact deal.
 DEAL_ROWS = 65536
 
@@ -141,7 +143,12 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, id_col: str = "doc
 
     A null source is a source of its own; rows with a null or repeated id are
     placed like any other (among rows of the same id the order is open); an empty
-    table stays empty."""
+    table stays empty. Columns of ``docs`` that are named like those of the result
+    give way to them; any other name is kept, whatever it is."""
+    kept = [c for c in docs.columns if c not in PLACED]
+    names = [f"c{k}" for k in range(len(kept))]
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
+    id_col, source_col = (names[kept.index(c)] for c in (id_col, source_col))
     key = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("-"))
     order = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
     rows = docs.withColumn("_m_src", key).withColumn("_m_hash", order)
@@ -179,9 +186,13 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, id_col: str = "doc
                .withColumn("_m_release", F.expr("(_m_block * _m_d) div _m_a"))
                .withColumn("_m_deadline", F.expr("((_m_block + 1) * _m_d + _m_a - 1) div _m_a")))
     out = out.withColumn("_m_position", F.col("_m_slot") * block_rows + F.col("_m_rank") % block_rows)
-    return out.select(*[f"`{c}`" for c in docs.columns], "_m_block", "_m_release", "_m_deadline", "_m_slot", "_m_position")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], *PLACED)
 
 
 def interleaved(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` in the order of the mix, with its own columns."""
-    return mix_sources(docs, weights, id_col, source_col).orderBy("_m_position").select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` in the order of the mix, with its own columns, whatever their names. Null ids and
+    sources, repeated rows and an empty table as in ``mix_sources``."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    mixed = mix_sources(plain, weights, *(names[docs.columns.index(c)] for c in (id_col, source_col)))
+    return mixed.orderBy("_m_position").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])

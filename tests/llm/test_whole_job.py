@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ann, backoff, html_text, mixing, suffix
+from tessera.llm import ann, backoff, chat, html_text, mixing, suffix
 from tests.llm.test_order import brute_nearest
 
 
@@ -241,3 +241,20 @@ def test_the_last_stage_knows_the_order_of_the_mix(spark, scratch):
     out = corpus_pipeline.encoded(spark, spark.read.parquet(f"{scratch}/mix"), "").orderBy("mix_file", "mix_row").collect()
     assert [r["doc_id"] for r in out] == want
     assert corpus_pipeline.encoded(spark, df, "").where("mix_row is null and n_pieces > 0").count() == 300
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(k, "ab"[k % 2], "mine", k, -k, k * 2, "x") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, _m_src string, _m_rank long, _m_position long, c0 long, _m_hash string")
+    out = mixing.interleaved(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == sorted(rows)
+    once = mixing.mix_sources(df)
+    assert once.columns == [c for c in df.columns if c != "_m_position"] + list(mixing.PLACED)
+    assert mixing.mix_sources(once).columns == once.columns
+    assert {r["doc_id"]: (r["_m_src"], r["_m_rank"]) for r in once.collect()} == {r[0]: ("mine", r[3]) for r in rows}
+
+
+def test_a_conversation_named_null_is_not_the_one_without_a_name(spark):
+    df = spark.createDataFrame([(None, 1, "ann", "lost"), ("null", 1, "bob", "named"), ("-", 1, "eve", "dash")], "conv_id string, turn long, role string, text string")
+    out = sorted((str(r["conv_id"]), r["perspective"], r["seq"]) for r in chat.perspectives(df).collect())
+    assert out == [("-", "eve", 1), ("None", "ann", 1), ("null", "bob", 1)]
