@@ -156,26 +156,27 @@ SELECT w.doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_words, round(coalesce(l, 0.
 FROM w LEFT JOIN r ON w.doc_id = r.doc_id
 """
 
-# shares as in ``mixing.shares``, one period as in ``mixing.schedule``, ranks by MD5
+# weights as in ``mixing.targets``, slot by slot as in ``mixing.schedule``, ranks by MD5
 OP3_SQL = """
 WITH RECURSIVE counts AS (SELECT source, coalesce('s' || source, '-') AS src, count(*) AS n FROM documents GROUP BY source),
-share AS (SELECT src, CAST(greatest(1, round(sqrt(n) * 1000 / (SELECT sum(sqrt(n)) FROM counts))) AS BIGINT) AS a FROM counts),
-ws AS (SELECT list(a ORDER BY src) AS a, list(src ORDER BY src) AS s, CAST(sum(a) AS BIGINT) AS d, CAST(count(*) AS BIGINT) AS k FROM share),
-sim(t, done, pick) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM ws
+share AS (SELECT src, CAST(round(sqrt(n) * 1000000) AS BIGINT) AS a, CAST((n + 15) // 16 AS BIGINT) AS blocks FROM counts),
+ws AS (SELECT list(a ORDER BY src) AS a, list(src ORDER BY src) AS s, list(blocks ORDER BY src) AS b, CAST(sum(a) AS BIGINT) AS d,
+              CAST(count(*) AS BIGINT) AS k, CAST(sum(blocks) AS BIGINT) AS total FROM share),
+sim(t, done, pick, placed) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ws
   UNION ALL
-  SELECT t + 1, list_transform(range(1, k + 1), lambda i: done[i] + CASE WHEN i = p.i THEN 1 ELSE 0 END), p.i
-  FROM (SELECT sim.t, sim.done, ws.k, list_min(list_filter(list_transform(range(1, ws.k + 1), lambda i:
-               {'due': ((sim.done[i] + 1) * ws.d + ws.a[i] - 1) // ws.a[i], 'i': i, 'open': sim.done[i] < ws.a[i] AND (sim.done[i] * ws.d) // ws.a[i] <= sim.t + 1}),
+  SELECT t + 1, list_transform(range(1, k + 1), lambda i: done[i] + CASE WHEN i = p.i THEN 1 ELSE 0 END), p.i, placed + CASE WHEN p IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT sim.t, sim.done, sim.placed, ws.k, list_min(list_filter(list_transform(range(1, ws.k + 1), lambda i:
+               {'due': ((sim.done[i] + 1) * ws.d + ws.a[i] - 1) // ws.a[i], 'i': i, 'open': sim.done[i] < ws.b[i] AND (sim.done[i] * ws.d) // ws.a[i] <= sim.t + 1}),
                lambda y: y.open)) AS p
-        FROM sim, ws WHERE sim.t + 1 < ws.d)),
-period AS (SELECT ws.s[pick] AS src, ws.a[pick] AS a, ws.d AS d, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM sim, ws WHERE t >= 0),
+        FROM sim, ws WHERE sim.placed < ws.total)),
+places AS (SELECT ws.s[pick] AS src, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM sim, ws WHERE t >= 0 AND pick IS NOT NULL),
 ranked AS (SELECT doc_id, source, coalesce('s' || source, '-') AS src,
                   row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rk FROM documents),
 placed AS (SELECT r.doc_id, r.source, r.rk, r.rk // 16 AS b, s.a, ws.d, r.src FROM ranked r JOIN share s ON r.src = s.src, ws)
 SELECT doc_id, source, CAST(b AS BIGINT) AS block, CAST((b * x.d) // x.a AS BIGINT) AS release, CAST(((b + 1) * x.d + x.a - 1) // x.a AS BIGINT) AS deadline,
-       CAST((b // x.a) * x.d + p.slot AS BIGINT) AS slot, CAST(((b // x.a) * x.d + p.slot) * 16 + rk % 16 AS BIGINT) AS position
-FROM placed x JOIN period p ON x.src = p.src AND p.j = x.b % x.a
+       CAST(p.slot AS BIGINT) AS slot, CAST(p.slot * 16 + rk % 16 AS BIGINT) AS position
+FROM placed x JOIN places p ON x.src = p.src AND p.j = x.b
 """
 
 OP11_SQL = r"""
