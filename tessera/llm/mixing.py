@@ -36,8 +36,8 @@ ROOT_UNIT = 1_000_000
 BLOCK_ROWS, BUCKET_ROWS = 16, 2048
 #: Columns of the result.
 PLACED = ("_m_block", "_m_release", "_m_deadline", "_m_slot", "_m_position")
-#: Slots of a segment at least (and two for each source), blocks of a partition that lists them.
-SEGMENT, LISTED = 1024, 1_000_000
+#: Slots of a segment at least (and two for each source), blocks of a partition that lists or schedules them.
+SEGMENT, LISTED = 1024, 1 << 16
 #: Rows of the largest ranking bucket up to which its blocks' places fit into one value.
 PACKED_ROWS = 1 << 20
 
@@ -117,7 +117,7 @@ def schedule(share: DataFrame) -> DataFrame:
               .withColumn("j", F.explode(F.expr(f"sequence(first, least(blocks, first + {LISTED}) - 1)")))
               .withColumn("release", F.expr("(j * d) div a")).withColumn("due", F.expr("((j + 1) * d + a - 1) div a")))
     released = (listed.groupBy("phase", "release").agg(F.collect_list(F.expr(f"cast(named_struct('due', due, 'src', src, 'j', j, 'release', release) as {_BLOCK})")).alias("news"))
-                .groupBy("phase", F.expr(f"release div {length}").alias("seg"))
+                .withColumn("seg", F.expr(f"release div {length}")).repartition(parts, "phase", "seg").groupBy("phase", "seg")
                 .agg(F.sort_array(F.collect_list(F.struct(F.col("release").alias("slot"), "news"))).alias("released")))
     fold = F.expr(_FOLD.format(length=f"{length}L"))
     state = join_small(released, table, "phase", "inner").withColumn("carry", F.expr(_GUESS.format(length=f"{length}L")))
