@@ -179,6 +179,27 @@ SELECT doc_id, source, CAST(b AS BIGINT) AS block, CAST((b * x.d) // x.a AS BIGI
 FROM placed x JOIN places p ON x.src = p.src AND p.j = x.b
 """
 
+# links between the smallest ids of equal sets, followed from each to all it reaches
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+        UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+sets AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS class_id
+         FROM (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id)),
+one AS (SELECT s.doc_id, s.g, sets.n FROM s JOIN sets ON s.doc_id = sets.doc_id AND sets.class_id = sets.doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c
+           FROM one x JOIN one y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(x, y) AS (SELECT class_id, class_id FROM sets UNION SELECT x, b FROM reach JOIN ways ON y = a),
+roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(class_id, d.doc_id) AS BIGINT) AS class_id,
+       CAST(coalesce(root, d.doc_id) AS BIGINT) AS component_id
+FROM d LEFT JOIN sets ON d.doc_id = sets.doc_id LEFT JOIN roots ON class_id = x
+"""
+
 OP11_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -233,4 +254,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BI
 FROM d LEFT JOIN gone USING (k) LEFT JOIN left_over USING (k)
 """
 
-SQL: dict[str, str] = {"op13_passage_dedup": OP13_SQL, "op11_source_divergence": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op3_mix_sources": OP3_SQL, "op10_backoff_scores": OP10_SQL, "op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
+SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op13_passage_dedup": OP13_SQL, "op11_source_divergence": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op3_mix_sources": OP3_SQL, "op10_backoff_scores": OP10_SQL, "op2_host_quality": OP2_SQL, "op5_chat_perspectives": OP5_SQL}
