@@ -128,3 +128,18 @@ def test_summarize_reports_workflow(spark, scratch):
     assert got[("test", "accuracy")].n == 2
     pc = {(r.label, r.metric): r for r in per_class.collect()}
     assert pc[("0", "precision")].mean == 0.5 and pc[("0", "precision")].stdev == 0.0
+
+
+def test_stream_clean_reads_a_table_of_one_file_or_of_many(spark, scratch):
+    from tessera.plans.catalog import q_stream_clean
+    docs = spark.createDataFrame([(k, f"Text  {k}", "en", "s", 7) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    for sf, parts in (("one", 1), ("many", 3)):
+        docs.repartition(parts).write.parquet(f"{scratch}/{sf}/documents.parquet")
+        labels.write.parquet(f"{scratch}/{sf}/labels.parquet")
+    os.makedirs(f"{scratch}/file")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{scratch}/one/{name}.parquet").toPandas().to_parquet(f"{scratch}/file/{name}.parquet")
+    for sf in ("one", "many", "file"):
+        out = q_stream_clean(spark, f"{scratch}/{sf}").collect()
+        assert sorted((r["doc_id"], r["n_words"]) for r in out) == [(k, 2) for k in range(30)], sf
