@@ -48,7 +48,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the piece ids of the best segmentations, counts and scores of every document,
+    """Piece ids of the best segmentations of every document and their digests, counts and scores,
     with its place in the mix: rows in the order of (mix_file, mix_row) are in the order in which
     the stage before wrote them (null if ``docs`` is not read from files)."""
     try:
@@ -56,8 +56,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         docs.select(*place.values())
     except AnalysisException:
         place = {"mix_file": F.lit(None).cast("string"), "mix_row": F.lit(None).cast("long")}
-    made = pieces.encode_pieces(docs, digest=True, keep=place)
-    return made.withColumnsRenamed({"ids": "ids_sha256", "nbest_ids": "nbest_sha256"})
+    return pieces.encode_pieces(docs, keep=place, both=True)
 
 
 STAGES = [

@@ -258,3 +258,19 @@ def test_a_conversation_named_null_is_not_the_one_without_a_name(spark):
     df = spark.createDataFrame([(None, 1, "ann", "lost"), ("null", 1, "bob", "named"), ("-", 1, "eve", "dash")], "conv_id string, turn long, role string, text string")
     out = sorted((str(r["conv_id"]), r["perspective"], r["seq"]) for r in chat.perspectives(df).collect())
     assert out == [("-", "eve", 1), ("None", "ann", 1), ("null", "bob", 1)]
+
+
+def test_the_last_stage_returns_the_pieces(spark):
+    import hashlib
+
+    from tessera.llm import pieces
+
+    texts = ["One text of some words", "", None, "two\nlines", "日本 words"] * 120
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+    out = corpus_pipeline.encoded(spark, df, "")
+    back = {r["doc_id"]: r["text"] for r in pieces.decode_pieces(out).collect()}
+    assert back == {k: t or "" for k, t in enumerate(texts)}
+    sha = lambda x: hashlib.sha256(np.array(x, np.int32).tobytes()).hexdigest()
+    for r in out.collect():
+        assert r["ids"] == r["nbest_ids"][0] and len(r["ids"]) == r["n_pieces"] and len(r["nbest_ids"]) == len(r["nbest_scores"])
+        assert r["ids_sha256"] == sha(r["ids"]) and r["nbest_sha256"] == [sha(x) for x in r["nbest_ids"]]
