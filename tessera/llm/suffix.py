@@ -34,7 +34,9 @@ from tessera.session import cut_lineage
 #: Bytes of a repeated string, and of the substrings that file a window.
 SPAN, ANCHOR = 200, 40
 #: Bytes of contexts in a shard, and contexts of one hash that a shard takes.
-SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 1024
+SHARD_BYTES, SHARD_CONTEXTS = 1 << 19, 512
+#: Bytes of text that are filed at once, and rows whose texts are held to cut contexts.
+FILE_BYTES, CUT_ROWS = 1 << 18, 512
 #: Places of a string that Kasai's rule passes through at a stretch.
 PIECE = 192
 
@@ -82,7 +84,7 @@ def _file(batches):
     for batch in batches:
         key = batch.column(0).to_numpy(zero_copy_only=False)
         parts = []
-        for a, _, data, offsets in chunks(batch.column(1)):
+        for a, _, data, offsets in chunks(batch.column(1), FILE_BYTES):
             doc, s1, s2, low, body, twice = contexts(data, offsets)
             parts.append((key[a + doc], s1, s2, low, body, twice))
         cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
@@ -294,7 +296,7 @@ def _cut(batches):
     """Slices the wanted contexts out of their texts; copies of a row come to one task, and
     only the first is cut."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in (whole.slice(a, CUT_ROWS) for whole in batches for a in range(0, whole.num_rows, CUT_ROWS)):
         text, wanted = batch.column(1), batch.column(2).to_pylist()
         rows = []
         for key, body, want in zip(batch.column(0).to_pylist(), text, wanted):
@@ -332,8 +334,9 @@ def _kept(body: bytes, spans) -> bytes:
 def _summary(batches):
     for batch in batches:
         size, removed, count, digest = [], [], [], []
-        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            body = (text or "").encode()
+        # one text at a time becomes a Python object
+        for text, found in zip(batch.column(1), batch.column(2)):
+            body, found = (text.as_py() or "").encode(), found.as_py()
             spans = merged_spans([(x["s1"], x["s2"]) for x in found]) if found else []
             size.append(len(body))
             removed.append(sum(b - a for a, b in spans))

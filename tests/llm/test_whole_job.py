@@ -274,3 +274,13 @@ def test_the_last_stage_returns_the_pieces(spark):
     for r in out.collect():
         assert r["ids"] == r["nbest_ids"][0] and len(r["ids"]) == r["n_pieces"] and len(r["nbest_ids"]) == len(r["nbest_scores"])
         assert r["ids_sha256"] == sha(r["ids"]) and r["nbest_sha256"] == [sha(x) for x in r["nbest_ids"]]
+
+
+def test_contexts_are_cut_a_few_rows_at_a_time(monkeypatch):
+    want = [{"low": 1, "salt": 0, "s1": 0, "s2": 3, "repeated": False, "spread": 1}]
+    batch = pa.RecordBatch.from_pydict({"key": [k // 2 for k in range(40)], "text": [f"{k // 2:04d}" * 60 for k in range(40)], "want": [want] * 40})
+    whole = pa.Table.from_batches(suffix._cut([batch])).to_pydict()
+    assert whole["key"] == list(range(20)) and whole["bytes"] == [(f"{k:04d}" * 60).encode()[:203] for k in range(20)]
+    monkeypatch.setattr(suffix, "CUT_ROWS", 6)
+    parts = list(suffix._cut([batch]))
+    assert max(p.num_rows for p in parts) <= 6 and pa.Table.from_batches(parts).to_pydict() == whole
