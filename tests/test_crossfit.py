@@ -119,3 +119,34 @@ def test_forests_over_folds(spark):
     out = X.forests_over_folds(views, "y", "id", ["a", "b"], k=2, num_trees=5).collect()
     assert sorted((r["id"], r["fold"]) for r in out) == sorted((r[0], r[1]) for r in rows if r[2] == "test")
     assert all(r["y"] == r["y_hat"] for r in out)
+
+
+def test_a_gradient_is_summed_over_few_partitions(said):
+    features = X.fold_features(said.repartition(20), "id", "y", "text", 4, num_features=64)
+    assert features.rows.rdd.getNumPartitions() > 4 and features.train(0).rdd.getNumPartitions() <= 4
+    assert features.train(0).count() == said.where("fold <> 0").count()
+
+
+def test_rows_are_laid_out_once_for_heads_that_sample(said):
+    features = X.fold_features(said, "id", "y", "text", 4, num_features=64)
+    laid = features.laid_out("id")
+    where = lambda df: [[r["id"] for r in part] for part in df.select("id").rdd.glom().collect()]
+    assert where(laid.train(1)) == where(X.stable_input(features.rows.where("fold <> 1"), "id"))
+    assert "Exchange" not in laid.train(1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_swept_model_is_judged_and_let_go(said, monkeypatch):
+    import weakref
+    alive, real, most = weakref.WeakSet(), X.fit_fold, []
+
+    def fit(*a):
+        model = real(*a)
+        alive.add(model)
+        most.append(len(alive))
+        return model
+
+    monkeypatch.setattr(X, "fit_fold", fit)
+    features = X.fold_features(said, "id", "y", "text", 4, 64)
+    head = lambda s, label: LogisticRegression(labelCol=label, weightCol="weight", regParam=s["rate"], maxIter=2)
+    metrics = X.sweep_folds(lambda s: features, {"rate": (0.1, 0.2, 0.3)}, head, "r{rate}", 4, parallelism=1)
+    assert len(most) == 12 and max(most) <= 3 and metrics.count() == 12
