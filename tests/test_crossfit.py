@@ -150,3 +150,25 @@ def test_a_swept_model_is_judged_and_let_go(said, monkeypatch):
     head = lambda s, label: LogisticRegression(labelCol=label, weightCol="weight", regParam=s["rate"], maxIter=2)
     metrics = X.sweep_folds(lambda s: features, {"rate": (0.1, 0.2, 0.3)}, head, "r{rate}", 4, parallelism=1)
     assert len(most) == 12 and max(most) <= 3 and metrics.count() == 12
+
+
+def test_sweep_tokenises_once_and_equals_a_split_of_the_grid(said, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import RegexTokenizer
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+
+    from tessera.operators import models as MD
+    rows = said.where("text is not null").select("id", "y", "text")
+    stages = MD._text_features("text", 16)
+    lr = LogisticRegression(labelCol="y", featuresCol="features", maxIter=100)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 1.0]).addGrid(stages[1].numFeatures, [8, 64]).build()
+    split = TrainValidationSplit(estimator=Pipeline(stages=[*stages, lr]), estimatorParamMaps=grid,
+                                 evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="f1"), trainRatio=0.75, seed=42)
+    want = split.fit(MD.stable_input(rows, "id"))
+    calls, real = [], RegexTokenizer.transform
+    monkeypatch.setattr(RegexTokenizer, "transform", lambda *a: calls.append(1) or real(*a))
+    model, table = MD.sweep(rows, "y", "text", (0.01, 1.0), (8, 64), key="id")
+    assert len(calls) == 1 and model.validationMetrics == pytest.approx(want.validationMetrics, abs=1e-6) and table.count() == 4
+    count = lambda m: sorted((r["id"], r["prediction"]) for r in m.transform(rows).select("id", "prediction").collect())
+    assert count(model.bestModel) == count(want.bestModel)
