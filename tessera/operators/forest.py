@@ -29,6 +29,8 @@ BINS, SAMPLE_ROWS = 32, 10_000
 LOCAL_ROWS = 1 << 17
 #: Tasks among which trees are dealt at least, trees in an Arrow batch, and rows judged together.
 TASKS, TREES, TEST_ROWS = 64, 32, 1024
+#: Bits of a bin, and of how often a bag draws one row.
+BIN_BITS, DRAW_BITS = 5, 4
 #: A vote of one tree, in whole parts.
 VOTE = 1 << 40
 
@@ -73,32 +75,79 @@ def walk(feature: np.ndarray, bins: np.ndarray, left: np.ndarray, x: np.ndarray)
     return at
 
 
-def best_splits(cell: list[tuple[np.ndarray, np.ndarray, np.ndarray]], total: np.ndarray, allowed: np.ndarray):
-    """(feature or -1, bin, gain times rows) of the best Gini split of each node.
+class Cells(NamedTuple):
+    """Cells (node, feature, bin) that hold rows, in that order: rows up to the bin, and the
+    squares of the counts by class summed, up to the bin and beyond it."""
 
-    ``cell`` gives, by feature, node and bin of the cells that hold rows, in order, and their counts by
-    class; ``total`` the counts by node; ``allowed`` the features that a node may take."""
+    node: np.ndarray
+    feature: np.ndarray
+    bin: np.ndarray
+    rows: np.ndarray
+    below: np.ndarray
+    above: np.ndarray
+
+
+def best_splits(cells: Cells, total: np.ndarray):
+    """(feature or -1, bin, gain times rows) of the best Gini split of each node; the first of equal
+    ones. ``total`` gives the counts of all nodes by class, and every node has a cell."""
     n = total.sum(axis=1).astype(float)
     own = (total.astype(float) ** 2).sum(axis=1) / n
-    best, feature, at = np.zeros(len(total)), np.full(len(total), -1), np.zeros(len(total), np.int64)
-    for f, (node, where, counts) in enumerate(cell):
-        run = np.cumsum(counts, axis=0)
-        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        before = np.r_[np.zeros((1, run.shape[1]), run.dtype), run[:-1]][first]
-        below = (run - before[np.cumsum(np.r_[True, node[1:] != node[:-1]]) - 1]).astype(float)
-        above = total[node] - below
-        nl, nr = below.sum(axis=1), above.sum(axis=1)
-        gain = np.where(nr > 0, (below**2).sum(axis=1) / nl + (above**2).sum(axis=1) / np.maximum(nr, 1) - own[node], 0.0)
-        gain = np.where(allowed[node, f], gain, 0.0)
-        top = np.maximum.reduceat(gain, first)
-        hit = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[first, len(node)])))
-        hit = hit[np.r_[True, node[hit][1:] != node[hit][:-1]]]
-        who = node[first]
-        # rounding of a split that gains nothing
-        better = (top > best[who]) & (top > 1e-9 * n[who])
-        who = who[better]
-        best[who], feature[who], at[who] = top[better], f, where[hit[better]]
-    return feature, at, np.where(feature >= 0, best, 0.0)
+    node, rest = cells.node, n[cells.node] - cells.rows
+    gain = np.where(rest > 0, cells.below / cells.rows + cells.above / np.maximum(rest, 1) - own[node], 0.0)
+    top = np.maximum.reduceat(gain, _runs(node)[0])
+    hit = np.flatnonzero(gain == top[node])
+    hit = hit[_runs(node[hit])[0]]
+    better = top > 1e-9 * n  # rounding of a split that gains nothing
+    return np.where(better, cells.feature[hit], -1), np.where(better, cells.bin[hit], 0), np.where(better, top, 0.0)
+
+
+def packed(x, y, w) -> np.ndarray:
+    """Class, bin and times drawn of each row and feature in one number, the class first."""
+    return (((y.astype(np.int64)[:, None] << BIN_BITS) + x) << DRAW_BITS) + w.astype(np.int64)[:, None]
+
+
+def counted(code, rows, of, features, total: np.ndarray) -> Cells:
+    """The cells of nodes by the features that each may take (node by feature, ascending). ``of`` is
+    the node of each of ``rows``, ``code`` their packed values, ``total`` the counts of the nodes by class.
+
+    Rows are sorted by node, feature, class and bin, so that the cost goes with rows and
+    features taken, not with classes or empty bins: a row that raises a count k by w raises its square by w (2k + w)."""
+    m, low = features.shape[1], BIN_BITS + DRAW_BITS
+    bits = int(total.shape[1] - 1).bit_length()
+    part = (of * (m << bits + low))[:, None] + (np.arange(m) << bits + low)
+    code = np.sort((part + code.ravel()[rows[:, None] * code.shape[1] + features[of]]).ravel())
+    times, group = code & (1 << DRAW_BITS) - 1, code >> low
+    new, size = _runs(group)
+    part, cls = group[new] >> bits, group[new] & (1 << bits) - 1
+    run = np.cumsum(times)
+    # twice the count before the row, without and with what is beyond it
+    twice = 2 * run - times
+    twice -= np.repeat(twice[new] - times[new], size)
+    squares, beyond = times * twice, times * (twice - np.repeat(2 * total[part // m, cls], size))
+    # from class to bin order
+    place = (np.repeat(part, size) << BIN_BITS) + (code >> DRAW_BITS & BINS - 1)
+    order = np.sort((place << 32) + np.arange(len(place)))
+    place, order = order >> 32, order & (1 << 32) - 1
+    first, _ = _runs(place)
+    place = place[first]
+    part = place >> BIN_BITS
+    begin, length = _runs(part)
+
+    def up_to(values):
+        run = np.cumsum(np.add.reduceat(values[order], first))
+        return run - np.repeat(np.r_[0, run[begin[1:] - 1]], length)
+
+    node = part // m
+    return Cells(node, features[node, part - node * m], place & BINS - 1, up_to(times), up_to(squares), (total * total).sum(axis=1)[node] + up_to(beyond))
+
+
+def _runs(values: np.ndarray):
+    """Where each run of equal values starts, and its length."""
+    start = np.empty(len(values), bool)
+    start[0] = True
+    np.not_equal(values[1:], values[:-1], out=start[1:])
+    start = np.flatnonzero(start)
+    return start, np.diff(start, append=len(values))
 
 
 def drawn(name: np.ndarray, d: int) -> np.ndarray:
@@ -108,6 +157,11 @@ def drawn(name: np.ndarray, d: int) -> np.ndarray:
     return np.argsort(np.argsort(score, axis=1, kind="stable"), axis=1, kind="stable") < m
 
 
+def taken(name: np.ndarray, d: int) -> np.ndarray:
+    """The numbers of these features, ascending, by node."""
+    return np.nonzero(drawn(name, d))[1].reshape(len(name), -1)
+
+
 def children(name: np.ndarray) -> np.ndarray:
     """Hashes of both children of each node, side by side."""
     return np.stack([mixed(name * np.uint64(2) + np.uint64(1)), mixed(name * np.uint64(2))], axis=1).reshape(-1)
@@ -116,13 +170,13 @@ def children(name: np.ndarray) -> np.ndarray:
 def grown(x, y, w, n_classes: int, name, depth: int, max_depth: int):
     """Nodes of a (sub)tree, level by level: feature (-1: leaf), bin, left child, counts by class;
     and the gains by feature."""
-    d = x.shape[1]
+    d, code = x.shape[1], packed(x, y, w)
     node, names = np.zeros(len(y), np.int64), name.copy()
     out, gains, placed = [], np.zeros(d), 1
     rows = np.arange(len(y))
     while len(names):
         size = len(names)
-        total = np.bincount(node * n_classes + y[rows], w[rows], size * n_classes).reshape(size, n_classes)
+        total = np.bincount(node * n_classes + y[rows], w[rows], size * n_classes).reshape(size, n_classes).astype(np.int64)
         feature, at = np.full(size, -1), np.zeros(size, np.int64)
         open_ = np.flatnonzero((total > 0).sum(axis=1) > 1) if depth < max_depth else np.zeros(0, np.int64)
         if len(open_):
@@ -130,15 +184,8 @@ def grown(x, y, w, n_classes: int, name, depth: int, max_depth: int):
             number[open_] = np.arange(len(open_))
             keep = number[node] >= 0
             rows, node = rows[keep], node[keep]
-            of, allowed, cells = number[node], drawn(names[open_], d), []
-            for f in range(d):
-                place = of * BINS + x[rows, f]
-                there = np.bincount(place, minlength=len(open_) * BINS) > 0
-                used = np.flatnonzero(there)
-                code = (np.cumsum(there) - 1)[place]
-                counts = np.bincount(code * n_classes + y[rows], w[rows], len(used) * n_classes).reshape(-1, n_classes)
-                cells.append((used // BINS, used % BINS, counts))
-            feature[open_], at[open_], gain = best_splits(cells, total[open_], allowed)
+            cells = counted(code, rows, number[node], taken(names[open_], d), total[open_])
+            feature[open_], at[open_], gain = best_splits(cells, total[open_])
             gains += np.bincount(np.maximum(feature[open_], 0), gain, d)
         split = np.flatnonzero(feature >= 0)
         left = np.zeros(size, np.int64)
@@ -219,11 +266,12 @@ def _choose(key, table, names, d, classes):
     tree, leaf = key[0].as_py(), key[1].as_py()
     counts = reduce(np.add, (np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist())).reshape(d, BINS, classes)
     total = counts[0].sum(axis=0)[None]
-    cells = []
-    for f in range(d):
-        used = np.flatnonzero(counts[f].sum(axis=1))
-        cells.append((np.zeros(len(used), np.int64), used, counts[f][used]))
-    feature, at, gain = best_splits(cells, total, drawn(names[tree, leaf], d)) if (total > 0).sum() > 1 else ([-1], [0], [0.0])
+    features = taken(names[tree, leaf], d)[0]
+    run = counts[features].cumsum(axis=1)
+    f, used = np.nonzero(counts[features].sum(axis=2))
+    low = run[f, used]
+    cells = Cells(np.zeros(len(f), np.int64), features[f], used, low.sum(axis=1), (low**2).sum(axis=1), ((total - low) ** 2).sum(axis=1))
+    feature, at, gain = best_splits(cells, total) if (total > 0).sum() > 1 else ([-1], [0], [0.0])
     below = int(counts[feature[0], : at[0] + 1].sum()) if feature[0] >= 0 else 0
     return pa.table({"tree": pa.array([tree], pa.int32()), "leaf": pa.array([leaf], pa.int32()), "feature": pa.array([int(feature[0])], pa.int32()),
                      "bin": pa.array([int(at[0])], pa.int32()), "gain": pa.array([float(gain[0])]), "below": pa.array([below], pa.int64()),
@@ -234,7 +282,7 @@ def _grow(key, table, tops, seed, d, classes, max_depth):
     tree, leaf = key[0].as_py(), key[1].as_py()
     x = _matrix(table.column("x"), d)
     y = np.frombuffer(b"".join(table.column("y").to_pylist()), np.uint16).astype(np.int64)
-    w = np.frombuffer(b"".join(table.column("w").to_pylist()), np.uint8).astype(np.float64)
+    w = np.frombuffer(b"".join(table.column("w").to_pylist()), np.uint8).astype(np.int64)
     top = tops.get(tree)
     name, depth = (tree_hash(seed, tree), 0) if top is None else (top.name[leaf : leaf + 1], int(top.depth[leaf]))
     (feature, at, left, counts), gains = grown(x, y, w, classes, name, depth, max_depth)

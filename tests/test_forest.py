@@ -66,3 +66,21 @@ def test_missing_values_and_empty_tables(spark):
             judged(bad)
     model, _ = judged(df)
     assert model.predict(df.limit(0), ["id"]).count() == 0
+
+
+def test_cells_are_counted_of_the_drawn_features_only(spark):
+    rng = np.random.default_rng(11)
+    x, y, w, of = rng.integers(0, 32, (300, 9)).astype(np.uint8), rng.integers(0, 5, 300), rng.integers(1, 13, 300), rng.integers(0, 4, 300)
+    names = forest.children(np.array([7, 9], np.uint64))
+    features = forest.taken(names, 9)
+    assert features.shape == (4, 3) and (np.diff(features, axis=1) > 0).all()
+    total = np.stack([np.bincount(y[of == k], w[of == k], 5) for k in range(4)]).astype(np.int64)
+    got = forest.counted(forest.packed(x, y, w), np.arange(300), of, features, total)
+    want = []
+    for k in range(4):
+        for f in features[k]:
+            for b in np.unique(x[of == k, f]):
+                low = (of == k) & (x[:, f] <= b)
+                below = np.bincount(y[low], w[low], 5)
+                want.append((k, f, b, below.sum(), (below**2).sum(), ((total[k] - below) ** 2).sum()))
+    assert list(zip(*(c.tolist() for c in got))) == want
