@@ -5,9 +5,11 @@ import math
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tessera.operators import crossfit as X
+from tessera.operators import models as M
 from tessera.operators.profile import class_weights
 from tessera.plans import fold_queries as Q
 
@@ -172,3 +174,14 @@ def test_sweep_tokenises_once_and_equals_a_split_of_the_grid(said, monkeypatch):
     assert len(calls) == 1 and model.validationMetrics == pytest.approx(want.validationMetrics, abs=1e-6) and table.count() == 4
     count = lambda m: sorted((r["id"], r["prediction"]) for r in m.transform(rows).select("id", "prediction").collect())
     assert count(model.bestModel) == count(want.bestModel)
+
+
+def test_a_pass_sends_a_small_share_of_what_it_reads(spark):
+    # sums of 2 MB over 7.2 GB of vectors: one for each GB, and not for each quarter of one
+    width, size = 1 << 18, 7_200_000_000
+    sums = M.partial_sums(size, width)
+    assert M.FIT_TASKS < sums and 8 * width * (sums - 1) * M.FIT_SHARE <= size
+    # narrow sums are no reason for large partitions
+    assert M.partial_sums(size, 1 << 10) == -(-size // M.FIT_BYTES)
+    rows = spark.createDataFrame([(Vectors.sparse(width, [3, 9], [1.0, 2.0]),)], ["tf"])
+    assert M.fit_partitions(rows, "tf") == M.fit_partitions(rows.limit(0), "tf") == M.FIT_TASKS
