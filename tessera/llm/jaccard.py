@@ -313,13 +313,16 @@ def _verify(batches):
 def _near(hubs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b) of a hub and a member of its group in another component that sizes
     and parity sketches do not rule out; the condition is part of the join, so that
-    no other pair leaves it."""
+    no other pair leaves it. The few that do are packed: a skewed join is read in many
+    pieces, which need no shuffle files of their own."""
+    tasks = shuffle_partitions(members.sparkSession, 0, 1)
     left = hubs.select(F.col("grp").alias("hg"), F.col("doc").alias("h"), F.col("comp").alias("hc"), F.col("n").alias("hn"),
                        *[F.col(p).alias(f"h{p}") for p in PARITY_NAMES])
     differ = sum((F.bit_count(F.col(f"h{p}").bitwiseXOR(F.col(p))) for p in PARITY_NAMES), F.lit(0))
     near = ((F.col("hg") == F.col("grp")) & (F.col("hc") != F.col("comp"))
             & (LINK_DEN * F.least("hn", "n") >= LINK_NUM * F.greatest("hn", "n")) & (9 * differ <= F.col("hn") + F.col("n")))
-    return left.join(members, near).select(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b")).distinct()
+    found = left.join(members, near).select(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b"))
+    return found.coalesce(tasks).distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import jaccard, suffix
+from tessera.llm import common, jaccard, suffix
+from tessera.session import cut_lineage
 from tests.llm.conftest import rows, text_of
 
 
@@ -143,3 +144,24 @@ def test_suffix_array_is_sorted():
             assert lcp[sa[k]] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
 
 
+
+
+def test_components_of_few_edges_need_no_shuffle(spark, monkeypatch):
+    pairs = [(k, k + 1) for k in range(0, 40) if k % 7] + [(100 - k, 100) for k in range(1, 20)] + [(5, 5), (3, 4), (4, 3)]
+    want: dict[int, int] = {}
+    for a, b in pairs:
+        if a != b:
+            x, y = want.setdefault(a, a), want.setdefault(b, b)
+            want = {n: min(x, y) if c in (x, y) else c for n, c in want.items()}
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+
+    found = {r["node"]: r["component"] for r in common.components(edges, cut).collect()}
+    assert found == {n: c for n, c in want.items() if n != c}
+    assert len(plans) > 2 and not any("hashpartitioning" in p for p in plans)
+    monkeypatch.setattr(common, "COMPONENT_EDGES", 10)
+    assert {r["node"]: r["component"] for r in common.components(edges, cut_lineage).collect()} == found
