@@ -1,19 +1,24 @@
-"""Main text of web pages by markup and nearest-URL differencing.
+"""Main text of web pages by nearest-URL differencing and markup.
 
 A page is read into lines, one per block, each marked by where it stands:
 article text, boilerplate (menus, headers, footers, sidebars, notices,
 adverts, forms, comments) or neither. Marks never empty a page: an article
 inside a marked wrapper is read again without the wrapper's mark, and a page that
-is nothing but marked elements without class marks at all. If a page has article
-text, that is its main text.
-
-A page without is told apart from its neighbours. Pages of a host are put in the
-order of their URL paths and compared with both neighbours: lines are aligned by
-longest common subsequence, and shared lines are deleted; what is left of the
-unmarked lines is the text. Pages whose lines are the same are copies, compared as
-one; of pages whose lines are nearly the same only short lines that a third page
-of the host has too are deleted (a menu), since the rest may be an article that two
-addresses carry.
+is nothing but marked elements without class marks at all.
+
+Every page is told apart from its neighbours. Pages of a host are put in the
+order of their URL paths and queries and compared with both neighbours: lines are
+aligned by longest common subsequence, and shared lines are deleted. What is left of
+the article text is the main text; of a page without article text, or where nothing
+is left of it, what is left of the unmarked lines. Pages whose lines are the same are
+copies, compared as one.
+
+Articles may share lines. Of unmarked pages that are nearly the same only short lines
+that a third page of the host has too are deleted (a menu), since the rest may be an
+article that two addresses carry. A line of article text is deleted only where most
+pages of the host, and four at least, share it with the next one outside boilerplate (a
+notice or advert inside the article); pages that share half the text are versions of it
+and do not count.
 
 Only line hashes are sorted and compared; the range partitions that hold them
 hand their border pages to their neighbours, so that a host of any size spreads
@@ -37,6 +42,9 @@ ARTICLE, PLAIN, BOILERPLATE = 2, 1, 0
 #: Share of the larger page's unmarked characters from which two pages are near copies;
 #: there a shared line goes if it is shorter than SHORT characters and on so many pages.
 NEAR, SHORT, TEMPLATE_PAGES = 0.9, 60, 3
+#: Share of the larger page's unmarked and article characters from which two pages are
+#: versions of one article; share of a host's pages that a notice inside articles exceeds, and how many at least.
+VERSION, MOST, NOTICE_PAGES = 0.5, 0.5, 4
 #: Cells of an alignment that are kept for reading it back; a larger one is split.
 LCS_CELLS = 1 << 24
 
@@ -246,10 +254,10 @@ def _hash(text: str) -> int:
 
 
 def _place(url: str | None) -> tuple[str, str]:
-    """(host, path) of a URL; one that cannot be read has an empty host."""
+    """(host, path) of a URL, with its query sorted next to the path alone; one that cannot be read has an empty host."""
     try:
         parts = urlsplit(url or "")
-        return (parts.hostname or "", parts.path.rstrip("/"))
+        return (parts.hostname or "", parts.path.rstrip("/") + (f" {parts.query}" if parts.query else ""))
     except ValueError:
         return "", url or ""
 
@@ -261,43 +269,60 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([h for h, _ in place]), pa.array([p for _, p in place]),
              pa.array([[_hash(t) for _, t in x] for x in found], pa.list_(pa.int64())),
-             pa.array([[len(t) if m == PLAIN else 0 for m, t in x] for x in found], pa.list_(pa.int32())),
-             pa.array([any(m == PLAIN for m, _ in x) and not any(m == ARTICLE for m, _ in x) for x in found])],
-            names=["key", "host", "path", "hashes", "sizes", "unmarked"])
+             pa.array([[_SIGN[m] * len(t) for m, t in x] for x in found], pa.list_(pa.int32()))],
+            names=["key", "host", "path", "hashes", "sizes"])
+
+
+#: Characters of a line are counted above zero if unmarked, below in article text, not in boilerplate.
+_SIGN = {PLAIN: 1, ARTICLE: -1, BOILERPLATE: 0}
 
 
-def _common(mine, sizes, other) -> tuple[list[int], bool]:
-    """Lines shared with a neighbour, and whether it is a near copy."""
+def _common(mine, sizes, other) -> tuple[list[int], bool, list[int], bool]:
+    """Lines shared with a neighbour, whether it is a near copy by its unmarked lines, the shared lines
+    of article text, and whether it is a version of the same text."""
     if other is None:
-        return [], False
-    keep = lcs(mine, other["hashes"])
-    larger = max(sum(sizes), other["chars"])
-    return keep, bool(larger) and sum(sizes[k] for k in keep) >= NEAR * larger
+        return [], False, [], False
+    keep, theirs = lcs(mine, other["hashes"]), other["sizes"]
+    unmarked = max(sum(z for z in x if z > 0) for x in (sizes, theirs))
+    text = max(sum(map(abs, x)) for x in (sizes, theirs))
+    outside = {x for x, z in zip(other["hashes"], theirs) if z}
+    return (keep, bool(unmarked) and sum(sizes[k] for k in keep if sizes[k] > 0) >= NEAR * unmarked,
+            [k for k in keep if sizes[k] < 0 and mine[k] in outside], sum(abs(sizes[k]) for k in keep) >= VERSION * text)
 
 
 def _shared(batches):
-    """Lines (by number) that a page shares with a neighbour, and the short ones that it
-    shares with a near copy."""
+    """Lines (by number) of every page that it shares with a neighbour: unmarked ones, short unmarked ones
+    shared with a near copy, and lines of article text; and the latter that the next page has too, if that is no version."""
+    line = pa.list_(pa.struct([("at", pa.int32()), ("line", pa.int64())]))
     for batch in batches:
         mine, sizes, before, after = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
-        sure, maybe = [], []
+        sure, maybe, article, ahead = [], [], [], []
         for m, z, b, a in zip(mine, sizes, before, after):
             found = [_common(m, z, b), _common(m, z, a)]
-            sure.append(sorted({k for keep, near in found if not near for k in keep}))
-            maybe.append([{"at": k, "line": m[k]} for k in sorted({k for keep, near in found if near for k in keep}) if z[k] < SHORT])
+            text = {k for x in found for k in x[2]}
+            # unmarked lines matter where no article text may be left
+            if sum(x < 0 for x in z) > len(text):
+                plain = []
+            else:
+                plain = [([k for k in keep if z[k] > 0], near) for keep, near, *_ in found]
+            sure.append(sorted({k for keep, near in plain if not near for k in keep}))
+            maybe.append([{"at": k, "line": m[k]} for k in sorted({k for keep, near in plain if near for k in keep}) if z[k] < SHORT])
+            article.append([{"at": k, "line": m[k]} for k in sorted(text)])
+            _, _, following, version = found[1]
+            ahead.append([] if version else sorted({m[k] for k in following}))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sure, pa.list_(pa.int32())),
-             pa.array(maybe, pa.list_(pa.struct([("at", pa.int32()), ("line", pa.int64())])))], names=["content", "host", "sure", "maybe"])
+            [batch.column(0), batch.column(1), pa.array(sure, pa.list_(pa.int32())), pa.array(maybe, line), pa.array(article, line),
+             pa.array(ahead, pa.list_(pa.int64()))], names=["content", "host", "sure", "maybe", "article", "ahead"])
 
 
 def neighbours(keyed: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
-    """(content, host, hashes, sizes, before, after): the lines of an unmarked page and the pages next
+    """(content, host, hashes, sizes, before, after): the lines of every page and the pages next
     to it in its host; and all pages as they are dealt, written once."""
     order = ["host", "path", "content"]
     dealt = keyed.repartitionByRange(partitions, *order).withColumn("pid", F.spark_partition_id())
     dealt = cut_lineage(dealt)
     inside = Window.partitionBy("pid").orderBy(*order)
-    page = F.struct("host", "hashes", F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y).alias("chars"))
+    page = F.struct("host", "hashes", "sizes")
     rows = (dealt.withColumn("prev", F.lag(page).over(inside)).withColumn("next", F.lead(page).over(inside)))
     # one row per range partition: its first and last page, seen by the partitions beside it
     border = dealt.groupBy("pid").agg(F.min_by(page, F.struct(*order)).alias("lo"), F.max_by(page, F.struct(*order)).alias("hi"))
@@ -305,8 +330,8 @@ def neighbours(keyed: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]
     border = border.select("pid", F.lag("hi").over(chain).alias("hi_before"), F.lead("lo").over(chain).alias("lo_after"))
     rows = rows.join(border, "pid")
     prev, after = F.coalesce("prev", "hi_before"), F.coalesce("next", "lo_after")
-    near = rows.where("unmarked").select("content", "host", "hashes", "sizes", F.when(prev["host"] == F.col("host"), prev).alias("before"),
-                                         F.when(after["host"] == F.col("host"), after).alias("after"))
+    near = rows.select("content", "host", "hashes", "sizes", F.when(prev["host"] == F.col("host"), prev).alias("before"),
+                       F.when(after["host"] == F.col("host"), after).alias("after"))
     return near, dealt
 
 
@@ -314,12 +339,11 @@ def _text(batches):
     for batch in batches:
         out = []
         for page, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            found = lines(page)
-            main = [t for m, t in found if m == ARTICLE]
-            if not main:
-                gone = set(shared or ())
-                main = [t for k, (m, t) in enumerate(found) if m == PLAIN and k not in gone]
-            out.append("\n\n".join(main))
+            found, gone = lines(page), set(shared or ())
+            left = [x for k, x in enumerate(found) if k not in gone]
+            main = [t for m, t in left if m == ARTICLE] or [t for m, t in left if m == PLAIN]
+            # a page that is nothing but an article found everywhere keeps it
+            out.append("\n\n".join(main or [t for m, t in found if m == ARTICLE]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                                          names=["page_id", "url", "text", "n_chars"])
 
@@ -333,25 +357,31 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     key = F.xxhash64("page_id", "url", "html")
     keyed = cut_lineage(src.select(key.alias("key"), "url", "html").mapInArrow(
-        _keyed, "key long, host string, path string, hashes array<long>, sizes array<int>, unmarked boolean")
+        _keyed, "key long, host string, path string, hashes array<long>, sizes array<int>")
         .withColumn("content", F.xxhash64("host", "hashes", "sizes")))
     partitions = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # copies on a host are one page, at their smallest path
     pages = keyed.groupBy("content").agg(F.min("path").alias("path"), F.first("host").alias("host"),
-                                         F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"), F.max("unmarked").alias("unmarked"))
-    # only pages without article text depend on what they share
+                                         F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
     near, dealt = neighbours(pages, partitions)
     compared = cut_lineage(near.mapInArrow(
-        _shared, "content long, host string, sure array<int>, maybe array<struct<at: int, line: long>>"))
+        _shared, "content long, host string, sure array<int>, maybe array<struct<at: int, line: long>>, "
+                 "article array<struct<at: int, line: long>>, ahead array<long>"))
     doubtful = compared.select("content", "host", F.explode("maybe").alias("m")).select("content", "host", "m.at", "m.line")
     # lines on several pages of a host, once for each page
     hosts = doubtful.select("host").distinct()
     counted = dealt.join(hosts, "host", "left_semi").select("host", F.explode(F.array_distinct("hashes")).alias("line"))
     template = counted.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES).select("host", "line")
     menu = doubtful.join(template, ["host", "line"], "left_semi").select("content", "at")
-    shared = (compared.select("content", F.explode("sure").alias("at")).unionAll(menu)
+    # lines of article text that most pages of a host share with the next one
+    follows = dealt.groupBy("host").agg((F.count("*") - 1).alias("pairs"))
+    notice = (compared.select("host", F.explode("ahead").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+              .where(F.col("n") >= NOTICE_PAGES - 1).join(follows, "host").where(F.col("n") > MOST * F.col("pairs")).select("host", "line"))
+    notices = (compared.select("content", "host", F.explode("article").alias("m")).select("content", "host", "m.at", "m.line")
+               .join(notice, ["host", "line"], "left_semi").select("content", "at"))
+    shared = (compared.select("content", F.explode("sure").alias("at")).unionAll(menu).unionAll(notices)
               .groupBy("content").agg(F.collect_set("at").alias("shared")))
-    wanted = shared.join(keyed.where("unmarked").select("key", "content").distinct(), "content").select("key", "shared")
+    wanted = shared.join(keyed.select("key", "content").distinct(), "content").select("key", "shared")
     wanted = cut_lineage(wanted)
     joined = src.withColumn("key", key).join(wanted, "key", "left").select("page_id", "url", "html", "shared")
     return joined.mapInArrow(_text, "page_id long, url string, text string, n_chars long")

@@ -208,6 +208,40 @@ def test_query_equals_a_plain_version(spark):
     assert [got[k] for k in named] == [want[k] for k in named] and len(got) == 80
 
 
+def test_neighbours_decide_pages_with_articles_too(spark):
+    own = "Page {} tells a story of its own in many words that no other page of the host has, for it is number {}"
+    rows, want = [], {}
+
+    def put(host, k, body, *text):
+        rows.append((len(rows), f"http://{host}/a/{k}", f"<nav><a>Menu {k}</a></nav>{body}"))
+        want[len(rows) - 1] = "\n\n".join(text)
+
+    for k in range(7):  # a notice inside the article goes, a line that only two articles share stays
+        put("notice", k, f"<article><h1>{own.format(k, k)}</h1>{'<p>Twice</p>' if k in (2, 3) else ''}<p>Subscribe to our letter</p></article>",
+            own.format(k, k), *["Twice"] * (k in (2, 3)))
+    for k in range(5):  # the article element is the same advert everywhere, the text lies beside it
+        put("advert", k, f"<article><p>Join our club</p></article><div>{own.format(k, k)}</div><div>All rights reserved</div>", own.format(k, k))
+    for k in range(5):  # versions of an article, and the same article under other menus
+        put("versions", k, f"<article><p>{own.format('x', 'y')}</p><p>Read {k} times</p></article>", own.format("x", "y"), f"Read {k} times")
+        put("same", k, "<article><p>Not found</p></article>", "Not found")
+    for k in range(6):  # what a neighbour has in its menu only is no notice
+        put("menu", k, f"<article><p>{own.format(k, k)}</p><p>Home</p></article>" if k % 2 else f"<div class='ad'>Home</div><article><p>{own.format(k, k)}</p></article>",
+            own.format(k, k), *["Home"] * (k % 2))
+    for k in range(3):  # too few pages to tell
+        put("few", k, f"<article><p>{own.format(k, k)}</p><p>Subscribe to our letter</p></article>", own.format(k, k), "Subscribe to our letter")
+    df = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string").repartition(4)
+    got = html_text.main_text(df).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and len(got) == len(rows) + 3
+
+
+def test_pages_told_apart_by_query_are_neighbours(spark):
+    rows = [(k, f"http://h/index?id={k + 10}", f"<p>Section {k // 2}</p><p>Own line of page {k}</p>") for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()} == {k: f"Own line of page {k}" for k in range(20)}
+    paths = ["http://h/a", "http://h/a?x=1", "http://h/a-b", "http://h/a/b", "http://h/a0"]
+    assert sorted(paths, key=html_text._place) == paths
+
+
 def test_copies_of_a_row_are_cut_once(spark):
     rng = random.Random(3)
     passage = " ".join(f"p{rng.randrange(900)}" for _ in range(70))
