@@ -318,3 +318,41 @@ def test_contexts_are_cut_a_few_rows_at_a_time(monkeypatch):
     monkeypatch.setattr(suffix, "CUT_ROWS", 6)
     parts = list(suffix._cut([batch]))
     assert max(p.num_rows for p in parts) <= 6 and pa.Table.from_batches(parts).to_pydict() == whole
+
+
+def test_op8_returns_the_ids_of_every_rank(spark, scratch):
+    import hashlib
+
+    from tessera.llm import pieces, queries
+
+    texts = ["One text of some words", "", None, "two\nlines", "日本 words ☃", " "]
+    rows = [(k % 5, t, "en", "s", 0) for k, t in enumerate(texts)] + [(None, "no id", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{scratch}/documents.parquet")
+    vocabulary = pieces.Pieces(pieces._read(pieces.MODEL))
+    sha = lambda x: hashlib.sha256(np.array(x, np.int32).tobytes()).hexdigest()
+    found = []
+    for r in queries.op8_sentencepiece(spark, scratch).collect():
+        made = {vocabulary.decode(x) for x in r["nbest_ids"]}
+        assert len(made) == 1 and r["round_trip"] and len(r["nbest_ids"]) == len(r["nbest_scores"]) == len(set(r["nbest_sha256"]))
+        assert r["ids"] == r["nbest_ids"][0] and len(r["ids"]) == r["n_pieces"]
+        assert r["ids_sha256"] == sha(r["ids"]) and r["nbest_sha256"] == [sha(x) for x in r["nbest_ids"]]
+        found.append((r["doc_id"], made.pop()))
+    assert sorted(found, key=str) == sorted(((r[0], r[1] or "") for r in rows), key=str)
+
+
+def test_the_round_trip_is_read_from_the_ids_of_every_rank(monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.llm import pieces
+
+    proto = pieces._read(pieces.MODEL)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["some words here", "", "other"]})
+    encode = lambda: [x for b in pieces._encode([batch], SimpleNamespace(value=proto), 4, False, True) for x in b.column("round_trip").to_pylist()]
+    assert encode() == [True, True, True]
+    assert list(pieces._shares(pa.array(["ab", None, "c"]))) == [(0, 3)]
+    monkeypatch.setattr(pieces, "TEXTS", 2)
+    assert encode() == [True, True, True] and list(pieces._shares(pa.array(["ab"] * 5))) == [(0, 2), (2, 2), (4, 1)]
+    # a last rank whose ids are those of another text
+    real = pieces.Encoder.encode_units
+    monkeypatch.setattr(pieces.Encoder, "encode_units", lambda self, units, n: ([*real(self, units, n)[0], (np.array([300], np.int32).tobytes(), 0.0)], True))
+    assert encode() == [False, False, False]
