@@ -84,3 +84,51 @@ def test_cells_are_counted_of_the_drawn_features_only(spark):
                 below = np.bincount(y[low], w[low], 5)
                 want.append((k, f, b, below.sum(), (below**2).sum(), ((total[k] - below) ** 2).sum()))
     assert list(zip(*(c.tolist() for c in got))) == want
+
+
+def test_rows_judged_where_the_trees_grow_are_judged_the_same(spark, monkeypatch):
+    df = table(spark)
+    train, test = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    want = judged(df)[1]
+    args = ("y", ["a", "b", "c"], 12, 1, 30, ["id", "y"], "id")
+    at_once = lambda rows: {r["id"]: (r["y_hat"], r["probability"]) for r in forest.fit_and_predict(rows, test, *args).collect()}
+    monkeypatch.setattr(forest, "_fitted", None)  # no tree is written
+    assert at_once(train.repartition(3)) == want
+    # blocks, packs of several trees and slices of few rows change nothing
+    for name, value in (("TEST_ROWS", 7), ("TASKS", 5), ("WALKED_ROWS", 10)):
+        monkeypatch.setattr(forest, name, value)
+    assert at_once(train.repartition(3)) == want
+    assert forest.fit_and_predict(train, test.limit(0), *args).count() == 0
+    monkeypatch.undo()
+    # more rows than a task takes: in two steps
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 40)
+    assert at_once(train.repartition(3)) == want
+
+
+def test_both_ways_to_count_find_the_same_splits(monkeypatch):
+    rng = np.random.default_rng(13)
+    for d, classes, n in ((1, 2, 50), (5, 3, 400), (9, 40, 700)):
+        x, y, w = rng.integers(0, 32, (n, d)).astype(np.uint8), rng.integers(0, classes, n), rng.integers(1, 13, n)
+        found = []
+        for dense, block in ((4, 1 << 14), (0, 1 << 14), (0, 9), (1 << 20, 100)):
+            monkeypatch.setattr(forest, "DENSE", dense)
+            monkeypatch.setattr(forest, "BLOCK", block)
+            monkeypatch.setattr(forest, "COUNTED_ROWS", block)
+            nodes, gains = forest.grown(x, y, w, classes, forest.tree_hash(2, 3), 0, 30)
+            found.append([a.tolist() for a in (*nodes, gains)])
+        assert all(f == found[0] for f in found)
+        feature, at, left, counts = nodes
+        last = forest.walk(feature, at, left, x)
+        assert (np.stack([np.bincount(y[last == k], w[last == k], classes) for k in range(len(feature))]) == counts).all()
+
+
+def test_cells_of_large_counts(spark):
+    # sums that do not fit side by side in 64 bits
+    n = 30_000
+    rng = np.random.default_rng(17)
+    x, y, w = rng.integers(0, 4, (n, 1)).astype(np.uint8), rng.integers(0, 2, n), rng.integers(1, 13, n)
+    total = np.bincount(y, w, 2)[None].astype(np.int64)
+    got = forest.counted(forest.packed(x, y, w), np.arange(n), np.zeros(n, np.int64), np.zeros((1, 1), np.int64), total)
+    below = np.stack([np.bincount(y[x[:, 0] <= b], w[x[:, 0] <= b], 2) for b in range(4)]).astype(np.int64)
+    assert got.rows.tolist() == below.sum(axis=1).tolist() and got.below.tolist() == (below**2).sum(axis=1).tolist()
+    assert got.above.tolist() == ((total - below) ** 2).sum(axis=1).tolist()
